@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, token_files
+from . import chat, licenses, packing, quality, token_files
 from .common import table
 from .tokens import vocabulary
 
@@ -17,11 +18,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = told.union(spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], told.schema))
+    formatted = chat.format(chat.linear(told))
+    return chat.digests(chat.read(formatted)).select(F.when(F.col("tree") != "null", F.col("tree").cast("long")).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.folder(spark)
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op5_token_files)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op5_token_files, op9_license_scan)}
 ORACLES: dict[str, str] = {}
