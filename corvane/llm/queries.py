@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, packing, quality, token_files
+from . import chat, decontaminate, licenses, near_duplicates, packing, quality, token_files
 from .common import table
 from .tokens import vocabulary
 
@@ -26,15 +26,23 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read(formatted)).select(F.when(F.col("tree") != "null", F.col("tree").cast("long")).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.folder(spark)
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.read(spark, path)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op5_token_files, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op7_decontaminate, op9_license_scan)}
 ORACLES: dict[str, str] = {}
