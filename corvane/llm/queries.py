@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, near_duplicates, packing, quality, substrings, token_files
+from . import chat, decontaminate, language_models, licenses, near_duplicates, packing, quality, substrings, token_files, warc
 from .common import table
 from .tokens import vocabulary
 
@@ -36,6 +36,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents that labels call good and not toxic, but for the fold of doc_ids divisible by 5, which is held out for tests."""
+    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0 and doc_id % 5 <> 0")
+    return language_models.score(table(spark, sf_dir, "documents"), labels)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +54,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op7_decontaminate, op8_suffix_dedup, op9_license_scan)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op6_lm_scoring, op7_decontaminate, op8_suffix_dedup, op9_license_scan, op10_warc)}
 ORACLES: dict[str, str] = {}
