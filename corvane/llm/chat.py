@@ -36,7 +36,7 @@ def paths(messages: DataFrame, keep: int = 1, rounds: int = 40) -> DataFrame:
     """(tree, leaf, branch, node, up): the messages on the best root-to-leaf paths of each tree, branch 1 first; up counts from the leaf.
 
     messages: tree (not null), node, parent, score. Best is the largest summed score, then the longest, then the leaf of the smallest node."""
-    nodes = messages.select("tree", "node", "parent", "score")
+    nodes = cut(messages.select("tree", "node", "parent", "score"))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     linked = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("to"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total"))
     steps = [cut(linked)]
@@ -52,10 +52,11 @@ def paths(messages: DataFrame, keep: int = 1, rounds: int = 40) -> DataFrame:
     else:
         order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
         best = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep).select("tree", F.col("node").alias("leaf"), "branch")
-    found = best.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    found = cut(best).select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k in range(len(steps) - 2, -1, -1):
         onward = steps[k].where("to is not null").select("tree", "node", "to")
-        found = found.union(found.join(onward, ["tree", "node"]).select("tree", "leaf", "branch", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up")))
+        # Cut, as each turn has the one before it twice.
+        found = cut(found.union(found.join(onward, ["tree", "node"]).select("tree", "leaf", "branch", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
     return found
 
 
