@@ -134,8 +134,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
 
         packer, tokens = Packer(TaskContext.get().partitionId() << 36, tiers), encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                some = batch.slice(at, 32)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist()), strict=True):
                     packer.add(doc, ids + end)
             if (out := packer.take()) is not None:

@@ -14,14 +14,17 @@ ESCAPE_AT = 60  # values of more bits are escaped
 ESCAPE = 1
 
 
+_SMALL = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
+    top = int(values.max())
+    if top < 1 << 16:
+        return _SMALL[values.astype(np.uint16)]
     out = np.zeros(len(values), np.uint8)
-    left = values.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = left >= np.uint64(1 << shift)
-        out[big] += shift
-        left = np.where(big, left >> np.uint64(shift), left)
-    out[values > 0] += 1
+    for shift in range(0, top.bit_length(), 16):
+        part = ((values >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+        out = np.where(part > 0, _SMALL[part] + np.uint8(shift), out)
     return out
 
 
@@ -39,6 +42,8 @@ def encode(values: np.ndarray) -> bytes:
     for selector, (count, width) in enumerate(SELECTORS):
         if selector == ESCAPE or width < narrowest or count > n:
             continue
+        if width < wide and int((bits <= width).sum()) < count:
+            continue
         m, reach = bits, 1
         while reach * 2 <= count:
             m = np.maximum(m[:-reach], m[reach:])
@@ -55,11 +60,10 @@ def encode(values: np.ndarray) -> bytes:
     take[todo] = ESCAPE
     counts = np.array([c for c, _ in SELECTORS])
     counts[ESCAPE] = 1
-    onward = (np.arange(n) + counts[take]).tolist()
-    starts, at = [], 0
+    step, starts, at = counts[take].tolist(), [], 0
     while at < n:
         starts.append(at)
-        at = onward[at]
+        at += step[at]
     starts = np.array(starts)
     chosen = take[starts]
     place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(chosen == ESCAPE)[:-1]))  # an escape takes two words

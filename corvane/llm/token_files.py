@@ -47,8 +47,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, partitions:
 
         tokens = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                some = batch.slice(at, 32)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 for doc, got in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     raw.append(got + end)
