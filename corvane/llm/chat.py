@@ -43,9 +43,10 @@ def paths(messages: DataFrame, keep: int = 1, rounds: int = 40) -> DataFrame:
     while not steps[-1].where("to is not null").isEmpty():
         if len(steps) > rounds:
             raise ValueError("messages reply to each other in a cycle")
+        # Only messages below a root's children have a step to double; others stay as they are.
         above = steps[-1].select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("total").alias("added"))
-        met = steps[-1].join(above, ["tree", "to"], "left")
-        steps.append(cut(met.select("tree", "node", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))))
+        met = steps[-1].where("to is not null").join(above, ["tree", "to"])
+        steps.append(cut(met.select("tree", "node", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("added")).alias("total")).union(steps[-1].where("to is null"))))
     leaves = steps[-1].join(nodes.where("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     if keep == 1:
         best = leaves.groupBy("tree").agg(F.max(F.struct("total", "depth", (-F.col("node")).alias("last"))).alias("m")).select("tree", (-F.col("m.last")).alias("leaf"), F.lit(1).alias("branch"))
