@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,7 +223,9 @@ def instances(idx: Index, phrase: Phrase) -> DataFrame:
 
 
 def _near(idx: Index, near: Near) -> list[DataFrame]:
-    """The instances of each phrase that stand in some group of all phrases with at most distance tokens between the first's end and the last's start."""
+    """The instances of each phrase that stand in groups of all phrases with at most distance tokens between the first's end and the last's start."""
+    if len(near.phrases) > 2:
+        return _near_many(idx, near)
     met = None
     for k, p in enumerate(near.phrases):
         own = instances(idx, p).select("spec_id", "col", F.col("pos").alias(f"p{k}"))
@@ -235,6 +238,40 @@ def _near(idx: Index, near: Near) -> list[DataFrame]:
     return [kept.select("spec_id", "col", F.col(f"p{k}").alias("pos")).distinct() for k in range(len(near.phrases))]
 
 
+def sweep(places: list[list[int]], lengths: list[int], distance: int) -> list[list[int]]:
+    """Of ascending places of each phrase, those of the groups that a sweep from left to right meets: after a group, the phrase whose next place is the least moves on."""
+    at, out = [0] * len(places), [[] for _ in places]
+    while all(i < len(own) for i, own in zip(at, places, strict=True)):
+        last = max(own[i] for i, own in zip(at, places, strict=True))
+        behind = [k for k, own in enumerate(places) if own[at[k]] < last - lengths[k] - distance]
+        if behind:
+            for k in behind:
+                at[k] += 1
+            continue
+        for k, own in enumerate(places):
+            if out[k][-1:] != [own[at[k]]]:
+                out[k].append(own[at[k]])
+        nexts = [own[i + 1] if i + 1 < len(own) else float("inf") for i, own in zip(at, places, strict=True)]
+        at[nexts.index(min(nexts))] += 1
+    return out
+
+
+def _near_many(idx: Index, near: Near) -> list[DataFrame]:
+    """As _near(), for three phrases and more: a document's places of a column, as arrays, in one Arrow batch call."""
+    met = None
+    for k, p in enumerate(near.phrases):
+        own = instances(idx, p).groupBy("spec_id", "col").agg(F.sort_array(F.collect_list("pos")).alias(f"p{k}"))
+        met = own if met is None else met.join(own, ["spec_id", "col"])
+    lengths = [len(p.terms) for p in near.phrases]
+
+    @F.pandas_udf("array<array<int>>")
+    def swept(*columns: pd.Series) -> pd.Series:
+        return pd.Series([sweep([list(x) for x in row], lengths, near.distance) for row in zip(*columns, strict=True)])
+
+    kept = met.select("spec_id", "col", swept(*(f"p{k}" for k in range(len(lengths)))).alias("kept"))
+    return [kept.select("spec_id", "col", F.explode(F.col("kept")[k]).alias("pos")) for k in range(len(lengths))]
+
+
 def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: DataFrame | None = None) -> DataFrame:
     """(spec_id, rank) of the specs that match; less is better. Frequencies are those of the whole index, whatever the scope (spec_id) is."""
     tree = parse(query, columns)

@@ -56,3 +56,17 @@ def find(specs: DataFrame, graph: DataFrame, code: DataFrame, weights: dict = WE
         own = min_max(rows.select("repo", "name", "score"), "score").select(F.lit(kind).alias("type"), "repo", "name", (F.col("score") * weights[kind]).alias("score"))
         out = own if out is None else out.unionByName(own)
     return out.orderBy(F.desc("score"), "type", "repo", "name").limit(limit)
+
+
+def context(found: DataFrame, blast: DataFrame) -> DataFrame:
+    """found with the blast radius (qualified_name, hop) of its first code hit, as an array on that row alone."""
+    first = found.where("type = 'code'").orderBy(F.desc("score"), "repo", "name").limit(1).select("type", "repo", "name")
+    around = blast.agg(F.sort_array(F.collect_list(F.struct("hop", "qualified_name"))).alias("blast"))  # as many as the radius's cap
+    return found.join(F.broadcast(first.crossJoin(around)), ["type", "repo", "name"], "left")
+
+
+def per_repo(hits: DataFrame, repos: list[str], each: int = CANDIDATES) -> DataFrame:
+    """hits (repo, rank, ...) in the order of repos, each's best first and at most each."""
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("rank", "spec_id"))
+    order = F.array_position(F.array(*map(F.lit, repos)), F.col("repo"))
+    return hits.where(F.col("repo").isin(*repos)).withColumn("place", place).where(F.col("place") <= each).withColumn("order", order).orderBy("order", "place").drop("order", "place")
