@@ -277,7 +277,7 @@ def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: Da
     tree = parse(query, columns)
     if tree is None:
         return idx.lengths.where(F.lit(False)).select("spec_id", F.lit(0.0).alias("rank"))
-    found, numbered = None, []
+    found, numbered, near_numbers = None, [], set()
 
     def add(df: DataFrame, p: Phrase) -> None:
         nonlocal found
@@ -287,11 +287,15 @@ def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: Da
         found = df if found is None else found.union(df)
 
     def collect(node) -> None:
+        nonlocal found
         if isinstance(node, Phrase):
             add(instances(idx, node), node)
         elif isinstance(node, Near):
             for df, p in zip(_near(idx, node), node.phrases, strict=True):
                 add(df, p)
+                # How many documents have the phrase at all tells how rare it is.
+                near_numbers.add(p.number)
+                found = found.union(instances(idx, p).select("spec_id", F.lit(-1 - p.number)))
         else:
             for x in node.parts:
                 collect(x)
@@ -318,8 +322,8 @@ def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: Da
             return scored(node.parts[0])
         return phrases(node) if not isinstance(node, Node) else [p for x in node.parts for p in scored(x)]
 
-    counts = found.groupBy("spec_id").agg(*(F.count_if(F.col("phrase") == p.number).alias(f"tf{p.number}") for p in numbered))
-    frequencies = counts.agg(*(F.count_if(has(p)).alias(f"df{p.number}") for p in numbered))
+    counts = found.groupBy("spec_id").agg(*(F.count_if(F.col("phrase") == p.number).alias(f"tf{p.number}") for p in numbered), *(F.count_if(F.col("phrase") == -1 - k).alias(f"any{k}") for k in sorted(near_numbers)))
+    frequencies = counts.agg(*(F.count_if(F.col(f"any{p.number}") > 0 if p.number in near_numbers else has(p)).alias(f"df{p.number}") for p in numbered))
     whole = idx.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
     # Two rows of sums: their size doesn't grow with the data.
     rows = counts.where(truth(tree)).join(F.broadcast(frequencies.crossJoin(whole)))

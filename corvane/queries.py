@@ -123,8 +123,9 @@ def _fts_sql(phrases: list[str], truth: str, scored: list[int], extra: dict[int,
         cond = lambda t, a: f"starts_with({a}.term, '{t[:-1]}')" if t.endswith("*") else f"{a}.term = '{t}'"
         joins = "".join(f" JOIN toks t{j} ON t{j}.spec_id = t0.spec_id AND t{j}.pos = t0.pos + {j} AND {cond(t, f't{j}')}" for j, t in enumerate(terms) if j)
         parts.append(f"p{k} AS (SELECT t0.spec_id, count(*) AS tf FROM toks t0{joins} WHERE {cond(terms[0], 't0')}{(extra or {}).get(k, '')} GROUP BY ALL)")
+    rows = lambda k: f"(SELECT count(DISTINCT spec_id) FROM toks WHERE term = '{phrases[k]}')" if "EXISTS" in (extra or {}).get(k, "") else f"(SELECT count(*) FROM p{k})"
     joined = "lens " + " ".join(f"LEFT JOIN p{k} USING (spec_id)" for k in range(len(phrases)))
-    score = " + ".join(f"(CASE WHEN n_docs - (SELECT count(*) FROM p{k}) <= (SELECT count(*) FROM p{k}) THEN 1e-6 ELSE ln((n_docs - (SELECT count(*) FROM p{k}) + 0.5) / ((SELECT count(*) FROM p{k}) + 0.5)) END) * coalesce(p{k}.tf, 0) * 2.2 / (coalesce(p{k}.tf, 0) + 1.2 * (0.25 + 0.75 * n_tokens / mean_tokens))" for k in scored)
+    score = " + ".join(f"(CASE WHEN n_docs - {rows(k)} <= {rows(k)} THEN 1e-6 ELSE ln((n_docs - {rows(k)} + 0.5) / ({rows(k)} + 0.5)) END) * coalesce(p{k}.tf, 0) * 2.2 / (coalesce(p{k}.tf, 0) + 1.2 * (0.25 + 0.75 * n_tokens / mean_tokens))" for k in scored)
     has = truth
     for k in range(len(phrases)):
         has = has.replace(f"#{k}", f"(p{k}.tf IS NOT NULL)")
