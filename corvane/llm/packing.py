@@ -89,6 +89,10 @@ class Packer:
         for size, below in zip(self.tiers, (*self.tiers[1:], 0), strict=True):
             while pool and pool[-1][0] > below and sum_at_least(pool, size):
                 first = pool.pop()
+                if first[0] > size:  # left from a longer tier that could not be filled
+                    length, serial, doc, start, total, ids = first
+                    insort(pool, (length - size, serial, doc, start + size, total, ids[4 * size :]))
+                    first = size, serial, doc, start, total, ids[: 4 * size]
                 pieces = [first]
                 self._fill(pool, pieces, size - first[0])
                 self._window(size, pieces)

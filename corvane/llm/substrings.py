@@ -234,7 +234,7 @@ def _send_mixed(buckets: int) -> Callable:
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         told = Told(answers, buckets)
-        batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
+        batch = docs.column("_corvane_batch")[0].as_py() if docs.num_rows else 0
         found: dict[tuple[int, int], list] = {}
         for _, _, data, offs, ids, known in _texts(docs):
             row, start, count, hashed = window_runs(data, offs, known)
@@ -345,13 +345,14 @@ def _run(docs: DataFrame, finish: Callable, schema, batch_bytes: int, bucket_byt
     size = text_bytes(docs)
     batches, buckets = blocks_for(size, batch_bytes), max(parts(spark), blocks_for(size, bucket_bytes))
     wanted = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = "_corvane_batch"  # docs may have a column named batch
     packed = wanted.select("doc_id", "text").mapInArrow(_send_runs(buckets), "bucket int, raw binary")
     first = cut(packed.groupBy("bucket").applyInArrow(_meet(batches, hot), ANSWERS))
-    dealt = wanted.withColumn("batch", batch_of(F.col("doc_id"), batches))
-    mixed = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_send_mixed(buckets), SENT)
+    dealt = wanted.withColumn(own, batch_of(F.col("doc_id"), batches))
+    mixed = dealt.groupBy(own).cogroup(first.groupBy("batch")).applyInArrow(_send_mixed(buckets), SENT)
     ordered = mixed.repartition(parts(spark), "route").sortWithinPartitions("route", "content")
     answers = first.union(ordered.mapInArrow(_sort_blocks, ANSWERS))
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish(buckets), schema)
+    return dealt.groupBy(own).cogroup(answers.groupBy("batch")).applyInArrow(finish(buckets), schema)
 
 
 def digests(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
@@ -379,7 +380,7 @@ def digests(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int =
 
 def cut_out(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """docs with their texts cut, other columns as they are (n_chars, if there, is counted anew). Where a cut splits a character, its other bytes go too. A text of which nothing is left is empty."""
-    names, kinds = docs.columns, docs.schema
+    names, kinds = docs.columns, docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema
 
     def finish(buckets: int) -> Callable:
         def rows(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -391,7 +392,7 @@ def cut_out(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int =
             out = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             if "n_chars" in names:
                 at = table.schema.get_field_index("n_chars")
-                out = out.set_column(at, "n_chars", pa.array([None if t is None else len(t) for t in texts]).cast(table.schema.field(at).type))
+                out = out.set_column(at, "n_chars", pa.array([n if t is None else len(t) for t, n in zip(texts, table.column("n_chars").to_pylist(), strict=True)], pa.int64()).cast(table.schema.field(at).type))
             return out.select(names)
 
         return rows
