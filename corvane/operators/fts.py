@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, stemmed, tokens, tokens_of
@@ -204,6 +204,16 @@ def index(specs: DataFrame, columns: tuple[str, ...] = COLUMNS, porter: bool = F
     return Index(stemmed(spread) if porter else spread, lengths, porter)
 
 
+def save(idx: Index, path: str) -> None:
+    """The index as Parquet, postings in order of term: a query's terms then prune all but a few row groups."""
+    idx.postings.repartitionByRange("term", "spec_id").sortWithinPartitions("term", "spec_id", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    idx.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def load(spark: SparkSession, path: str, porter: bool = False) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), porter)
+
+
 def _wanted(phrase: Phrase, k: int, porter: bool) -> Column:
     term = stem(phrase.terms[k]) if porter and not (phrase.prefix and k == len(phrase.terms) - 1) else phrase.terms[k]
     if phrase.prefix and k == len(phrase.terms) - 1:

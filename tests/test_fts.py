@@ -47,6 +47,15 @@ def test_same_as_fts5(both, name, query):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_saved_index(spark, both, tmp_path):
+    idx, _ = both["plain"]
+    fts.save(idx, str(tmp_path / "index"))
+    saved = fts.load(spark, str(tmp_path / "index"))
+    assert sorted(fts.search(saved, "the NOT of").collect()) == sorted(fts.search(idx, "the NOT of").collect())
+    plan = saved.postings.where("term = 'the'").select("spec_id")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,the)]" in plan
+
+
 def test_stems():
     words = "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational valenci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll generalizations oscillators".split()
     db = sqlite3.connect(":memory:")
