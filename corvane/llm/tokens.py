@@ -35,8 +35,8 @@ def _written() -> dict[int, str]:
 
 
 WRITTEN = _written()
-#: Pieces that are remembered, beyond which the memory starts anew; characters that are cut at once.
-REMEMBERED, AT_ONCE = 1_500_000, 1 << 20
+#: Pieces that are remembered (some 200 bytes each), beyond which the memory starts anew; characters that are cut at once.
+REMEMBERED, AT_ONCE = 400_000, 1 << 20
 
 
 def pieces(data: np.ndarray, offs: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray]:
