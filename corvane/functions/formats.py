@@ -42,4 +42,4 @@ KINDS = ("hld", "lld", "ears", "tasks", "research", "adr")
 def kind_of_path(path: Column) -> Column:
     folder = F.regexp_extract(F.lower(path), r"(?:^|/)docs/(hld|lld|ears|tasks|research|adrs?|decisions)/", 1)
     adr = folder.isin("adr", "adrs", "decisions")
-    return F.when(adr, "adr").when(folder != "", folder).when(F.lower(path).rlike(r"\.(md|mdx|txt)$"), "doc").otherwise("code")
+    return F.when(adr, "adr").when(folder != "", folder).when(F.lower(path).rlike(r"\.(md|mdx|markdown|txt|rst|adoc)$"), "doc").otherwise("code")

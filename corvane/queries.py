@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import formats, vectors
 from .functions.text import stem, tokens
-from .operators import catalog, codegraph, fts, graphs, kg, rank
+from .operators import catalog, codegraph, export, fts, graphs, kg, rank
 from .operators.corpus import specs_from_documents
 from .session import table
 from .streaming import events
@@ -248,6 +248,42 @@ def graph_tag_links(spark, d):
     return graphs.links(graphs.pairs_of_tags(specs))
 
 
+# Graphs as they are given out
+
+@query("SELECT spec_id AS id, name AS label, lower(name) AS norm_label, repo, project, path, ext AS file_type, array_to_string(tags, ',') AS tags FROM specs", specs=True)
+def graph_nodes(spark, d):
+    nodes = export.spec_nodes(specs_from_documents(spark, d))
+    return nodes.select("id", "label", "norm_label", "repo", "project", "path", "file_type", F.array_join("tags", ",").alias("tags"))
+
+
+@query("WITH top AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place FROM documents QUALIFY place < 20) SELECT '__query__' AS source, source || ':' || lang || '/doc_' || doc_id || '.md' AS target, round(greatest(0.2, 0.9 - 0.08 * place), 6) AS weight FROM top")
+def graph_star(spark, d):
+    top = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(20)  # a list of results
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1)
+    path = F.concat("lang", F.lit("/doc_"), "doc_id", F.lit(".md"))
+    results = placed.select(F.concat("source", F.lit(":"), path).alias("spec_id"), F.concat(F.lit("doc_"), "doc_id").alias("label"), path.alias("path"), "place")
+    return export.star(results)[1].withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT spec_id AS id, spec_id IN (SELECT spec_id FROM specs WHERE list_contains(tags, 'quality')) OR path IN (SELECT path FROM specs WHERE list_contains(tags, 'quality')) AS is_source FROM specs", specs=True)
+def graph_sources(spark, d):
+    specs = specs_from_documents(spark, d)
+    return export.with_sources(export.spec_nodes(specs).select("id", "path"), specs.where(F.array_contains("tags", "quality"))).select("id", "is_source")
+
+
+@query("SELECT DISTINCT CASE WHEN source = 'src1' THEN 'hld' WHEN source = 'src2' THEN 'adr' WHEN source = 'src3' THEN 'code' ELSE 'doc' END AS kind FROM documents")
+def graph_kinds(spark, d):
+    ends = F.when(F.col("source") == "src1", "docs/HLD/a.md").when(F.col("source") == "src2", "x/docs/decisions/a.md").when(F.col("source") == "src3", "a.py").otherwise("a.rst")
+    return export.kinds(table(spark, d, "documents").select(ends.alias("path"))).select("kind")
+
+
+@query("SELECT repo, row_number() OVER (ORDER BY repo IN ('src3', 'src4') DESC, repo <> 'src1' DESC, count(*) DESC, repo) AS place FROM specs GROUP BY repo", specs=True)
+def catalog_picker(spark, d):
+    repos = specs_from_documents(spark, d).groupBy("repo").agg(F.count("*").alias("n_specs")).withColumn("has_graph", F.col("repo") != "src1")
+    ordered = export.picker(repos, ["src3", "src4"])
+    return ordered.select("repo", F.row_number().over(Window.orderBy(F.desc("selected"), F.desc("has_graph"), F.desc("n_specs"), "repo")).cast("long").alias("place"))
+
+
 # Knowledge graph: made declarations and edges of documents
 
 DECLS = """decls AS (SELECT source AS repo, lang || '/' || doc_id || '.md' AS path, 'component://c' || (doc_id % 97) AS id, CASE WHEN doc_id % 5 = 0 THEN 'file' ELSE 'component' END AS kind, 'T' || doc_id AS title FROM documents),

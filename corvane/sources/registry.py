@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import subprocess
 import tomllib
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -89,3 +90,45 @@ def changed_files(root: str, last: str | None, types: tuple[str, ...] = ("md", "
     names = set(git("ls-files", "-z")) if not last else set(git("diff", "--name-only", "--no-renames", "-z", last, "HEAD"))
     names |= set(git("diff", "--name-only", "--no-renames", "-z")) | set(git("diff", "--cached", "--name-only", "--no-renames", "-z")) | set(git("ls-files", "--others", "--exclude-standard", "-z"))
     return sorted(n for n in names if n.rpartition(".")[2].lower() in types), head
+
+
+@dataclass
+class ExternalGraph:
+    name: str
+    path: str
+    kind: str = "graphify"
+    mtime: int = 0
+    n_nodes: int = 0
+    added_at: int = 0
+
+
+def load_graphs(path: str) -> dict[str, ExternalGraph]:
+    """Graphs registered by hand, by name, from a file of one JSON object a line."""
+    file = Path(path)
+    found = [ExternalGraph(**json.loads(x)) for x in file.read_text().splitlines() if x.strip()] if file.exists() else []
+    return {g.name: g for g in sorted(found, key=lambda g: g.name)}
+
+
+def save_graphs(path: str, graphs: dict[str, ExternalGraph]) -> None:
+    Path(path).write_text("".join(json.dumps(asdict(graphs[name])) + "\n" for name in sorted(graphs)))
+
+
+def add_graph(graphs: dict[str, ExternalGraph], graph: ExternalGraph) -> None:
+    if graph.name in graphs:
+        raise ValueError(f"a graph is named {graph.name} already")
+    if graph.kind not in ("graphify", "code-review-graph"):
+        raise ValueError(f"no kind of graph: {graph.kind}")
+    graphs[graph.name] = graph
+
+
+def remove_graph(graphs: dict[str, ExternalGraph], name: str) -> None:
+    """A KeyError for a name that isn't registered."""
+    del graphs[name]
+
+
+def prune_graphs(graphs: dict[str, ExternalGraph]) -> list[str]:
+    """Takes out the graphs whose file is gone; their names."""
+    gone = [name for name, g in graphs.items() if not Path(g.path).exists()]
+    for name in gone:
+        del graphs[name]
+    return gone
