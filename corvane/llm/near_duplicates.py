@@ -27,6 +27,8 @@ from .common import SIMILAR, U, components, cut, mix, parts, shingles
 TREES, DEPTH, TARGET = 24, 6, 0.9999
 #: Shingles of one verification block; a block of a group is at most this, apart from a single text.
 BLOCK_SHINGLES = 1 << 21
+#: Places of a text's shingles in other texts of its block that are counted at once.
+AT_ONCE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
 ADD = _rng.integers(0, 2**64 - 1, TREES * DEPTH, dtype=np.uint64)
@@ -135,8 +137,11 @@ def verify(rows: list[tuple[bytes, int, int, np.ndarray]], first: int, second: i
         at += sizes[i]
         common = np.zeros(len(rows), np.int64)
         lengths = end[own] - begin[own]
-        for lo in range(0, len(own), 4096):
-            some, length = own[lo : lo + 4096], lengths[lo : lo + 4096]
+        upto, lo = np.cumsum(lengths), 0
+        while lo < len(own):
+            before = int(upto[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, before + AT_ONCE, "right")))
+            some, length, lo = own[lo:hi], lengths[lo:hi], hi
             where = np.repeat(begin[some] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
             common += np.bincount(owner[where], minlength=len(rows))
         # Jaccard similarity, in whole numbers: common / (sizes of both - common).

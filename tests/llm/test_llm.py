@@ -324,3 +324,14 @@ def test_pipeline(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == names, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_verify_counts_in_pieces(monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    rows = [(bytes([k]), 0, 1, np.unique(np.concatenate([base[: 60 - k % 9], r.integers(0, 2**63, k % 9, dtype=np.uint64)]))) for k in range(40)]
+    sets = {n: set(own.tolist()) for n, *_, own in rows}
+    want = {n: c for n in sets if (c := sum(n != m and 10 * len(sets[n] & sets[m]) >= 8 * len(sets[n] | sets[m]) for m in sets))}
+    for most in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(near_duplicates, "AT_ONCE", most)
+        assert near_duplicates.verify(rows, 0, 0, 0.8)[0] == want
