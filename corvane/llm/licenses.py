@@ -1,8 +1,9 @@
 """Operator 9 [native]: licence scans with a positional rare-token index.
 
-A file's highest-IDF licence words are looked up in the templates' postings; each posting gives the place where its
-template would begin, places that several words agree on are counted, and a template whose words agree is accepted if its
-mandatory key phrase stands in the file. Beside it the base phrases are found wherever their words stand consecutively.
+The postings hold the highest-IDF word of each template's key phrase. Every place of these words in a file gives a place
+where a template would begin; a template whose mandatory key phrase stands there is a candidate, so none that the file
+holds is missed, and it is accepted if its words agree. Beside it the base phrases are found wherever their words stand
+consecutively.
 
 Document frequencies of the licence words are counted over all documents. They are as many as the templates have words,
 a fixed number, so the driver takes them as a small dictionary. Only files with a word that some phrase or key phrase
@@ -36,8 +37,8 @@ TEMPLATES = {
     "mpl": ("subject to the terms of the mozilla public license", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 }
-#: Of a file's licence words, the rarest that are looked up; the share of a template's looked-up words that must agree.
-LOOKED_UP, AGREE = 12, 0.6
+#: The share of a template's words in the file that must agree.
+AGREE = 0.6
 VOCABULARY = sorted({w for t, _ in TEMPLATES.values() for w in t.split()})
 #: A labelled file has one of these words: the longest of each base phrase and key phrase.
 SIGNS = sorted({max(p.split(), key=len) for p in (*BASE, *(k for _, k in TEMPLATES.values()))} - {"by"} | {"cc"})
@@ -56,6 +57,26 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.filter(F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.expr("cast(array() as array<int>)")), stands)
 
 
+def _aligned(label: str, at: int, rare: str) -> Column:
+    """(label, score) of the place, among the hits of the key phrase's rare word, where the key phrase stands and most of the template's words agree; null if it stands nowhere."""
+    template, key = (x.split() for x in TEMPLATES[label])
+    before = next(k for k in range(len(template)) if template[k : k + len(key)] == key)
+    same = lambda i, w: F.coalesce(F.get("words", i) == w, F.lit(False))
+
+    def stands(x: Column) -> Column:
+        out = x["w"] == rare
+        for j, w in enumerate(key):
+            out &= same(x["i"] + (j - at), w)
+        return out
+
+    def agree(x: Column) -> Column:
+        return sum((same(x["i"] + (j - at - before), w).cast("int") for j, w in enumerate(template)), F.lit(0))
+
+    most = F.array_max(F.transform(F.filter("hits", stands), agree))
+    held = sum((F.array_contains("licence_words", w).cast("int") for w in template), F.lit(0))
+    return F.when(most.isNotNull(), F.struct(F.lit(label).alias("label"), (most / held).alias("score")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, the base places and labels, all labels, score (the best accepted template's share of agreeing words)."""
     text = F.lower(F.coalesce("text", F.lit("")))  # no letter but A-Z becomes one of a-z that the phrases have
@@ -75,32 +96,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     none = [F.lit(0).cast("long").alias("n_base"), *(F.lit(None).cast("long").alias(c) for c in ("first_word", "last_word")), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")]
     plain = read.where("words is null").select("doc_id", "n_words", *none)
-    signed = read.where("words is not null").withColumn("joined", F.array_join("words", " "))
-    signed = signed.withColumn("file", F.sha2("joined", 256))
+    signed = read.where("words is not null").withColumn("file", F.sha2(F.array_join("words", " "), 256))
     # Copies of a file are aligned once.
-    files = signed.select("file", "words", "joined", "licence_words").dropDuplicates(["file"])
-    weight = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, -rarity[w])))
-    rarest = F.slice(F.transform(F.array_sort(F.transform("licence_words", lambda w: F.struct(F.element_at(weight, w).alias("idf"), w.alias("w")))), lambda x: x["w"]), 1, LOOKED_UP)
-    looked = files.select("file", "joined", "words", rarest.alias("rarest"))
-    postings: dict[str, list[tuple[str, int]]] = {}
-    for label, (template, _) in TEMPLATES.items():
-        for at, w in enumerate(template.split()):
-            postings.setdefault(w, []).append((label, at))
-    posted = F.create_map(*(x for w, own in sorted(postings.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(n).alias("label"), F.lit(a).alias("at")) for n, a in own)))))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rarest", x["w"]))
-    votes = looked.select("file", F.explode(hits).alias("hit")).select("file", "hit.i", F.explode(F.element_at(posted, F.col("hit.w"))).alias("p"))
-    placed = votes.groupBy("file", F.col("p.label").alias("label"), (F.col("i") - F.col("p.at")).alias("begin")).agg(F.count("*").alias("agree"))
-    best = placed.groupBy("file", "label").agg(F.max("agree").alias("agree"))
-    size = F.create_map(*(x for label, (t, _) in TEMPLATES.items() for x in (F.lit(label), F.array(*map(F.lit, t.split())))))
-    key = F.create_map(*(F.lit(x) for label, (_, k) in TEMPLATES.items() for x in (label, f" {k} ")))
-    # A template can't have more agreeing words than it has places with looked-up words.
-    judged = best.join(looked.select("file", "joined", "rarest"), "file").select(
-        "file",
-        "label",
-        (F.col("agree") / F.greatest(F.lit(1), F.size(F.filter(F.element_at(size, F.col("label")), lambda w: F.array_contains("rarest", w))))).alias("score"),
-        F.contains(F.concat(F.lit(" "), "joined", F.lit(" ")), F.element_at(key, F.col("label"))).alias("has_key"),
-    )
-    accepted = judged.where((F.col("score") >= AGREE) & F.col("has_key")).groupBy("file").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    files = signed.select("file", "words", "licence_words").dropDuplicates(["file"])
+    # The rarest word of each key phrase, and its place in it.
+    rarest = {label: max(enumerate(k.split()), key=lambda x: (rarity[x[1]], -x[0])) for label, (_, k) in TEMPLATES.items()}
+    looked = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    hits = F.filter(looked, lambda x: x["w"].isin(sorted({w for _, w in rarest.values()})))
+    placed = files.select("file", "words", "licence_words", hits.alias("hits"))
+    judged = placed.select("file", F.explode(F.array_compact(F.array(*(_aligned(label, *rarest[label]) for label in TEMPLATES)))).alias("t")).select("file", "t.label", "t.score")
+    accepted = judged.where(F.col("score") >= AGREE).groupBy("file").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
 
     based = signed.select("doc_id", "n_words", "file", F.array(*(_starts(F.col("words"), p) for p in BASE)).alias("starts"))
     names = F.array(*(F.when(F.size(F.col("starts")[k]) > 0, F.lit(label)) for k, label in enumerate(BASE.values())))

@@ -295,6 +295,16 @@ def test_licenses(docs, empty, odd):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == 6
 
 
+def test_licenses_of_a_bundle(spark):
+    other = "some words stand between notices "
+    bundle = other.join(t + ". " for t, _ in licenses.TEMPLATES.values())
+    some = other.join(licenses.TEMPLATES[k][0] + ". " for k in ("bsd", "unlicense", "gpl-3", "mit-notice", "apache-2"))
+    rows = got(licenses.scan(spark.createDataFrame([(1, bundle), (2, some), (3, other), (4, "version 3 of a gnu general work, by public cc")], "doc_id long, text string")))
+    found = lambda k: set(rows[k].labels.split(",")) - set(licenses.BASE.values())
+    assert found(1) == set(licenses.TEMPLATES) and found(2) == {"bsd", "unlicense", "gpl-3", "mit-notice", "apache-2"}
+    assert rows[3].labels == rows[4].labels == "" and rows[1].score == 1.0
+
+
 def test_warc(spark):
     pages = [(1, "http://b.example.com/x?q=1", "<p>é</p>"), (2, "http://a.example.org", None), (3, None, ""), (4, "https://B.example.com:80/x", "<p>é</p>"), (9, "http://b.example.com/x?q=1", "<p>é</p>"), (None, "x", "<p>é</p>"), (7, "http://c/\r\n", "alone\r\n\r\nhere"), (8, "http://c/2", "y" * 300000), (8, "http://c/2", "y" * 300000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1))
