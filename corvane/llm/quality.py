@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SPACE, SYMBOL = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
+#: Letters with their marks, digits and the joiners within words, and capitals, of all scripts.
+ALNUM, UPPER = r"[\p{L}\p{M}\p{N}\x{200C}\x{200D}]", r"\p{Lu}"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 GOOD = 0.5  # the posterior from which a document is kept
 VOTES = (1, 0, -1)
@@ -63,8 +65,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.regexp_count("text", F.lit(r"[A-ZÀ-Þ]")).cast("long").alias("n_upper"),
-        F.regexp_count("text", F.lit(r"[0-9A-Za-zÀ-ɏ]")).cast("long").alias("n_alnum"),
+        F.regexp_count("text", F.lit(UPPER)).cast("long").alias("n_upper"),
+        F.regexp_count("text", F.lit(ALNUM)).cast("long").alias("n_alnum"),
     )
     return split.select(
         "doc_id",

@@ -85,6 +85,18 @@ def test_quality(docs, empty, odd):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in rows.items() if r.kept}
 
 
+def test_quality_of_other_scripts(spark):
+    r = random.Random(6)
+    say = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(150)) + "."
+    latin, junk = [say("abcdefghijklmnopqrst") for _ in range(200)], ["#$ %& | 12 " * 60 for _ in range(40)]
+    others = {"Cyrillic": say("абвгдежзиклмнопрст"), "Greek": say("αβγδεζηθικλμνοπρστ"), "Arabic": say("ابتثجحخدذرزسشصضطظع"), "Hindi": " ".join(["नमस्ते", "दुनिया", "हिन्दी", "किताब"][r.randrange(4)] + str(k) for k in range(150))}
+    rows = [(k, t) for k, t in enumerate(latin + junk)] + [(-1 - k, t) for k, t in enumerate(others.values())]
+    kept = {x.doc_id for x in quality.score(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()}
+    assert kept == {*range(200), *range(-len(others), 0)}
+    left = quality.filter(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in left.collect()} == kept
+
+
 def test_expectation_maximisation_finds_accuracies():
     r, counts = random.Random(2), Counter()
     for _ in range(4000):
