@@ -250,6 +250,17 @@ def test_language_models(spark, docs, empty, odd):
     assert language_models.score(empty, targets).count() == 0 and language_models.score(odd, targets.where("false")).count() == 6
 
 
+def test_language_models_query_takes_all_labels(spark):
+    from corvane.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    want = got(language_models.score(docs, labels.where("quality = 1 and toxic = 0")))
+    rows = got(queries.op6_lm_scoring(spark, folder))
+    assert labels.where("quality = 1 and toxic = 0 and doc_id % 5 = 0").count() > 0 and rows.keys() == want.keys()
+    assert all((r.target_loss or 0.0) == pytest.approx(want[k].target_loss or 0.0, abs=1e-9) for k, r in rows.items())
+
+
 def test_decontaminate(spark, docs, empty, odd):
     words = TEXTS[47].split()
     cut = " ".join(words[100:160]), " ".join(words[200:230] + [f"x{k}" for k in range(30)]), " ".join(words[300:350] + ["x"])
