@@ -1,9 +1,9 @@
 """Operator 9 [native]: licence scans with a positional rare-token index.
 
 The postings hold the highest-IDF word of each template's key phrase. Every place of these words in a file gives a place
-where a template would begin; a template whose mandatory key phrase stands there is a candidate, so none that the file
-holds is missed, and it is accepted if its words agree. Beside it the base phrases are found wherever their words stand
-consecutively.
+where a template would begin; a template whose mandatory key phrase stands there is accepted, so none that the file
+holds is missed and no words elsewhere count against it. Its score is the share of its words that stand in their places.
+Beside it the base phrases are found wherever their words stand consecutively.
 
 Document frequencies of the licence words are counted over all documents. They are as many as the templates have words,
 a fixed number, so the driver takes them as a small dictionary. Only files with a word that some phrase or key phrase
@@ -37,8 +37,6 @@ TEMPLATES = {
     "mpl": ("subject to the terms of the mozilla public license", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 }
-#: The share of a template's words in the file that must agree.
-AGREE = 0.6
 VOCABULARY = sorted({w for t, _ in TEMPLATES.values() for w in t.split()})
 #: A labelled file has one of these words: the longest of each base phrase and key phrase.
 SIGNS = sorted({max(p.split(), key=len) for p in (*BASE, *(k for _, k in TEMPLATES.values()))} - {"by"} | {"cc"})
@@ -58,7 +56,7 @@ def _starts(words: Column, phrase: str) -> Column:
 
 
 def _aligned(label: str, at: int, rare: str) -> Column:
-    """(label, score) of the place, among the hits of the key phrase's rare word, where the key phrase stands and most of the template's words agree; null if it stands nowhere."""
+    """(label, score) of the place, among the hits of the key phrase's rare word, where the key phrase stands and most of the template's words do; null if it stands nowhere."""
     template, key = (x.split() for x in TEMPLATES[label])
     before = next(k for k in range(len(template)) if template[k : k + len(key)] == key)
     same = lambda i, w: F.coalesce(F.get("words", i) == w, F.lit(False))
@@ -73,12 +71,11 @@ def _aligned(label: str, at: int, rare: str) -> Column:
         return sum((same(x["i"] + (j - at - before), w).cast("int") for j, w in enumerate(template)), F.lit(0))
 
     most = F.array_max(F.transform(F.filter("hits", stands), agree))
-    held = sum((F.array_contains("licence_words", w).cast("int") for w in template), F.lit(0))
-    return F.when(most.isNotNull(), F.struct(F.lit(label).alias("label"), (most / held).alias("score")))
+    return F.when(most.isNotNull(), F.struct(F.lit(label).alias("label"), (most / len(template)).alias("score")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_words, the base places and labels, all labels, score (the best accepted template's share of agreeing words)."""
+    """A row for each document: doc_id, n_words, the base places and labels, all labels, score (the best accepted template's share of words in their places)."""
     text = F.lower(F.coalesce("text", F.lit("")))  # no letter but A-Z becomes one of a-z that the phrases have
     words = docs.select("doc_id", F.filter(F.split(text, SEPARATORS), lambda w: w != "").alias("words"))
     # Texts are read and split once; the arrays stay only in files that have a sign.
@@ -98,14 +95,14 @@ def scan(docs: DataFrame) -> DataFrame:
     plain = read.where("words is null").select("doc_id", "n_words", *none)
     signed = read.where("words is not null").withColumn("file", F.sha2(F.array_join("words", " "), 256))
     # Copies of a file are aligned once.
-    files = signed.select("file", "words", "licence_words").dropDuplicates(["file"])
+    files = signed.select("file", "words").dropDuplicates(["file"])
     # The rarest word of each key phrase, and its place in it.
     rarest = {label: max(enumerate(k.split()), key=lambda x: (rarity[x[1]], -x[0])) for label, (_, k) in TEMPLATES.items()}
     looked = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     hits = F.filter(looked, lambda x: x["w"].isin(sorted({w for _, w in rarest.values()})))
-    placed = files.select("file", "words", "licence_words", hits.alias("hits"))
+    placed = files.select("file", "words", hits.alias("hits"))
     judged = placed.select("file", F.explode(F.array_compact(F.array(*(_aligned(label, *rarest[label]) for label in TEMPLATES)))).alias("t")).select("file", "t.label", "t.score")
-    accepted = judged.where(F.col("score") >= AGREE).groupBy("file").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    accepted = judged.groupBy("file").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
 
     based = signed.select("doc_id", "n_words", "file", F.array(*(_starts(F.col("words"), p) for p in BASE)).alias("starts"))
     names = F.array(*(F.when(F.size(F.col("starts")[k]) > 0, F.lit(label)) for k, label in enumerate(BASE.values())))

@@ -328,6 +328,12 @@ def test_licenses_of_a_bundle(spark):
     assert rows[3].labels == rows[4].labels == "" and rows[1].score == 1.0
 
 
+def test_licenses_with_words_elsewhere(spark):
+    key = "GNU General Public License version 3"
+    rows = got(licenses.scan(spark.createDataFrame([(1, key), (2, f"{key}. Whatever is licensed, this work comes under it.")], "doc_id long, text string")))
+    assert rows[1].labels == rows[2].labels == "gpl,gpl-3" and rows[1].score == rows[2].score == 0.5
+
+
 def test_warc(spark):
     pages = [(1, "http://b.example.com/x?q=1", "<p>é</p>"), (2, "http://a.example.org", None), (3, None, ""), (4, "https://B.example.com:80/x", "<p>é</p>"), (9, "http://b.example.com/x?q=1", "<p>é</p>"), (None, "x", "<p>é</p>"), (7, "http://c/\r\n", "alone\r\n\r\nhere"), (8, "http://c/2", "y" * 300000), (8, "http://c/2", "y" * 300000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1))
