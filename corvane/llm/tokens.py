@@ -2,7 +2,8 @@
 
 The pre-tokenizers of these vocabularies cut a text into pieces whose ids don't depend on each other. Texts of Latin-1
 characters are cut here for many texts at once with numpy, by the classes of characters; a piece is encoded by the library's
-model when it is first met and known by a 64-bit hash afterwards. Other texts go to the library whole."""
+model when it is first met and known by a 64-bit hash afterwards. Other texts, and those that hold the string of an added
+token such as <|endoftext|>, go to the library whole."""
 
 from __future__ import annotations
 
@@ -86,10 +87,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.lowers = self.tokenizer.normalizer is not None
+        #: The strings that the library makes one id of, wherever they stand in a text.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -162,6 +164,9 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if any(x in text for x in self.added):
+                out[i] = self._whole([text])[0]
+                continue
             try:
                 some.append((text.lower() if self.lowers else text).encode("latin-1"))
             except UnicodeEncodeError:

@@ -204,6 +204,16 @@ def test_encoder_is_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(fuzz)] == want
 
 
+def test_encoder_is_the_library_as_loaded():
+    from tokenizers import Tokenizer
+
+    told = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y <|endoftext|>", "<|ENDOFTEXT|> z", "中<|endoftext|>", "plain"]
+    for name, special in (("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)):
+        library = Tokenizer.from_file(vocabulary(name))
+        want = [library.encode(t, add_special_tokens=False).ids for t in told]
+        assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(vocabulary(name)).encode(told)] == want and want[0] == [special]
+
+
 def test_token_files(spark, docs, empty, odd):
     path = vocabulary("byte_bpe_50k.json")
     folder = token_files.folder(spark)
