@@ -9,8 +9,8 @@ least of any that many, so no such document is missed. What is found is verified
 The signatures and shingles of items reach the tasks as a broadcast only if the items' text is under BROADCAST_BYTES;
 beyond it, the hashes of the documents' shingles meet them in a join instead.
 
-Nulls: rows with a null id or text, and items of under five words, have no shingles and match nothing. Rows of equal ids
-are one item or document each, and give equal rows. Empty tables give no rows. Other columns are not read by search();
+Nulls: rows with a null id or text, and items of under five words, have no shingles and match nothing. Item rows
+of equal ids are one item of all their shingles; document rows of equal ids are a document each, and give a row each. Empty tables give no rows. Other columns are not read by search();
 remove() keeps them."""
 
 from __future__ import annotations
@@ -44,21 +44,26 @@ def needed(n: int, threshold: float = SIMILAR) -> int:
 
 
 def item_shingles(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(item_id, shingle, n, signed): the distinct shingles of each item, as hashes; signed are those in its signature."""
+    """(item_id, shingle, n, signed): the distinct shingles of each item, as hashes; signed are those in its signature. Equal ids of unlike texts are one item of all their shingles."""
     schema = pa.schema([("item_id", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64()), ("signed", pa.bool_())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo, hi, data, offs in chunks(batch.column(1)):
+            ids, texts = batch.column(0).to_numpy(), batch.column(1)
+            item_of = np.repeat(np.arange(len(ids)), texts.value_lengths().to_numpy())
+            pairs = [np.zeros((2, 0), np.uint64)]
+            for lo, _, data, offs in chunks(texts.flatten()):
                 found, row = grams(*words(data, offs), SHINGLE_WORDS)
-                for i in range(hi - lo):
-                    own = np.unique(found[row == i])
-                    if len(own) and ids[lo + i] is not None:
-                        signed = np.arange(len(own)) < signature_size(len(own), threshold)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[lo + i])), pa.array(own.view(np.int64)), pa.array(np.full(len(own), len(own))), pa.array(signed)], schema=schema)
+                pairs.append(np.stack([item_of[lo + row].astype(np.uint64), found]))
+            item, shingle = np.unique(np.concatenate(pairs, axis=1), axis=1)  # in order of item, then shingle
+            item = item.astype(np.int64)
+            sizes = np.bincount(item, minlength=len(ids))
+            rank = np.arange(len(item)) - (np.cumsum(sizes) - sizes)[item]
+            signed = rank < np.array([signature_size(int(n), threshold) for n in sizes], np.int64)[item]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(shingle.view(np.int64)), pa.array(sizes[item]), pa.array(signed)], schema=schema)
 
-    return items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct().mapInArrow(hashed, "item_id long, shingle long, n long, signed boolean")
+    known = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    return known.groupBy("item_id").agg(F.collect_set("text").alias("texts")).mapInArrow(hashed, "item_id long, shingle long, n long, signed boolean")
 
 
 class Index:
@@ -95,14 +100,8 @@ PAIRS = "doc_id long, item_id long, n_shingles long, n_common long"
 def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     rows = item_shingles(items, threshold).toPandas()  # under BROADCAST_BYTES of text
     ids, item = np.unique(rows["item_id"].to_numpy(), return_inverse=True)
-    # Equal ids of unlike texts are one item of all their shingles.
-    keyed = np.unique(np.stack([rows["shingle"].to_numpy(np.int64), item.astype(np.int64)]), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
-    sizes = np.bincount(keyed[1], minlength=len(ids))
-    signed = np.zeros(keyed.shape[1], bool)
-    order = np.lexsort((keyed[0].view(np.uint64), keyed[1]))
-    rank = np.arange(len(order)) - np.concatenate(([0], np.cumsum(sizes)))[keyed[1][order]]
-    signed[order] = rank < np.array([signature_size(int(n), threshold) for n in sizes], np.int64)[keyed[1][order]]
-    packed = docs.sparkSession.sparkContext.broadcast((ids, sizes, keyed[0].view(np.uint64), keyed[1], signed))
+    sizes, signed = np.bincount(item, minlength=len(ids)), rows["signed"].to_numpy(bool)
+    packed = docs.sparkSession.sparkContext.broadcast((ids, sizes, rows["shingle"].to_numpy(np.int64).view(np.uint64), item, signed))
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_shingles", "n_common")])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +125,27 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFr
 
 def _by_join(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     shingles = cut(item_shingles(items, threshold))
-    schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("shingle", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _, data, offs in chunks(batch.column(1)):
+            ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, data, offs in chunks(batch.column(2)):
                 found, row = grams(*words(data, offs), SHINGLE_WORDS)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(found.view(np.int64))], schema=schema)
-
-    met = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(hashed, "doc_id long, shingle long").distinct().join(shingles, "shingle")
-    counted = met.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_shingles"), F.count("*").alias("n_common"), F.max("signed").alias("candidate"))
+                    order = np.lexsort((found, row))
+                    found, row = found[order], row[order]
+                    first = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))
+                    found, row = found[first], row[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(own[lo + row]), pa.array(found.view(np.int64))], schema=schema)
+
+    # A row gives each of its shingles once, so their count is that of equal rows; own tells unlike texts of a doc_id apart.
+    told = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text").where("doc_id is not null").mapInArrow(hashed, "doc_id long, own long, shingle long")
+    met = told.groupBy("doc_id", "own", "shingle").agg(F.count("*").alias("copies")).join(shingles, "shingle")
+    counted = met.groupBy("doc_id", "own", "item_id").agg(F.max("n").alias("n_shingles"), F.count("*").alias("n_common"), F.max("signed").alias("candidate"), F.max("copies").alias("copies"))
     share = Fraction(str(threshold))
-    return counted.where(F.col("candidate") & (F.col("n_common") * share.denominator >= F.col("n_shingles") * share.numerator)).select("doc_id", "item_id", "n_shingles", "n_common")
+    found = counted.where(F.col("candidate") & (F.col("n_common") * share.denominator >= F.col("n_shingles") * share.numerator))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "item_id", "n_shingles", "n_common")
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -288,6 +288,16 @@ def test_decontaminate(spark, docs, empty, odd):
     assert all(decontaminate.signature_size(n) > n - decontaminate.needed(n) for n in range(1, 3000))
 
 
+def test_decontaminate_repeated_ids(spark):
+    w = [f"w{k}" for k in range(60)]
+    say = lambda a, b: " ".join(w[a:b])
+    items = spark.createDataFrame([(1, say(0, 30)), (2, say(0, 20)), (2, say(10, 40)), (2, say(10, 40)), (3, say(40, 60))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, say(0, 15)), (1, say(15, 30)), (2, say(0, 40)), (2, say(0, 40)), (3, say(40, 60)), (3, "other words than these stand here"), (4, say(0, 20))], "doc_id long, text string")
+    want = sorted([(2, 1, 26, 26)] * 2 + [(2, 2, 36, 36)] * 2 + [(3, 3, 16, 16)])
+    for limit in (decontaminate.BROADCAST_BYTES, -1):
+        assert sorted(tuple(r)[:4] for r in decontaminate.search(docs, items, broadcast_bytes=limit).collect()) == want, limit
+
+
 @pytest.mark.parametrize("how", [{}, {"batch_bytes": 4000, "bucket_bytes": 4000, "hot": 2}])
 def test_substrings(docs, empty, odd, how):
     raw, first = {k: (t or "").encode() for k, t in TEXTS.items()}, {}
