@@ -93,6 +93,8 @@ def test_quality_of_other_scripts(spark):
     rows = [(k, t) for k, t in enumerate(latin + junk)] + [(-1 - k, t) for k, t in enumerate(others.values())]
     kept = {x.doc_id for x in quality.score(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()}
     assert kept == {*range(200), *range(-len(others), 0)}
+    votes = quality.statistics(spark.createDataFrame(rows, "doc_id long, text string")).withColumns(quality.rules())
+    assert {x.letters for x in votes.where("doc_id < 0").collect()} == {1}
     left = quality.filter(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {x.doc_id for x in left.collect()} == kept
 
