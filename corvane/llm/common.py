@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -212,3 +213,45 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def blocks_for(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
+
+
+#: To how many places one task writes rows of its own. More places than these are reached in two hops.
+FAN = 4096
+_mail = pa.schema([("to", pa.int32()), ("raw", pa.binary())])
+
+
+def posted(to: list[int], raws: list[bytes], places: int, fan: int = FAN) -> pa.RecordBatch:
+    """Rows (to, raw) for places in ascending order. With more places than fan, a row holds what goes to a range of them, so a task's rows number fan at most and not the places, which grow with the input."""
+    if places > fan:
+        width, held = math.ceil(places / fan), {}
+        for t, raw in zip(to, raws, strict=True):
+            held.setdefault(t // width, []).append(struct.pack("<II", t, len(raw)) + raw)
+        to, raws = list(held), [b"".join(x) for x in held.values()]
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(raws, pa.binary())], schema=_mail)
+
+
+def delivered(mail: DataFrame, places: int, fan: int = FAN, at_once: int = 32 << 20) -> DataFrame:
+    """posted() rows as (to, raw) of single places; raw may be several that were posted, one after the other."""
+    if places <= fan:
+        return mail
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        last, size = None, 0
+        for batch in batches:
+            for to, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (to != last or size >= at_once):
+                    yield posted(list(held), [b"".join(x) for x in held.values()], 1, 1)
+                    held, size = {}, 0
+                last, size, at = to, size + len(raw), 0
+                while at < len(raw):
+                    place, n = struct.unpack_from("<II", raw, at)
+                    held.setdefault(place, []).append(raw[at + 8 : at + 8 + n])
+                    at += 8 + n
+        if held:
+            yield posted(list(held), [b"".join(x) for x in held.values()], 1, 1)
+
+    return mail.repartition(parts(mail.sparkSession), "to").sortWithinPartitions("to").mapInArrow(dealt, MAIL)
+
+
+MAIL = "to int, raw binary"

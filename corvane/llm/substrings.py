@@ -5,11 +5,13 @@ suffixes of all documents in one place does not scale, so suffixes are brought t
 smallest of the hashes of a 50-byte window's 24-byte strings depends on the window alone. Consecutive windows of one
 smallest hash make a run, about one for 14 bytes.
 
-1. Runs meet by their hash, packed by batch and bucket. A hash of one document concerns nobody. If all runs of a hash have
-   the same bytes, the smallest doc_id decides for all their windows. Else the hash is mixed.
-2. Batches send the distinct runs of their mixed hashes, with bytes, to the hash's group, where the suffixes at all windows
-   are sorted (suffixes.py) and each group of equal windows gets its smallest doc_id. A hash of very many distinct runs
-   is hot: its windows travel by their own hashes instead, one for each batch, so equal ones are merged before they meet.
+1. Runs meet by their hash, packed by batch and bucket: 6 bytes and the doc_id each. A hash of one document concerns
+   nobody. For any other, all that have it are told where its suffixes meet: by its smallest document, if few documents
+   have it and their runs look alike (consecutive runs then travel as one segment); else by the hash itself; or, if very
+   many unlike runs have it, each window by its own hash.
+2. Batches send the distinct segments, runs and windows, with bytes, to where they meet. The suffixes at all windows are
+   sorted there (suffixes.py), and each group of equal windows gets its smallest doc_id. Hashes only bring candidates
+   together; what is equal is told by the order of the bytes.
 3. The smallest doc_ids of the windows go back to the batches, which mark and cut.
 
 Documents are dealt to batches by a hash of doc_id. Texts are shuffled once, for steps 2 and 3.
@@ -21,6 +23,7 @@ are not read by digests() and are kept by cut_out()."""
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import U, blocks_for, chunks, cut, get40, mix, parts, powers, prefix_hash, put40, spans, text_bytes
+from .common import BYTE_INV, FAN, MAIL, U, blocks_for, chunks, cut, delivered, mix, parts, posted, powers, prefix_hash, spans, text_bytes
 
 WINDOW, GRAM, RUN = 50, 24, 64
 #: Bytes of text in a batch and in a bucket; distinct runs of a hash that make it hot; bytes that are sorted at once.
 BATCH_BYTES, BUCKET_BYTES, HOT, SORT_BYTES = 8 << 20, 16 << 20, 4096, 1 << 20
-LOW = U((1 << 40) - 1)
-MIXED, HOT_MARK = -(1 << 63), -(1 << 63) + 1  # in place of a doc_id
+#: Documents that may meet by the smallest of them; bytes of that document that are one meeting place; windows of a segment.
+FEW, PLACE, SEGMENT = 64, 1 << 16, 1 << 16
+LOW = U((1 << 32) - 1)
+BY_HASH, BY_WINDOW = -(1 << 63), -(1 << 63) + 1  # in place of a doc_id
 
 
 def sliding(x: np.ndarray, width: int, better: Callable) -> np.ndarray:
@@ -53,8 +58,6 @@ def sliding(x: np.ndarray, width: int, better: Callable) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     prefix = prefix_hash(data)
     n = len(data) - GRAM + 1
-    from .common import BYTE_INV
-
     return mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(BYTE_INV, n))
 
 
@@ -83,56 +86,55 @@ def window_runs(data: np.ndarray, offs: np.ndarray, use: np.ndarray) -> tuple[np
 
 
 def batch_of(doc: Column, batches: int) -> Column:
-    return F.pmod(F.crc32(F.coalesce(doc.cast("string"), F.lit("null")).cast("binary")), F.lit(batches)).cast("int")
+    """Rows of no doc_id are spread over all batches."""
+    key = F.coalesce(doc.cast("string"), F.concat(F.lit("null"), F.monotonically_increasing_id().cast("string")))
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(batches)).cast("int")
 
 
-def _put(docs: np.ndarray) -> bytes:
-    """doc_ids as differences from the smallest, in as many bytes as the largest needs."""
-    base = int(docs.min())
-    left = docs.astype(np.uint64) - U(base & (2**64 - 1))
-    width = max(1, (int(left.max()).bit_length() + 7) // 8)
+def _put(values: np.ndarray) -> bytes:
+    """Numbers as differences from the smallest, in as many bytes as the largest needs, none if they are equal."""
+    base = int(values.min())
+    left = values.astype(np.uint64) - U(base & (2**64 - 1))
+    width = (int(left.max()).bit_length() + 7) // 8
     return base.to_bytes(8, "little", signed=True) + bytes([width]) + b"".join(((left >> U(8 * k)) & U(255)).astype(np.uint8).tobytes() for k in range(width))
 
 
-def _get(raw: bytes, at: int, n: int) -> np.ndarray:
+def _get(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     base, width = int.from_bytes(raw[at : at + 8], "little", signed=True), raw[at + 8]
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out |= np.frombuffer(raw, np.uint8, n, at + 9 + k * n).astype(np.uint64) << U(8 * k)
-    return (out + U(base & (2**64 - 1))).view(np.int64)
-
+    return (out + U(base & (2**64 - 1))).view(np.int64), at + 9 + width * n
 
-_packed = pa.schema([("bucket", pa.int32()), ("raw", pa.binary())])
 
-
-def _send_runs(buckets: int) -> Callable:
-    """Step 1, of scans: a row for each bucket, with the runs' hashes, content hashes and doc_ids."""
+def _send_runs(buckets: int, fan: int) -> Callable:
+    """Step 1, of scans: for each bucket the runs' hashes, a few bits of their content, doc_ids and places in the documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
             known = np.asarray(batch.column(0).is_valid())
-            for lo, hi, data, offs in chunks(batch.column(1), 8 << 20):
-                keys, contents, docs = [], [], []
+            for lo, _, data, offs in chunks(batch.column(1), 8 << 20):
+                found: list[tuple] = []
                 # The hashes need several values of eight bytes for each byte of text, so these are of smaller pieces.
                 for a, b, some, own in _pieces(data, offs):
                     row, start, count, hashed = window_runs(some, own, known[lo + a : lo + b])
-                    keys.append(hashed)
-                    contents.append(spans(prefix_hash(some), start, start + count + WINDOW - 1) if len(start) else hashed)
-                    docs.append(ids[lo + a + row] if len(row) else row)
-                key, content, doc = map(np.concatenate, (keys, contents, docs))
-                if not len(key):
+                    if len(row):
+                        content = spans(prefix_hash(some), start, start + count + WINDOW - 1)
+                        found.append((hashed, content.astype(np.uint16), ids[lo + a + row], (start - own[row]) // PLACE))
+                if not found:
                     continue
-                bucket = (key >> U(40)) % U(buckets)
-                order = np.lexsort((doc, content & LOW, key & LOW, bucket))
-                key, content, doc, bucket = key[order] & LOW, content[order] & LOW, doc[order], bucket[order]
+                hashed, content, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                bucket, key = (hashed >> U(32)) % U(buckets), (hashed & LOW).astype(np.uint32)
+                order = np.lexsort((place, doc, content, key, bucket))
+                key, content, doc, place, bucket = key[order], content[order], doc[order], place[order], bucket[order]
                 # A document's equal runs count once.
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
-                key, content, doc, bucket = key[new], content[new], doc[new], bucket[new]
+                key, content, doc, place, bucket = key[new], content[new], doc[new], place[new], bucket[new]
                 begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                raws = [len(key[x:y]).to_bytes(4, "little") + put40(key[x:y]) + put40(content[x:y]) + _put(doc[x:y]) for x, y in zip(begin, np.append(begin[1:], len(key)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(raws, pa.binary())], schema=_packed)
+                raws = [struct.pack("<I", y - x) + key[x:y].tobytes() + content[x:y].tobytes() + _put(doc[x:y]) + _put(place[x:y]) for x, y in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True)]
+                yield posted(bucket[begin].tolist(), raws, buckets, fan)
 
     return send
 
@@ -145,75 +147,112 @@ def _pieces(data: np.ndarray, offs: np.ndarray, limit: int = 1 << 20) -> Iterato
         lo = hi
 
 
-_answers = pa.schema([("batch", pa.int32()), ("route", pa.int64()), ("content", pa.int64()), ("raw", pa.binary())])
-ANSWERS = "batch int, route long, content long, raw binary"
-
-
-def _meet(batches: int, hot: int) -> Callable:
-    """Step 1, of a bucket: for each batch, the hashes that concern it, with the smallest doc_id or a mark."""
+def _meet(batches: int, few: int, hot: int, fan: int) -> Callable:
+    """Step 1, of a bucket: for each batch, the hashes that concern it, and where each meets: by a doc_id and a place there, or by a mark."""
 
     def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        keys, contents, docs = [], [], []
+        bucket = table.column("to")[0].as_py()
+        found: list[tuple] = []
         for raw in table.column("raw").to_pylist():
-            n = int.from_bytes(raw[:4], "little")
-            keys.append(get40(raw, 4, n))
-            contents.append(get40(raw, 4 + 5 * n, n))
-            docs.append(_get(raw, 4 + 10 * n, n))
-        key, content, doc = map(np.concatenate, (keys, contents, docs))
-        del keys, contents, docs
-        order = np.lexsort((content, key))
-        key, content, doc = key[order], content[order], doc[order]
+            at = 0
+            while at < len(raw):
+                (n,) = struct.unpack_from("<I", raw, at)
+                key, content = np.frombuffer(raw, np.uint32, n, at + 4), np.frombuffer(raw, np.uint16, n, at + 4 + 4 * n)
+                doc, at = _get(raw, at + 4 + 6 * n, n)
+                place, at = _get(raw, at, n)
+                found.append((key, content, doc, place))
+        key, content, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        order = np.lexsort((place, doc, key))
+        key, content, doc, place = key[order], content[order], doc[order], place[order]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
-        least, most = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
-        fresh = np.ones(len(key), np.int64)
-        fresh[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        kinds = np.add.reduceat(fresh, begin)
-        answer = np.where(kinds == 1, least, np.where(kinds > hot, HOT_MARK, MIXED))
-        concerned = np.repeat(least != most, size)
-        own, owner = np.repeat(answer, size)[concerned], doc[concerned]
-        key = key[concerned]
-        told = (own == MIXED) | (own == HOT_MARK) | (owner > own)
-        key, own, owner = key[told], own[told], owner[told]
+        shared = doc[begin] != doc[np.append(begin[1:], len(key)) - 1]
+        alike = np.logical_and.reduceat(content == np.repeat(content[begin], size), begin)
+        own = np.where(alike & (size <= few), doc[begin], BY_HASH)
+        for k in np.flatnonzero(shared & ~alike & (size > hot)).tolist():
+            if len(np.unique(content[begin[k] : begin[k] + size[k]])) > hot:
+                own[k] = BY_WINDOW
+        where = np.where(own == doc[begin], place[begin], 0)
+        told = np.repeat(shared, size)
+        key, own, where, owner = key[told], np.repeat(own, size)[told], np.repeat(where, size)[told], doc[told]
+        if not len(key):
+            return pa.Table.from_batches([posted([], [], batches, fan)])
         unique, inverse = np.unique(owner, return_inverse=True)
-        to = np.array([zlib.crc32(b"%d" % d) % batches for d in unique.tolist()], np.int32)[inverse] if len(unique) else np.zeros(0, np.int32)
+        to = np.array([zlib.crc32(b"%d" % d) % batches for d in unique.tolist()], np.int32)[inverse]
         order = np.lexsort((key, to))
-        key, own, to = key[order], own[order], to[order]
+        key, own, where, to = key[order], own[order], where[order], to[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (to[1:] != to[:-1])
-        key, own, to = key[new], own[new], to[new]
-        begin = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
-        raws = [len(key[x:y]).to_bytes(4, "little") + put40(key[x:y]) + zlib.compress(own[x:y].tobytes(), 1) for x, y in zip(begin, np.append(begin[1:], len(to)), strict=True)] if len(to) else []
-        return pa.Table.from_arrays([pa.array(to[begin]), pa.array(np.full(len(raws), bucket)), pa.array([None] * len(raws), pa.int64()), pa.array(raws, pa.binary())], schema=_answers)
+        key, own, where, to = key[new], own[new], where[new], to[new]
+        begin = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        raws = []
+        for x, y in zip(begin.tolist(), np.append(begin[1:], len(to)).tolist(), strict=True):
+            packed = zlib.compress(own[x:y].tobytes() + where[x:y].astype(np.uint32).tobytes(), 1)
+            raws.append(struct.pack("<III", bucket, y - x, len(packed)) + key[x:y].tobytes() + packed)
+        return pa.Table.from_batches([posted(to[begin].tolist(), raws, batches, fan)])
 
     return meet
 
 
+_answers = pa.schema([("to", pa.int32()), ("raw", pa.binary()), ("route", pa.int64()), ("content", pa.int64())])
+ANSWERS = "to int, raw binary, route long, content long"
+
+
 class Told:
-    """What a batch has been told: by hash, and by run or window."""
+    """What a batch has been told: where hashes meet, and the smallest doc_ids of the windows of what it sent there."""
 
     def __init__(self, answers: pa.Table, buckets: int):
-        keys, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        self.windows: dict[tuple[int, int], np.ndarray] = {}
-        for route, content, raw in zip(*(answers.column(c).to_pylist() for c in ("route", "content", "raw")), strict=True):
-            if content is None:
-                n = int.from_bytes(raw[:4], "little")
-                keys.append(get40(raw, 4, n) | U(route) << U(40))
-                marks.append(np.frombuffer(zlib.decompress(raw[4 + 5 * n :]), np.int64))
-            else:
-                self.windows[route, content] = np.frombuffer(raw, np.int64)
-        key, mark = np.concatenate(keys), np.concatenate(marks)
+        keys, marks, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.windows: dict[tuple[int, int], bytes] = {}
+        sent = "route" in answers.column_names
+        rows = zip(*(answers.column(c).to_pylist() for c in (("raw", "route", "content") if sent else ("raw",))), strict=True)
+        for raw, *where in rows:
+            if sent and where[0] is not None:
+                self.windows[where[0], where[1]] = raw
+                continue
+            at = 0
+            while at < len(raw):
+                bucket, n, size = struct.unpack_from("<III", raw, at)
+                keys.append(np.frombuffer(raw, np.uint32, n, at + 12).astype(np.uint64) | U(bucket << 32))
+                plain = zlib.decompress(raw[at + 12 + 4 * n : at + 12 + 4 * n + size])
+                marks.append(np.frombuffer(plain, np.int64, n))
+                places.append(np.frombuffer(plain, np.uint32, n, 8 * n).astype(np.int64))
+                at += 12 + 4 * n + size
+        key, mark, place = np.concatenate(keys), np.concatenate(marks), np.concatenate(places)
         order = np.argsort(key)
-        self.key, self.mark, self.buckets = key[order], mark[order], buckets
-
-    def look(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether anything is told, the doc_id or mark, the key) of each run's hash."""
-        key = (hashed >> U(40)) % U(self.buckets) << U(40) | hashed & LOW
-        if not len(self.key):
-            return np.zeros(len(key), bool), np.zeros(len(key), np.int64), key
+        self.key, self.mark, self.place, self.buckets = key[order], mark[order], place[order], buckets
+
+    def sent(self, data: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start, windows, route, content) of the segments, runs and windows that meet others: the same whenever it is asked."""
+        none = tuple(np.zeros(0, np.int64) for _ in range(5))
+        if not len(self.key) or not len(row):
+            return none
+        key = (hashed >> U(32)) % U(self.buckets) << U(32) | hashed & LOW
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return self.key[at] == key, self.mark[at], key
+        some = np.flatnonzero(self.key[at] == key)
+        if not len(some):
+            return none
+        at, key, row, start, count = at[some], key[some], row[some], start[some], count[some]
+        mark, place = self.mark[at], self.place[at]
+        route = np.where(mark == BY_HASH, mix(key), mix(mark.view(np.uint64) * U(0x9E3779B97F4A7C15) + place.astype(np.uint64))).view(np.int64)
+        # Consecutive runs of one meeting place by document are one segment.
+        new = np.ones(len(some), bool)
+        new[1:] = (mark[1:] == BY_HASH) | (mark[1:] == BY_WINDOW) | (mark[1:] != mark[:-1]) | (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + count[:-1])
+        begin = np.flatnonzero(new)
+        within = start - start[np.repeat(begin, np.diff(np.append(begin, len(some))))]
+        new[1:] |= ~new[1:] & (within[1:] // SEGMENT != within[:-1] // SEGMENT)
+        begin = np.flatnonzero(new)
+        windows = np.add.reduceat(count, begin)
+        row, start, route, mark = row[begin], start[begin], route[begin], mark[begin]
+        single = mark == BY_WINDOW
+        if single.any():
+            times = np.where(single, windows, 1)
+            inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            row, start, route, single = np.repeat(row, times), np.repeat(start, times) + inner, np.repeat(route, times), np.repeat(single, times)
+            windows = np.where(single, 1, np.repeat(windows, times))
+        content = spans(prefix_hash(data), start, start + windows + WINDOW - 1).view(np.int64)
+        return row, start, windows, np.where(single, content, route), content
 
 
 _sent = pa.schema([("route", pa.int64()), ("content", pa.int64()), ("batch", pa.int32()), ("doc_id", pa.int64()), ("windows", pa.int32()), ("raw", pa.binary())])
@@ -229,37 +268,22 @@ def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield lo, hi, data, offs, ids[lo:hi], known[lo:hi]
 
 
-def _send_mixed(buckets: int) -> Callable:
-    """Step 2, of a batch: its distinct runs of mixed hashes and its distinct windows of hot ones."""
+def _send_bytes(buckets: int) -> Callable:
+    """Step 2, of a batch: what it sends to meet others, equal bytes once with their smallest doc_id."""
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         told = Told(answers, buckets)
         batch = docs.column("_corvane_batch")[0].as_py() if docs.num_rows else 0
         found: dict[tuple[int, int], list] = {}
         for _, _, data, offs, ids, known in _texts(docs):
-            row, start, count, hashed = window_runs(data, offs, known)
-            if not len(row):
-                continue
-            has, mark, key = told.look(hashed)
-            prefix, raw = prefix_hash(data), data.tobytes()
-            for which, width in ((MIXED, None), (HOT_MARK, 1)):
-                some = np.flatnonzero(has & (mark == which))
-                if not len(some):
-                    continue
-                at, windows, owner, route = start[some], count[some], ids[row[some]], key[some].view(np.int64)
-                if width:
-                    inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-                    at, owner = np.repeat(at, windows) + inner, np.repeat(owner, windows)
-                    windows = np.ones(len(at), np.int64)
-                content = spans(prefix, at, at + windows + WINDOW - 1).view(np.int64)
-                if width:
-                    route = content
-                for r, c, d, w, s in zip(route.tolist(), content.tolist(), owner.tolist(), windows.tolist(), at.tolist(), strict=True):
-                    have = found.get((r, c))
-                    if have is None:
-                        found[r, c] = [d, w, raw[s : s + w + WINDOW - 1]]
-                    elif d < have[0]:
-                        have[0] = d
+            row, start, windows, route, content = told.sent(data, *window_runs(data, offs, known))
+            raw = data.tobytes()
+            for r, c, d, w, s in zip(route.tolist(), content.tolist(), ids[row].tolist() if len(row) else [], windows.tolist(), start.tolist(), strict=True):
+                have = found.get((r, c))
+                if have is None:
+                    found[r, c] = [d, w, raw[s : s + w + WINDOW - 1]]
+                elif d < have[0]:
+                    have[0] = d
         rows = [(r, c, batch, d, w, x) for (r, c), (d, w, x) in found.items()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _sent, strict=True)], schema=_sent)
@@ -268,26 +292,29 @@ def _send_mixed(buckets: int) -> Callable:
 
 
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, of groups in order of route and content: the smallest doc_id of each window of each run, for each batch that has the run."""
-    runs: dict[tuple[int, int], list] = {}
-    askers: list[tuple[int, int, int]] = []
+    """Step 2, of meeting places in order: the smallest doc_id of each window, as stretches of equal ones, for each batch that sent it."""
+    strings: dict[tuple[int, bytes], list] = {}
+    askers: list[tuple[int, int, int, tuple[int, bytes]]] = []
     held, last = 0, None
 
     def done() -> pa.RecordBatch:
-        nonlocal held, runs, askers
-        own = list(runs.values())
-        count = np.array([w for _, w, _ in own])
-        begin = np.concatenate(([0], np.cumsum([len(x) for *_, x in own])[:-1]))
+        nonlocal held, strings, askers
+        count = np.array([w for _, w in strings.values()])
+        begin = np.concatenate(([0], np.cumsum([len(x) for _, x in strings])[:-1]))
         inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        order, group = suffixes.sort(b"".join(x for *_, x in own), np.repeat(begin, count) + inner, WINDOW)
-        doc = np.repeat(np.array([d for d, *_ in own]), count)[order]
+        routes = np.array([r for r, _ in strings])
+        order, group = suffixes.sort(b"".join(x for _, x in strings), np.repeat(begin, count) + inner, WINDOW, np.repeat(routes, count))
+        doc = np.repeat(np.array([d for d, _ in strings.values()]), count)[order]
         heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         least = np.empty(len(order), np.int64)
         least[order] = np.minimum.reduceat(doc, heads)[group]
-        ends = np.cumsum(count)
-        told = {key: least[e - w : e].tobytes() for key, e, w in zip(runs, ends.tolist(), count.tolist(), strict=True)}
-        out = pa.RecordBatch.from_arrays([pa.array([a[2] for a in askers], pa.int32()), pa.array([a[0] for a in askers], pa.int64()), pa.array([a[1] for a in askers], pa.int64()), pa.array([told[a[:2]] for a in askers], pa.binary())], schema=_answers)
-        held, runs, askers = 0, {}, []
+        new = inner == 0
+        new[1:] |= least[1:] != least[:-1]
+        at = np.flatnonzero(new)
+        ends, docs, lengths = np.searchsorted(at, np.cumsum(count)), least[at], np.diff(np.append(at, len(least))).astype(np.uint32)
+        told = {key: docs[a:b].tobytes() + lengths[a:b].tobytes() for key, a, b in zip(strings, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        out = pa.RecordBatch.from_arrays([pa.array([a[2] for a in askers], pa.int32()), pa.array([told[a[3]] for a in askers], pa.binary()), pa.array([a[0] for a in askers], pa.int64()), pa.array([a[1] for a in askers], pa.int64())], schema=_answers)
+        held, strings, askers = 0, {}, []
         return out
 
     for batch in batches:
@@ -295,14 +322,14 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if route != last and held >= SORT_BYTES:
                 yield done()
             last = route
-            have = runs.get((route, content))
+            have = strings.get((route, raw))
             if have is None:
-                runs[route, content] = [doc, windows, raw]
+                strings[route, raw] = [doc, windows]
                 held += len(raw)
             elif doc < have[0]:
                 have[0] = doc
-            askers.append((route, content, to))
-    if runs:
+            askers.append((route, content, to, (route, raw)))
+    if strings:
         yield done()
 
 
@@ -310,52 +337,38 @@ def marked(table: pa.Table, answers: pa.Table, buckets: int) -> Iterator[tuple[i
     """Step 3: (first row, bytes, offsets, which bytes go) of the texts, piece by piece."""
     told = Told(answers, buckets)
     for lo, _, data, offs, ids, known in _texts(table):
-        flags = np.zeros(len(data), np.int32)
-        row, start, count, hashed = window_runs(data, offs, known)
-        if len(row):
-            has, mark, key = told.look(hashed)
-            plain = has & (mark != MIXED) & (mark != HOT_MARK) & (ids[row] > mark)
-            change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, start[plain], 1)
-            np.add.at(change, start[plain] + count[plain], -1)
-            flags = np.cumsum(change[:-1])
-            prefix = prefix_hash(data)
-            for which in (MIXED, HOT_MARK):
-                some = np.flatnonzero(has & (mark == which))
-                if not len(some):
-                    continue
-                at, windows, owner, route = start[some], count[some], ids[row[some]], key[some].view(np.int64)
-                if which == HOT_MARK:
-                    inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-                    at, owner = np.repeat(at, windows) + inner, np.repeat(owner, windows)
-                    windows = np.ones(len(at), np.int64)
-                content = spans(prefix, at, at + windows + WINDOW - 1).view(np.int64)
-                if which == HOT_MARK:
-                    route = content
-                for r, c, d, w, s in zip(route.tolist(), content.tolist(), owner.tolist(), windows.tolist(), at.tolist(), strict=True):
-                    flags[s : s + w] = told.windows[r, c] < d
         change = np.zeros(len(data) + WINDOW, np.int32)
-        change[: len(data)] = flags
-        change[WINDOW:] -= flags
+        row, start, windows, route, content = told.sent(data, *window_runs(data, offs, known))
+        if len(row):
+            stretches = [told.windows[x] for x in zip(route.tolist(), content.tolist(), strict=True)]
+            number = np.array([len(x) // 12 for x in stretches])
+            least = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(stretches, number.tolist(), strict=True)])
+            length = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(stretches, number.tolist(), strict=True)]).astype(np.int64)
+            before = np.cumsum(length) - length
+            begin = np.cumsum(number) - number
+            at = np.repeat(start, number) + before - np.repeat(before[begin], number)
+            gone = np.repeat(ids[row], number) > least
+            np.add.at(change, at[gone], 1)
+            np.add.at(change, at[gone] + length[gone] + WINDOW - 1, -1)
         yield lo, data, offs, np.cumsum(change[: len(data)]) > 0
 
 
-def _run(docs: DataFrame, finish: Callable, schema, batch_bytes: int, bucket_bytes: int, hot: int) -> DataFrame:
+def _run(docs: DataFrame, finish: Callable, schema, batch_bytes: int, bucket_bytes: int, hot: int, few: int, fan: int) -> DataFrame:
     spark = docs.sparkSession
     size = text_bytes(docs)
     batches, buckets = blocks_for(size, batch_bytes), max(parts(spark), blocks_for(size, bucket_bytes))
     wanted = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     own = "_corvane_batch"  # docs may have a column named batch
-    packed = wanted.select("doc_id", "text").mapInArrow(_send_runs(buckets), "bucket int, raw binary")
-    first = cut(packed.groupBy("bucket").applyInArrow(_meet(batches, hot), ANSWERS))
+    packed = delivered(wanted.select("doc_id", "text").mapInArrow(_send_runs(buckets, fan), MAIL), buckets, fan)
+    first = cut(delivered(packed.groupBy("to").applyInArrow(_meet(batches, few, hot, fan), MAIL), batches, fan))
     dealt = wanted.withColumn(own, batch_of(F.col("doc_id"), batches))
-    mixed = dealt.groupBy(own).cogroup(first.groupBy("batch")).applyInArrow(_send_mixed(buckets), SENT)
-    ordered = mixed.repartition(parts(spark), "route").sortWithinPartitions("route", "content")
-    answers = first.union(ordered.mapInArrow(_sort_blocks, ANSWERS))
-    return dealt.groupBy(own).cogroup(answers.groupBy("batch")).applyInArrow(finish(buckets), schema)
+    sent = dealt.groupBy(own).cogroup(first.groupBy("to")).applyInArrow(_send_bytes(buckets), SENT)
+    ordered = sent.repartition(parts(spark), "route").sortWithinPartitions("route", "content")
+    answers = first.select("*", F.lit(None).cast("long").alias("route"), F.lit(None).cast("long").alias("content")).union(ordered.mapInArrow(_sort_blocks, ANSWERS))
+    return dealt.groupBy(own).cogroup(answers.groupBy("to")).applyInArrow(finish(buckets), schema)
 
 
-def digests(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def digests(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, few: int = FEW, fan: int = FAN) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -375,10 +388,10 @@ def digests(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int =
 
         return rows
 
-    return _run(docs.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", batch_bytes, bucket_bytes, hot)
+    return _run(docs.select("doc_id", "text"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", batch_bytes, bucket_bytes, hot, few, fan)
 
 
-def cut_out(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def cut_out(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, few: int = FEW, fan: int = FAN) -> DataFrame:
     """docs with their texts cut, other columns as they are (n_chars, if there, is counted anew). Where a cut splits a character, its other bytes go too. A text of which nothing is left is empty."""
     names, kinds = docs.columns, docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema
 
@@ -397,4 +410,4 @@ def cut_out(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int =
 
         return rows
 
-    return _run(docs, finish, kinds, batch_bytes, bucket_bytes, hot)
+    return _run(docs, finish, kinds, batch_bytes, bucket_bytes, hot, few, fan)

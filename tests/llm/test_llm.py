@@ -300,7 +300,7 @@ def test_decontaminate_repeated_ids(spark):
         assert sorted(tuple(r)[:4] for r in decontaminate.search(docs, items, broadcast_bytes=limit).collect()) == want, limit
 
 
-@pytest.mark.parametrize("how", [{}, {"batch_bytes": 4000, "bucket_bytes": 4000, "hot": 2}])
+@pytest.mark.parametrize("how", [{}, {"batch_bytes": 4000, "bucket_bytes": 4000, "hot": 2}, {"few": 1}, {"batch_bytes": 4000, "bucket_bytes": 4000, "fan": 2}])
 def test_substrings(docs, empty, odd, how):
     raw, first = {k: (t or "").encode() for k, t in TEXTS.items()}, {}
     for k in sorted(raw):
@@ -324,7 +324,7 @@ def test_suffix_order():
     for k in range(60):
         data = bytes(r.choices(b"ab" if k % 2 else b"abcdefgh", k=r.randint(60, 400)))
         starts = np.array([r.randrange(len(data) - 49) for _ in range(r.randint(1, 150))])
-        order, group = suffixes.sort(data, starts, 50)
+        order, group = suffixes.sort(data, starts, 50, small=r.choice([1, 8, 1000]), shallow=r.choice([8, 32]))
         own = [data[s : s + 50] for s in starts[order]]
         assert own == sorted(own) and all((group[i] == group[i - 1]) == (own[i] == own[i - 1]) for i in range(1, len(own)))
 
