@@ -53,6 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a cut() that nothing reads any more."""
+    if df.isStreaming:
+        return
+    rdd = df._jdf.queryExecution().logical()
+    file = rdd.rdd().getCheckpointFile() if rdd.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -188,24 +199,43 @@ def batch_rows(out: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
+#: Keys of more than one part in so many of the rows, and of more rows than the second number, are heavy.
+HEAVY, LEAST_HEAVY = 1000, 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and in weight how many of left's total rows have it.
+
+    Heavy keys, which by their definition are HEAVY at most, are broadcast; so no task gets more than its part of one key's rows."""
+    heavy = F.col(weight) > max(LEAST_HEAVY, total // HEAVY)
+    others = [c for c in right.columns if c not in (key, weight)]
+    met = left.join(F.broadcast(right.where(heavy).select(key, F.struct(*others).alias("_met"))), key, "left")
+    light = right.where(~heavy).select(key, *others)
+    known = met.where("_met is not null").select(*left.columns, *(F.col("_met")[c].alias(c) for c in others))
+    return known.unionByName(met.where("_met is null").drop("_met").join(light, key, how).select(*left.columns, *others))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of each node of edges (a, b); the component is its smallest node.
 
-    Large-star and small-star turns, written as joins and minima: no group of neighbours is gathered, each turn's edges are at most those before it, and each turn is cut into the shared folder."""
+    Large-star and small-star turns, written as joins and minima: no group of neighbours is gathered, each turn's edges are at most those before it, and each turn is cut into the shared folder; what the turn before it left there is deleted."""
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
+        total = 2 * pairs.count()
+        if not total:
+            break
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_unique(both.where("b > a"), least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        own = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(own, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        own = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_unique(large, own, "a", "n", total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = cut(small.where("a <> b").distinct())
-        # Stars only, and the same as before: no centre is itself a member.
-        if now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
-            pairs = now
-            break
+        forget(pairs)
         pairs = now
+        # Stars only: no node has two centres, and no centre is itself a member.
+        if now.groupBy("a").count().where("count > 1").isEmpty() and now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
+            break
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} turns")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

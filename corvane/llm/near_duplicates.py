@@ -1,13 +1,14 @@
 """Operator 4: n-gram Jaccard join by a MinHash LSH forest.
 
-Texts of equal shingle sets are one class, whatever their number. A class's MinHash signature gives one label of DEPTH
-values for each of TREES prefix tries. The forest's depths are gone through from the longest prefix on, shortening it until
-the chance that a pair of the threshold's similarity meets in some trie reaches the target recall. At each depth the
-classes of one prefix are linked to the smallest of them, which alone goes on to the shorter prefixes: a large group
-becomes a star of as many links as it has members, never all its pairs. Connected components of these links are the
-candidate groups. Their texts are fetched once and verified by exact Jaccard similarity of shingle sets within the group;
-a group too large for a task is split into blocks, and pairs of blocks are verified by themselves. Counts of links and a
-spanning forest leave the task, not pairs.
+Texts of equal shingle sets are one class, whatever their number. A class's MinHash signature has DEPTH values for each of
+TREES prefix tries. A trie is its sorted signatures: all tries are sorted at once, over all tasks, and gone through in order.
+Each class is matched at the longest prefix that it shares with those before it, and linked to the first class of that
+prefix; where neighbours share no longer one, the prefix is shortened, down to the length at which the chance that a pair
+of the threshold's similarity meets in some trie reaches the target recall. So a class has one link at most in each trie,
+whatever the size of its group. Connected components of these links are the candidate groups. Their texts are fetched once
+and verified by exact Jaccard similarity of shingle sets within the group. A group too large for a task is split by the
+number of shingles, in classes by powers of 1 / threshold, and these into blocks: only blocks of one class or of classes next
+to each other can hold similar texts, and are verified in pairs. Counts of links and spanning trees leave the task, not pairs.
 
 Nulls: a null text has no words; documents without words are linked to nothing, each its own class, as are rows of a null
 doc_id (class_id null). Rows of equal doc_id and text count as copies. An empty table gives an empty result. Other columns
@@ -15,20 +16,20 @@ are not read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILAR, U, components, cut, mix, parts, shingles
+from .common import SIMILAR, U, components, cut, join_unique, mix, parts, shingles
 
 TREES, DEPTH, TARGET = 24, 6, 0.9999
 #: Shingles of one verification block; a block of a group is at most this, apart from a single text.
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 #: Places of a text's shingles in other texts of its block that are counted at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
 ADD = _rng.integers(0, 2**64 - 1, TREES * DEPTH, dtype=np.uint64)
@@ -39,23 +40,22 @@ def recall(depth: int, threshold: float = SIMILAR, trees: int = TREES) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
-def depths(threshold: float = SIMILAR, target: float = TARGET) -> list[int]:
-    """The prefix lengths that are gone through: from the longest, down to the first of the target recall."""
-    out = []
-    for depth in range(DEPTH, 0, -1):
-        out.append(depth)
-        if recall(depth, threshold) >= target:
-            break
-    return out
+def least_depth(threshold: float = SIMILAR, target: float = TARGET) -> int:
+    """The longest prefix length that reaches the target recall; 1 if none does."""
+    return next((d for d in range(DEPTH, 1, -1) if recall(d, threshold) >= target), 1)
 
 
 def signature(own: np.ndarray) -> np.ndarray:
+    """For each tree, its number and DEPTH values of two bytes: a label whose order is that of the trie."""
     out = np.full(TREES * DEPTH, 2**64 - 1, np.uint64)
-    for lo in range(0, len(own), 2048):
-        part = own[lo : lo + 2048, None] * MULTIPLY[None, :]
+    for lo in range(0, len(own), 1024):
+        part = own[lo : lo + 1024, None] * MULTIPLY[None, :]
         part += ADD[None, :]
         np.minimum(out, part.min(axis=0), out=out)
-    return out >> U(16)
+    labels = np.empty((TREES, 1 + 2 * DEPTH), np.uint8)
+    labels[:, 0] = np.arange(TREES)
+    labels[:, 1:] = mix(out).astype(">u2").reshape(TREES, DEPTH).view(np.uint8)
+    return labels
 
 
 def node_of(own: np.ndarray) -> bytes:
@@ -65,45 +65,67 @@ def node_of(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def signed(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(doc_id, node, n_shingles, labels): labels has a hash of the prefix for each level and tree; node is null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("labels", pa.list_(pa.int64()))])
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n_shingles, labels): labels has those of all trees, one after the other. Rows without words or doc_id, which are linked to nothing, have names of their own and no labels."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("labels", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for i, own in shingles(batch.column(1)):
-                if not len(own) or ids[i] is None:
-                    out.append((ids[i], None, 0, None))
-                    continue
-                values = signature(own).reshape(TREES, DEPTH)
-                label = np.arange(TREES, dtype=np.uint64)
-                at = {}
-                for d in range(DEPTH):
-                    label = mix(label * U(0x9E3779B97F4A7C15) + values[:, d])
-                    at[d + 1] = label
-                out.append((ids[i], node_of(own), len(own), np.concatenate([at[d] for d in levels]).view(np.int64)))
+            for i, own in shingles(batch.column(1), 1 << 20):
+                alone = not len(own) or ids[i] is None
+                out.append((ids[i], b"%d" % i, 0, None) if alone else (ids[i], node_of(own), len(own), signature(own).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, node binary, n_shingles long, labels array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, node binary, n_shingles long, labels binary")
+
+
+_walked = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("label", pa.binary())])
+WALKED = "a binary, b binary, label binary"
 
 
-def candidate_links(classes: DataFrame, levels: list[int]) -> DataFrame:
-    """(a, b): stars of the classes (node, labels) that share a prefix."""
-    links = None
-    left = classes.select("node", F.posexplode(F.slice("labels", 1, TREES)).alias("tree", "label"))
-    for k in range(len(levels)):
-        least = left.groupBy("tree", "label").agg(F.min("node").alias("b"), F.count("*").alias("n"))
-        star = left.join(least.where("n > 1").drop("n"), ["tree", "label"]).where("node <> b").select(F.col("node").alias("a"), "b")
-        links = star if links is None else links.union(star)
-        if k + 1 < len(levels):
-            # Of each prefix, one class goes on to the shorter ones.
-            onward = least.select("tree", F.col("b").alias("node"))
-            labels = classes.select("node", F.posexplode(F.slice("labels", TREES * (k + 1) + 1, TREES)).alias("tree", "label"))
-            left = labels.join(onward, ["tree", "node"], "left_semi")
-    return links
+def _walk(least: int) -> Callable:
+    """Of sorted (label, node): links (a, b, null) of each node to the first of the longest prefix that it shares with the row before it, and the first and the last row as (node, null, label)."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 + 2 * DEPTH
+        before, heads = None, [b""] * (DEPTH + 1)  # the label before, and the first node of its prefix of each length
+        last: tuple[bytes, bytes] | None = None
+        for batch in batches:
+            labels, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not labels:
+                continue
+            own = np.frombuffer(b"".join(labels), np.uint8).reshape(-1, size)
+            above = np.vstack([before if before is not None else own[:1], own[:-1]])
+            same = (own[:, 1::2] == above[:, 1::2]) & (own[:, 2::2] == above[:, 2::2]) & (own[:, :1] == above[:, :1])
+            shared = np.cumprod(same, axis=1).sum(axis=1)
+            if before is None:
+                shared[0] = 0
+            out = [] if before is not None else [(nodes[0], None, labels[0])]
+            for node, n in zip(nodes, shared.tolist(), strict=True):
+                if n >= least and heads[n] != node:
+                    out.append((node, heads[n], None))
+                heads[n + 1 :] = [node] * (DEPTH - n)
+            before, last = own[-1:], (nodes[-1], labels[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 3, schema=_walked)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.binary()), pa.array([None], pa.binary()), pa.array([last[1]], pa.binary())], schema=_walked)
+
+    return walk
+
+
+def candidate_links(classes: DataFrame, least: int) -> DataFrame:
+    """(a, b): links of the classes (node, labels) that share a prefix of that length or a longer one.
+
+    Rows of one prefix may lie in several tasks. The first and last rows of all tasks, two for each, are gone through once more by one task, which links what a border parted."""
+    size = 1 + 2 * DEPTH
+    spread = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels").select(F.substring(F.col("labels"), F.col("tree") * size + 1, F.lit(size)).alias("label"), "node")
+    ordered = spread.repartitionByRange(parts(classes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
+    walked = cut(ordered.mapInArrow(_walk(least), WALKED))
+    borders = walked.where("b is null").select("label", F.col("a").alias("node")).coalesce(1).sortWithinPartitions("label", "node")
+    return walked.where("b is not null").select("a", "b").union(borders.mapInArrow(_walk(least), WALKED).where("b is not null").select("a", "b"))
 
 
 def verify(rows: list[tuple[bytes, int, int, np.ndarray]], first: int, second: int, threshold: float) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
@@ -157,13 +179,12 @@ def verify(rows: list[tuple[bytes, int, int, np.ndarray]], first: int, second: i
     return {rows[i][0]: int(counts[i]) for i in np.flatnonzero(counts)}, forest
 
 
-def _verified(members: DataFrame, docs: DataFrame, threshold: float, block_shingles: int) -> DataFrame:
-    """(node, links, other): links of a class found in one pair of blocks, with other null; or a link of the spanning forest."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("shuffle_hash"), "doc_id")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("first"), F.greatest(k, F.col("block")).alias("second")))
-    dealt = texts.select("component", "node", "block", "copies", "text", F.explode(pairs).alias("p")).select("component", "p.first", "p.second", "node", "block", "copies", "text")
+def _verified(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, other, root): links of a class found in one pair of blocks; or a link to another class; or, of a group verified as a whole, the smallest class that links lead to."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    dealt = texts.select("component", F.explode("pairs").alias("p"), "node", "block", "copies", "text").select("component", "p.first", "p.second", "node", "block", "copies", "text")
     dealt = dealt.repartition(parts(docs.sparkSession), "component", "first", "second").sortWithinPartitions("component", "first", "second")
-    schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("other", pa.binary())])
+    schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("other", pa.binary()), ("root", pa.binary())])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
@@ -173,13 +194,19 @@ def _verified(members: DataFrame, docs: DataFrame, threshold: float, block_shing
             nonlocal rows
             if len(rows) > 1:
                 counts, forest = verify(list(rows.values()), key[1], key[2], threshold)
-                out.extend((n, c, None) for n, c in counts.items())
-                out.extend((a, None, b) for a, b in forest)
+                out.extend((n, c, None, None) for n, c in counts.items())
+                if key[1] == WHOLE:
+                    out.extend((n, None, None, r) for n, r in rooted(forest).items())
+                else:
+                    out.extend((a, None, b, None) for a, b in forest)
             rows = {}
 
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
-            for i, own in shingles(batch.column(6)):
+            for i, own in shingles(batch.column(6), 1 << 20):
                 now = columns[0][i], columns[1][i], columns[2][i]
                 if now != key:
                     done()
@@ -188,52 +215,76 @@ def _verified(members: DataFrame, docs: DataFrame, threshold: float, block_shing
                 if node not in rows and node_of(own) == node:  # else another row of the same doc_id
                     rows[node] = node, columns[4][i], columns[5][i], own
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield told()
                 out.clear()
         done()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield told()
+
+    return dealt.mapInArrow(checked, "node binary, links long, other binary, root binary")
+
+
+def rooted(forest: list[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
+    """The smallest node that links lead to, of each node of the trees."""
+    near: dict[bytes, list[bytes]] = {}
+    for a, b in forest:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out: dict[bytes, bytes] = {}
+    for start in sorted(near):
+        todo = [] if start in out else [start]
+        while todo:
+            node = todo.pop()
+            if node not in out:
+                out[node] = start
+                todo += near[node]
+    return out
+
 
-    return dealt.mapInArrow(checked, "node binary, links long, other binary")
+#: In place of a block's number: the group is verified as a whole. Blocks are numbered from 0 within a class of sizes.
+WHOLE, CLASS = -1, 1 << 32
+
+
+def _dealt(grouped: DataFrame, threshold: float, block_shingles: int) -> DataFrame:
+    """grouped (component, node, n_shingles, ...) with each class's block and the pairs of blocks in which it is verified."""
+    number = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("long")
+    sized = grouped.withColumn("size", number)
+    weight = sized.groupBy("component", "size").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
+    # As many entries as classes of sizes, some tens.
+    entry = F.struct("size", F.ceil(F.col("total") / block_shingles).cast("long").alias("n"))
+    told = weight.groupBy("component").agg(F.map_from_entries(F.collect_list(entry)).alias("blocks"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    met = join_unique(sized, told, "component", "n", grouped.count())
+    whole = F.col("total") <= block_shingles
+    blocks = lambda size: F.coalesce(F.try_element_at("blocks", size), F.lit(0).cast("long"))
+    block = F.when(whole, F.lit(WHOLE).cast("long")).otherwise(F.col("size") * CLASS + F.pmod(F.xxhash64("node"), blocks(F.col("size"))))
+    met = met.withColumn("block", block)
+    pair = lambda other: F.struct(F.least("block", other).alias("first"), F.greatest("block", other).alias("second"))
+    near = lambda size: F.when(blocks(size) > 0, F.transform(F.sequence(F.lit(0).cast("long"), blocks(size) - 1), lambda k: pair(size * CLASS + k))).otherwise(F.expr("cast(array() as array<struct<first: bigint, second: bigint>>)"))
+    pairs = F.when(whole, F.array(pair(F.col("block")))).otherwise(F.concat(*(near(F.col("size") + k) for k in (-1, 0, 1))))
+    return met.select(*grouped.columns, "block", pairs.alias("pairs"))
 
 
 def join(docs: DataFrame, threshold: float = SIMILAR, target: float = TARGET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (documents of that similarity, copies among them)."""
-    levels = depths(threshold, target)
-    marked = signed(docs, levels)
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")).where("node is not null"))
-    groups = components(candidate_links(nodes, levels))
+    marked = cut(signed(docs))
+    nodes = cut(marked.where("labels is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")))
+    groups = components(candidate_links(nodes, least_depth(threshold, target)))
     grouped = cut(groups.select("node", "component").distinct().join(nodes.drop("labels"), "node"))
-    weight = grouped.groupBy("component").agg(F.sum("n_shingles").alias("total"))
-    blocks = F.ceil(F.col("total") / block_shingles).cast("int")
-    members = grouped.join(weight, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("doc_id", "node", "component", "copies", "blocks", "block")
-    found = cut(_verified(members, docs, threshold, block_shingles))
+    members = _dealt(grouped, threshold, block_shingles).select("doc_id", "node", "component", "copies", "block", "pairs")
+    found = cut(_verified(members, docs, threshold))
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    classes = found.where("root is not null").select("node", F.col("root").alias("component"))
+    split = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    if not split.isEmpty():
+        classes = classes.union(components(split))
     led = nodes.drop("labels").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = led.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = led.join(least, "component").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    # Signatures again, without labels: cheaper than keeping a row for each document through all turns above.
-    each = node_names(docs)
-    out = each.join(named, "node", "left")
+    least = led.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    named = join_unique(led, least, "component", "n", nodes.count()).select("node", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = cut(named)
+    out = join_unique(marked.select("doc_id", "node"), named, "node", "copies", marked.count(), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def node_names(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            names: list[bytes | None] = [None] * batch.num_rows
-            for i, own in shingles(batch.column(1)):
-                # Rows that are linked to nothing go to no common key of the join: they get names of their own.
-                names[i] = node_of(own) if len(own) and ids[i] is not None else b"%d" % i
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary())], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, node binary")
-
-
 def keep_one(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """The rows of docs, all columns, of the smallest doc_id of each class; rows of a null doc_id stay."""
     kept = cut(join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct())
