@@ -6,8 +6,9 @@ its words, of the background's loss less the target's.
 
 Neither model is gathered anywhere. Documents are dealt to batches by a hash of doc_id, each batch sends the distinct words and
 pairs that it has, packed by bucket, with its counts; a bucket sums these and sends each batch the sums that it asked for, in
-the order of its question, with the bucket's totals. So counts are those of all documents, equal words of a batch
-travel once, and a frequent word costs a bucket one entry for each batch.
+the order of its question. So counts are those of all documents, equal words of a batch travel once, and a frequent word
+costs a bucket one entry for each batch. Rows that are sent number the input by a constant: from some number of buckets
+or batches on, they travel in two hops (common.posted). The models' totals, five numbers, come from a sum over buckets.
 
 Nulls: a null text has no words; documents without words have n_words 0 and null losses; rows with a null or repeated
 doc_id are counted and scored like others (a null id is no target). Labels of no document, or null ones, count for nothing;
@@ -15,6 +16,7 @@ of several labels of a document one that is good is enough. Empty tables give em
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, blocks_for, chunks, get40, grams, parts, put40, text_bytes, words
+from .common import FAN, MAIL, U, blocks_for, chunks, cut, delivered, get40, grams, parts, posted, put40, text_bytes, words
 from .substrings import batch_of
 
 BATCH_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
 KNOWN, ADD, PRIOR = 2, 0.5, 4.0  # least count of a word of the vocabulary; what is added to a word's count; weight of words against pairs
 LOW = U((1 << 40) - 1)
-SENT = "bucket int, batch int, raw binary"
-_sent = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("raw", pa.binary())])
+SUMS = MAIL + ", heads array<long>"
+_sums = pa.schema([("to", pa.int32()), ("raw", pa.binary()), ("heads", pa.list_(pa.int64()))])
 
 
 def _grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,7 +74,7 @@ def _read(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(got, "<u4" if len(got) == 4 * n else "<u8").astype(np.int64), at + 4 + size
 
 
-def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of each document (doc_id, text); targets (doc_id) are those that the target model is made of. Losses are nats for a word; score is the second less the first."""
     spark = docs.sparkSession
     size = text_bytes(docs)
@@ -82,38 +84,45 @@ def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, b
 
     def ask(table: pa.Table, good: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _sent.empty_table()
+            return pa.Table.from_batches([posted([], [], buckets, fan)])
         key, n, hits = _question(table, buckets, set(good.column("doc_id").to_pylist()))
         bucket = ((key >> U(40)) % U(buckets)).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(buckets + 1))
-        raws = [int(b - a).to_bytes(4, "little") + put40(key[a:b]) + _numbers(n[a:b]) + _numbers(hits[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.Table.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, table.column("batch")[0].as_py(), np.int32)), pa.array(raws, pa.binary())], schema=_sent)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(key) else np.zeros(0, np.int64)
+        own = table.column("batch")[0].as_py()
+        raws = [struct.pack("<II", own, b - a) + put40(key[a:b]) + _numbers(n[a:b]) + _numbers(hits[a:b]) for a, b in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True)] if len(key) else []
+        return pa.Table.from_batches([posted(bucket[begin].tolist(), raws, buckets, fan)])
 
     def sums(table: pa.Table) -> pa.Table:
-        keys, counts, hits = [], [], []
+        bucket = table.column("to")[0].as_py()
+        askers, keys, counts, hits = [], [], [], []
         for raw in table.column("raw").to_pylist():
-            n = int.from_bytes(raw[:4], "little")
-            keys.append(get40(raw, 4, n))
-            x, at = _read(raw, 4 + 5 * n, n)
-            y, _ = _read(raw, at, n)
-            counts.append(x)
-            hits.append(y)
+            at = 0
+            while at < len(raw):
+                asker, n = struct.unpack_from("<II", raw, at)
+                askers.append(asker)
+                keys.append(get40(raw, at + 8, n))
+                x, at = _read(raw, at + 8 + 5 * n, n)
+                y, at = _read(raw, at, n)
+                counts.append(x)
+                hits.append(y)
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
-        begin = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1]))) if len(every) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
         group = np.empty(len(every), np.int64)
         group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(every))))
         total = np.bincount(group, np.concatenate(counts), len(begin)).astype(np.int64)
         target = np.bincount(group, np.concatenate(hits), len(begin)).astype(np.int64)
-        word = (every[order][begin] & U(1)).astype(bool) if len(every) else np.zeros(0, bool)
+        word = (every[order][begin] & U(1)).astype(bool)
         known = word & (total >= KNOWN)
-        head = np.array([known.sum(), total[word].sum(), target[word].sum(), total[known].sum(), target[known].sum()], "<i8").tobytes()
+        heads = [int(x) for x in (known.sum(), total[word].sum(), target[word].sum(), total[known].sum(), target[known].sum())]
         raws, at = [], 0
         for k in keys:
             own = group[at : at + len(k)]
             at += len(k)
-            raws.append(head + _numbers(total[own]) + _numbers(target[own]))
-        return pa.Table.from_arrays([table.column("bucket"), table.column("batch"), pa.array(raws, pa.binary())], schema=_sent)
+            raws.append(struct.pack("<II", bucket, len(k)) + _numbers(total[own]) + _numbers(target[own]))
+        mail = posted(askers, raws, batches, fan)
+        to, raws = mail.column(0).to_pylist(), mail.column(1).to_pylist()
+        return pa.Table.from_arrays([pa.array([*to, None], pa.int32()), pa.array([*raws, None], pa.binary()), pa.array([None] * len(to) + [heads], pa.list_(pa.int64()))], schema=_sums)
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
@@ -122,18 +131,17 @@ def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, b
             return out_schema.empty_table()
         key, *_ = _question(table, buckets, set())
         bucket = ((key >> U(40)) % U(buckets)).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(buckets + 1))
         total, target = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        heads = np.zeros(5, np.int64)
-        for b, raw in zip(told.column("bucket").to_pylist(), told.column("raw").to_pylist(), strict=True):
-            heads += np.frombuffer(raw, "<i8", 5)
-            n = int(at[b + 1] - at[b])
-            total[at[b] : at[b + 1]], place = _read(raw, 40, n)
-            target[at[b] : at[b + 1]], _ = _read(raw, place, n)
+        for raw in told.column("raw").to_pylist():
+            at = 0
+            while at < len(raw):
+                b, n = struct.unpack_from("<II", raw, at)
+                lo = int(np.searchsorted(bucket, b))
+                total[lo : lo + n], at = _read(raw, at + 8, n)
+                target[lo : lo + n], at = _read(raw, at, n)
         order = np.argsort(key)
         key, counts = key[order], np.stack([target[order], total[order]]).astype(float)
         known = total[order] >= KNOWN
-        vocabulary, n_total, n_target, in_total, in_target = heads.tolist()
         sizes, unknown = np.array([[n_target], [n_total]], float), np.array([[n_target - in_target], [n_total - in_total]], float)
         ids, out = table.column("doc_id").to_pylist(), []
         for lo, n, w, w_row, p, p_row in _grams(table.column("text")):
@@ -153,6 +161,8 @@ def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, b
             out += [(ids[lo + i], int(number[i]), *((float(means[0][i]), float(means[1][i]), float(means[1][i] - means[0][i])) if number[i] else (None, None, None))) for i in range(n)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), out_schema, strict=True)], schema=out_schema)
 
-    asked = dealt.groupBy("batch").cogroup(chosen.groupBy("batch")).applyInArrow(ask, SENT)
-    told = asked.groupBy("bucket").applyInArrow(sums, SENT)
-    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(judge, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    asked = delivered(dealt.groupBy("batch").cogroup(chosen.groupBy("batch")).applyInArrow(ask, MAIL), buckets, fan)
+    summed = cut(asked.groupBy("to").applyInArrow(sums, SUMS))
+    vocabulary, n_total, n_target, in_total, in_target = summed.agg(*(F.coalesce(F.sum(F.col("heads")[k]), F.lit(0)) for k in range(5))).first()
+    told = delivered(summed.where("heads is null").select("to", "raw"), batches, fan)
+    return dealt.groupBy("batch").cogroup(told.groupBy("to")).applyInArrow(judge, "doc_id long, n_words long, target_loss double, background_loss double, score double")
