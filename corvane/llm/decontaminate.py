@@ -6,15 +6,20 @@ Items are partitioned by their numbers of shingles; in the partition of items of
 floor((1 - threshold) * n) + 1 of them. A document that holds the threshold's share of an item's shingles holds one at
 least of any that many, so no such document is missed. What is found is verified by exact shingle containment.
 
-The signatures and shingles of items reach the tasks as a broadcast only if the items' text is under BROADCAST_BYTES;
-beyond it, the hashes of the documents' shingles meet them in a join instead.
+Items are taken in blocks of BLOCK_BYTES of text at most (or one item, if that alone is longer), by a hash of their
+ids. The signatures and shingles of one block are broadcast, a size that the block bounds, and the documents are scanned for
+each block; benchmarks of ordinary size are one block. Documents are never shuffled, so no shingle can be a hot key.
 
-Nulls: rows with a null id or text, and items of under five words, have no shingles and match nothing. Item rows
+Shingles are those of near_duplicates: five consecutive words, or all words of a text of one to four. So a short item is
+found in documents that are just these words.
+
+Nulls: rows with a null id or text, and items without words, have no shingles and match nothing. Item rows
 of equal ids are one item of all their shingles; document rows of equal ids are a document each, and give a row each. Empty tables give no rows. Other columns are not read by search();
 remove() keeps them."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -23,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILAR, chunks, cut, grams, text_bytes, words
+from .common import SHINGLE_WORDS, SIMILAR, chunks, cut, grams, words
 
-BROADCAST_BYTES = 16 << 20
+BLOCK_BYTES = 16 << 20
 #: Upper ends of the size partitions grow by this factor.
 GROWTH = 1.5
 
@@ -43,6 +48,20 @@ def needed(n: int, threshold: float = SIMILAR) -> int:
     return -int(-n * Fraction(str(threshold)) // 1)
 
 
+def _shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of rows and the row of each, in order of row; with repeats."""
+    hashes, before = words(data, offs)
+    found, row = grams(hashes, before, SHINGLE_WORDS)
+    counts = np.diff(before)
+    few = np.flatnonzero((counts > 0) & (counts < SHINGLE_WORDS))
+    if not len(few):
+        return found, row
+    short = [grams(hashes[before[i] : before[i + 1]], np.array([0, counts[i]]), int(counts[i]))[0] for i in few]
+    found, row = np.concatenate([found, *short]), np.concatenate([row, few])
+    order = np.argsort(row, kind="stable")
+    return found[order], row[order]
+
+
 def item_shingles(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(item_id, shingle, n, signed): the distinct shingles of each item, as hashes; signed are those in its signature. Equal ids of unlike texts are one item of all their shingles."""
     schema = pa.schema([("item_id", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64()), ("signed", pa.bool_())])
@@ -53,7 +72,7 @@ def item_shingles(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
             item_of = np.repeat(np.arange(len(ids)), texts.value_lengths().to_numpy())
             pairs = [np.zeros((2, 0), np.uint64)]
             for lo, _, data, offs in chunks(texts.flatten()):
-                found, row = grams(*words(data, offs), SHINGLE_WORDS)
+                found, row = _shingles(data, offs)
                 pairs.append(np.stack([item_of[lo + row].astype(np.uint64), found]))
             item, shingle = np.unique(np.concatenate(pairs, axis=1), axis=1)  # in order of item, then shingle
             item = item.astype(np.int64)
@@ -76,7 +95,7 @@ class Index:
 
     def probe(self, found: np.ndarray) -> np.ndarray:
         """Which of the hashes are in a signature."""
-        if not len(self.signatures):
+        if not len(self.signatures) or not len(found):
             return np.zeros(len(found), bool)
         at = np.minimum(np.searchsorted(self.signatures, found), len(self.signatures) - 1)
         return self.signatures[at] == found
@@ -97,8 +116,28 @@ class Index:
 PAIRS = "doc_id long, item_id long, n_shingles long, n_common long"
 
 
-def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    rows = item_shingles(items, threshold).toPandas()  # under BROADCAST_BYTES of text
+def _blocks(items: DataFrame, limit: int) -> list[DataFrame]:
+    """items in blocks of at most limit bytes of text, by hash of item_id, halved until they fit or hold one item."""
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    size = F.sum(F.octet_length("text"))
+
+    def parted(n: int) -> list[DataFrame]:
+        if n == 1:
+            return [own]
+        return [own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+
+    n = 1
+    while True:
+        # A row for each block, which are as many as scans of the documents.
+        sizes = own.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("block")).agg(size.alias("size"), F.count_distinct("item_id").alias("n")).collect()
+        if all(r["size"] <= limit or r["n"] == 1 for r in sizes):
+            return [parted(n)[r["block"]] for r in sorted(sizes, key=lambda r: r["block"])]
+        n *= 2
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """PAIRS of one block of items."""
+    rows = item_shingles(items, threshold).toPandas()  # a block's
     ids, item = np.unique(rows["item_id"].to_numpy(), return_inverse=True)
     sizes, signed = np.bincount(item, minlength=len(ids)), rows["signed"].to_numpy(bool)
     packed = docs.sparkSession.sparkContext.broadcast((ids, sizes, rows["shingle"].to_numpy(np.int64).view(np.uint64), item, signed))
@@ -111,7 +150,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFr
             docs_of = batch.column(0).to_pylist()
             out: list[tuple] = []
             for lo, _, data, offs in chunks(batch.column(1)):
-                hashes, row = grams(*words(data, offs), SHINGLE_WORDS)
+                hashes, row = _shingles(data, offs)
                 for i in np.unique(row[index.probe(hashes)]):
                     if docs_of[lo + i] is None:
                         continue
@@ -123,35 +162,12 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, PAIRS)
 
 
-def _by_join(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    shingles = cut(item_shingles(items, threshold))
-    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("shingle", pa.int64())])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, _, data, offs in chunks(batch.column(2)):
-                found, row = grams(*words(data, offs), SHINGLE_WORDS)
-                if len(found):
-                    order = np.lexsort((found, row))
-                    found, row = found[order], row[order]
-                    first = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))
-                    found, row = found[first], row[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(own[lo + row]), pa.array(found.view(np.int64))], schema=schema)
-
-    # A row gives each of its shingles once, so their count is that of equal rows; own tells unlike texts of a doc_id apart.
-    told = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text").where("doc_id is not null").mapInArrow(hashed, "doc_id long, own long, shingle long")
-    met = told.groupBy("doc_id", "own", "shingle").agg(F.count("*").alias("copies")).join(shingles, "shingle")
-    counted = met.groupBy("doc_id", "own", "item_id").agg(F.max("n").alias("n_shingles"), F.count("*").alias("n_common"), F.max("signed").alias("candidate"), F.max("copies").alias("copies"))
-    share = Fraction(str(threshold))
-    found = counted.where(F.col("candidate") & (F.col("n_common") * share.denominator >= F.col("n_shingles") * share.numerator))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "item_id", "n_shingles", "n_common")
-
-
-def search(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_common, containment) for each document (doc_id, text) that contains an item (item_id, text)."""
-    found = _by_broadcast(docs, items, threshold) if text_bytes(items) <= broadcast_bytes else _by_join(docs, items, threshold)
-    return found.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
+    found = [_found(docs, block, threshold) for block in _blocks(items, block_bytes)]
+    if not found:
+        found = [docs.sparkSession.createDataFrame([], PAIRS)]
+    return functools.reduce(DataFrame.union, found).withColumn("containment", F.col("n_common") / F.col("n_shingles"))
 
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
