@@ -9,6 +9,9 @@ Document frequencies of the licence words are counted over all documents. They a
 a fixed number, so the driver takes them as a small dictionary. Only files with a word that some phrase or key phrase
 must have are aligned; no other can be labelled.
 
+Templates are short notices and passages of the licences' own texts, as words; each is accepted by its key phrase alone, so
+a longer passage that was changed in places still counts, with a lower score.
+
 Nulls: a null text is an empty one; rows with null or repeated doc_id are scanned like others; an empty table gives an
 empty result. Other columns are not read."""
 
@@ -36,8 +39,45 @@ TEMPLATES = {
     "lgpl": ("licensed under the gnu lesser general public license", "gnu lesser general public license"),
     "mpl": ("subject to the terms of the mozilla public license", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished"
+        " to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "free of charge to any person obtaining a copy of this software and associated documentation files",
+    ),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose with or without fee is hereby granted"),
+    "bsd-2": (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    "bsd-3": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    "apache-2-notice": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+        " without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "you may not use this file except in compliance with the license",
+    ),
+    "gpl-2-notice": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 2"),
+    "gpl-3-notice": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 3"),
+    "lgpl-notice": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "gnu lesser general public license as published by the free software foundation"),
+    "agpl-notice": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "terms of the mozilla public license v 2 0"),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+    ),
+    "boost": ("distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    "cc-by-text": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
+    "cc-by-sa-text": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0 international license"),
+    "cc-by-nc-text": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0 international license"),
 }
-VOCABULARY = sorted({w for t, _ in TEMPLATES.values() for w in t.split()})
+#: The words whose document frequencies are counted: those of the key phrases.
+VOCABULARY = sorted({w for _, k in TEMPLATES.values() for w in k.split()})
+#: Capitals that are lowered: A-Z alone, as the words' definition has it.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A labelled file has one of these words: the longest of each base phrase and key phrase.
 SIGNS = sorted({max(p.split(), key=len) for p in (*BASE, *(k for _, k in TEMPLATES.values()))} - {"by"} | {"cc"})
 
@@ -67,8 +107,10 @@ def _aligned(label: str, at: int, rare: str) -> Column:
             out &= same(x["i"] + (j - at), w)
         return out
 
+    said = F.array(*map(F.lit, template))
+
     def agree(x: Column) -> Column:
-        return sum((same(x["i"] + (j - at - before), w).cast("int") for j, w in enumerate(template)), F.lit(0))
+        return F.size(F.filter(said, lambda w, j: same(x["i"] + (j - at - before), w)))
 
     most = F.array_max(F.transform(F.filter("hits", stands), agree))
     return F.when(most.isNotNull(), F.struct(F.lit(label).alias("label"), (most / len(template)).alias("score")))
@@ -76,7 +118,7 @@ def _aligned(label: str, at: int, rare: str) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, the base places and labels, all labels, score (the best accepted template's share of words in their places)."""
-    text = F.lower(F.coalesce("text", F.lit("")))  # no letter but A-Z becomes one of a-z that the phrases have
+    text = F.translate(F.coalesce("text", F.lit("")), CAPITALS, CAPITALS.lower())
     words = docs.select("doc_id", F.filter(F.split(text, SEPARATORS), lambda w: w != "").alias("words"))
     # Texts are read and split once; the arrays stay only in files that have a sign.
     read = cut(
@@ -118,5 +160,3 @@ def scan(docs: DataFrame) -> DataFrame:
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
     return plain.union(out)
-
-
