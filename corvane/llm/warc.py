@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import parts, shared_folder
 
-BLOCK_CAPTURES, LEVEL = 512, 3
+#: A block ends with this many captures or with the record that reaches this many bytes of the archive.
+BLOCK_CAPTURES, BLOCK_BYTES, LEVEL = 512, 4 << 20, 3
 DIRECTORY = "first_key string, last_key string, archive string, index_at long, index_bytes long, at long, bytes long, captures int"
 _directory = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("archive", pa.string()), ("index_at", pa.int64()), ("index_bytes", pa.int64()), ("at", pa.int64()), ("bytes", pa.int64()), ("captures", pa.int32())])
 # Fixed values of the format.
@@ -38,11 +39,13 @@ DATE = "1970-01-01T00:00:00Z"
 
 
 def url_key(url: Column) -> Column:
-    """The host's labels reversed and joined by commas, then ")" and what follows the host; lower case in the host. Controls are written as spaces."""
+    """The host's labels reversed and joined by commas, a port that is not the scheme's own, then ")" and what follows; lower case in the host. Controls are written as spaces."""
     url = F.translate(F.coalesce(url, F.lit("")), "\t\r\n", "   ")
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    front = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?"
+    scheme, host, port = (F.lower(F.regexp_extract(url, front, k)) for k in (1, 2, 3))
+    port = F.when(((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == ""), "").otherwise(F.concat(F.lit(":"), port))
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), rest)
 
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -73,17 +76,22 @@ def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
     return fields, length, payload
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark resolves it: one without a scheme is in the default file system, not on each machine's disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _files(folder: str):
     from pyarrow import fs
 
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
     return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
 def write(pages: DataFrame, folder: str, partitions: int | None = None) -> None:
     """pages (page_id, url, html) as archives, index files and directory in the folder, a URI. html is shuffled once; which records are revisits comes along as narrow rows."""
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     filled = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", url_key(F.col("url")))
     narrow = filled.select("page_id", "key", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("digest"))
     same = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
@@ -124,7 +132,7 @@ def write(pages: DataFrame, folder: str, partitions: int | None = None) -> None:
                     out.write(raw)
                     lines.append((key, "" if page_id is None else page_id, place, len(raw)))
                     place += len(raw)
-                    if len(lines) == BLOCK_CAPTURES:
+                    if len(lines) == BLOCK_CAPTURES or place - begun >= BLOCK_BYTES:
                         done()
             if lines:
                 done()
@@ -144,6 +152,7 @@ def _captures(files, at: str, archive: str, index_at: int, index_bytes: int) ->
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record, read from the archives."""
+    folder = qualified(spark, folder)
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
     number = lambda urn: int(urn[10:-1]) if urn[10:-1] else None
 
@@ -166,6 +175,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def look_up(spark: SparkSession, folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
     """(fields, payload) of each record of the URL. Only blocks whose range of keys has its key are read, by the directory."""
+    folder = qualified(spark, folder)
     key = spark.range(1).select(url_key(F.lit(url))).first()[0]
     blocks = spark.read.schema(DIRECTORY).parquet(f"{folder}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("archive", "index_at").collect()
     files, at = _files(folder)
