@@ -4,11 +4,13 @@ A document's ids are cut into full windows of the longest tier; what remains is
 Each tier is packed into windows of its own length: a window begins with a piece of its tier, its gap is filled with the
 longest fitting pieces of shorter tiers, and what gap is left by the head of a piece, cut there. So windows are full,
 and being powers of two they need no padding. What no window holds in the end goes to windows of powers of two down to 1.
-Full windows of one tier make step groups of equal numbers of tokens.
+Windows of one tier are numbered over all tasks and make step groups of equal numbers of tokens; only a tier's last group
+may be short.
 
-Tasks pack their own documents by themselves, in bounded blocks: no shuffle. A sequence's id has the task's partition in
-its upper bits, so input that is a scan of files (or comes in a fixed order otherwise) gives the same packing again
-when a lost task is repeated.
+Tasks pack their own documents by themselves, in bounded blocks: texts and ids are not shuffled. A sequence's id has the
+task's partition in its upper bits, so input that is a scan of files (or comes in a fixed order otherwise) gives the same
+packing again when a lost task is repeated. The pieces are cut into the shared folder, and a row for each task and tier
+gives the numbers of its first windows.
 
 Nulls: a null text is an empty one, which has the end id alone; rows with null or repeated doc_id are packed like others.
 An empty table gives no rows. Other columns of the input are not read."""
@@ -20,15 +22,20 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import encoder
 
 TIERS = (2048, 1024, 512, 256)
 #: Ids of one step group, and ids that a task holds before it packs them.
 STEP_IDS, BLOCK_IDS = 16 * 2048, 1 << 21
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
-_schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_id")])
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "number")
+PIECES = ", ".join(f"{c} long" for c in COLUMNS)
+_schema = pa.schema([(c, pa.int64()) for c in COLUMNS])
+#: Bits of a sequence's id that number it within its task.
+TASK = 36
 
 
 class Packer:
@@ -38,9 +45,7 @@ class Packer:
         self.tiers, self.next, self.base, self.serial, self.held = tiers, 0, base, 0, 0
         self.pool: list[tuple] = []
         self.rows: list[list[int]] = [[] for _ in _schema]
-        self.filled = dict.fromkeys(tiers, 0)  # ids in the tier's step group that is open
-        self.step = dict.fromkeys(tiers, None)
-        self.steps = 0
+        self.made = dict.fromkeys(tiers, 0)  # windows of each tier
 
     def add(self, doc: int | None, ids: bytes) -> None:
         total, top, at = len(ids) // 4, self.tiers[0], 0
@@ -55,16 +60,12 @@ class Packer:
             self._pack()
 
     def _window(self, size: int, pieces: list[tuple]) -> None:
-        if size in self.filled:
-            if self.step[size] is None or self.filled[size] + size > STEP_IDS:
-                self.step[size], self.filled[size], self.steps = self.steps, 0, self.steps + 1
-            self.filled[size] += size
-            step = self.base + self.step[size]
-        else:
-            step = None
+        number = self.made.get(size)
+        if number is not None:
+            self.made[size] += 1
         offset = 0
         for length, _, doc, start, total, ids in pieces:
-            for column, value in zip(self.rows, (doc, start, length, zlib.crc32(ids), total, self.base + self.next, offset, size, step), strict=True):
+            for column, value in zip(self.rows, (doc, start, length, zlib.crc32(ids), total, self.base + self.next, offset, size, number), strict=True):
                 column.append(value)
             offset += length
         self.next += 1
@@ -128,7 +129,7 @@ def sum_at_least(pool: list[tuple], size: int) -> bool:
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """A row for each piece: its document's doc_id, start, length, ids_crc32 and doc_tokens, its sequence_id and offset there; window is the sequence's length, step_id its step group (null for the windows that a task's rest goes to)."""
+    """A row for each piece: its document's doc_id, start, length, ids_crc32 and doc_tokens, its sequence_id and offset there; window is the sequence's length, step_id its step group (null for windows shorter than any tier)."""
     if any(t & (t - 1) for t in tiers) or sorted(tiers, reverse=True) != list(tiers):
         raise ValueError("tiers are powers of two, the longest first")
     end = end_id.to_bytes(4, "little")
@@ -136,7 +137,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, tokens = Packer(TaskContext.get().partitionId() << 36, tiers), encoder(vocabulary)
+        packer, tokens = Packer(TaskContext.get().partitionId() << TASK, tiers), encoder(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -148,4 +149,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
         if (out := packer.take()) is not None:
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(packed, PIECES)
+    pieces = cut(docs.select("doc_id", "text").mapInArrow(packed, PIECES))
+    task = F.shiftright("sequence_id", TASK).alias("task")
+    made = pieces.where("number is not null").groupBy(task, "window").agg((F.max("number") + 1).alias("made"))
+    # Some tens of bytes for each task and tier.
+    before = F.coalesce(F.sum("made").over(Window.partitionBy("window").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = made.select("task", "window", before.alias("before"))
+    told = pieces.withColumn("task", task).join(first, ["task", "window"], "left")
+    tier = F.array_position(F.array(*map(F.lit, tiers)), F.col("window")) - 1
+    group = F.shiftleft(tier, 48) + F.floor((F.col("before") + F.col("number")) * F.col("window") / STEP_IDS).cast("long")
+    return told.select(*COLUMNS[:-1], group.alias("step_id"))
