@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import parts, shared_folder
+from .common import cut, parts, shared_folder
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 16
+#: Shards whose offsets (16 bytes each) are broadcast; more of them meet the blocks in a join.
+SHARDS = 1 << 16
 BLOCKS = "shard int, block int, first_id long, doc_ids array<long>, n_ids array<long>, words binary"
 
 
@@ -65,9 +67,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files; start counts the ids before it in all files. Ids alone: tokens(spark, path)."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # One row for each shard meets in the window, whatever the number of documents.
-    shards = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"))
+    shards = cut(blocks.groupBy("shard").agg(F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids")))
     before = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    based = blocks.join(before.select("shard", F.coalesce("before", F.lit(0)).alias("before")), "shard").select((F.col("before") + F.col("first_id")).alias("first_id"), "doc_ids", "n_ids", "words")
+    before = before.select("shard", F.coalesce("before", F.lit(0)).alias("before"))
+    based = blocks.join(F.broadcast(before) if shards.count() <= SHARDS else before, "shard").select((F.col("before") + F.col("first_id")).alias("first_id"), "doc_ids", "n_ids", "words")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
