@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FAN, MAIL, U, blocks_for, chunks, cut, delivered, get40, grams, parts, posted, put40, text_bytes, words
+from .common import FAN, MAIL, U, blocks_for, chunks, delivered, get40, grams, parts, posted, put40, text_bytes, words
 from .substrings import batch_of
 
 BATCH_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
@@ -139,6 +139,7 @@ def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, b
                 lo = int(np.searchsorted(bucket, b))
                 total[lo : lo + n], at = _read(raw, at + 8, n)
                 target[lo : lo + n], at = _read(raw, at, n)
+        vocabulary, n_total, n_target, in_total, in_target = told.column("totals")[0].as_py() if told.num_rows else (0,) * 5
         order = np.argsort(key)
         key, counts = key[order], np.stack([target[order], total[order]]).astype(float)
         known = total[order] >= KNOWN
@@ -162,7 +163,8 @@ def score(docs: DataFrame, targets: DataFrame, batch_bytes: int = BATCH_BYTES, b
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), out_schema, strict=True)], schema=out_schema)
 
     asked = delivered(dealt.groupBy("batch").cogroup(chosen.groupBy("batch")).applyInArrow(ask, MAIL), buckets, fan)
-    summed = cut(asked.groupBy("to").applyInArrow(sums, SUMS))
-    vocabulary, n_total, n_target, in_total, in_target = summed.agg(*(F.coalesce(F.sum(F.col("heads")[k]), F.lit(0)) for k in range(5))).first()
-    told = delivered(summed.where("heads is null").select("to", "raw"), batches, fan)
+    summed = asked.groupBy("to").applyInArrow(sums, SUMS)
+    # One row of five sums goes to each batch with its mail; all in one plan, so texts and questions are shuffled once.
+    totals = summed.agg(F.array(*(F.coalesce(F.sum(F.col("heads")[k]), F.lit(0)) for k in range(5))).alias("totals"))
+    told = delivered(summed.where("heads is null").select("to", "raw"), batches, fan).crossJoin(F.broadcast(totals))
     return dealt.groupBy("batch").cogroup(told.groupBy("to")).applyInArrow(judge, "doc_id long, n_words long, target_loss double, background_loss double, score double")
