@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,11 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
 
 
+def in_directory(path: Column, directory: str) -> Column:
+    """path under the directory as LIKE has it: case is ignored, % and _ stay wildcards."""
+    return F.ilike(path, F.lit(directory.replace("\\", "\\\\") + "%"))
+
+
 def title(content: Column, name: Column) -> Column:
     """The first first-level heading anywhere, else the name."""
     found = F.trim(F.regexp_replace(F.regexp_extract(content, rf"(?md)^#{S}+(.+)", 1), rf"^{S}+|{S}+$", ""))
@@ -55,14 +63,21 @@ def _slug(target: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(target), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+# Fenced code, a reference's id up to version or clause, an id that counts, a wiki link's target, generated links.
+FENCES = r"(?s)```.*?```|~~~.*?~~~"
+REFERENCE = r"""@spec[\t\n\f\r ]+req://([^@#\t\n\f\r "'`]+)"""
+REFERENCE_ID = r"^[a-z0-9][a-z0-9/_-]*\z"
+LINK = r"""\[\[([^\t\n\f\r |#"$\[\]][^|#"$\[\]\n]*)(?:[#|][^\[\]\n]*)?\]\]"""
+GENERATED = r"^_[A-Z]+_"
+
+
 def ref_tags(content: Column) -> Column:
     """spec: and link: tags of the references in the body outside fenced code, specs first, without repeats."""
-    text = F.regexp_replace(F.regexp_replace(body(content), r"(?ms)^```.*?^```", ""), r"(?ms)^~~~.*?^~~~", "")
-    ids = F.regexp_extract_all(text, F.lit(rf"@spec{S}+req://([A-Za-z0-9][A-Za-z0-9/_-]*)"), F.lit(1))
-    specs = F.transform(F.filter(F.transform(ids, lambda x: F.lower(x)), lambda x: x.rlike("^[a-z0-9][a-z0-9/_-]*$")), lambda x: F.concat(F.lit("spec:"), x))
-    targets = F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]|#\n]+)(?:#[^\[\]|\n]*)?(?:\|[^\[\]\n]*)?\]\]"), F.lit(1))
-    named = F.filter(targets, lambda x: ~F.trim(x).rlike("^_[A-Z]+_") & ~x.rlike(r"^[ \t]|[ \t]$|\""))
-    links = F.transform(F.filter(F.transform(named, _slug), lambda x: x != ""), lambda x: F.concat(F.lit("link:"), x))
+    text = F.regexp_replace(body(content), FENCES, "")
+    ids = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, "^/+|/+$", "")))
+    specs = F.transform(F.filter(ids, lambda x: x.rlike(REFERENCE_ID)), lambda x: F.concat(F.lit("spec:"), x))
+    targets = F.filter(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: ~x.rlike(GENERATED))
+    links = F.transform(F.filter(F.transform(targets, _slug), lambda x: x != ""), lambda x: F.concat(F.lit("link:"), x))
     return F.array_distinct(F.concat(specs, links))
 
 
@@ -116,11 +131,13 @@ def unrecognized_fields(fields: Column) -> Column:
 
 
 def parse_frontmatter(content: Column) -> Column:
-    """struct(fields map<string, array<string>>, malformed boolean) of each text's frontmatter; values are the text leaves in order."""
-    @F.pandas_udf("fields map<string,array<string>>, malformed boolean")
+    """struct(fields map<string, array<string>>, id string, malformed boolean) of each text's frontmatter; fields' values are the text leaves in order, id is that field if it is one text."""
+
+    @F.pandas_udf("fields map<string,array<string>>, id string, malformed boolean")
     def parsed(raw: pd.Series) -> pd.DataFrame:
-        found = [frontmatter_fields(x) for x in raw]
-        return pd.DataFrame({"fields": [f for f, _ in found], "malformed": [m for _, m in found]})
+        found = [frontmatter_values(x) for x in raw]
+        ids = [f["id"].strip() if isinstance(f.get("id"), str) else None for f, _ in found]
+        return pd.DataFrame({"fields": [{k: _leaves(v) for k, v in f.items()} for f, _ in found], "id": ids, "malformed": [m for _, m in found]})
 
     return parsed(frontmatter_raw(content))
 
@@ -131,15 +148,10 @@ def _leaves(value) -> list[str]:
     return [x for v in value for x in _leaves(v)] if isinstance(value, list) else []
 
 
-def frontmatter_fields(raw: str | None) -> tuple[dict[str, list[str]], bool]:
-    """(fields, whether it is malformed). A block that is no YAML is tried again with plain top-level values that hold ": " or end with ":" in quotes."""
-    import re
-
+@functools.cache
+def _loader() -> type:
     import yaml
 
-    if not raw:
-        return {}, False
-
     class Loader(yaml.SafeLoader):
         pass
 
@@ -157,21 +169,36 @@ def frontmatter_fields(raw: str | None) -> tuple[dict[str, list[str]], bool]:
         return {str(k): loader.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value, strict=True)}
 
     Loader.add_constructor("tag:yaml.org,2002:map", mapping)
+    return Loader
+
+
+def _relaxed(line: str) -> str:
+    m = re.match(r"^([A-Za-z0-9_-]+):[ \t]+(.*?)[ \t]*$", line)
+    if not m or m[2][:1] in ("'", '"', "[", "{", "|", ">", "&", "*", "!", "#") or not (": " in m[2] or m[2].endswith(":")):
+        return line
+    return f"{m[1]}: '" + m[2].replace("'", "''") + "'"
 
-    def relaxed(line: str) -> str:
-        m = re.match(r"^([A-Za-z0-9_-]+):[ \t]+(.*?)[ \t]*$", line)
-        if not m or m[2][:1] in ("'", '"', "[", "{", "|", ">", "&", "*", "!", "#") or not (": " in m[2] or m[2].endswith(":")):
-            return line
-        return f"{m[1]}: '" + m[2].replace("'", "''") + "'"
 
-    for text in (raw, "\n".join(map(relaxed, raw.split("\n")))):
+def frontmatter_values(raw: str | None) -> tuple[dict[str, object], bool]:
+    """(values by field, whether the block is malformed). A block that is no YAML is tried again with plain top-level values that hold ": " or end with ":" in quotes."""
+    import yaml
+
+    if not raw:
+        return {}, False
+    for text in (raw, "\n".join(map(_relaxed, raw.split("\n")))):
         try:
-            got = yaml.load(text, Loader)
+            got = yaml.load(text, _loader())
         except (yaml.YAMLError, ValueError):
             continue
         if got is None:
             return {}, False
         if isinstance(got, dict):
-            return {k: _leaves(v) for k, v in got.items()}, False
+            return got, False
         break
     return {}, True
+
+
+def frontmatter_fields(raw: str | None) -> tuple[dict[str, list[str]], bool]:
+    """(text leaves by field, whether the block is malformed)."""
+    values, malformed = frontmatter_values(raw)
+    return {k: _leaves(v) for k, v in values.items()}, malformed

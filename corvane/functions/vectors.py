@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,26 @@ def round4(w: Column) -> Column:
     return (w * 1e4 + 0.5).cast("bigint") / 1e4
 
 
+def encoded(v: Column) -> Column:
+    """Vectors as little-endian floats of four bytes."""
+
+    @F.pandas_udf("binary")
+    def packed(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return packed(v)
+
+
+def decoded(raw: Column) -> Column:
+    """The vectors of such bytes; what is left behind the last four is dropped."""
+
+    @F.pandas_udf("array<float>")
+    def unpacked(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else np.frombuffer(x, "<f4", len(x) // 4))
+
+    return unpacked(raw)
+
+
 def encode(v: list[float]) -> bytes:
     import struct
 

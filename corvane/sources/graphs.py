@@ -20,6 +20,39 @@ def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.join(ends, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("norm_label", label), links
 
 
+def count_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(n): the number of a node-link file's nodes; 0 if it can't be read as one."""
+    raw = spark.read.schema("nodes array<string>").option("multiLine", True).json(path)
+    return raw.agg(F.coalesce(F.sum(F.greatest(F.size("nodes"), F.lit(0))), F.lit(0)).cast("long").alias("n"))
+
+
+class GraphCache:
+    """Graphs by path and time of change: a file that was written anew is read anew, one that is as it was is not. A file that is gone is no graph."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def get(self, path: str) -> tuple[DataFrame, DataFrame] | None:
+        known = self.held.get(path)
+        try:
+            mtime = os.stat(path).st_mtime_ns
+        except FileNotFoundError:
+            if known:
+                self._drop(path)
+            return None
+        if known and known[0] == mtime:
+            return known[1]
+        if known:
+            self._drop(path)
+        graph = tuple(df.cache() for df in (code_graph(self.spark, path) if kind_of_file(path) == "code" else node_link(self.spark, path)))
+        self.held[path] = mtime, graph
+        return graph
+
+    def _drop(self, path: str) -> None:
+        for df in self.held.pop(path)[1]:
+            df.unpersist()
+
+
 def _open(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
 

@@ -10,6 +10,10 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .files import skip_names
 
 
@@ -39,9 +43,22 @@ def parse_line(line: str) -> Repo | None:
     return Repo(parts[0].strip(), parts[1].strip(), skip, added)
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """lines (line, ...) with name, path, skip and added_unix of each; all null where a line is not valid."""
+
+    @F.pandas_udf("name string, path string, skip array<string>, added_unix long")
+    def read(line: pd.Series) -> pd.DataFrame:
+        found = [parse_line(x) for x in line]
+        return pd.DataFrame([(None, None, None, None) if r is None else (r.name, r.path, r.skip, int(r.added_at.timestamp()) if r.added_at else None) for r in found], columns=["name", "path", "skip", "added_unix"]).astype({"added_unix": "Int64"})
+
+    return lines.withColumn("_repo", read("line")).select(*lines.columns, "_repo.*")
+
+
 def format_line(repo: Repo) -> str:
-    at = repo.added_at.strftime("%Y-%m-%dT%H:%M:%SZ") if repo.added_at else ""
-    return "|".join([repo.name, repo.path, ",".join(repo.skip), at])
+    """name|path, and behind it the skipped folders and the time only if there are any; the time is the fourth field."""
+    skip = ",".join(skip_names(repo.skip))
+    at = [skip, repo.added_at.strftime("%Y-%m-%dT%H:%M:%SZ")] if repo.added_at else [skip] if skip else []
+    return "|".join([repo.name, repo.path, *at])
 
 
 def load(path: str) -> list[Repo]:
@@ -79,15 +96,24 @@ def render_project(names: list[str]) -> str:
     return "repositories:\n" + "".join(f"  - {n}\n" for n in names)
 
 
+class GitError(RuntimeError):
+    pass
+
+
 def changed_files(root: str, last: str | None, types: tuple[str, ...] = ("md", "mdx", "txt")) -> tuple[list[str], str | None]:
-    """(paths, head): what git has changed since last, with renames as two files, and in the work tree; all tracked files if last is None."""
+    """(paths, head): what git has changed since last, with renames as two files, and in the work tree; all tracked files if last is None. ([], None) where there is no commit; a git that fails otherwise is an error, not an empty answer: GitError."""
 
     def git(*args: str) -> list[str]:
         got = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=60)
-        return [x for x in got.stdout.split("\0") if x] if got.returncode == 0 else []
-
-    head = (git("rev-parse", "HEAD") or [""])[0].strip() or None
-    names = set(git("ls-files", "-z")) if not last else set(git("diff", "--name-only", "--no-renames", "-z", last, "HEAD"))
+        if got.returncode:
+            raise GitError(f"git {args[0]}: {got.stderr.strip()}")
+        return [x for x in got.stdout.split("\0") if x]
+
+    try:
+        head = git("rev-parse", "--verify", "HEAD")[0].strip()
+    except GitError:
+        return [], None
+    names = set(git("ls-files", "-z")) if not last else set(git("diff", "--name-only", "--no-renames", "-z", last, head)) if last != head else set()
     names |= set(git("diff", "--name-only", "--no-renames", "-z")) | set(git("diff", "--cached", "--name-only", "--no-renames", "-z")) | set(git("ls-files", "--others", "--exclude-standard", "-z"))
     return sorted(n for n in names if n.rpartition(".")[2].lower() in types), head
 

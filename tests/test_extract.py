@@ -18,6 +18,12 @@ def test_reference_tags(spark):
         'if [[ -d "$x" ]]; then': [],
         "```\n[[Inside]]\n```\n[[Outside]]": ["link:outside"],
         "req://<path>/<id>": [],
+        "@spec req://foo.bar@1#c": [],
+        "@spec req://a/b/": ["spec:a/b"],
+        "[[$x]] [[a$b]]": [],
+        "[[foo ]] [[ foo]] [[Foo]]": ["link:foo"],
+        "see ```[[in-code]]``` and\n  ~~~\n[[indent]]\n  ~~~ [[out]]": ["link:out"],
+        "[[_AB_x]] [[_ab_x]] [[A & B]] [[-]]": ["link:ab-x", "link:a-b"],
     }
     for text, want in cases.items():
         assert one(spark, text, extract.ref_tags(F.col("content")))[0] == want, text
