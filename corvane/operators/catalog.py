@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fts import Index, Node, Phrase, search
+from ..functions.extract import in_directory
 from ..functions.text import tokens_of
+from .fts import Index, Node, Phrase, search
 
 
 def projects(specs: DataFrame) -> DataFrame:
@@ -46,11 +47,6 @@ def by_tag(specs: DataFrame, tag: str) -> DataFrame:
     return specs.where(F.exists("tags", lambda t: F.lower(t) == tag.lower())).orderBy("repo", "name", "path")
 
 
-def in_directory(path: Column, directory: str) -> Column:
-    """path under the directory as LIKE has it: case is ignored, % and _ stay wildcards."""
-    return F.ilike(path, F.lit(directory.replace("\\", "\\\\") + "%"))
-
-
 def read(specs: DataFrame, name: str, repo: str | None = None, directory: str | None = None) -> DataFrame:
     """The specs of that name, whatever its case: none is an error for the caller, one is the answer, more are ambiguous."""
     found = specs.where(F.lower("name") == name.lower())
@@ -68,21 +64,46 @@ def excluding(rows: DataFrame, patterns: list[str]) -> DataFrame:
     return rows
 
 
+def looked_up(specs: DataFrame, name: str, repo: str | None = None, directory: str | None = None) -> tuple[str, list[dict]]:
+    """("none", []), ("one", [the spec]) or ("many", the choices): what reading a spec by its name comes to. Of many, a hundred are listed."""
+    fields = [c for c in ("spec_id", "repo", "project", "name", "path") if c in specs.columns]
+    found = [r.asDict() for r in read(specs, name, repo, directory).select(*fields).limit(100).collect()]
+    return ("none" if not found else "one" if len(found) == 1 else "many"), found
+
+
 def related_query(name: str, title: str, own_tags: list[str]) -> Node | Phrase | None:
+    """Any of the tags and title words of more than three bytes, but none that is the name; a term that comes twice counts twice."""
     words = [w.strip("\"':.,!?") for w in title.split()]
-    terms = [*own_tags, *(w for w in words if len(w.encode()) > 3 and w.lower() != name.lower())]
-    parts = [Phrase(tokens_of(t)) for t in dict.fromkeys(terms)]
+    terms = [t for t in own_tags if t.strip()] + [w for w in words if len(w.encode()) > 3]
+    parts = [Phrase(tokens_of(t)) for t in terms if t.strip().lower() != name.lower()]
     return None if not parts else Node("OR", parts) if len(parts) > 1 else parts[0]
 
 
-def related(specs: DataFrame, idx: Index, name: str, n: int = 10) -> DataFrame:
-    """(spec_id, repo, path, name, rank): the specs nearest by tags and title words to the first of that name, which are left out."""
+def related(specs: DataFrame, idx: Index, name: str, n: int | None = 10) -> DataFrame:
+    """(spec_id, repo, path, project, name, rank): the specs nearest by tags and title words to the first of that name, which are left out. A name that no spec has is a LookupError."""
     first = specs.where(F.lower("name") == name.lower()).orderBy("repo", "path").select("name", "title", "tags").limit(1).collect()
-    query = related_query(first[0]["name"], first[0]["title"] or "", list(first[0]["tags"] or [])) if first else None
-    text = "" if query is None else " OR ".join('"' + " ".join(p.terms) + '"' for p in ([query] if isinstance(query, Phrase) else query.parts) if p.terms)
-    hits = search(idx, text)
-    found = hits.join(specs.select("spec_id", "repo", "path", "project", "name"), "spec_id").where(F.lower("name") != name.lower())
-    return found.orderBy("rank", "repo", "path").limit(n)
+    if not first:
+        raise LookupError(f"no spec is named {name!r}")
+    query = related_query(name, first[0]["title"] or "", list(first[0]["tags"] or []))
+    found = search(idx, "" if query is None else query).join(specs.select("spec_id", "repo", "path", "project", "name"), "spec_id")
+    ordered = found.where(F.lower("name") != name.lower()).orderBy("rank", "repo", "path")
+    return ordered if n is None else ordered.limit(n)
+
+
+def shadowed(names: list[str], removed: list[str]) -> list[str]:
+    """names without those removed, in order."""
+    gone = {n.strip() for n in removed}
+    return [n for n in names if n not in gone]
+
+
+def unknown(entries: DataFrame, valid: DataFrame) -> DataFrame:
+    """entries (name) that are not among the valid ones (name)."""
+    return entries.join(valid.select("name").distinct(), "name", "left_anti")
+
+
+def names_by_tag(specs: DataFrame) -> DataFrame:
+    """(tag, names): the names of each tag's specs as one text, in order; as long as the tag's names are."""
+    return specs.select(F.explode("tags").alias("tag"), "name").groupBy("tag").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
 
 def extension_facets(rows: DataFrame) -> DataFrame:

@@ -10,13 +10,17 @@ from ..session import cut
 CALLS, FOUND, RELATED, HUBS, HOPS, BLAST = "CALLS", 50, 200, 20, 2, 50
 
 
-def find(nodes: DataFrame, query: str, limit: int = FOUND) -> DataFrame:
-    """Nodes whose name or qualified name is LIKE the query within; exact names first, then ends after a dot, then short ones."""
+def held(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes whose name or qualified name is LIKE the query within; place is 0 for exact names, 1 for ends after a dot, else 2."""
     q = query.lower()
     like = "%" + q.replace("\\", "\\\\") + "%"
     place = F.when(F.lower("name") == q, 0).when(F.endswith(F.lower("qualified_name"), F.lit("." + q)), 1).otherwise(2)
-    held = nodes.where(F.lower("name").like(like) | F.lower("qualified_name").like(like))
-    return held.withColumn("place", place).orderBy("place", F.length("qualified_name"), "qualified_name").limit(limit)
+    return nodes.where(F.lower("name").like(like) | F.lower("qualified_name").like(like)).withColumn("place", place)
+
+
+def find(nodes: DataFrame, query: str, limit: int = FOUND) -> DataFrame:
+    """The first of held() by place, short ones before long ones."""
+    return held(nodes, query).orderBy("place", F.length("qualified_name"), "qualified_name").limit(limit)
 
 
 def node(nodes: DataFrame, qualified: str) -> DataFrame:
@@ -45,7 +49,7 @@ def hubs(nodes: DataFrame, edges: DataFrame, limit: int = HUBS) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(qualified_name, hop): what lies within so many steps of seeds (qualified_name), either way, each at its least distance."""
     links = edges.select(F.col("source_qualified").alias("from"), F.col("target_qualified").alias("to"))
-    both = links.union(links.select("to", "from")).distinct()
+    both = cut(links.union(links.select("to", "from")).distinct())
     seen = seeds.select("qualified_name", F.lit(0).alias("hop"))
     front = seen
     for hop in range(1, hops + 1):
@@ -55,8 +59,14 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def blast_radius(nodes: DataFrame, edges: DataFrame, seed: str, hops: int = HOPS, cap: int = BLAST) -> tuple[DataFrame, bool]:
+    """(blast(), whether there was more than the cap holds)."""
+    start = edges.sparkSession.createDataFrame([(seed,)], "qualified_name string")
+    found = cut(reach(edges, start, hops).where("hop > 0").orderBy("hop", "qualified_name").limit(cap + 1))
+    nearest = found.orderBy("hop", "qualified_name").limit(cap)
+    return nearest.join(nodes, "qualified_name").orderBy("hop", "qualified_name"), found.count() > cap
+
+
 def blast(nodes: DataFrame, edges: DataFrame, seed: str, hops: int = HOPS, cap: int = BLAST) -> DataFrame:
     """The nodes within so many hops of the seed, without it, the nearest first, cap at most; names without a node count towards the cap."""
-    start = edges.sparkSession.createDataFrame([(seed,)], "qualified_name string")
-    found = reach(edges, start, hops).where("hop > 0").orderBy("hop", "qualified_name").limit(cap)
-    return found.join(nodes, "qualified_name").orderBy("hop", "qualified_name")
+    return blast_radius(nodes, edges, seed, hops, cap)[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.extract import in_directory
 from ..functions.text import stem, stemmed, tokens, tokens_of
 
 COLUMNS = ("repo", "name", "title", "tags", "summary", "content")
@@ -186,66 +187,108 @@ def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> Node | Phrase | Nea
 
 @dataclass
 class Index:
-    """postings (spec_id, col, pos, term), lengths (spec_id, n_tokens). Written by term, Parquet's statistics prune them."""
+    """postings (term, spec_id, col, pos, n_tokens), lengths (spec_id, n_tokens). Written in order of term, Parquet's statistics prune them; a posting has its spec's length, so a query reads nothing but the postings of its terms and one row of totals."""
 
     postings: DataFrame
     lengths: DataFrame
     porter: bool = False
+    totals: DataFrame | None = None
+    columns: tuple[str, ...] = COLUMNS
+
+    def whole(self) -> DataFrame:
+        """One row: the number of specs and their mean length."""
+        return self.totals if self.totals is not None else _totals(self.lengths)
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
 
 
 def index(specs: DataFrame, columns: tuple[str, ...] = COLUMNS, porter: bool = False) -> Index:
     flat = {c: F.concat_ws(", ", c) if dict(specs.dtypes)[c].startswith("array") else F.col(c) for c in columns}
     arrays = specs.select("spec_id", *(tokens(v).alias(c) for c, v in flat.items()))
-    lengths = arrays.select("spec_id", sum((F.size(c) for c in columns), F.lit(0)).cast("long").alias("n_tokens"))
-    spread = None
-    for c in columns:
-        one = arrays.select("spec_id", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term"))
-        spread = one if spread is None else spread.union(one)
-    return Index(stemmed(spread) if porter else spread, lengths, porter)
+    n = sum((F.size(c) for c in columns), F.lit(0)).cast("long").alias("n_tokens")
+    # All columns' tokens as one array, so a text is tokenised once, whatever the number of columns.
+    placed = F.concat(*(_placed(c) for c in columns))
+    spread = arrays.select("spec_id", n, F.explode(placed).alias("p")).select("p.term", "spec_id", "p.col", "p.pos", "n_tokens")
+    return Index(stemmed(spread) if porter else spread, arrays.select("spec_id", n), porter, None, columns)
+
+
+def _placed(column: str) -> Column:
+    return F.transform(F.col(column), lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("col"), i.alias("pos")))
 
 
 def save(idx: Index, path: str) -> None:
     """The index as Parquet, postings in order of term: a query's terms then prune all but a few row groups."""
     idx.postings.repartitionByRange("term", "spec_id").sortWithinPartitions("term", "spec_id", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     idx.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    _totals(idx.lengths.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def load(spark: SparkSession, path: str, porter: bool = False, columns: tuple[str, ...] = COLUMNS) -> Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("postings"), read("lengths"), porter, read("totals"), columns)
+
+
+def updated(idx: Index, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> Index:
+    """The index after specs were changed or added (rows of specs) and others deleted (spec_id): what these had goes, and what the changed ones have now comes. Equal to an index of all specs made anew; written with save() to another path."""
+    new = None if changed is None else index(changed, idx.columns, idx.porter)
+    gone = [x.select("spec_id") for x in (changed, deleted) if x is not None]
+    if not gone:
+        return idx
+    old = functools.reduce(DataFrame.union, gone).distinct()
+    left = lambda df: df.join(old, "spec_id", "left_anti").select(*df.columns)
+    postings, lengths = left(idx.postings), left(idx.lengths)
+    if new is not None:
+        postings, lengths = postings.unionByName(new.postings), lengths.unionByName(new.lengths)
+    return Index(postings, lengths, idx.porter, None, idx.columns)
+
+
+def _wanted(phrase: Phrase, k: int, porter: bool) -> tuple[str, bool]:
+    """The k-th term of a phrase as the index has it, and whether it is a prefix."""
+    prefix = phrase.prefix and k == len(phrase.terms) - 1
+    return (stem(phrase.terms[k]) if porter and not prefix else phrase.terms[k]), prefix
 
 
-def load(spark: SparkSession, path: str, porter: bool = False) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), porter)
+def _is(term: Column, wanted: tuple[str, bool]) -> Column:
+    return term.startswith(wanted[0]) if wanted[1] else term == wanted[0]
 
 
-def _wanted(phrase: Phrase, k: int, porter: bool) -> Column:
-    term = stem(phrase.terms[k]) if porter and not (phrase.prefix and k == len(phrase.terms) - 1) else phrase.terms[k]
-    if phrase.prefix and k == len(phrase.terms) - 1:
-        return F.col("term").startswith(term)
-    return F.col("term") == term
+#: A place is the column's number in the upper bits and the position in the lower, so neighbours are of one column.
+COLUMN = 1 << 32
 
 
-def instances(idx: Index, phrase: Phrase) -> DataFrame:
-    """(spec_id, col, pos) of each place where the phrase stands; the filter on terms reaches the scan of postings."""
-    own = idx.postings if phrase.columns is None else idx.postings.where(F.col("col").isin(*phrase.columns) if phrase.columns else F.lit(False))
-    if not phrase.terms:
-        return own.where(F.lit(False)).select("spec_id", "col", "pos")
-    out = own.where(_wanted(phrase, 0, idx.porter)).select("spec_id", "col", "pos")
-    for k in range(1, len(phrase.terms)):
-        out = out.join(own.where(_wanted(phrase, k, idx.porter)).select("spec_id", "col", (F.col("pos") - k).alias("pos")), ["spec_id", "col", "pos"])
-    return out.where("pos = 0") if phrase.first else out
+def _places(idx: Index, wanted: set[tuple[str, bool]]) -> DataFrame:
+    """(spec_id, n_tokens, places array<struct<term, at>>): where the wanted terms stand, by one scan of their postings."""
+    exact, prefixes = sorted(t for t, p in wanted if not p), sorted(t for t, p in wanted if p)
+    held = F.col("term").isin(exact) if exact else F.lit(False)
+    for t in prefixes:
+        held = held | F.col("term").startswith(t)
+    number = F.array_position(F.array(*map(F.lit, idx.columns)), F.col("col")) - 1
+    at = (number * COLUMN + F.col("pos")).alias("at")
+    return idx.postings.where(held).groupBy("spec_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(F.struct("term", at)).alias("places"))
 
 
-def _near(idx: Index, near: Near) -> list[DataFrame]:
-    """The instances of each phrase that stand in groups of all phrases with at most distance tokens between the first's end and the last's start."""
-    if len(near.phrases) > 2:
-        return _near_many(idx, near)
-    met = None
-    for k, p in enumerate(near.phrases):
-        own = instances(idx, p).select("spec_id", "col", F.col("pos").alias(f"p{k}"))
-        met = own if met is None else met.join(own, ["spec_id", "col"])
-    ends = [F.col(f"p{k}") + len(p.terms) for k, p in enumerate(near.phrases)]
-    starts = [F.col(f"p{k}") for k in range(len(near.phrases))]
-    last = F.greatest(*starts) if len(starts) > 1 else starts[0]
-    first = F.least(*ends) if len(ends) > 1 else ends[0]
-    kept = met.where(last - first <= near.distance)
-    return [kept.select("spec_id", "col", F.col(f"p{k}").alias("pos")).distinct() for k in range(len(near.phrases))]
+def _standing(wanted: tuple[str, bool], back: int) -> Column:
+    """The places of a term, so far back."""
+    return F.transform(F.filter("places", lambda x: _is(x["term"], wanted)), lambda x: x["at"] - back)
+
+
+def _instances(idx: Index, phrase: Phrase) -> Column:
+    """The places where the phrase begins."""
+    none = F.expr("cast(array() as array<bigint>)")
+    if not phrase.terms or phrase.columns == ():
+        return none
+    out = None
+    for k in range(len(phrase.terms)):
+        own = _standing(_wanted(phrase, k, idx.porter), k)
+        out = own if out is None else F.array_intersect(out, own)
+    if phrase.first:
+        out = F.filter(out, lambda x: x % COLUMN == 0)
+    if phrase.columns is not None:
+        numbers = [idx.columns.index(c) for c in phrase.columns if c in idx.columns]
+        out = F.filter(out, lambda x: F.floor(x / COLUMN).isin(numbers)) if numbers else none
+    return out
 
 
 def sweep(places: list[list[int]], lengths: list[int], distance: int) -> list[list[int]]:
@@ -266,61 +309,45 @@ def sweep(places: list[list[int]], lengths: list[int], distance: int) -> list[li
     return out
 
 
-def _near_many(idx: Index, near: Near) -> list[DataFrame]:
-    """As _near(), for three phrases and more: a document's places of a column, as arrays, in one Arrow batch call."""
-    met = None
-    for k, p in enumerate(near.phrases):
-        own = instances(idx, p).groupBy("spec_id", "col").agg(F.sort_array(F.collect_list("pos")).alias(f"p{k}"))
-        met = own if met is None else met.join(own, ["spec_id", "col"])
+def _swept(near: Near) -> Column:
+    """Of each phrase of a NEAR group, the number of instances that stand in groups of all with at most distance tokens between; documents by Arrow batches."""
     lengths = [len(p.terms) for p in near.phrases]
 
-    @F.pandas_udf("array<array<int>>")
-    def swept(*columns: pd.Series) -> pd.Series:
-        return pd.Series([sweep([list(x) for x in row], lengths, near.distance) for row in zip(*columns, strict=True)])
+    @F.pandas_udf("array<bigint>")
+    def counted(*columns: pd.Series) -> pd.Series:
+        return pd.Series([[len(x) for x in sweep([list(x) for x in row], lengths, near.distance)] for row in zip(*columns, strict=True)])
 
-    kept = met.select("spec_id", "col", swept(*(f"p{k}" for k in range(len(lengths)))).alias("kept"))
-    return [kept.select("spec_id", "col", F.explode(F.col("kept")[k]).alias("pos")) for k in range(len(lengths))]
+    return counted(*(F.sort_array(f"in{p.number}") for p in near.phrases))
 
 
-def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: DataFrame | None = None) -> DataFrame:
-    """(spec_id, rank) of the specs that match; less is better. Frequencies are those of the whole index, whatever the scope (spec_id) is."""
-    tree = parse(query, columns)
-    if tree is None:
-        return idx.lengths.where(F.lit(False)).select("spec_id", F.lit(0.0).alias("rank"))
-    found, numbered, near_numbers = None, [], set()
+def _nears(node) -> list[Near]:
+    return [node] if isinstance(node, Near) else [] if isinstance(node, Phrase) else [n for x in node.parts for n in _nears(x)]
 
-    def add(df: DataFrame, p: Phrase) -> None:
-        nonlocal found
-        p.number = len(numbered)
-        numbered.append(p)
-        df = df.select("spec_id", F.lit(p.number).alias("phrase"))
-        found = df if found is None else found.union(df)
 
-    def collect(node) -> None:
-        nonlocal found
-        if isinstance(node, Phrase):
-            add(instances(idx, node), node)
-        elif isinstance(node, Near):
-            for df, p in zip(_near(idx, node), node.phrases, strict=True):
-                add(df, p)
-                # How many documents have the phrase at all tells how rare it is.
-                near_numbers.add(p.number)
-                found = found.union(instances(idx, p).select("spec_id", F.lit(-1 - p.number)))
-        else:
-            for x in node.parts:
-                collect(x)
-
-    collect(tree)
+def search(idx: Index, query: str | Node | Phrase | Near, columns: tuple[str, ...] | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """(spec_id, rank) of the specs that match a query, or one that is parsed already; less is better. Frequencies are those of the whole index, whatever the scope (spec_id) is."""
+    tree = parse(query, columns or idx.columns) if isinstance(query, str) else query
+    if tree is None:
+        return idx.lengths.where(F.lit(False)).select("spec_id", F.lit(0.0).alias("rank"))
+    numbered = phrases(tree)
+    for k, p in enumerate(numbered):
+        p.number = k
+    wanted = {_wanted(p, k, idx.porter) for p in numbered for k in range(len(p.terms))}
+    counts = _places(idx, wanted).select("spec_id", "n_tokens", *(_instances(idx, p).alias(f"in{p.number}") for p in numbered))
+    for k, near in enumerate(_nears(tree)):
+        counts = counts.withColumn(f"near{k}", _swept(near))
+    frequency = {p.number: F.size(f"in{p.number}") for p in numbered}  # how many documents have the phrase at all tells how rare it is
+    times = dict(frequency)
+    for k, near in enumerate(_nears(tree)):
+        times |= {p.number: F.col(f"near{k}")[i] for i, p in enumerate(near.phrases)}
+    counts = counts.select("spec_id", "n_tokens", *(times[p.number].alias(f"tf{p.number}") for p in numbered), *(frequency[p.number].alias(f"any{p.number}") for p in numbered))
     has = lambda p: F.col(f"tf{p.number}") > 0
 
     def truth(node) -> Column:
         if isinstance(node, Phrase):
             return has(node)
         if isinstance(node, Near):
-            out = has(node.phrases[0])
-            for p in node.phrases[1:]:
-                out &= has(p)
-            return out
+            return functools.reduce(lambda a, p: a & has(p), node.phrases[1:], has(node.phrases[0]))
         parts = [truth(x) for x in node.parts]
         out = parts[0]
         for x in parts[1:]:
@@ -332,12 +359,9 @@ def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: Da
             return scored(node.parts[0])
         return phrases(node) if not isinstance(node, Node) else [p for x in node.parts for p in scored(x)]
 
-    counts = found.groupBy("spec_id").agg(*(F.count_if(F.col("phrase") == p.number).alias(f"tf{p.number}") for p in numbered), *(F.count_if(F.col("phrase") == -1 - k).alias(f"any{k}") for k in sorted(near_numbers)))
-    frequencies = counts.agg(*(F.count_if(F.col(f"any{p.number}") > 0 if p.number in near_numbers else has(p)).alias(f"df{p.number}") for p in numbered))
-    whole = idx.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
+    frequencies = counts.agg(*(F.count_if(F.col(f"any{p.number}") > 0).alias(f"df{p.number}") for p in numbered))
     # Two rows of sums: their size doesn't grow with the data.
-    rows = counts.where(truth(tree)).join(F.broadcast(frequencies.crossJoin(whole)))
-    rows = rows.join(idx.lengths, "spec_id")
+    rows = counts.where(truth(tree)).join(F.broadcast(frequencies.crossJoin(idx.whole())))
     score = F.lit(0.0)
     for p in scored(tree):
         n, tf = F.col(f"df{p.number}"), F.col(f"tf{p.number}").cast("double")
@@ -347,3 +371,15 @@ def search(idx: Index, query: str, columns: tuple[str, ...] = COLUMNS, scope: Da
     return out if scope is None else out.join(scope, "spec_id", "left_semi")
 
 
+#: The fields of a hit.
+HIT = ("spec_id", "repo", "project", "name", "title", "tags", "path", "ext")
+
+
+def search_specs(idx: Index, specs: DataFrame, query: str, repos: list[str] | None = None, directory: str | None = None, limit: int | None = 200) -> DataFrame:
+    """The best hits with the fields of their specs and their rank, of some repositories (an empty list: none) and of a directory if one is given."""
+    wanted = specs if repos is None else specs.where(F.col("repo").isin(repos) if repos else F.lit(False))
+    if directory:
+        wanted = wanted.where(in_directory(F.col("path"), directory))
+    fields = [c for c in HIT if c in specs.columns]
+    found = search(idx, query).join(wanted.select(*fields), "spec_id").select(*fields, "rank").orderBy("rank", "spec_id")
+    return found if limit is None else found.limit(limit)

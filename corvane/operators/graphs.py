@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,38 @@ from ..functions.vectors import dot, round4
 from ..session import cut
 
 CAP, LEAST = 8, 0.3
+#: Queries that are broadcast at once.
+QUERIES = 4096
+#: Rows of one side of a tile.
+TILE = 1024
+
+
+def _tiled(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows (keys, id, ...) twice, with first and second: joined on keys and these, each pair of rows of equal keys meets once, in tiles of TILE rows a side at most or so; a large group is many tiles and not one task's."""
+    tiles = rows.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    own = rows.join(tiles, keys).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    one = own.withColumn("second", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumnRenamed("tile", "first")
+    two = own.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), "tile"))).withColumnRenamed("tile", "second")
+    return one.drop("tiles"), two.drop("tiles")
 
 
 def pairs_of_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """(block, a, b, weight): pairs a < b of one block (a repo) whose cosine is the threshold or more; vectors: block, id, vec of length 1."""
-    one, two = vectors.select("block", F.col("id").alias("a"), F.col("vec").alias("va")), vectors.select("block", F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return one.join(two, "block").where("a < b").select("block", "a", "b", dot(F.col("va"), F.col("vb")).alias("weight")).where(F.col("weight") >= least)
+    one, two = _tiled(vectors.select("block", "id", "vec"), ["block"])
+    met = one.join(two.select("block", "first", "second", F.col("id").alias("other"), F.col("vec").alias("near")), ["block", "first", "second"]).where("first < second and id <> other or id < other")
+    return met.select("block", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), dot(F.col("vec"), F.col("near")).alias("weight")).where(F.col("weight") >= least)
 
 
 def pairs_of_tags(tagged: DataFrame) -> DataFrame:
     """(block, a, b, weight): the Jaccard similarity of the tag sets of pairs a < b of one block with a tag in common; tagged: block, id, tags."""
     sets = tagged.select("block", "id", F.array_distinct(F.filter(F.transform("tags", lambda t: F.lower(F.trim(t))), lambda t: t != "")).alias("tags"))
-    spread = sets.select("block", "id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    met = spread.alias("x").join(spread.alias("y"), ["block", "tag"]).where("x.id < y.id")
-    return met.groupBy("block", F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c")).select("block", "a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("weight"))
+    spread = sets.select("block", "id", "tags", F.explode("tags").alias("tag"))
+    one, two = _tiled(spread, ["block", "tag"])
+    met = one.join(two.select("block", "tag", "first", "second", F.col("id").alias("other"), F.col("tags").alias("near")), ["block", "tag", "first", "second"]).where("first < second and id <> other or id < other")
+    common = F.array_intersect("tags", "near")
+    # A pair meets at each tag that it shares; the smallest of them alone counts it, so nothing is gathered.
+    once = met.where(F.col("tag") == F.array_min(common))
+    return once.select("block", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), (F.size(common) / F.size(F.array_union("tags", "near"))).alias("weight"))
 
 
 def capped(pairs: DataFrame, cap: int = CAP, rounds: int = 1000) -> DataFrame:
@@ -60,10 +80,23 @@ def links(pairs: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(query, id, cosine, place): each query's k nearest vectors; queries: query, qvec and few, so they are broadcast beside each vector."""
+    """(query, id, cosine, place): each query's k nearest vectors; queries: query (not null, each once), qvec.
+
+    Queries are taken in blocks of QUERIES at most, each broadcast beside all vectors; a task keeps its k best of each query, so what is shuffled is tasks x queries x k rows and not all pairs."""
+    n = queries.count()
+    blocks = -(-n // QUERIES)
+    if blocks > 1:
+        # A block by hash may be larger than QUERIES by chance, hence twice as many.
+        parts = [queries.where(F.pmod(F.xxhash64("query"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
+        return functools.reduce(DataFrame.union, (_nearest(q, vectors, k, least) for q in parts))
+    return _nearest(queries, vectors, k, least)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None) -> DataFrame:
     met = vectors.join(F.broadcast(queries), F.col("id") != F.col("query")).select("query", "id", dot(F.col("qvec"), F.col("vec")).alias("cosine"))
     if least is not None:
         met = met.where(F.col("cosine") >= least)
+    # Spark keeps the k first rows of each query in each task before the shuffle (window group limit).
     return met.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))).where(F.col("place") <= k)
 
 
@@ -78,6 +111,13 @@ def ego(query: DataFrame, vectors: DataFrame, seeds: int = 10, k: int = CAP, lea
     return nodes, pairs
 
 
+def by_tag(specs: DataFrame, vectors: DataFrame, tag: str, least: float = LEAST, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of the specs that have a tag, whatever its case, and a vector (spec_id, vec); near ones are linked, cap links a node at most, over all repos."""
+    own = specs.where(F.exists("tags", lambda t: F.lower(t) == tag.lower())).join(vectors.select("spec_id", "vec"), "spec_id")
+    nodes = own.select(F.col("spec_id").alias("id"), F.coalesce(F.nullif("title", F.lit("")), "name").alias("label"), "repo", "project")
+    return nodes, links(pairs_of_vectors(own.select(F.lit("").alias("block"), F.col("spec_id").alias("id"), "vec"), least), cap)
+
+
 def degrees(links: DataFrame) -> DataFrame:
     """(id, degree) over links (source, target); a loop counts twice."""
     return links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))

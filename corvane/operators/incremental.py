@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files, registry
 from .kg import fingerprint, resolve
 
 
@@ -38,3 +42,108 @@ def resolved_if_changed(before: tuple[DataFrame, DataFrame], after: tuple[DataFr
     """nodes as they are if declarations and edges have the same fingerprint, else resolved anew."""
     same = fingerprint(*before).collect() == fingerprint(*after).collect()  # one row each
     return nodes if same else resolve(*after)
+
+
+TABLES = ("specs", "decls", "edges", "nodes")
+META = "key string, value string"
+
+
+@dataclass
+class Store:
+    """The tables of all registered repos in a folder that all machines share. Each change writes a version beside the one that readers have, and then moves the pointer to it, so nobody reads half a change."""
+
+    spark: SparkSession
+    path: str
+
+    def _system(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self) -> str | None:
+        """The version that the newest pointer names; a pointer is an empty file, so it is there or not."""
+        pointers = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-*")
+        found = sorted(x.getPath().getName() for x in (self._system().globStatus(pointers) or []))
+        return found[-1].split("-", 2)[2] if found else None
+
+    def tables(self) -> dict[str, DataFrame]:
+        at = self.version()
+        return {} if at is None else {t: self.spark.read.parquet(f"{self.path}/{at}/{t}") for t in TABLES}
+
+    def meta(self) -> dict[str, str]:
+        at = self.version()
+        return {} if at is None else {r["key"]: r["value"] for r in self.spark.read.parquet(f"{self.path}/{at}/meta").collect()}
+
+    def put(self, tables: dict[str, DataFrame], meta: dict[str, str]) -> None:
+        """A new version of all tables; that before the last one goes."""
+        Path, system = self.spark._jvm.org.apache.hadoop.fs.Path, self._system()
+        old = sorted(x.getPath().getName() for x in (system.globStatus(Path(f"{self.path}/current-*")) or []))
+        own = uuid.uuid4().hex
+        for name in TABLES:
+            tables[name].write.parquet(f"{self.path}/{own}/{name}")
+        self.spark.createDataFrame(sorted(meta.items()), META).coalesce(1).write.parquet(f"{self.path}/{own}/meta")
+        number = int(old[-1].split("-", 2)[1]) + 1 if old else 0
+        system.create(Path(f"{self.path}/current-{number:012d}-{own}")).close()
+        for name in old[:-1]:
+            system.delete(Path(f"{self.path}/{name}"), False)
+            system.delete(Path(f"{self.path}/{name.split('-', 2)[2]}"), True)
+
+
+
+
+def _specs(spark: SparkSession, repo: registry.Repo) -> DataFrame:
+    return files.specs(files.with_companions(files.read_folder(spark, repo.path, repo.name, repo.skip)))
+
+
+def rebuild(store: Store, repos: list[registry.Repo], now: str, heads: dict[str, str] | None = None) -> None:
+    """All tables of all repos made anew, with one time for all that was scanned."""
+    rows = [_specs(store.spark, r) for r in repos]
+    specs = rows[0]
+    for other in rows[1:]:
+        specs = specs.unionByName(other)
+    decls, edges = files.declarations(specs)
+    meta = {"last_scan": now} | {f"last_scan_{r.name}": now for r in repos} | {f"git_commit_{n}": h for n, h in (heads or {}).items()}
+    store.put({"specs": specs, "decls": decls, "edges": edges, "nodes": resolve(decls, edges)}, meta)
+
+
+def refresh(store: Store, repo: registry.Repo, now: str) -> int:
+    """Brings one repo's rows up to date: of the files that git tells changed, those whose time or size is new are read again and those that are gone go. Entities are resolved again only if declarations or edges changed. The number of specs written; the tables equal those of a rebuild."""
+    tables, meta = store.tables(), store.meta()
+    names, head = registry.changed_files(repo.path, meta.get(f"git_commit_{repo.name}"), (*files.TEXT, *files.MEDIA))
+    names = [n for n in names if not set(n.split("/")[:-1]) & set(repo.skip)]
+    if not names:
+        return 0
+    spark, specs = store.spark, tables["specs"]
+    # A file may be the companion of others of its stem, so all files of a changed stem are judged together.
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    stems = spark.createDataFrame([(n,) for n in names], "path string").select(stem.alias("stem")).distinct()
+    disk = files.read_folder(spark, repo.path, repo.name, repo.skip, {n.rpartition("/")[0] for n in names}).withColumn("stem", stem).join(stems, "stem", "left_semi").drop("stem")
+    there = files.with_companions(disk)
+    stored = specs.where(F.col("repo") == repo.name).withColumn("stem", stem).join(stems, "stem", "left_semi").drop("stem")
+    # A companion's text may change while its picture does not: media are read whenever their stem changed.
+    new = files.specs(changed(stored, there.where(F.col("ext").isin(*files.TEXT))).unionByName(there.where(F.col("ext").isin(*files.MEDIA))))
+    gone = stored.select("repo", "path").join(there.select("repo", "path"), ["repo", "path"], "left_anti")
+    written = new.count()
+    after = upsert(specs, new, gone)
+    decls, edges = files.declarations(after)
+    nodes = resolved_if_changed((tables["decls"], tables["edges"]), (decls, edges), tables["nodes"])
+    told = {"last_scan": now, f"last_index_update_{repo.name}": now} | ({f"git_commit_{repo.name}": head} if head else {})
+    store.put({"specs": after, "decls": decls, "edges": edges, "nodes": nodes}, meta | told)
+    return written
+
+
+def drop(store: Store, repo: str, now: str) -> None:
+    """A repo's rows go from all tables, and what was resolved with them is resolved again."""
+    tables, meta = store.tables(), store.meta()
+    specs = delete_repo(tables["specs"], repo)
+    decls, edges = files.declarations(specs)
+    left = {k: v for k, v in meta.items() if not k.endswith(f"_{repo}")}
+    store.put({"specs": specs, "decls": decls, "edges": edges, "nodes": resolve(decls, edges)}, left | {"last_scan": now})
+
+
+def due(root: str, last: str | None) -> bool:
+    """Whether a hook has reason to scan a repo: git tells of changes, or cannot tell."""
+    try:
+        names, head = registry.changed_files(root, last)
+    except registry.GitError:
+        return True
+    return bool(names) or head != last

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import kind_of_id
+from .render import json_text
 
 EDGE = ("type", "src", "dst", "repo", "path", "field")
 
@@ -74,10 +75,15 @@ def unrecognized(rows: DataFrame, n: int = 5) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
 
 
+def malformed(rows: DataFrame) -> DataFrame:
+    """(repo, paths): the paths of each repo's specs whose frontmatter is malformed, in order; rows: repo, path, malformed."""
+    return rows.where("malformed").groupBy("repo").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
 def export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(line): nodes by id, then edges by (src, type, dst, repo, path, field), as tab-separated lines in order."""
     line = lambda *c: F.concat_ws("\t", *c)
-    own = nodes.select(F.lit(0).alias("part"), F.array("id").alias("order"), line(F.lit("node"), "id", "kind", "repo", "path", "title", "flags", F.to_json("provenance")).alias("line"))
+    own = nodes.select(F.lit(0).alias("part"), F.array("id").alias("order"), line(F.lit("node"), "id", "kind", "repo", "path", "title", "flags", json_text(F.col("provenance"))).alias("line"))
     links = edges.select(F.lit(1), F.array("src", "type", "dst", "repo", "path", "field"), line(F.lit("edge"), "src", "type", "dst", "repo", "path", "field"))
     return own.union(links).orderBy("part", "order").select("line")
 

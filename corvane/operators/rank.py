@@ -49,13 +49,14 @@ def label_hits(nodes: DataFrame, query: str, each: int) -> DataFrame:
     return held.withColumn("place", place).where(F.col("place") <= each).drop("place")
 
 
-def find(specs: DataFrame, graph: DataFrame, code: DataFrame, weights: dict = WEIGHTS, limit: int = FOUND) -> DataFrame:
+def find(specs: DataFrame, graph: DataFrame, code: DataFrame, weights: dict = WEIGHTS, limit: int | None = FOUND) -> DataFrame:
     """(type, repo, name, score) of three sources with raw scores (repo, name, score): each brought to 0..1, weighted, and all in one order."""
     out = None
     for kind, rows in (("specs", specs), ("graph", graph), ("code", code)):
         own = min_max(rows.select("repo", "name", "score"), "score").select(F.lit(kind).alias("type"), "repo", "name", (F.col("score") * weights[kind]).alias("score"))
         out = own if out is None else out.unionByName(own)
-    return out.orderBy(F.desc("score"), "type", "repo", "name").limit(limit)
+    ordered = out.orderBy(F.desc("score"), "type", "repo", "name")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def context(found: DataFrame, blast: DataFrame) -> DataFrame:

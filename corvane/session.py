@@ -11,13 +11,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder of spark.checkpoint.dir, which all executors share; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="corvane-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

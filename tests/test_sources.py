@@ -4,7 +4,7 @@ import subprocess
 
 import pytest
 
-from corvane.operators import graphs, kg
+from corvane.operators import graphs, incremental, kg, render
 from corvane.plans import scope
 from corvane.sources import files, registry
 from corvane.sources import graphs as graph_files
@@ -28,6 +28,98 @@ def test_folder(spark, tmp_path):
     assert [(r.source, r.target) for r in links.collect()] == [("r:guides/alpha.md", "req://missing")] and [r.id for r in more.collect()] == ["req://missing"]
 
 
+def test_names_and_bytes(spark, tmp_path):
+    root = tmp_path / "a repo%20"
+    names = ["a%20b.md", "c d.md", "e#f.md", "g%h.MD", "sub [x]/{y}/i*.md", "skip/deep/j.md", "k.png"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_bytes(b"ok \xff\xfe\x80 \xef\xbf\xbd\xef\xbf\xbd end\xc3")
+    rows = {r.path: r for r in files.read_folder(spark, str(root), "r", ["skip"]).collect()}
+    assert set(rows) == set(names) - {"skip/deep/j.md"}
+    assert rows["c d.md"].content == "ok � �� end�" and rows["k.png"].content is None and rows["k.png"].size == 18 and rows["g%h.MD"].ext == "md"
+    assert {r.path for r in files.read_folder(spark, str(root), "r", [], {"sub [x]/{y}"}).collect()} == {"sub [x]/{y}/i*.md"}
+    assert files.read_folder(spark, str(tmp_path / "empty"), "r", [], {"none"}).count() == 0
+
+
+def test_ids_of_lists(spark):
+    rows = spark.createDataFrame([("r", "a.md", "md", 0, 1, "---\nid: [component://a]\n---\n"), ("r", "b.md", "md", 0, 1, "---\nid: ' component://b '\n---\n")], "repo string, path string, ext string, modified_unix long, size long, content string")
+    assert {x.path: x.node_id for x in files.specs(rows).collect()} == {"a.md": "r:a.md", "b.md": "component://b"}
+
+
+def test_upkeep_equals_rebuild(spark, tmp_path):
+    """After changes, renames, deletions and changed companions, refreshed tables are those of a rebuild."""
+    root = tmp_path / "repo"
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    def put(name, text):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    root.mkdir()
+    run("init", "-q")
+    for k in range(6):
+        put(f"d/{k}.md", f"---\nid: component://c{k % 4}\ndependsOn: [component://c{k + 1}, req://x]\n---\n# T{k}\n\nbody {k}")
+    put("pic.png", "x")
+    put("pic.md", "# Picture\n")
+    put("skip/z.md", "z")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    repo = registry.Repo("r", str(root), ["skip"])
+    store = incremental.Store(spark, str(tmp_path / "store"))
+    incremental.rebuild(store, [repo], "t1", {"r": registry.changed_files(str(root), None)[1]})
+    assert incremental.refresh(store, repo, "t2") == 0 and store.meta()["last_scan"] == "t1"
+    put("d/1.md", "# changed and longer\n")
+    put("pic.md", "# Another picture\n")
+    put("new.txt", "new")
+    put("skip/z.md", "zz")
+    run("mv", "d/2.md", "d/moved.md")
+    (root / "d/3.md").unlink()
+    assert incremental.due(str(root), store.meta()["git_commit_r"]) and incremental.refresh(store, repo, "t3") > 0
+    fresh = incremental.Store(spark, str(tmp_path / "fresh"))
+    incremental.rebuild(fresh, [repo], "t3")
+    for name in incremental.TABLES:
+        one, two = ([json.dumps(r.asDict(recursive=True), sort_keys=True, default=str) for r in s.tables()[name].select(*sorted(store.tables()[name].columns)).collect()] for s in (store, fresh))
+        assert sorted(one) == sorted(two), name
+    assert {r.path: r.title for r in store.tables()["specs"].collect()}["pic.png"] == "Another picture"
+    assert store.meta()["last_index_update_r"] == "t3"
+    incremental.drop(store, "r", "t4")
+    assert all(df.count() == 0 for df in store.tables().values()) and "git_commit_r" not in store.meta()
+    with pytest.raises(registry.GitError):
+        registry.changed_files(str(root), "0" * 40)
+    assert incremental.due(str(root), "0" * 40) and registry.changed_files(str(tmp_path / "store"), None) == ([], None)
+
+
+def test_graph_cache(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "g.json")
+    write = lambda n: (tmp_path / "g.json").write_text(json.dumps({"nodes": [{"id": str(k)} for k in range(n)], "links": []}))
+    cache = graph_files.GraphCache(spark)
+    assert cache.get(path) is None
+    write(2)
+    first = cache.get(path)
+    assert first[0].count() == 2 and cache.get(path) is first and graph_files.count_nodes(spark, path).first().n == 2
+    write(3)
+    os.utime(path, (1, 1))
+    assert cache.get(path)[0].count() == 3
+    os.remove(path)
+    assert cache.get(path) is None
+
+
+def test_rendered(spark, tmp_path):
+    assert render.as_json({"a": "<&>"}) == '{\n  "a": "\\u003c\\u0026\\u003e"\n}\n' and render.served(str(tmp_path / "none")) == render.as_json({"nodes": [], "links": []})
+    render.write_json(str(tmp_path / "x.json"), [1])
+    assert render.served(str(tmp_path / "x.json")) == "[\n  1\n]\n"
+    rows = [{"repo": "a", "project": "p", "name": "n", "title": "T", "ext": "md"}, {"repo": "a", "project": "q", "name": "m", "title": "M", "ext": "md"}, {"repo": "b", "project": "q", "name": "m", "title": "M", "ext": "txt"}]
+    assert list(render.listing(rows)) == ["[a]", "  p/", "    n  T  .md", "  q/", "    m  M  .md", "[b]", "  q/", "    m  M  .txt"] and list(render.listing([])) == ["No specs found."]
+    assert render.rows_as_json(spark.createDataFrame([], "a int")) == "null\n"
+    found = spark.createDataFrame([("specs", "r", "n" * 60, 0.5), ("code", "g", "q", 1.0)], "type string, repo string, name string, score double")
+    assert [r.line.split()[:3] for r in render.found(found).collect()] == [["1.00", "code", "g"], ["0.50", "specs", "r"]]
+    repos = spark.createDataFrame([("b", "/b", 3, "abcdef0123", 40), ("a", "/a", 0, None, 0)], "repo string, path string, n_specs int, commit string, scanned_unix long")
+    assert [r.line.split() for r in render.repos(repos, 100).collect()] == [["a", "0", "—", "—", "/a"], ["b", "3", "1m", "abcdef0", "/b"]]
+    assert render.stats({"n_repos": 1, "n_specs": 2, "n_projects": 1, "n_tags": 0, "n_bytes": 9})[-1].endswith("never")
+    assert render.explanation(None, {}, {}) == ["No such node."]
+
+
 def test_ignore_lines():
     cases = {"node_modules": "node_modules", "build/": "build", "/dist/": "dist", "/dist": None, "# c": None, "!x": None, "*.log": None, "a/b": None, "": None, ".venv/": ".venv"}
     assert {k: files.ignore_line(k) for k in cases} == cases
@@ -39,6 +131,8 @@ def test_registry(tmp_path):
     assert registry.parse_line("a|/p|x/y") is None and registry.parse_line("a") is None and registry.parse_line("a|/p||never").added_at is None
     registry.save(str(tmp_path / "r"), [registry.Repo("a", "/p", ["x"])])
     assert registry.load(str(tmp_path / "r")) == [registry.Repo("a", "/p", ["x"])]
+    at = registry.parse_line("a|/p||2024-01-02T03:04:05Z")
+    assert [registry.format_line(x) for x in (registry.Repo("a", "/p"), registry.Repo("a", "/p", ["y", "x"]), at)] == ["a|/p", "a|/p|x,y", "a|/p||2024-01-02T03:04:05Z"]
     assert registry.project_repositories(registry.render_project(["a", "b"])) == ["a", "b"]
 
 
@@ -81,28 +175,6 @@ def test_git(tmp_path):
     assert first == ["a.md"] and registry.changed_files(str(tmp_path), head)[0] == ["b.md"]
 
 
-RAW = [
-    {"type": "system", "subtype": "init"},
-    {"type": "assistant", "message": {"content": [{"type": "text", "text": "hello"}, {"type": "tool_use", "id": "t1", "input": {"command": "tool json search 'x y'"}}]}},
-    {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": 'noise [{"repo": "a", "name": "n}"}] more'}]}},
-    {"type": "result", "result": "Which one?"},
-    {"type": "result", "result": "It is so."},
-]
-
-
-def test_events(spark, tmp_path):
-    raw = spark.createDataFrame([("s", k, json.dumps(e)) for k, e in enumerate(RAW)] + [("s", 9, "not json")], "session string, seq long, line string")
-    got = [r.type for r in events.normalised(raw).orderBy("seq").collect()]
-    assert got == ["status", "assistant", "sources", "provenance", "activity", "question", "answer", "done"]
-    assert events.strip_json('x [{"a": "}"}, {"b": 2}, {"c"') == [{"a": "}"}, {"b": 2}] and events.strip_json("none") is None
-    assert events.derive("tool search x", "null")[0]["data"]["sources"] == [] and "unparseable" in events.derive("tool search x", "oops")[2]["data"]
-    raw.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))
-    query = events.normalised_stream(stream).writeStream.format("memory").queryName("told").outputMode("append").trigger(once=True).start()
-    assert query.awaitTermination(60)
-    assert spark.table("told").count() == len(got)
-
-
 def test_merges(spark):
     rows = spark.createDataFrame([(1, "a", "x", "/p", 1), (2, "a", "x", "/p", 2), (3, "b", "y", "", 3)], "seq long, repo string, name string, fullpath string, v long")
     assert {r.v for r in events.merge_sources(rows).collect()} == {1, 3}
