@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,17 +12,20 @@ from pyspark.sql import functions as F
 
 from .functions import formats, vectors
 from .functions.text import stem, tokens
-from .operators import catalog, codegraph, export, fts, graphs, kg, rank
+from .operators import catalog, codegraph, export, fts, graphs, kg, rank, retrieval
 from .operators.corpus import specs_from_documents
-from .session import table
+from .session import shared_folder, table
 from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-SPECS = """specs AS (SELECT d.source || ':' || d.lang || '/doc_' || d.doc_id || '.md' AS spec_id, d.source AS repo, d.lang || '/doc_' || d.doc_id || '.md' AS path, d.lang AS project,
- 'doc_' || d.doc_id AS name, list_filter([d.lang, CASE WHEN l.quality = 1 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS tags,
- 1704067200 + d.doc_id * 3600 AS modified_unix, strlen(d.text) AS size, 'md' AS ext, d.text AS content FROM documents d LEFT JOIN labels l USING (doc_id))"""
+#: A text's first paragraph: lines trimmed, headings left out, up to the first blank line behind the start; 300 characters.
+SUMMARY = """(SELECT coalesce(left(array_to_string(list_filter(ls[f : coalesce(e, len(ls) + 1) - 1], lambda x: NOT starts_with(x, '#')), ' '), 300), '') FROM (SELECT ls, f, list_filter(range(1, len(ls) + 1), lambda i: i > f AND ls[i] = '')[1] AS e FROM
+ (SELECT ls, list_filter(range(1, len(ls) + 1), lambda i: ls[i] <> '' AND NOT starts_with(ls[i], '#'))[1] AS f FROM (SELECT list_transform(string_split(coalesce({0}, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(12) || chr(13))) AS ls))))"""
+SPECS = f"""specs AS (SELECT d.source || ':' || d.lang || '/doc_' || d.doc_id || '.md' AS spec_id, d.source AS repo, d.lang || '/doc_' || d.doc_id || '.md' AS path, d.lang AS project,
+ 'doc_' || d.doc_id AS name, 'doc_' || d.doc_id AS title, list_filter([d.lang, CASE WHEN l.quality = 1 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS tags,
+ 1704067200 + d.doc_id * 3600 AS modified_unix, strlen(d.text) AS size, 'md' AS ext, {SUMMARY.format("d.text")} AS summary, d.text AS content, d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
 def query(sql: str | None = None, specs: bool = False):
@@ -110,10 +115,24 @@ def facets_explorer(spark, d):
     return catalog.facets(nodes, repos=["src1", "src2"], tags=["quality", "toxic"], text="_1").select("spec_id")
 
 
-# Full text. Phrases as lists of terms; prefixes end with *.
+# Full text, over all six columns. Phrases as lists of terms; prefixes end with *.
 
-TOKENS = r"""arrays AS (SELECT spec_id, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') AS ts FROM specs),
-toks AS (SELECT spec_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM arrays), lens AS (SELECT spec_id, len(ts) AS n_tokens FROM arrays), totals AS (SELECT count(*) AS n_docs, avg(n_tokens) AS mean_tokens FROM lens)"""
+_indexes: dict[tuple, fts.Index] = {}
+
+
+def built_index(spark: SparkSession, d: str, porter: bool = False) -> fts.Index:
+    """The saved index of a folder's specs, made once in a session: building it is one thing, querying it another."""
+    key = spark.sparkContext.applicationId, d, porter
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        fts.save(fts.index(specs_from_documents(spark, d), porter=porter), path)
+        _indexes[key] = fts.load(spark, path, porter)
+    return _indexes[key]
+
+
+TOKENS = r"""flat AS (SELECT spec_id, unnest(['repo', 'name', 'title', 'tags', 'summary', 'content']) AS col, unnest([repo, name, title, array_to_string(tags, ', '), summary, content]) AS t FROM specs),
+arrays AS (SELECT spec_id, col, regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+') AS ts FROM flat),
+toks AS (SELECT spec_id, col, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM arrays), lens AS (SELECT spec_id, CAST(sum(len(ts)) AS BIGINT) AS n_tokens FROM arrays GROUP BY ALL), totals AS (SELECT count(*) AS n_docs, avg(n_tokens) AS mean_tokens FROM lens)"""
 
 
 def _fts_sql(phrases: list[str], truth: str, scored: list[int], extra: dict[int, str] | None = None, limit: int = 0) -> str:
@@ -121,7 +140,7 @@ def _fts_sql(phrases: list[str], truth: str, scored: list[int], extra: dict[int,
     for k, p in enumerate(phrases):
         terms = p.split()
         cond = lambda t, a: f"starts_with({a}.term, '{t[:-1]}')" if t.endswith("*") else f"{a}.term = '{t}'"
-        joins = "".join(f" JOIN toks t{j} ON t{j}.spec_id = t0.spec_id AND t{j}.pos = t0.pos + {j} AND {cond(t, f't{j}')}" for j, t in enumerate(terms) if j)
+        joins = "".join(f" JOIN toks t{j} ON t{j}.spec_id = t0.spec_id AND t{j}.col = t0.col AND t{j}.pos = t0.pos + {j} AND {cond(t, f't{j}')}" for j, t in enumerate(terms) if j)
         parts.append(f"p{k} AS (SELECT t0.spec_id, count(*) AS tf FROM toks t0{joins} WHERE {cond(terms[0], 't0')}{(extra or {}).get(k, '')} GROUP BY ALL)")
     rows = lambda k: f"(SELECT count(DISTINCT spec_id) FROM toks WHERE term = '{phrases[k]}')" if "EXISTS" in (extra or {}).get(k, "") else f"(SELECT count(*) FROM p{k})"
     joined = "lens " + " ".join(f"LEFT JOIN p{k} USING (spec_id)" for k in range(len(phrases)))
@@ -133,9 +152,9 @@ def _fts_sql(phrases: list[str], truth: str, scored: list[int], extra: dict[int,
     return f"WITH {SPECS}, {TOKENS}, {', '.join(parts)} SELECT spec_id, round(-({score}), 9) AS rank FROM {joined} CROSS JOIN totals WHERE {has}{end}"
 
 
-def _fts(name: str, text: str, oracle: str | None, limit: int = 0) -> None:
+def _fts(name: str, text: str, oracle: str | None, limit: int = 0, porter: bool = False) -> None:
     def run(spark, d):
-        found = fts.search(fts.index(specs_from_documents(spark, d), ("content",)), text, ("content",)).withColumn("rank", F.round("rank", 9))
+        found = fts.search(built_index(spark, d, porter), text).withColumn("rank", F.round("rank", 9))
         return found.orderBy("rank", "spec_id").limit(limit) if limit else found
 
     run.__name__ = name
@@ -144,6 +163,7 @@ def _fts(name: str, text: str, oracle: str | None, limit: int = 0) -> None:
         ORACLES[name] = oracle
 
 
+_close = lambda other: f" AND EXISTS (FROM toks o WHERE o.spec_id = t0.spec_id AND o.col = t0.col AND o.term = '{other}' AND greatest(o.pos, t0.pos) - least(o.pos, t0.pos) - 1 <= 3)"
 _fts("fts_search", "the OR eant OR erkeit", _fts_sql(["the", "eant", "erkeit"], "#0 OR #1 OR #2", [0, 1, 2], limit=200), limit=200)
 _fts("fts_term", "erheed", _fts_sql(["erheed"], "#0", [0]))
 _fts("fts_and", "the of with", _fts_sql(["the", "of", "with"], "#0 AND #1 AND #2", [0, 1, 2]))
@@ -153,29 +173,46 @@ _fts("fts_not_and", "the NOT with AND of", _fts_sql(["the", "with", "of"], "(#0
 _fts("fts_prefix", "ononh*", _fts_sql(["ononh*"], "#0", [0]))
 _fts("fts_phrase", '"of the" OR "to the"', _fts_sql(["of the", "to the"], "#0 OR #1", [0, 1]))
 _fts("fts_phrase_prefix", 'the + er*', _fts_sql(["the er*"], "#0", [0]))
+_fts("fts_repeated", "the OR the OR src1", _fts_sql(["the", "the", "src1"], "#0 OR #1 OR #2", [0, 1, 2]))
 _fts("fts_first", "^the", _fts_sql(["the"], "#0", [0], {0: " AND t0.pos = 0"}))
-_fts("fts_near", "NEAR(with by, 3)", _fts_sql(["with", "by"], "#0 AND #1", [0, 1], {0: " AND EXISTS (FROM toks o WHERE o.spec_id = t0.spec_id AND o.term = 'by' AND greatest(o.pos, t0.pos) - least(o.pos, t0.pos) - 1 <= 3)", 1: " AND EXISTS (FROM toks o WHERE o.spec_id = t0.spec_id AND o.term = 'with' AND greatest(o.pos, t0.pos) - least(o.pos, t0.pos) - 1 <= 3)"}))
-_fts("fts_column", "content:the AND {content}: of", _fts_sql(["the", "of"], "#0 AND #1", [0, 1]))
+_fts("fts_near", "NEAR(with by, 3)", _fts_sql(["with", "by"], "#0 AND #1", [0, 1], {0: _close("by"), 1: _close("with")}))
+_fts("fts_column", "summary:the AND {name content}: of NOT -content: toxic", _fts_sql(["the", "of", "toxic"], "#0 AND (#1 AND NOT #2)", [0, 1], {0: " AND t0.col = 'summary'", 1: " AND t0.col IN ('name', 'content')", 2: " AND t0.col <> 'content'"}))
 _fts("fts_fallback", "the/ (of", _fts_sql(["the", "of"], "#0 AND #1", [0, 1]))
 _fts("fts_accents", "éte OR etre", _fts_sql(["ete", "etre"], "#0 OR #1", [0, 1]))
+_fts("fts_stemmed", "threads OR being", None, porter=True)
 
 
-@query()
-def fts_stemmed(spark, d):
-    idx = fts.index(specs_from_documents(spark, d), ("content",), porter=True)
-    return fts.search(idx, "threads OR being", ("content",)).withColumn("rank", F.round("rank", 9))
+@query(f"WITH {SPECS}, {TOKENS} SELECT term, count(*) AS n_places, count(DISTINCT spec_id) AS n_specs FROM toks GROUP BY ALL")
+def fts_dictionary(spark, d):
+    return built_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("n_places"), F.count_distinct("spec_id").alias("n_specs"))
 
 
-@query()
+RANKED = """tf AS (SELECT k, spec_id, count(*) AS tf FROM q JOIN toks ON term = word GROUP BY ALL), df AS (SELECT k, count(*) AS df FROM tf GROUP BY ALL),
+ranks AS (SELECT spec_id, -sum((CASE WHEN n_docs - df <= df THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean_tokens))) AS rank FROM tf JOIN df USING (k) JOIN lens USING (spec_id) CROSS JOIN totals GROUP BY spec_id)"""
+
+
+@query(f"""WITH {SPECS}, {TOKENS}, q AS (SELECT unnest(tags) AS word, generate_subscripts(tags, 1) AS k FROM (SELECT tags FROM specs WHERE lower(name) = 'doc_5' ORDER BY repo, path LIMIT 1)), {RANKED}
+SELECT spec_id, repo, project, name, round(rank, 9) AS rank FROM ranks JOIN specs USING (spec_id) WHERE lower(name) <> 'doc_5' ORDER BY round(rank, 9), repo, path LIMIT 10""")
 def retrieval_related(spark, d):
-    specs = specs_from_documents(spark, d)
-    idx = fts.index(specs, ("repo", "name", "title", "tags"))
-    return catalog.related(specs, idx, "doc_5").select("spec_id", F.round("rank", 9).alias("rank"))
+    found = catalog.related(specs_from_documents(spark, d), built_index(spark, d), "DOC_5", n=None).withColumn("rank", F.round("rank", 9))
+    return found.orderBy("rank", "repo", "path").limit(10).select("spec_id", "repo", "project", "name", "rank")
 
 
-@query(f"WITH {SPECS}, {TOKENS} SELECT term, count(*) AS n_places, count(DISTINCT spec_id) AS n_specs FROM toks GROUP BY ALL")
-def fts_dictionary(spark, d):
-    return fts.index(specs_from_documents(spark, d), ("content",)).postings.groupBy("term").agg(F.count("*").alias("n_places"), F.count_distinct("spec_id").alias("n_specs"))
+@query(f"""WITH {SPECS}, {TOKENS}, q AS (SELECT unnest(['the', 'eant']) AS word, unnest([0, 1]) AS k), {RANKED}
+SELECT spec_id, repo, project, name, title, array_to_string(tags, ',') AS tags, path, ext, round(rank, 9) AS rank FROM ranks JOIN specs USING (spec_id) WHERE repo = 'src2' AND path ILIKE 'EN/doc_1%' ORDER BY round(rank, 9), spec_id LIMIT 200""")
+def retrieval_search(spark, d):
+    found = fts.search_specs(built_index(spark, d), specs_from_documents(spark, d), "the OR eant", ["src2"], "EN/doc_1", limit=None)
+    return found.withColumns({"rank": F.round("rank", 9), "tags": F.array_join("tags", ",")}).orderBy("rank", "spec_id").limit(200)
+
+
+@query(f"""WITH {SPECS}, {TOKENS}, q AS (SELECT unnest(['la', 'erkeit']) AS word, unnest([0, 1]) AS k), {RANKED}
+SELECT spec_id, round(rank, 9) AS rank, row_number() OVER (PARTITION BY repo ORDER BY round(rank, 9), spec_id) AS place, repo FROM ranks JOIN specs USING (spec_id) WHERE repo IN ('src3', 'src1') QUALIFY place <= 200""")
+def retrieval_by_repo(spark, d):
+    """Each repo's best; ranks are rounded, so ties go by id in both."""
+    specs = specs_from_documents(spark, d)
+    hits = fts.search(built_index(spark, d), "la OR erkeit").join(specs.select("spec_id", "repo"), "spec_id").withColumn("rank", F.round("rank", 9))
+    found = rank.per_repo(hits, ["src3", "src1"])
+    return found.select("spec_id", "rank", F.row_number().over(Window.partitionBy("repo").orderBy("rank", "spec_id")).cast("long").alias("place"), "repo")
 
 
 # Vectors and ranks
@@ -192,10 +229,10 @@ def vectors_pairs(spark, d):
     return graphs.pairs_of_vectors(_units(spark, d).withColumnRenamed("label", "block")).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {UNIT} SELECT q.vec_id AS query, x.vec_id AS id, round(list_dot_product(q.vec, x.vec), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.vec, x.vec) DESC, x.vec_id) AS place FROM v q JOIN v x ON q.vec_id < 5 AND q.vec_id <> x.vec_id QUALIFY place <= 8")
+@query(f"WITH {UNIT} SELECT q.vec_id AS query, x.vec_id AS id, round(list_dot_product(q.vec, x.vec), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.vec, x.vec) DESC, x.vec_id) AS place FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id QUALIFY place <= 8")
 def vectors_nearest(spark, d):
     v = _units(spark, d)
-    q = v.where("id < 5").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
     return graphs.nearest(q, v, 8).withColumn("cosine", F.round("cosine", 6)).withColumn("place", F.col("place").cast("long"))
 
 
@@ -204,11 +241,15 @@ def graph_knn(spark, d):
     return graphs.links(graphs.pairs_of_vectors(_units(spark, d).withColumnRenamed("label", "block")))
 
 
-@query()
+@query(f"""WITH {UNIT}, c AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.vec, y.vec) AS w FROM v x JOIN v y ON x.vec_id <> y.vec_id), mid AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(vec, q) DESC, vec_id) AS seed FROM v CROSS JOIN mid QUALIFY seed <= 10),
+near AS (SELECT a, b, w, seed, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS place FROM c JOIN seeds ON a = vec_id WHERE w >= 0.3 QUALIFY place <= 8)
+SELECT a AS source, b AS target, floor(w * 1e4 + 0.5) / 1e4 AS weight FROM near QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seed, place) = 1""")
 def graph_ego(spark, d):
-    v = _units(spark, d)
-    q = v.where("id = 3").select(F.lit(-1).cast("long").alias("query"), F.col("vec").alias("qvec"))
-    return graphs.ego(q, v)[1].select("source", "target", "weight")
+    """About the first vector as it stands, which is a query and no node."""
+    first = table(spark, d, "embeddings").orderBy("vec_id").limit(1)
+    q = first.select(F.lit(-1).cast("long").alias("query"), F.transform("embedding", lambda x: x.cast("double")).alias("qvec"))
+    return graphs.ego(q, _units(spark, d))[1].select("source", "target", "weight")
 
 
 @query(f"WITH {UNIT}, hits AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1], vec_id) - 1 AS i FROM embeddings QUALIFY i < 200), near AS (SELECT h.vec_id, row_number() OVER (ORDER BY list_dot_product(x.vec, q.vec) DESC, i) - 1 AS j FROM hits h JOIN v x USING (vec_id) JOIN v q ON q.vec_id = 0) SELECT vec_id AS spec_id, round(1.0 / (60 + i) + 1.0 / (60 + j), 9) AS score FROM hits JOIN near USING (vec_id) ORDER BY 1.0 / (60 + i) + 1.0 / (60 + j) DESC, i LIMIT 50")
@@ -220,19 +261,22 @@ def rank_rrf(spark, d):
     return rank.rrf(hits, cosine).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS t FROM documents), n AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT t, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(0, CAST(strlen(t) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(t)), 2 * i + 1, 2) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) & 4294967295) AS h FROM (SELECT DISTINCT t FROM n)),
+s AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h & 65536 <> 0 THEN n ELSE -n END) AS DOUBLE) AS w FROM n JOIN h USING (t) GROUP BY ALL HAVING w <> 0)
+SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s""")
 def vectors_embedding(spark, d):
     docs = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
     return vectors.hashed_weights(docs, "doc_id", "tokens").withColumn("weight", F.round("weight", 6))
 
 
-@query("""WITH hits AS (SELECT source AS repo, 'doc_' || doc_id AS name, -1.0 * n_chars / 1000 AS rank FROM documents), deg AS (SELECT source AS repo, 'doc_' || doc_id AS low, doc_id % 50 AS degree FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH hits AS (SELECT source AS repo, 'doc_' || doc_id AS name, -1.0 * n_chars / 1000 AS rank FROM documents), deg AS (SELECT source AS repo, 'doc_' || doc_id AS low, doc_id % 50 AS degree FROM documents WHERE lang <> 'fr')
 SELECT repo, name, round(rank * least(1.5, 1 + ln(1 + coalesce(degree, 0)) / 8), 9) AS rank FROM hits LEFT JOIN deg ON hits.repo = deg.repo AND hits.name = deg.low""".replace("SELECT repo, name, round", "SELECT hits.repo, name, round"))
 def rank_graph_aware(spark, d):
     docs = table(spark, d, "documents")
     name = F.concat(F.lit("doc_"), "doc_id")
     hits = docs.select(F.col("source").alias("repo"), name.alias("name"), (F.col("n_chars") * F.lit(-1.0) / 1000).alias("rank"))
-    degrees = docs.where("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.upper(name).alias("label"), (F.col("doc_id") % 50).alias("degree"))
+    degrees = docs.where("lang <> 'fr'").select(F.col("source").alias("repo"), F.upper(name).alias("label"), (F.col("doc_id") % 50).alias("degree"))
     return rank.graph_aware(hits, degrees).select("repo", "name", F.round("rank", 9).alias("rank"))
 
 
@@ -376,20 +420,46 @@ def code_blast(spark, d):
     return codegraph.blast(*_code(spark, d), "r1", hops=3).select("qualified_name", "hop")
 
 
-@query(f"""WITH {CODE}, docs AS (SELECT source AS repo, 'doc_' || doc_id AS name, n_chars / 1000 AS score FROM documents WHERE doc_id % 7 = 1 ORDER BY score DESC, name LIMIT 20), graph AS (SELECT lang AS repo, 'doc_' || doc_id AS name, ln(1 + doc_id % 30) AS score FROM documents WHERE doc_id % 11 = 3 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id % 30 DESC, doc_id) <= 10),
-deg AS (SELECT name, qualified_name, count(s) AS degree FROM nodes LEFT JOIN edges ON s = qualified_name GROUP BY ALL), code AS (SELECT 'code' AS repo, qualified_name AS name, ln(1 + degree) + CASE WHEN name = 'n1' THEN 0.5 WHEN ends_with(qualified_name, '.n1') THEN 0.25 ELSE 0 END AS score FROM deg WHERE contains(qualified_name, 'n1') ORDER BY CASE WHEN name = 'n1' THEN 0 WHEN ends_with(qualified_name, '.n1') THEN 1 ELSE 2 END, length(qualified_name), qualified_name LIMIT 10),
-u AS (SELECT 'specs' AS type, 1.0 AS w, * FROM docs UNION ALL SELECT 'graph', 0.7, * FROM graph UNION ALL SELECT 'code', 0.8, * FROM code), m AS (SELECT type, min(score) AS lo, max(score) AS hi FROM u GROUP BY ALL)
-SELECT type, repo, name, round(w * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM u JOIN m USING (type) ORDER BY round(w * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) DESC, type, repo, name LIMIT 30""")
-def retrieval_find(spark, d):
+# Retrieval from three sources. Code is that above with nation 1 named en, so that one query meets all of them.
+
+CALLS = rf"""{CODE}, cn AS (SELECT CASE WHEN name = 'n1' THEN 'en' ELSE name END AS name, regexp_replace(qualified_name, '\.n1(\.|$)', '.en\1') AS qn FROM nodes), ce AS (SELECT regexp_replace(s, '\.n1(\.|$)', '.en\1') AS s, regexp_replace(t, '\.n1(\.|$)', '.en\1') AS t FROM edges)"""
+FOUND = f"""{SPECS}, {TOKENS}, {CALLS}, q AS (SELECT 'en' AS word, 0 AS k), {RANKED},
+docs AS (SELECT repo, name, -rank AS score FROM ranks JOIN specs USING (spec_id) WHERE repo IN ('src1', 'src2') ORDER BY rank, spec_id LIMIT 20),
+graph AS (SELECT source AS repo, lang || ' ' || doc_id AS name, ln(1 + doc_id % 30) AS score FROM documents WHERE source IN ('src1', 'src2') AND contains(lang || ' ' || doc_id, 'en') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 30 DESC, doc_id) <= 10),
+deg AS (SELECT name, qn, count(s) AS degree FROM cn LEFT JOIN ce ON s = qn GROUP BY ALL),
+code AS (SELECT 'graph:calls' AS repo, qn AS name, ln(1 + degree) + CASE WHEN name = 'en' THEN 0.5 WHEN ends_with(qn, '.en') THEN 0.25 ELSE 0 END AS score FROM deg WHERE contains(qn, 'en') ORDER BY CASE WHEN name = 'en' THEN 0 WHEN ends_with(qn, '.en') THEN 1 ELSE 2 END, length(qn), qn LIMIT 10),
+u AS (SELECT 'specs' AS type, 1.0 AS w, * FROM docs UNION ALL SELECT 'graph', 0.7, * FROM graph UNION ALL SELECT 'code', 0.8, * FROM code), m AS (SELECT type, min(score) AS lo, max(score) AS hi FROM u GROUP BY ALL),
+scored AS (SELECT type, repo, name, round(w * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM u JOIN m USING (type))"""
+SCOPE = ["src1", "nobody", "graph:calls", "src2", "graph:lost"]
+
+
+def _sources(spark, d) -> retrieval.Sources:
     docs = table(spark, d, "documents")
-    name = F.concat(F.lit("doc_"), "doc_id")
-    specs = docs.where("doc_id % 7 = 1").select(F.col("source").alias("repo"), name.alias("name"), (F.col("n_chars") / 1000).alias("score")).orderBy(F.desc("score"), "name").limit(20)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("doc_id") % 30), "doc_id"))
-    graph = docs.where("doc_id % 11 = 3").withColumn("place", place).where("place <= 10").select(F.col("lang").alias("repo"), name.alias("name"), F.log1p((F.col("doc_id") % 30).cast("double")).alias("score"))
+    graph = docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("id"), F.concat("lang", F.lit(" "), "doc_id").alias("label"), (F.col("doc_id") % 30).alias("degree"))
     nodes, edges = _code(spark, d)
-    found = codegraph.out_degrees(codegraph.find(nodes, "n1", 10), edges)
-    code = found.select(F.lit("code").alias("repo"), F.col("qualified_name").alias("name"), (F.log1p(F.col("degree").cast("double")) + rank.name_bonus(F.col("qualified_name"), F.col("name"), "n1")).alias("score"))
-    return rank.find(specs, graph, code, limit=10**6).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "type", "repo", "name").limit(30)
+    named = lambda c: F.regexp_replace(c, r"\.n1(\.|$)", ".en$1")
+    nodes = nodes.select(F.lit("graph:calls").alias("graph"), F.when(F.col("name") == "n1", "en").otherwise(F.col("name")).alias("name"), named("qualified_name").alias("qualified_name"))
+    edges = edges.select(F.lit("graph:calls").alias("graph"), "kind", named("source_qualified").alias("source_qualified"), named("target_qualified").alias("target_qualified"))
+    return retrieval.Sources(built_index(spark, d), specs_from_documents(spark, d), graph, nodes, edges, [f"src{k}" for k in range(8)], ["src1", "src2"], ["src1", "graph:calls", "graph:lost"], ["src2", "src1", "graph:lost"])
+
+
+@query(f"WITH {FOUND} SELECT * FROM scored ORDER BY score DESC, type, repo, name LIMIT 30")
+def retrieval_find(spark, d):
+    found, _ = retrieval.find(_sources(spark, d), "en", SCOPE, limit=None)
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "type", "repo", "name").limit(30)
+
+
+@query("SELECT * FROM (VALUES ('src1', 'document graph unreadable'), ('src2', 'document graph unreadable'), ('src1', 'code graph unreadable'), ('graph:lost', 'code graph unreadable')) t(repo, reason)")
+def retrieval_missing(spark, d):
+    return retrieval.find(_sources(spark, d), "en", SCOPE)[1].select("repo", "reason")
+
+
+@query(f"""WITH RECURSIVE {FOUND}, ways AS (SELECT s, t FROM ce UNION SELECT t, s FROM ce), top AS (SELECT name FROM code ORDER BY score DESC, name LIMIT 1),
+walk(q, hop) AS (SELECT name, 0 FROM top UNION SELECT t, hop + 1 FROM walk JOIN ways ON s = q WHERE hop < 2), near AS (SELECT q AS qualified_name, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY q HAVING min(hop) > 0 ORDER BY hop, q LIMIT 50)
+SELECT 'code' AS type, top.name, qualified_name, hop FROM top, near""")
+def retrieval_context(spark, d):
+    found, _ = retrieval.context(_sources(spark, d), "en", SCOPE, limit=None)
+    return found.select("type", "name", F.explode("blast").alias("b")).select("type", "name", "b.qualified_name", "b.hop")
 
 
 # Projections
@@ -400,7 +470,7 @@ def projection_formats(spark, d):
     return docs.select("doc_id", formats.human_bytes(F.col("n_chars")).alias("size"), formats.human_age(F.col("doc_id") * 37).alias("age"), formats.truncated(F.col("text"), 20).alias("short"))
 
 
-@query()
+@query("SELECT spec_id, summary FROM specs", specs=True)
 def projection_summary(spark, d):
     return specs_from_documents(spark, d).select("spec_id", "summary")
 
@@ -417,15 +487,25 @@ def fts_stems(spark, d):
 
 # Events and conversations
 
-@query("""WITH t AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS later, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)
-SELECT conv_id, turn, role FROM t WHERE (role = 'assistant' AND later <= 3) OR (role = 'user' AND next = 'assistant' AND later <= 3)""")
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), a AS (SELECT conv_id, i, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM t WHERE role = 'assistant'),
+s AS (SELECT a.conv_id, CASE WHEN p.role = 'user' THEN a.i - 1 ELSE a.i END AS start FROM a LEFT JOIN t p ON p.conv_id = a.conv_id AND p.i = a.i - 1 WHERE k = 3 AND EXISTS (FROM a b WHERE b.conv_id = a.conv_id AND b.k = 4))
+SELECT conv_id, turn, role FROM t LEFT JOIN s USING (conv_id) WHERE s.start IS NULL OR t.i >= s.start""")
 def events_cap_turns(spark, d):
     return events.cap_turns(table(spark, d, "conversations")).select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, turn, (ends_with(rtrim(text, ' ' || chr(9) || chr(10) || chr(13)), '?') AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) <= 300 AND NOT regexp_matches(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\n[ \\t]*\\n') AND NOT contains(text, '```') AND NOT regexp_matches(text, '(^|\\n)[ \\t]*(#|[-*+] |[0-9]+[.] |[|])')) AS is_question FROM conversations")
+#: White space as the classifier has it, in RE2's notation.
+JS = r"\t\n\v\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(HEAD, '[{JS}]+$', '') AS x FROM conversations)
+SELECT conv_id, turn, ends_with(x, '?') AND length(x) <= 300 AND NOT regexp_matches(x, '\n[{JS}]*\n') AND NOT contains(x, '```') AND NOT regexp_matches(x, '(^|\n)[{JS}]{{0,3}}#{{1,6}}[{JS}]')
+ AND NOT regexp_matches(x, '(^|\n)[{JS}]{{0,3}}([-*+]|[0-9]+[.)])[{JS}]') AND NOT regexp_matches(x, '(^|\n)[{JS}]*\|[^\n\r\x{{2028}}\x{{2029}}]*\|') AS is_question FROM t""".replace("HEAD", """(['', '#tag ', '# ', '1) ', '1)', '- ', '| a | b ', '|', 'Which: '][turn % 9 + 1] || left(text, 20 + CAST(turn AS INT) * 50) || CASE WHEN conv_id % 5 < 4 THEN '?' || chr(10) ELSE '' END)"""))
 def events_questions(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", events.ends_with_question(F.col("text")).alias("is_question"))
+    """Heads of the texts behind beginnings of all kinds, most of them with a question mark."""
+    begins = F.array(*map(F.lit, ["", "#tag ", "# ", "1) ", "1)", "- ", "| a | b ", "|", "Which: "]))
+    head = F.concat(F.get(begins, (F.col("turn") % 9).cast("int")), F.substring(F.col("text"), F.lit(1), (20 + F.col("turn") * 50).cast("int")), F.when(F.col("conv_id") % 5 < 4, F.lit("?\n")).otherwise(F.lit("")))
+    return table(spark, d, "conversations").select("conv_id", "turn", events.ends_with_question(head).alias("is_question"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -433,15 +513,26 @@ def events_history(spark, d):
     return events.history(table(spark, d, "events"), "user_id", "event_id", "ts").select("user_id", "event_id")
 
 
-@query("""WITH s AS (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)), t AS (SELECT * FROM events WHERE event_type <> (SELECT min(event_type) FROM events))
-SELECT user_id, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT * FROM s UNION ALL SELECT * FROM t) GROUP BY user_id""")
+#: What each kind of event does to a session: a query, output with an answer or with a question, the agent's end, a cancel.
+ACTIONS = {"signup": ("query", None), "click": ("line", '{"type":"result","result":"It is so."}'), "view": ("line", '{"type":"result","result":"Which one?"}'), "purchase": ("close", None), "error": ("cancel", None)}
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), g AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER w AS turn FROM o WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+f AS (SELECT *, coalesce(bool_or(event_type = 'view') OVER w, false) AS asked, coalesce(bool_or(event_type = 'click') OVER w, false) AS answered FROM g WINDOW w AS (PARTITION BY user_id, turn ORDER BY seq)),
+p AS (SELECT *, CASE event_type WHEN 'signup' THEN 'running' WHEN 'view' THEN 'awaiting-reply' WHEN 'error' THEN 'done' WHEN 'purchase' THEN CASE WHEN NOT asked THEN 'done' END END AS moved FROM f)
+SELECT user_id, event_id, coalesce(last_value(moved IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq), 'idle') AS phase, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 2 WHEN 'view' THEN 1 WHEN 'error' THEN 1 ELSE CASE WHEN asked OR answered THEN 0 ELSE 1 END END AS n_events FROM p""")
 def events_sessions(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    e = table(spark, d, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    of = lambda k: functools.reduce(lambda c, x: c.when(F.col("event_type") == x[0], F.lit(x[1][k])), list(ACTIONS.items())[1:], F.when(F.col("event_type") == "signup", F.lit(ACTIONS["signup"][k])))
+    told = events.sessions(e.select(F.col("user_id").cast("string").alias("session"), "seq", of(0).alias("action"), of(1).alias("text")))
+    met = told.join(e.select(F.col("user_id").cast("string").alias("session"), "seq", "user_id", "event_id"), ["session", "seq"])
+    return met.select("user_id", "event_id", "phase", F.size(F.from_json("events", "array<struct<type: string>>")).alias("n_events"))
 
 
-@query("SELECT DISTINCT source AS repo FROM documents WHERE source NOT IN ('src1', 'src2') EXCEPT SELECT 'src3'")
+@query("SELECT DISTINCT source AS repo FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')")
 def sets_unreached(spark, d):
-    selected = table(spark, d, "documents").agg(F.collect_set("source").alias("selected"))
-    left = F.array_except(F.array_except("selected", F.array(F.lit("src1"), F.lit("src2"))), F.array(F.lit("src3")))
-    return selected.select(F.explode(left).alias("repo"))
+    told = spark.createDataFrame([(1, ["src1"], [("src3", "slow")]), (2, ["src2", "src1"], [("src3", "lost")])], "seq long, scope array<string>, missing array<struct<repo: string, reason: string>>")
+    return events.unreached(table(spark, d, "documents").select(F.col("source").alias("repo")), events.merge_provenance(told))
+
+
+from . import more_queries  # noqa: E402, F401  registers the rest
