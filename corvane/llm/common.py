@@ -60,8 +60,12 @@ def forget(df: DataFrame) -> None:
     rdd = df._jdf.queryExecution().logical()
     file = rdd.rdd().getCheckpointFile() if rdd.getClass().getSimpleName() == "LogicalRDD" else None
     if file is not None and file.isDefined():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, file.get())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

@@ -61,4 +61,34 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op6_lm_scoring, op7_decontaminate, op8_suffix_dedup, op9_license_scan, op10_warc)}
-ORACLES: dict[str, str] = {}
+# Words and shingles as common.words and common.shingles have them; of one to four words, all of them are the one shingle.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SHINGLES = r"""SELECT {id}, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+ FROM (SELECT {id}, regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM {table} WHERE {id} IS NOT NULL)"""
+
+
+def _shingles(table_name: str, own: str) -> str:
+    return SHINGLES.format(id=own, table=table_name, lower=LOWER)
+
+
+ORACLES: dict[str, str] = {
+    "op3_chat_format": r"""WITH told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, length(regexp_replace(text, '[^\\<#]', '', 'g')) AS escapes, length(regexp_replace(role, '[^\\<#\n]', '', 'g')) AS role_escapes FROM told)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(4 + length(role) + role_escapes + 1 + length(text) + escapes + 8) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op4_near_duplicates": f"""WITH RECURSIVE s AS ({_shingles("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y) SELECT x AS doc_id, min(y) AS class_id, (SELECT count(*) FROM l WHERE l.x = reach.x) AS n_links FROM reach GROUP BY x""",
+    "op7_decontaminate": f"""WITH d AS ({_shingles("documents", "doc_id")}), i AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), m AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, c AS n_common, c / n AS containment FROM m JOIN n USING (item_id) WHERE 10 * c >= 8 * n""",
+    # A window's string by doubling, 50 = 32 + 16 + 2.
+    "op8_suffix_dedup": """WITH r AS (SELECT doc_id, unnest(h) AS byte, generate_subscripts(h, 1) AS j FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents)),
+a AS (SELECT *, byte || lead(byte, 1) OVER p AS s2 FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY j)), b AS (SELECT *, s2 || lead(s2, 2) OVER p AS s4 FROM a WINDOW p AS (PARTITION BY doc_id ORDER BY j)), c AS (SELECT *, s4 || lead(s4, 4) OVER p AS s8 FROM b WINDOW p AS (PARTITION BY doc_id ORDER BY j)),
+d AS (SELECT doc_id, j, byte, s2, s8 || lead(s8, 8) OVER p AS s16 FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY j)), e AS (SELECT *, s16 || lead(s16, 16) OVER p AS s32 FROM d WINDOW p AS (PARTITION BY doc_id ORDER BY j)), w AS (SELECT doc_id, j, byte, s32 || lead(s16, 32) OVER p || lead(s2, 48) OVER p AS s FROM e WINDOW p AS (PARTITION BY doc_id ORDER BY j)),
+f AS (SELECT s, min(doc_id) AS m FROM w WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) <> max(doc_id)), g AS (SELECT doc_id, j, byte, coalesce(max(CASE WHEN m < doc_id THEN j END) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS cut FROM w LEFT JOIN f USING (s)),
+k AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY j), false) AS first FROM g)
+SELECT doc_id, count(j) AS n_bytes, count(*) FILTER (cut) AS n_removed, count(*) FILTER (first) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY j) FILTER (NOT cut), ''))) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT x, max(page_id) AS best FROM p GROUP BY x)
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+ CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM p JOIN m USING (x)""",
+}
