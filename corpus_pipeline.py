@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, near_duplicates, packing, quality, substrings
-from corvane.llm.common import shared_folder, table
+from corvane.llm.common import delete, shared_folder, table
 from corvane.llm.tokens import vocabulary
 
 
@@ -45,9 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, over documents; between them, tables in the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages, one after the other, over documents; between them, tables in the shared folder, each deleted when the next one stands."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
