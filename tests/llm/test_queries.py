@@ -77,7 +77,7 @@ def test_op6_separates(spark, db):
     label = {k: q for k, q, _ in duckdb.sql(f"select * from '{SMALL}/labels.parquet'").fetchall()}
     score = {r.doc_id: r.score for r in queries.op6_lm_scoring(spark, SMALL).collect()}
     good, bad = ([s for k, s in score.items() if s is not None and label.get(k) == q] for q in (1, 0))
-    assert len(score) == db.sql("select count(*) from documents").fetchone()[0] and np.mean(good) > np.mean(bad)
+    assert len(score) == db.execute("select count(*) from documents").fetchone()[0] and np.mean(good) > np.mean(bad)
 
 
 def test_op9(spark, texts):
