@@ -37,9 +37,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is all documents that labels call good and not toxic."""
+    """The target is all documents that labels call good and not toxic. Losses in millionths of a nat."""
     labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return language_models.score(table(spark, sf_dir, "documents"), labels)
+    scored = language_models.score(table(spark, sf_dir, "documents"), labels)
+    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,46 @@ def _shingles(table_name: str, own: str) -> str:
     return SHINGLES.format(id=own, table=table_name, lower=LOWER)
 
 
+def _license_sql() -> str:
+    """The base phrases' places, and of each template the places of its key phrase and the best share of its words there; only texts with a sign are searched."""
+
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        return f"CASE WHEN signed THEN list_filter(range(1, len(w) - {len(words)} + 2), lambda i: w[i : i + {len(words) - 1}] = {words!r}) ELSE [] END"
+
+    found, shares = [], []
+    for k, (label, (template, key)) in enumerate(licenses.TEMPLATES.items()):
+        words, start = template.split(), f" {template} ".index(f" {key} ")
+        before = len(template[:start].split())
+        found.append(f"{places(key)} AS t{k}")
+        word = f"i - {before} + j - 1"
+        shares.append(f"list_max(list_transform(t{k}, lambda i: list_sum(list_transform(range(1, {len(words) + 1}), lambda j: CASE WHEN {word} >= 1 AND w[{word}] = {words!r}[j] THEN 1 ELSE 0 END)))) / {len(words)}")
+    base = [f"{places(phrase)} AS b{k}" for k, phrase in enumerate(licenses.BASE)]
+    named = lambda letter, labels: "[" + ", ".join(f"CASE WHEN len({letter}{k}) > 0 THEN '{x}' END" for k, x in enumerate(labels)) + "]"
+    joined = lambda x: f"array_to_string(list_sort(list_distinct({x})), ',')"
+    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), s AS (SELECT *, list_has_any(w, {licenses.SIGNS!r}) AS signed FROM d), p AS (SELECT doc_id, w, {", ".join(base + found)} FROM s),
+q AS (SELECT *, flatten([{", ".join(f"b{k}" for k in range(len(base)))}]) AS spots, {named("b", licenses.BASE.values())} AS base, {named("t", licenses.TEMPLATES)} AS more, [{", ".join(shares)}] AS shares FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) - 1 AS first_word, list_max(spots) - 1 AS last_word, {joined("base")} AS base_labels, {joined("list_concat(base, more)")} AS labels, coalesce(list_max(shares), 0.0)::DOUBLE AS score FROM q"""
+
+
+def _model_sql() -> str:
+    """Word and pair counts of all and of target documents, and each word's loss by both."""
+
+    def loss(count: str, unknown: str, size: str, pair: str, history: str) -> str:
+        word = f"((CASE WHEN c.n >= 2 THEN c.{count} ELSE {unknown} END) + 0.5) / ({size} + 0.5 * (vocabulary + 1))"
+        both = "c.n >= 2 AND h.n >= 2"
+        return f"-ln(CASE WHEN w.before IS NULL THEN {word} ELSE ((CASE WHEN {both} THEN {pair} ELSE 0 END) + 4 * {word}) / ((CASE WHEN {both} THEN {history} ELSE 0 END) + 4) END)"
+
+    return rf"""WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0), d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM good) AS t, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS ws FROM documents),
+w AS (SELECT doc_id, t, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, t, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d)), c AS (SELECT x, count(*) AS n, count(*) FILTER (t) AS m FROM w GROUP BY x), p AS (SELECT before, x, count(*) AS n, count(*) FILTER (t) AS m FROM w WHERE before IS NOT NULL GROUP BY ALL),
+z AS (SELECT count(*) FILTER (n >= 2) AS vocabulary, sum(n) AS total, sum(m) AS target, sum(n) FILTER (n < 2) AS rare, coalesce(sum(m) FILTER (n < 2), 0) AS rare_target FROM c),
+l AS (SELECT w.doc_id, {loss("m", "coalesce(rare_target, 0)", "target", "p.m", "h.m")} AS a, {loss("n", "coalesce(rare, 0)", "total", "p.n", "h.n")} AS b FROM w JOIN c USING (x) LEFT JOIN c h ON h.x = w.before LEFT JOIN p ON p.before = w.before AND p.x = w.x CROSS JOIN z)
+SELECT documents.doc_id, count(a) AS n_words, round(avg(a), 6) AS target_loss, round(avg(b), 6) AS background_loss, round(avg(b) - avg(a), 6) + 0.0 AS score FROM documents LEFT JOIN l USING (doc_id) GROUP BY documents.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_lm_scoring": _model_sql(),
+    "op9_license_scan": _license_sql(),
     "op3_chat_format": r"""WITH told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (SELECT *, length(regexp_replace(text, '[^\\<#]', '', 'g')) AS escapes, length(regexp_replace(role, '[^\\<#\n]', '', 'g')) AS role_escapes FROM told)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

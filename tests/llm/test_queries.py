@@ -17,7 +17,7 @@ from ..conftest import SMALL
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "labels"):
         con.sql(f"create view {t} as from '{SMALL}/{t}.parquet'")
     return con
 
