@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import extract, formats, text, vectors
-from .operators import catalog, codegraph, export, fts, graphs, incremental, kg, rank, render
+from .operators import catalog, codegraph, export, fts, graphs, incremental, kg, rank, render, retrieval
 from .operators.corpus import specs_from_documents
 from .queries import CALLS, CODE, DECLS, NODES, RANKED, SPECS, SUMMARY, TOKENS, UNIT, _code, _decls, _units, built_index, query
 from .session import cut, shared_folder, table
@@ -138,6 +138,17 @@ def kg_malformed(spark, d):
     return kg.malformed(files.specs(_notes(spark, d))).select("repo", F.array_join("paths", ",").alias("paths"))
 
 
+@query(f"""WITH {MADE}, {CONTENT}, {FIELDS}, d AS (SELECT DISTINCT repo, path, own AS id, CASE WHEN starts_with(own, 'component://') THEN 'component' ELSE 'file' END AS kind FROM fielded), many AS (SELECT id FROM d GROUP BY id HAVING count(*) > 1)
+SELECT repo, count(*) FILTER (kind = 'file') AS n_structural, count(*) FILTER (kind <> 'file') AS n_typed, (SELECT count(*) FROM typed t WHERE t.repo = d.repo) AS n_edges, count(DISTINCT id) FILTER (id IN (SELECT id FROM many)) AS n_conflicts,
+ (SELECT count(DISTINCT dst) FROM typed t WHERE t.repo = d.repo AND dst NOT IN (SELECT id FROM d)) AS n_unresolved, (SELECT coalesce(array_to_string(list_sort(list(path)), ','), '') FROM fielded m WHERE m.repo = d.repo AND doc_id % 4 > 0 AND doc_id % 6 = 1) AS malformed,
+ (SELECT CASE WHEN count(*) > 0 THEN 'zLinks=' || count(*) ELSE '' END FROM fielded m WHERE m.repo = d.repo AND f) AS fields FROM d GROUP BY repo""")
+def kg_scan_summary(spark, d):
+    rows = cut(files.specs(_notes(spark, d)))
+    decls, edges = files.declarations(rows)
+    told = kg.scan_summary(decls, edges, kg.resolve(decls, edges), rows)
+    return told.withColumns({"malformed": F.array_join("malformed", ","), "fields": F.array_join(F.transform("fields", lambda x: F.concat(x["field"], F.lit("="), x["count"])), ",")})
+
+
 @query(f"WITH {DECLS} SELECT 'outgoing' AS direction, type, count(*) AS n FROM edges WHERE src = 'component://c7' GROUP BY ALL UNION ALL SELECT 'incoming', type, count(*) FROM edges WHERE dst = 'component://c7' GROUP BY ALL")
 def kg_groups(spark, d):
     return kg.explain_groups(_decls(spark, d)[1], "component://c7").select("direction", "type", F.size("edges").cast("long").alias("n"))
@@ -358,6 +369,23 @@ def graph_repo(spark, d):
 
 # Code
 
+@query(f"""WITH {SPECS}, {TOKENS}, {UNIT}, q AS (SELECT 'the' AS word, 0 AS k), {RANKED}, h AS (SELECT spec_id, repo, doc_id, row_number() OVER (PARTITION BY repo ORDER BY rank, spec_id) - 1 AS i FROM ranks JOIN specs USING (spec_id) WHERE repo IN ('src1', 'src2') QUALIFY i < 200),
+n AS (SELECT spec_id, row_number() OVER (PARTITION BY h.repo ORDER BY list_dot_product(x.vec, y.vec) DESC, i) - 1 AS j FROM h JOIN v x ON x.vec_id = h.doc_id JOIN v y ON y.vec_id = 0), s AS (SELECT spec_id, repo, i, 1.0 / (60 + i) + coalesce(1.0 / (60 + j), 0) AS score FROM h LEFT JOIN n USING (spec_id))
+SELECT spec_id, repo, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, i) <= 50""")
+def retrieval_semantic(spark, d):
+    specs, v = specs_from_documents(spark, d), _units(spark, d)
+    q = v.where("id = 0").select(F.col("vec").alias("q"))
+    cosine = specs.join(v.join(F.broadcast(q)).select(F.col("id").alias("doc_id"), vectors.dot(F.col("vec"), F.col("q")).alias("cosine")), "doc_id").select("spec_id", "cosine")
+    found = retrieval.semantic(retrieval.Sources(built_index(spark, d), specs), cosine, "the", ["src1", "src2"])
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query("SELECT 3 AS n_repos, 'now' AS last_scan")
+def catalog_last_scan(spark, d):
+    specs = specs_from_documents(spark, d).where(F.col("repo").isin("src1", "src2", "src3"))
+    return catalog.stats(specs, {"last_scan": "now"}).select(F.col("n_repos").cast("int").alias("n_repos"), "last_scan")
+
+
 @query(f"WITH {CODE} SELECT name, qualified_name FROM nodes WHERE qualified_name = 'r0.n0'")
 def code_node(spark, d):
     return codegraph.node(_code(spark, d)[0], "r0.n0")

@@ -18,11 +18,12 @@ def tags(specs: DataFrame) -> DataFrame:
     return specs.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n_specs"))
 
 
-def stats(specs: DataFrame) -> DataFrame:
-    """One row: repos, specs, projects, tags, bytes; always live."""
+def stats(specs: DataFrame, meta: dict[str, str] | None = None) -> DataFrame:
+    """One row: repos, specs, projects, tags, bytes, always live; and with a store's meta the time of its last scan, or never."""
     tagged = specs.select(F.explode("tags").alias("tag")).agg(F.count_distinct("tag").alias("n_tags"))
     rest = specs.agg(F.count_distinct("repo").alias("n_repos"), F.count("*").alias("n_specs"), F.count_distinct("project").alias("n_projects"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
-    return rest.crossJoin(tagged)  # one row each
+    out = rest.crossJoin(tagged)  # one row each
+    return out if meta is None else out.withColumn("last_scan", F.lit(meta.get("last_scan", "never")))
 
 
 def repos(registry: DataFrame, specs: DataFrame) -> DataFrame:

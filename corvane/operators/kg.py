@@ -55,12 +55,12 @@ def _grouped(rows: list) -> dict[str, list]:
 
 
 def summary(decls: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A row for each repo: structural and typed declarations, edges, conflicts and unresolved endpoints."""
+    """A row for each repo: structural and typed declarations, edges, conflicts and unresolved targets of edges."""
     counts = decls.groupBy("repo").agg(F.count_if(F.col("kind") == "file").alias("n_structural"), F.count_if(F.col("kind") != "file").alias("n_typed"))
     linked = edges.groupBy("repo").agg(F.count("*").alias("n_edges"))
     flags = nodes.select("id", "flags")
     conflicts = decls.join(flags.where("flags = 'conflict'"), "id").groupBy("repo").agg(F.count_distinct("id").alias("n_conflicts"))
-    ends = edges.select("repo", F.explode(F.array("src", "dst")).alias("id"))
+    ends = edges.select("repo", F.col("dst").alias("id"))
     unresolved = ends.join(flags.where("flags = 'unresolved'"), "id").groupBy("repo").agg(F.count_distinct("id").alias("n_unresolved"))
     out = counts.join(linked, "repo", "full").join(conflicts, "repo", "left").join(unresolved, "repo", "left")
     return out.select("repo", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_structural", "n_typed", "n_edges", "n_conflicts", "n_unresolved")))
@@ -75,6 +75,14 @@ def unrecognized(rows: DataFrame, n: int = 5) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
 
 
+def scan_summary(decls: DataFrame, edges: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """summary() with malformed, the paths of malformed specs in order, and fields, the most frequent unrecognised ones (field, count); empty lists where there are none. rows: repo, path, malformed, unrecognized."""
+    top = unrecognized(rows).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "field"))).alias("t"))
+    fields = top.select("repo", F.transform("t", lambda x: F.struct(x["field"].alias("field"), (-x["less"]).alias("count"))).alias("fields"))
+    out = summary(decls, edges, nodes).join(malformed(rows).withColumnRenamed("paths", "malformed"), "repo", "left").join(fields, "repo", "left")
+    return out.withColumns({"malformed": F.coalesce("malformed", F.expr("cast(array() as array<string>)")), "fields": F.coalesce("fields", F.expr("cast(array() as array<struct<field: string, count: bigint>>)"))})
+
+
 def malformed(rows: DataFrame) -> DataFrame:
     """(repo, paths): the paths of each repo's specs whose frontmatter is malformed, in order; rows: repo, path, malformed."""
     return rows.where("malformed").groupBy("repo").agg(F.sort_array(F.collect_list("path")).alias("paths"))

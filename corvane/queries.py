@@ -352,7 +352,7 @@ def kg_resolve(spark, d):
 
 @query(f"""WITH {DECLS}, {NODES} SELECT d.repo, count(*) FILTER (kind = 'file') AS n_structural, count(*) FILTER (kind <> 'file') AS n_typed, (SELECT count(*) FROM edges e WHERE e.repo = d.repo) AS n_edges,
 (SELECT count(DISTINCT x.id) FROM decls x JOIN nodes n USING (id) WHERE x.repo = d.repo AND n.flags = 'conflict') AS n_conflicts,
-(SELECT count(DISTINCT n.id) FROM edges e JOIN nodes n ON n.id IN (e.src, e.dst) WHERE e.repo = d.repo AND n.flags = 'unresolved') AS n_unresolved FROM decls d GROUP BY d.repo""")
+(SELECT count(DISTINCT n.id) FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.repo = d.repo AND n.flags = 'unresolved') AS n_unresolved FROM decls d GROUP BY d.repo""")
 def kg_summary(spark, d):
     decls, edges = _decls(spark, d)
     return kg.summary(decls, edges, kg.resolve(decls, edges))

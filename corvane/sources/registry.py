@@ -118,6 +118,16 @@ def changed_files(root: str, last: str | None, types: tuple[str, ...] = ("md", "
     return sorted(n for n in names if n.rpartition(".")[2].lower() in types), head
 
 
+def lock_name(repo: str) -> str:
+    """The name of a repo's lock file, which is one segment of a path whatever the repo's name holds."""
+    return repo.replace("/", "_").replace("\\", "_") + ".lock"
+
+
+def quoted(argument: str) -> str:
+    """An argument in single quotes, safe in a shell's line."""
+    return "'" + argument.replace("'", "'\\''") + "'"
+
+
 @dataclass
 class ExternalGraph:
     name: str

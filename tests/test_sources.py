@@ -88,6 +88,10 @@ def test_upkeep_equals_rebuild(spark, tmp_path):
     assert incremental.due(str(root), "0" * 40) and registry.changed_files(str(tmp_path / "store"), None) == ([], None)
 
 
+def test_names_for_shells():
+    assert registry.lock_name("a/b\\c") == "a_b_c.lock" and registry.quoted("it's") == "'it'\\''s'"
+
+
 def test_graph_cache(spark, tmp_path):
     import os
 
