@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_folder
+from .common import join_unique, parts, shared_folder
 
 #: A block ends with this many captures or with the record that reaches this many bytes of the archive.
 BLOCK_CAPTURES, BLOCK_BYTES, LEVEL = 512, 4 << 20, 3
@@ -94,8 +94,9 @@ def write(pages: DataFrame, folder: str, partitions: int | None = None) -> None:
     folder = qualified(spark, folder)
     filled = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", url_key(F.col("url")))
     narrow = filled.select("page_id", "key", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("digest"))
-    same = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    revisits = narrow.join(same, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    same = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    # One payload, the empty one say, may be that of very many pages.
+    revisits = join_unique(narrow, same, "digest", "n", pages.count()).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     flags = revisits.select("key", "page_id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
     rows = filled.select("key", "page_id", F.lit(None).cast("binary").alias("digest"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     both = flags.union(rows).repartitionByRange(partitions or parts(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "kind", "digest", "html")
