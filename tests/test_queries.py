@@ -7,7 +7,7 @@ from corvane.queries import ORACLES, QUERIES
 
 from .conftest import SMALL
 
-SLOW = {"graph_tag_links", "vectors_embedding", "fts_stems", "fts_stemmed"}
+SLOW = {"graph_tag_links", "fts_stems", "fts_stemmed"}
 
 
 def rows(found, columns):
