@@ -124,7 +124,7 @@ def candidate_links(classes: DataFrame, least: int) -> DataFrame:
     spread = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels").select(F.substring(F.col("labels"), F.col("tree") * size + 1, F.lit(size)).alias("label"), "node")
     ordered = spread.repartitionByRange(parts(classes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
     walked = cut(ordered.mapInArrow(_walk(least), WALKED))
-    borders = walked.where("b is null").select("label", F.col("a").alias("node")).coalesce(1).sortWithinPartitions("label", "node")
+    borders = walked.where("b is null").select("label", F.col("a").alias("node")).repartition(1).sortWithinPartitions("label", "node")
     return walked.where("b is not null").select("a", "b").union(borders.mapInArrow(_walk(least), WALKED).where("b is not null").select("a", "b"))
 
 
