@@ -98,5 +98,5 @@ def write_node_link(nodes: DataFrame, links: DataFrame, path: str, about: dict[s
             last = parts[-1] if parts else last
             yield pa.RecordBatch.from_arrays([pa.array([("," if c else "") + x for c, x in zip(comma, batch.column(1).to_pylist(), strict=True)], pa.string())], ["line"])
 
-    lines = node_link_lines(nodes, links, about).coalesce(1).sortWithinPartitions("part", "a", "b", "line")
+    lines = node_link_lines(nodes, links, about).repartition(1).sortWithinPartitions("part", "a", "b", "line")
     lines.select("part", "line").mapInArrow(with_commas, "line string").write.mode("overwrite").text(path)
