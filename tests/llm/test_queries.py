@@ -24,13 +24,13 @@ def db():
 
 @pytest.fixture(scope="module")
 def texts(db):
-    return {k: t or "" for k, t in db.sql("select doc_id, text from documents").fetchall()}
+    return {k: t or "" for k, t in db.cursor().execute("select doc_id, text from documents").fetchall()}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, db, name):
     df = queries.QUERIES[name](spark, SMALL)
-    cursor = db.execute(queries.ORACLES[name])
+    cursor = db.cursor().execute(queries.ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, cursor.fetchall()))
@@ -74,10 +74,10 @@ def test_op2_and_op5(spark, texts):
 
 def test_op6_separates(spark, db):
     """Good labelled documents score higher than bad ones."""
-    label = {k: q for k, q, _ in duckdb.sql(f"select * from '{SMALL}/labels.parquet'").fetchall()}
+    label = {k: q for k, q, _ in db.cursor().execute("select * from labels").fetchall()}
     score = {r.doc_id: r.score for r in queries.op6_lm_scoring(spark, SMALL).collect()}
     good, bad = ([s for k, s in score.items() if s is not None and label.get(k) == q] for q in (1, 0))
-    assert len(score) == db.execute("select count(*) from documents").fetchone()[0] and np.mean(good) > np.mean(bad)
+    assert len(score) == db.cursor().execute("select count(*) from documents").fetchone()[0] and np.mean(good) > np.mean(bad)
 
 
 def test_op9(spark, texts):
