@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_models, licenses, near_duplicates, packing, quality, substrings, token_files, warc
+from . import chat, decontaminate, language_models, licenses, middles, near_duplicates, packing, quality, substrings, token_files, warc
 from .common import table
 from .tokens import vocabulary
 
@@ -61,7 +61,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op6_lm_scoring, op7_decontaminate, op8_suffix_dedup, op9_license_scan, op10_warc)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middles.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op6_lm_scoring, op7_decontaminate, op8_suffix_dedup, op9_license_scan, op10_warc, op11_fill_in_middle)}
 # Words and shingles as common.words and common.shingles have them; of one to four words, all of them are the one shingle.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SHINGLES = r"""SELECT {id}, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
@@ -128,6 +132,11 @@ d AS (SELECT doc_id, j, byte, s2, s8 || lead(s8, 8) OVER p AS s16 FROM c WINDOW
 f AS (SELECT s, min(doc_id) AS m FROM w WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) <> max(doc_id)), g AS (SELECT doc_id, j, byte, coalesce(max(CASE WHEN m < doc_id THEN j END) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS cut FROM w LEFT JOIN f USING (s)),
 k AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY j), false) AS first FROM g)
 SELECT doc_id, count(j) AS n_bytes, count(*) FILTER (cut) AS n_removed, count(*) FILTER (first) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY j) FILTER (NOT cut), ''))) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
+    "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, len(w) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS r FROM d), f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM e),
+g AS (SELECT *, CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 :], '') AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM g""",
     "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT x, max(page_id) AS best FROM p GROUP BY x)
 SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM p JOIN m USING (x)""",
