@@ -137,8 +137,8 @@ def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * powers(BYTE_INV, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of the rows, A-Z as a-z, and the number of words before each row."""
+def word_places(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of the rows begin and end, and the number of words before each row."""
     inside = WORD_BYTE[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -147,7 +147,13 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, last = offs[:-1][full], offs[1:][full] - 1
     begins[first], ends[last] = inside[first], inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return spans(prefix_hash(data, FOLDED_VALUE), start, end), np.searchsorted(start, offs)
+    return start, end, np.searchsorted(start, offs)
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the rows, A-Z as a-z, and the number of words before each row."""
+    start, end, before = word_places(data, offs)
+    return spans(prefix_hash(data, FOLDED_VALUE), start, end), before
 
 
 def grams(hashes: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
