@@ -33,6 +33,8 @@ from .common import FAN, MAIL, WORD_BYTE, U, blocks_for, chunks, cut, delivered,
 BUCKETS, ADD = 10_000, 1
 #: Bytes of the texts of one block, and of those whose features a shard of the dictionary gets.
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+#: Strings that a block makes at once.
+AT_ONCE = 1 << 18
 #: Tasks whose offsets (16 bytes each) are broadcast; more of them meet the rows in a join.
 TASKS = 1 << 16
 BITS = 21  # of a word's number in a feature's key; blocks with more distinct words are cut in two
@@ -86,13 +88,26 @@ def pieces(texts: pa.Array, limit: int) -> Iterator[Words]:
                 packed = folded[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
                 offsets = np.concatenate(([0], np.cumsum(end - start)))
                 coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
-                yield Words(coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(lo, hi), np.diff(before)), start >= at - since, coded.dictionary)
+                yield Words(coded.indices.to_numpy(), np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(before)), start >= at - since, coded.dictionary)
                 since += int(start[-2:][0])
             else:
                 since = to
             at = to
 
 
+def _ended(book: pa.Array) -> pa.Array:
+    """The strings, each ended by a line feed, which no word has."""
+    return pc.binary_join_element_wise(book, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+
+
+def _listed(ended: pa.Array) -> list[bytes]:
+    """Strings that are ended by a line feed, without it."""
+    if not len(ended):
+        return []
+    offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    return bytes(memoryview(ended.buffers()[2])[offsets[0] : offsets[-1] - 1]).split(b"\n")
+
+
 def _distinct(words: Words) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray]]:
     """(distinct words, the words of each distinct feature by their numbers, how often it stands there), by length of features."""
     if len(words.book) + 1 >= 1 << BITS:
@@ -107,31 +122,36 @@ def _distinct(words: Words) -> Iterator[tuple[pa.Array, list[np.ndarray], np.nda
         key.sort()
         begin = runs(key)
         mask = U((1 << BITS) - 1)
-        yield words.book, [(key[begin] >> U(BITS * (n - 1 - k)) & mask).astype(np.int64) for k in range(n)], np.diff(np.append(begin, len(key)))
+        yield words.book, [(key[begin] >> U(BITS * (n - 1 - k)) & mask).astype(np.int32) for k in range(n)], np.diff(np.append(begin, len(key)))
 
 
 def _mail(words: Words, shards: int, target: bool, fan: int) -> Iterator[pa.RecordBatch]:
-    """A block's features as messages to the shards: strings, each ended by a line feed, and counts."""
+    """A block's features as messages to the shards: strings, each ended by a line feed, and counts. Strings are made for AT_ONCE of them, or one shard's, at a time."""
     held: dict[int, list[bytes]] = {}
-    press = zstandard.ZstdCompressor(level=3)
+    press, binary = zstandard.ZstdCompressor(level=3), pa.large_binary()
     for book, numbers, counts in _distinct(words):
-        if not len(counts):
-            continue
-        hashes = np.array([zlib.crc32(w) for w in book.to_pylist()], np.uint64)
+        ended = _ended(book)
+        hashes = np.array([zlib.crc32(w) for w in _listed(ended)], np.uint32)
         told = np.zeros(len(counts), np.uint64)
         for x in numbers:
             told = mix(told + hashes[x] + U(1))
-        shard = (told % U(shards)).astype(np.int32)
-        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
-        shard, counts = shard[order], counts[order]
-        ended = pc.binary_join_element_wise(book, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
-        own = [(ended if k == len(numbers) - 1 else book).take(pa.array(x[order])) for k, x in enumerate(numbers)]
-        strings = pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.large_binary())) if len(own) > 1 else own[0]
-        offsets, data = np.frombuffer(strings.buffers()[1], np.int64), memoryview(strings.buffers()[2])
-        begin = runs(shard)
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(shard)).tolist(), strict=True):
-            texts, numbers_of = press.compress(data[offsets[a] : offsets[b]]), press.compress(counts[a:b].astype("<u8" if counts[a:b].max() >> 32 else "<u4").tobytes())
-            held.setdefault(int(shard[a]), []).append(struct.pack("<IIIB", b - a, len(texts), len(numbers_of), target) + texts + numbers_of)
+        shard = (told % U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int32)
+        del told, hashes
+        order = np.argsort(shard, kind="stable")
+        shard, begin = shard[order], runs(shard[order])
+        at = 0
+        while at < len(begin):
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + AT_ONCE)) - 1)
+            lo, hi = int(begin[at]), int(begin[to]) if to < len(begin) else len(shard)
+            some = order[lo:hi]
+            own = [(ended if k == len(numbers) - 1 else book).take(pa.array(x[some])) for k, x in enumerate(numbers)]
+            strings = pc.binary_join_element_wise(*own, pa.scalar(b" ", binary)) if len(own) > 1 else own[0]
+            offsets, data = np.frombuffer(strings.buffers()[1], np.int64), memoryview(strings.buffers()[2])
+            for a, b in zip((begin[at:to] - lo).tolist(), [*(begin[at + 1 : to] - lo).tolist(), hi - lo], strict=True):
+                n = counts[some[a:b]]
+                texts, numbers_of = press.compress(data[offsets[a] : offsets[b]]), press.compress(n.astype("<u8" if int(n.max()) >> 32 else "<u4").tobytes())
+                held.setdefault(int(shard[lo + a]), []).append(struct.pack("<IIIB", b - a, len(texts), len(numbers_of), target) + texts + numbers_of)
+            at = to
     if held:
         to = sorted(held)
         yield posted(to, [b"".join(held[t]) for t in to], shards, fan)
@@ -162,7 +182,7 @@ def _counted(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _buckets(features: pa.Array, buckets: int) -> np.ndarray:
     """Each distinct string is hashed here, once."""
-    return np.array([zlib.crc32(x[:-1]) % buckets for x in features.to_pylist()], np.int64)
+    return np.array([zlib.crc32(x) for x in _listed(features)], np.int64) % buckets
 
 
 def _sent(docs: DataFrame, target: DataFrame, block: int, shard: int, fan: int) -> DataFrame:
@@ -267,7 +287,7 @@ def weigh(docs: DataFrame, gain: list[int], block: int = BLOCK_BYTES) -> DataFra
         for batch in batches:
             out = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
             for words in pieces(batch.column(1), block):
-                book = words.book.to_pylist()
+                book = _listed(_ended(words.book))
                 alone, after = (np.array([zlib.crc32(p + w) for w in book], np.uint32) for p in (b"", b" "))
                 size = np.array([len(w) + 1 for w in book], np.int64)
                 crc = alone[words.ids]
