@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_models, licenses, middles, near_duplicates, packing, quality, resampling, substrings, token_files, warc
+from . import chat, compression, decontaminate, language_models, licenses, middles, near_duplicates, packing, quality, resampling, substrings, token_files, warc
 from .common import table
 from .tokens import vocabulary
 
@@ -69,7 +69,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op6_lm_scoring, op7_decontaminate, op8_suffix_dedup, op9_license_scan, op10_warc, op11_fill_in_middle, op12_importance_resampling)}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_chat_format, op4_near_duplicates, op5_token_files, op6_lm_scoring, op7_decontaminate, op8_suffix_dedup, op9_license_scan, op10_warc, op11_fill_in_middle, op12_importance_resampling, op13_quality_classifier)}
 # Words and shingles as common.words and common.shingles have them; of one to four words, all of them are the one shingle.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SHINGLES = r"""SELECT {id}, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
