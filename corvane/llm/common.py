@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import struct
 import tempfile
@@ -205,6 +207,13 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
 
 
+def settle() -> None:
+    """Gives memory that is free in this process back to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_rows(out: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 

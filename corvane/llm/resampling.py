@@ -28,12 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FAN, MAIL, WORD_BYTE, U, blocks_for, chunks, cut, delivered, mix, parts, posted, runs, text_bytes, word_places
+from .common import FAN, MAIL, WORD_BYTE, U, blocks_for, chunks, cut, delivered, mix, parts, posted, runs, settle, text_bytes, word_places
 
 BUCKETS, ADD = 10_000, 1
 #: Bytes of the texts of one block, and of those whose features a shard of the dictionary gets.
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
-#: Strings that a block makes at once.
+#: Strings that a block makes, and a shard hashes, at once.
 AT_ONCE = 1 << 18
 #: Tasks whose offsets (16 bytes each) are broadcast; more of them meet the rows in a join.
 TASKS = 1 << 16
@@ -182,7 +182,10 @@ def _counted(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _buckets(features: pa.Array, buckets: int) -> np.ndarray:
     """Each distinct string is hashed here, once."""
-    return np.array([zlib.crc32(x) for x in _listed(features)], np.int64) % buckets
+    out = np.zeros(len(features), np.int64)
+    for at in range(0, len(features), AT_ONCE):
+        out[at : at + AT_ONCE] = [zlib.crc32(x) for x in _listed(features.slice(at, AT_ONCE))]
+    return out % buckets
 
 
 def _sent(docs: DataFrame, target: DataFrame, block: int, shard: int, fan: int) -> DataFrame:
@@ -198,6 +201,7 @@ def _sent(docs: DataFrame, target: DataFrame, block: int, shard: int, fan: int)
                 texts, held, size = pa.concat_arrays(held), [], 0
                 for words in pieces(texts, block + block // 4):
                     yield from _mail(words, shards, of_target, fan)
+                settle()
 
             for batch in batches:
                 texts = batch.column(0)
@@ -240,6 +244,8 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block: int
         both = [np.zeros(buckets, np.int64) for _ in range(2)]
         for total, count in zip(both, (n, t), strict=True):
             np.add.at(total, bucket, count)
+        del features, bucket, n, t
+        settle()
         some = np.flatnonzero(both[0] + both[1])
         return pa.Table.from_arrays([pa.array(some), *(pa.array(x[some]) for x in both)], schema=schema)
 
@@ -303,6 +309,7 @@ def weigh(docs: DataFrame, gain: list[int], block: int = BLOCK_BYTES) -> DataFra
                         out[1][row[first]] += np.diff(np.append(first, len(row)))
                         if n == 1:
                             out[0][row[first]] += np.diff(np.append(first, len(row)))
+            settle()
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(weights, "doc_id long, n_words long, n_features long, weight long")
