@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -9,22 +10,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+#: The combining marks that are left out of tokens. All others part them.
+LEFT_OUT = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)))
 
 
-def _marks() -> tuple[str, str]:
-    """Latin letters with diacritics, and the letters without."""
-    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x250))]
-    kept = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
-    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+def _fold(letter: str) -> str:
+    """A letter's folded form: its case folded, and without its mark if it is an ASCII letter with one."""
+    small = next(x for x in (letter.casefold(), letter.lower(), letter.lower()[0]) if len(x) == 1)
+    apart = unicodedata.normalize("NFD", small)
+    return apart[0] if len(apart) == 2 and unicodedata.combining(apart[1]) and apart[0].isascii() else small
 
 
-MARKED, PLAIN = _marks()
+@functools.cache
+def folding() -> tuple[str, str]:
+    """All letters of the basic plane that fold to another, with what they fold to."""
+    pairs = [(c, _fold(c)) for c in map(chr, (*range(0x41, 0xD800), *range(0xF900, 0xFFFE))) if unicodedata.category(c)[0] in "LN"]
+    return "".join(c for c, f in pairs if c != f), "".join(f for c, f in pairs if c != f)
 
 
 def folded(text: Column) -> Column:
-    """Lower case, without diacritics."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), r"\p{Mn}", "")
+    """Letters folded, and marks that are left out of tokens gone."""
+    letters, forms = folding()
+    return F.translate(F.coalesce(text, F.lit("")), letters + LEFT_OUT, forms)
 
 
 def tokens(text: Column) -> Column:
@@ -32,10 +40,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 
 
+@functools.cache
+def _folding_of_queries() -> dict[int, str | None]:
+    return str.maketrans(*folding(), LEFT_OUT)
+
+
 def tokens_of(text: str) -> list[str]:
     """The same on the driver, for queries."""
-    flat = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return [t for t in re.findall(r"[^\W_]+", flat)]
+    flat = text.translate(_folding_of_queries())
+    inside = lambda c: (kind := unicodedata.category(c))[0] in "LN" or kind == "Co"
+    return "".join(c if inside(c) else " " for c in flat).split()
 
 
 _VOWELS = "aeiou"

@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.functions.text import stem
 from corvane.operators import catalog, fts
 from corvane.operators.corpus import specs_from_documents
@@ -107,3 +108,51 @@ def test_stems():
         db.execute("insert into t(rowid, x) values (?, ?)", (k, w))
     want = {words[doc - 1]: term for term, doc in db.execute("select term, doc from v")}
     assert {w: stem(w) for w in words} == want
+
+
+def fts5_tokens(texts):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='unicode61')")
+    db.execute("create virtual table v using fts5vocab(t, instance)")
+    db.executemany("insert into t(rowid, x) values (?, ?)", enumerate(texts, 1))
+    out = [[] for _ in texts]
+    for term, doc in db.execute("select term, doc from v order by doc, offset"):
+        out[doc - 1].append(term)
+    return out
+
+
+#: Letters with another case that came to Unicode after the version that FTS5's folding has.
+YOUNGER = [(0x13A0, 0x13FF), (0x1C80, 0x1CBF), (0x37F, 0x37F), (0x528, 0x52F), (0x2C2F, 0x2C2F), (0xA698, 0xA69B), (0xA796, 0xA79F), (0xA7AB, 0xA7F5), (0xAB70, 0xABBF)]
+
+
+def test_folding_of_all_letters(spark):
+    """Each letter, digit and mark of the basic plane within a word, for texts (Spark) and for queries, as FTS5 has it."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not any(a <= c <= b for a, b in YOUNGER)]
+    chars = [c for c in chars if unicodedata.category(c)[0] in "LN" or c in text.LEFT_OUT or unicodedata.ucd_3_2_0.category(c) in ("Mn", "Mc", "Po", "Zs")]
+    words = [f"q{c}q" for c in chars]
+    want = fts5_tokens(words)
+    parted = {c for c, w in zip(chars, want, strict=True) if len(w) == 2 and unicodedata.category(c)[0] in "LN"}
+    assert len(parted) < 30  # some letters of newer versions are no letters to FTS5
+    rows = [(w, x) for c, w, x in zip(chars, words, want, strict=True) if c not in parted]
+    assert [text.tokens_of(w) for w, _ in rows] == [x for _, x in rows]
+    df = spark.createDataFrame([(k, w) for k, (w, _) in enumerate(rows)], "k int, x string")
+    # Java may know a version of Unicode older than Python's, so not the newest letters.
+    known = F.col("x").rlike(r"^q[\p{L}\p{N}\p{Co}]q$")
+    got = df.select("k", text.tokens(F.col("x")).alias("t"), known.alias("known")).collect()
+    assert all(r.t == rows[r.k][1] for r in got if r.known or len(rows[r.k][1]) == 2 or rows[r.k][1] == ["qq"])
+    assert sum(r.known for r in got) > 0.95 * sum(len(x) == 1 and x != ["qq"] for _, x in rows)
+
+
+@pytest.mark.parametrize("word", ["чай", "한국어", "tiếng", "νερά", "がくせい", "Ünïcode", "ЁЖИК", "ΣΟΦΌΣ", "सत्य", "été", "ﬁne", "İstanbul"])
+def test_scripts(spark, word):
+    """A word finds its text, and that of another case, as FTS5 does."""
+    texts = [f"a {word} b", f"a {word.upper()} b", "nothing", f"{word}{word}"]
+    specs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "spec_id string, content string")
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(content, spec_id unindexed)")
+    db.executemany("insert into t values (?, ?)", [(t, str(k)) for k, t in enumerate(texts)])
+    want = {r[0]: r[1] for r in db.execute("select spec_id, rank from t where t match ?", (f'"{word}"',))}
+    got = {r.spec_id: r["rank"] for r in fts.search(fts.index(specs, ("content",)), f'"{word}"').collect()}
+    assert "0" in got and got == pytest.approx(want)
