@@ -32,7 +32,7 @@ from .common import FAN, MAIL, WORD_BYTE, U, blocks_for, chunks, cut, delivered,
 
 BUCKETS, ADD = 10_000, 1
 #: Bytes of the texts of one block, and of those whose features a shard of the dictionary gets.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 12 << 20, 8 << 20
 #: Strings that a block makes, and a shard hashes, at once.
 AT_ONCE = 1 << 18
 #: Tasks whose offsets (16 bytes each) are broadcast; more of them meet the rows in a join.
@@ -126,10 +126,10 @@ def _distinct(words: Words) -> Iterator[tuple[pa.Array, list[np.ndarray], np.nda
 
 
 def _mail(words: Words, shards: int, target: bool, fan: int) -> Iterator[pa.RecordBatch]:
-    """A block's features as messages to the shards: strings, each ended by a line feed, and counts. Strings are made for AT_ONCE of them, or one shard's, at a time."""
-    held: dict[int, list[bytes]] = {}
+    """A block's features as messages to the shards, by length of features: strings, each ended by a line feed, and counts. Strings are made for AT_ONCE of them, or one shard's, at a time."""
     press, binary = zstandard.ZstdCompressor(level=3), pa.large_binary()
     for book, numbers, counts in _distinct(words):
+        held: dict[int, list[bytes]] = {}
         ended = _ended(book)
         hashes = np.array([zlib.crc32(w) for w in _listed(ended)], np.uint32)
         told = np.zeros(len(counts), np.uint64)
@@ -152,9 +152,8 @@ def _mail(words: Words, shards: int, target: bool, fan: int) -> Iterator[pa.Reco
                 texts, numbers_of = press.compress(data[offsets[a] : offsets[b]]), press.compress(n.astype("<u8" if int(n.max()) >> 32 else "<u4").tobytes())
                 held.setdefault(int(shard[lo + a]), []).append(struct.pack("<IIIB", b - a, len(texts), len(numbers_of), target) + texts + numbers_of)
             at = to
-    if held:
-        to = sorted(held)
-        yield posted(to, [b"".join(held[t]) for t in to], shards, fan)
+        if held:
+            yield posted(sorted(held), [b"".join(held[t]) for t in sorted(held)], shards, fan)
 
 
 def _counted(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
