@@ -33,6 +33,8 @@ from .common import FAN, MAIL, WORD_BYTE, U, blocks_for, chunks, cut, delivered,
 BUCKETS, ADD = 10_000, 1
 #: Bytes of the texts of one block, and of those whose features a shard of the dictionary gets.
 BLOCK_BYTES, SHARD_BYTES = 12 << 20, 8 << 20
+#: Buckets whose sums are one row.
+PART = 40
 #: Strings that a block makes, and a shard hashes, at once.
 AT_ONCE = 1 << 18
 #: Tasks whose offsets (16 bytes each) are broadcast; more of them meet the rows in a join.
@@ -127,7 +129,7 @@ def _distinct(words: Words) -> Iterator[tuple[pa.Array, list[np.ndarray], np.nda
 
 def _mail(words: Words, shards: int, target: bool, fan: int) -> Iterator[pa.RecordBatch]:
     """A block's features as messages to the shards, by length of features: strings, each ended by a line feed, and counts. Strings are made for AT_ONCE of them, or one shard's, at a time."""
-    press, binary = zstandard.ZstdCompressor(level=3), pa.large_binary()
+    press, binary = zstandard.ZstdCompressor(level=5), pa.large_binary()
     for book, numbers, counts in _distinct(words):
         held: dict[int, list[bytes]] = {}
         ended = _ended(book)
@@ -235,23 +237,26 @@ def dictionary(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block
 
 def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, block: int = BLOCK_BYTES, shard: int = SHARD_BYTES, fan: int = FAN) -> list[int]:
     """The gain of each bucket, in thousandths of a nat: how much likelier it is in target than in docs, one added to each count."""
-    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("sums", pa.list_(pa.int64()))])
+    wide = math.ceil(buckets / PART) * PART
 
     def sums(table: pa.Table) -> pa.Table:
         features, n, t = _counted(table)
         bucket = _buckets(features, buckets)
-        both = [np.zeros(buckets, np.int64) for _ in range(2)]
+        both = np.zeros((2, wide), np.int64)
         for total, count in zip(both, (n, t), strict=True):
             np.add.at(total, bucket, count)
         del features, bucket, n, t
         settle()
-        some = np.flatnonzero(both[0] + both[1])
-        return pa.Table.from_arrays([pa.array(some), *(pa.array(x[some]) for x in both)], schema=schema)
-
-    summed = _sent(docs, target, block, shard, fan).groupBy("to").applyInArrow(sums, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n"), F.sum("t"))
-    n, t = [0] * buckets, [0] * buckets
-    for bucket, of_docs, of_target in summed.collect():  # a row for each bucket at most
-        n[bucket], t[bucket] = of_docs, of_target
+        rows = both.reshape(2, -1, PART).transpose(1, 0, 2).reshape(-1, 2 * PART)
+        return pa.Table.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(list(rows), pa.list_(pa.int64()))], schema=schema)
+
+    # A shard gives a row for PART buckets; tasks add their shards' rows up before they are shuffled.
+    shards = _sent(docs, target, block, shard, fan).groupBy("to").applyInArrow(sums, "part int, sums array<long>")
+    n, t = [0] * wide, [0] * wide
+    for part, *totals in shards.groupBy("part").agg(*(F.sum(F.col("sums")[k]) for k in range(2 * PART))).collect():  # wide / PART rows
+        n[part * PART : (part + 1) * PART], t[part * PART : (part + 1) * PART] = totals[:PART], totals[PART:]
+    n, t = n[:buckets], t[:buckets]
     of_docs, of_target = sum(n) + ADD * buckets, sum(t) + ADD * buckets
     return [math.floor(1000 * math.log((b + ADD) * of_docs / ((a + ADD) * of_target))) for a, b in zip(n, t, strict=True)]
 
