@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import small
+
 # White space of the patterns, the frontmatter fields and their edge types, id kinds, plain fields.
 S = r"[\t\n\f\r ]"
 EDGES = {"relationships": "related_to", "implementedBy": "implements", "upstream": "upstream", "dependsOn": "depends_on", "components": "has_component", "from-discovery": "from_discovery"}
@@ -44,8 +46,8 @@ def extension(path: Column) -> Column:
 
 
 def in_directory(path: Column, directory: str) -> Column:
-    """path under the directory as LIKE has it: case is ignored, % and _ stay wildcards."""
-    return F.ilike(path, F.lit(directory.replace("\\", "\\\\") + "%"))
+    """path under the directory as LIKE has it: the case of A-Z is ignored, % and _ stay wildcards."""
+    return F.like(small(path), F.lit(small(directory).replace("\\", "\\\\") + "%"))
 
 
 def title(content: Column, name: Column) -> Column:
@@ -72,8 +74,8 @@ GENERATED = r"^_[A-Z]+_"
 
 
 def ref_tags(content: Column) -> Column:
-    """spec: and link: tags of the references in the body outside fenced code, specs first, without repeats."""
-    text = F.regexp_replace(body(content), FENCES, "")
+    """spec: and link: tags of the references in the whole content, frontmatter too, outside fenced code, specs first, without repeats."""
+    text = F.regexp_replace(content, FENCES, "")
     ids = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, "^/+|/+$", "")))
     specs = F.transform(F.filter(ids, lambda x: x.rlike(REFERENCE_ID)), lambda x: F.concat(F.lit("spec:"), x))
     targets = F.filter(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: ~x.rlike(GENERATED))

@@ -52,6 +52,14 @@ def tokens_of(text: str) -> list[str]:
     return "".join(c if inside(c) else " " for c in flat).split()
 
 
+ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def small(text: Column | str) -> Column | str:
+    """A-Z as a-z, all else as it is: a column, or a text on the driver."""
+    return text.translate(str.maketrans(*ASCII)) if isinstance(text, str) else F.translate(text, *ASCII)
+
+
 _VOWELS = "aeiou"
 
 

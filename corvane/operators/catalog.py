@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import in_directory
-from ..functions.text import tokens_of
+from ..functions.text import small, tokens_of
 from .fts import Index, Node, Phrase, search
 
 
@@ -45,12 +47,12 @@ def recent(specs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def by_tag(specs: DataFrame, tag: str) -> DataFrame:
-    return specs.where(F.exists("tags", lambda t: F.lower(t) == tag.lower())).orderBy("repo", "name", "path")
+    return specs.where(F.exists("tags", lambda t: small(t) == small(tag))).orderBy("repo", "name", "path")
 
 
 def read(specs: DataFrame, name: str, repo: str | None = None, directory: str | None = None) -> DataFrame:
-    """The specs of that name, whatever its case: none is an error for the caller, one is the answer, more are ambiguous."""
-    found = specs.where(F.lower("name") == name.lower())
+    """The specs of that name, whatever the case of its A-Z: none is an error for the caller, one is the answer, more are ambiguous."""
+    found = specs.where(small(F.col("name")) == small(name))
     if repo:
         found = found.where(F.col("repo") == repo)
     if directory:
@@ -65,11 +67,29 @@ def excluding(rows: DataFrame, patterns: list[str]) -> DataFrame:
     return rows
 
 
-def looked_up(specs: DataFrame, name: str, repo: str | None = None, directory: str | None = None) -> tuple[str, list[dict]]:
-    """("none", []), ("one", [the spec]) or ("many", the choices): what reading a spec by its name comes to. Of many, a hundred are listed."""
+def looked_up(specs: DataFrame, name: str, repo: str | None = None, directory: str | None = None) -> DataFrame:
+    """What reading a spec by its name comes to: all specs of that name, in order, with outcome "one" or "many"; no row if there is none."""
     fields = [c for c in ("spec_id", "repo", "project", "name", "path") if c in specs.columns]
-    found = [r.asDict() for r in read(specs, name, repo, directory).select(*fields).limit(100).collect()]
-    return ("none" if not found else "one" if len(found) == 1 else "many"), found
+    found = read(specs, name, repo, directory).select(*fields)
+    told = found.limit(2).agg(F.when(F.count("*") > 1, "many").otherwise("one").alias("outcome"))  # one row
+    return found.join(F.broadcast(told)).orderBy("repo", "path")
+
+
+def legacy_names(specs: DataFrame, text: str) -> DataFrame:
+    """Specs whose name holds the text as LIKE has it, in order of repo and name."""
+    return specs.where(F.like(small(F.col("name")), F.lit("%" + small(text).replace("\\", "\\\\") + "%"))).orderBy("repo", "name", "path")
+
+
+def legacy_related(specs: DataFrame, idx: Index, name: str, n: int = 10) -> DataFrame:
+    """(spec_id, repo, path, project, name, rank): specs that have any of the words of title and tags, cut to ASCII letters and digits, of the first spec whose name holds the text; those of its name are left out. A word that comes twice counts twice."""
+    first = legacy_names(specs, name).select("name", "title", "tags").limit(1).collect()
+    if not first:
+        raise LookupError(f"no spec has {name!r} in its name")
+    words = re.findall("[a-z0-9]+", small(" ".join([first[0]["title"] or "", *(first[0]["tags"] or [])])))
+    parts = [Phrase([w]) for w in words]
+    query = None if not parts else Node("OR", parts) if len(parts) > 1 else parts[0]
+    found = search(idx, "" if query is None else query).join(specs.select("spec_id", "repo", "path", "project", "name"), "spec_id")
+    return found.where(F.col("name") != first[0]["name"]).orderBy("rank", "repo", "path").limit(n)
 
 
 def related_query(name: str, title: str, own_tags: list[str]) -> Node | Phrase | None:
@@ -82,12 +102,12 @@ def related_query(name: str, title: str, own_tags: list[str]) -> Node | Phrase |
 
 def related(specs: DataFrame, idx: Index, name: str, n: int | None = 10) -> DataFrame:
     """(spec_id, repo, path, project, name, rank): the specs nearest by tags and title words to the first of that name, which are left out. A name that no spec has is a LookupError."""
-    first = specs.where(F.lower("name") == name.lower()).orderBy("repo", "path").select("name", "title", "tags").limit(1).collect()
+    first = specs.where(small(F.col("name")) == small(name)).orderBy("repo", "path").select("name", "title", "tags").limit(1).collect()
     if not first:
         raise LookupError(f"no spec is named {name!r}")
     query = related_query(name, first[0]["title"] or "", list(first[0]["tags"] or []))
     found = search(idx, "" if query is None else query).join(specs.select("spec_id", "repo", "path", "project", "name"), "spec_id")
-    ordered = found.where(F.lower("name") != name.lower()).orderBy("rank", "repo", "path")
+    ordered = found.where(small(F.col("name")) != small(name)).orderBy("rank", "repo", "path")
     return ordered if n is None else ordered.limit(n)
 
 

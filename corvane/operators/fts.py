@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import in_directory
 from ..functions.text import stem, stemmed, tokens, tokens_of
+from ..session import cut
+from .segments import Segments
 
 COLUMNS = ("repo", "name", "title", "tags", "summary", "content")
 # Fixed values of BM25 and of NEAR.
@@ -199,6 +202,12 @@ class Index:
         """One row: the number of specs and their mean length."""
         return self.totals if self.totals is not None else _totals(self.lengths)
 
+    def none(self) -> DataFrame:
+        return self.lengths.where(F.lit(False)).select("spec_id", F.lit(0.0).alias("rank"))
+
+    def places(self, wanted: set[tuple[str, bool]]) -> DataFrame:
+        return _places(self, wanted)
+
 
 def _totals(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
@@ -274,7 +283,7 @@ def _standing(wanted: tuple[str, bool], back: int) -> Column:
     return F.transform(F.filter("places", lambda x: _is(x["term"], wanted)), lambda x: x["at"] - back)
 
 
-def _instances(idx: Index, phrase: Phrase) -> Column:
+def _instances(idx: Index | Plan, phrase: Phrase) -> Column:
     """The places where the phrase begins."""
     none = F.expr("cast(array() as array<bigint>)")
     if not phrase.terms or phrase.columns == ():
@@ -324,62 +333,185 @@ def _nears(node) -> list[Near]:
     return [node] if isinstance(node, Near) else [] if isinstance(node, Phrase) else [n for x in node.parts for n in _nears(x)]
 
 
-def search(idx: Index, query: str | Node | Phrase | Near, columns: tuple[str, ...] | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """(spec_id, rank) of the specs that match a query, or one that is parsed already; less is better. Frequencies are those of the whole index, whatever the scope (spec_id) is."""
-    tree = parse(query, columns or idx.columns) if isinstance(query, str) else query
-    if tree is None:
-        return idx.lengths.where(F.lit(False)).select("spec_id", F.lit(0.0).alias("rank"))
-    numbered = phrases(tree)
-    for k, p in enumerate(numbered):
-        p.number = k
-    wanted = {_wanted(p, k, idx.porter) for p in numbered for k in range(len(p.terms))}
-    counts = _places(idx, wanted).select("spec_id", "n_tokens", *(_instances(idx, p).alias(f"in{p.number}") for p in numbered))
-    for k, near in enumerate(_nears(tree)):
-        counts = counts.withColumn(f"near{k}", _swept(near))
-    frequency = {p.number: F.size(f"in{p.number}") for p in numbered}  # how many documents have the phrase at all tells how rare it is
-    times = dict(frequency)
-    for k, near in enumerate(_nears(tree)):
-        times |= {p.number: F.col(f"near{k}")[i] for i, p in enumerate(near.phrases)}
-    counts = counts.select("spec_id", "n_tokens", *(times[p.number].alias(f"tf{p.number}") for p in numbered), *(frequency[p.number].alias(f"any{p.number}") for p in numbered))
-    has = lambda p: F.col(f"tf{p.number}") > 0
-
-    def truth(node) -> Column:
+@dataclass
+class Plan:
+    """A parsed query: its phrases, numbered, the terms that they need, and what its rows are and score."""
+
+    tree: Node | Phrase | Near
+    porter: bool
+    columns: tuple[str, ...]
+
+    def __post_init__(self):
+        self.phrases, self.nears = phrases(self.tree), _nears(self.tree)
+        for k, p in enumerate(self.phrases):
+            p.number = k
+        self.wanted = {_wanted(p, k, self.porter) for p in self.phrases for k in range(len(p.terms))}
+
+    def terms(self, p: Phrase) -> list[tuple[str, bool]]:
+        return [_wanted(p, k, self.porter) for k in range(len(p.terms))]
+
+    def truth(self, has, node=None) -> Column:
+        """Whether a row matches, has(phrase) telling whether it has a phrase."""
+        node = node or self.tree
         if isinstance(node, Phrase):
             return has(node)
         if isinstance(node, Near):
             return functools.reduce(lambda a, p: a & has(p), node.phrases[1:], has(node.phrases[0]))
-        parts = [truth(x) for x in node.parts]
+        parts = [self.truth(has, x) for x in node.parts]
         out = parts[0]
         for x in parts[1:]:
             out = out & ~x if node.op == "NOT" else out & x if node.op == "AND" else out | x
         return out
 
-    def scored(node) -> list[Phrase]:
+    def scored(self, node=None) -> list[Phrase]:
+        node = node or self.tree
         if isinstance(node, Node) and node.op == "NOT":
-            return scored(node.parts[0])
-        return phrases(node) if not isinstance(node, Node) else [p for x in node.parts for p in scored(x)]
+            return self.scored(node.parts[0])
+        return phrases(node) if not isinstance(node, Node) else [p for x in node.parts for p in self.scored(x)]
+
+    def counts(self, places: DataFrame) -> DataFrame:
+        """spec_id, n_tokens, and of each phrase its frequency tf (in a NEAR group, of its instances there) and any, how often it stands in the spec at all."""
+        own = places.select("spec_id", "n_tokens", *(_instances(self, p).alias(f"in{p.number}") for p in self.phrases))
+        for k, near in enumerate(self.nears):
+            own = own.withColumn(f"near{k}", _swept(near))
+        frequency = {p.number: F.size(f"in{p.number}") for p in self.phrases}  # how many specs have the phrase at all tells how rare it is
+        times = dict(frequency)
+        for k, near in enumerate(self.nears):
+            times |= {p.number: F.col(f"near{k}")[i] for i, p in enumerate(near.phrases)}
+        return own.select("spec_id", "n_tokens", *(times[p.number].alias(f"tf{p.number}") for p in self.phrases), *(frequency[p.number].alias(f"any{p.number}") for p in self.phrases))
+
+    def matched(self, counts: DataFrame) -> DataFrame:
+        return counts.where(self.truth(lambda p: F.col(f"tf{p.number}") > 0))
+
+
+def _impact(tf: Column, n_tokens: Column, mean_tokens: Column) -> Column:
+    """What a phrase's frequency in a spec adds to its score, for each unit of the phrase's rarity."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / mean_tokens))
 
-    frequencies = counts.agg(*(F.count_if(F.col(f"any{p.number}") > 0).alias(f"df{p.number}") for p in numbered))
+
+def search(idx: Index | Segments, query: str | Node | Phrase | Near, columns: tuple[str, ...] | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """(spec_id, rank) of all specs that match a query, or one that is parsed already; less is better. Frequencies are those of the whole index, whatever the scope (spec_id) is."""
+    tree = parse(query, columns or idx.columns) if isinstance(query, str) else query
+    if tree is None:
+        return idx.none()
+    plan = Plan(tree, idx.porter, idx.columns)
+    counts = plan.counts(idx.places(plan.wanted))
+    frequencies = counts.agg(*(F.count_if(F.col(f"any{p.number}") > 0).alias(f"df{p.number}") for p in plan.phrases))
     # Two rows of sums: their size doesn't grow with the data.
-    rows = counts.where(truth(tree)).join(F.broadcast(frequencies.crossJoin(idx.whole())))
+    rows = plan.matched(counts).join(F.broadcast(frequencies.crossJoin(idx.whole())))
     score = F.lit(0.0)
-    for p in scored(tree):
-        n, tf = F.col(f"df{p.number}"), F.col(f"tf{p.number}").cast("double")
+    for p in plan.scored():
+        n = F.col(f"df{p.number}")
         idf = F.log((F.col("n_docs") - n + 0.5) / (n + 0.5))
-        score += F.when(idf <= 0, LEAST_IDF).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
+        score += F.when(idf <= 0, LEAST_IDF).otherwise(idf) * _impact(F.col(f"tf{p.number}").cast("double"), F.col("n_tokens"), F.col("mean_tokens"))
     out = rows.select("spec_id", (-score).alias("rank"))
     return out if scope is None else out.join(scope, "spec_id", "left_semi")
 
 
+#: Blocks that are read without a look at their bounds, and the first that are read where there are more.
+ALL_AT_ONCE, PROBED = 512, 16
+#: Blocks up to which a chosen list of them is broadcast (12 bytes each).
+FEW_BLOCKS = 1 << 18
+
+
+def top(idx: Index | Segments, query: str | Node | Phrase | Near, limit: int = 200, columns: tuple[str, ...] | None = None, scope: DataFrame | None = None, at_once: int = ALL_AT_ONCE, probed: int = PROBED, told: dict | None = None) -> DataFrame:
+    """The limit best rows of search(), in order. Of an index of segments, places are read only in blocks that can enter them.
+
+    Each block's upper bound comes from the most places and the least length of its specs by term. The blocks of highest bounds are
+    read first, more and more, until there are limit hits; then those whose bounds reach the last of these hits, and no others.
+    told gets how many blocks can match and how many were read last."""
+    tree = parse(query, columns or idx.columns) if isinstance(query, str) else query
+    if tree is None:
+        return idx.none()
+    if not isinstance(idx, Segments):
+        return search(idx, tree, columns, scope).orderBy("rank", "spec_id").limit(limit)
+    plan = Plan(tree, idx.porter, idx.columns)
+    wanted = sorted(plan.wanted)
+    # Cut, as several choices are made from it; a row for each block that has any of the terms.
+    bounds = cut(idx.bounds(wanted)) if wanted else None
+    if bounds is None:
+        return idx.none()
+    inside = lambda p: functools.reduce(lambda a, w: a & F.col(f"tf{wanted.index(w)}").isNotNull(), plan.terms(p), F.lit(bool(p.terms) and p.columns != ()))
+    n_docs, size = idx.totals()
+    idf = {p.number: _idf(n, n_docs) for p, n in _rarity(idx, plan, bounds, inside).values()}
+    mean = F.lit(size / n_docs if n_docs else 1.0)
+
+    def bound(p: Phrase) -> Column:
+        own = [wanted.index(w) for w in plan.terms(p)]
+        if not own:
+            return F.lit(0.0)
+        tf, length = (f(*(F.col(f"{name}{k}") for k in own)) if len(own) > 1 else F.col(f"{name}{own[0]}") for f, name in ((F.least, "tf"), (F.greatest, "len")))
+        return F.when(inside(p), idf[p.number] * _impact(tf.cast("double"), length, mean)).otherwise(0.0)
+
+    def possible(node) -> Column:
+        if isinstance(node, Phrase):
+            return inside(node)
+        if isinstance(node, Near):
+            return functools.reduce(lambda a, p: a & inside(p), node.phrases, F.lit(True))
+        parts = [possible(x) for x in node.parts]
+        return parts[0] if node.op == "NOT" else functools.reduce(lambda a, b: a & b if node.op == "AND" else a | b, parts)
+
+    most = sum((bound(p) for p in plan.scored()), F.lit(0.0)) * (1 + 1e-9)  # sums of doubles in another order may differ in their last places
+    blocks = bounds.where(possible(tree)).select("segment", "block", most.alias("most"))
+    n = blocks.count()
+
+    def hits(chosen: DataFrame | None, few: bool = True) -> DataFrame:
+        rows = plan.matched(plan.counts(idx.places(plan.wanted, None if chosen is None else chosen.select("segment", "block"), few)))
+        score = sum((idf[p.number] * _impact(F.col(f"tf{p.number}").cast("double"), F.col("n_tokens"), mean) for p in plan.scored()), F.lit(0.0))
+        out = rows.select("spec_id", (-score).alias("rank"))
+        return out if scope is None else out.join(scope, "spec_id", "left_semi")
+
+    chosen, few, read = blocks, n <= FEW_BLOCKS, n
+    if n > at_once:
+        some = probed
+        while some < n:
+            best = hits(blocks.orderBy(F.desc("most"), "segment", "block").limit(some)).orderBy("rank").limit(limit).agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
+            if best["n"] >= limit:
+                chosen = blocks.where(F.col("most") >= -best["rank"])
+                read = chosen.count()
+                few = read <= FEW_BLOCKS
+                if read <= 4 * some:  # else a look at some more blocks spares many
+                    break
+            some *= 4
+    if told is not None:
+        told |= {"blocks": n, "read": read}
+    return hits(chosen, few).orderBy("rank", "spec_id").limit(limit)
+
+
+def _idf(n: int, n_docs: int) -> float:
+    value = math.log((n_docs - n + 0.5) / (n + 0.5))
+    return value if value > 0 else LEAST_IDF
+
+
+def _rarity(idx: Segments, plan: Plan, bounds: DataFrame, inside) -> dict[int, tuple[Phrase, int]]:
+    """Of each phrase, how many specs have it: of a single term this is known from the postings' heads; of others it is counted in the blocks that have all their terms."""
+    plain = {p.number: plan.terms(p)[0][0] for p in plan.phrases if len(p.terms) == 1 and not p.prefix and not p.first and p.columns is None}
+    known = idx.frequencies(sorted(set(plain.values())))
+    out = {k: known[t] for k, t in plain.items()}
+    others = [p for p in plan.phrases if p.number not in plain]
+    if others:
+        blocks = bounds.where(functools.reduce(lambda a, p: a | inside(p), others, F.lit(False))).select("segment", "block")
+        needed = {w for p in others for w in plan.terms(p)}
+        if needed:
+            own = idx.places(needed, blocks, blocks.count() <= FEW_BLOCKS).select(*(_instances(plan, p).alias(f"in{p.number}") for p in others))
+            row = own.agg(*(F.count_if(F.size(f"in{p.number}") > 0).alias(f"df{p.number}") for p in others)).first()
+            out |= {p.number: row[f"df{p.number}"] for p in others}
+        else:
+            out |= {p.number: 0 for p in others}
+    return {p.number: (p, out[p.number]) for p in plan.phrases}
+
+
 #: The fields of a hit.
 HIT = ("spec_id", "repo", "project", "name", "title", "tags", "path", "ext")
 
 
-def search_specs(idx: Index, specs: DataFrame, query: str, repos: list[str] | None = None, directory: str | None = None, limit: int | None = 200) -> DataFrame:
+def search_specs(idx: Index | Segments, specs: DataFrame, query: str, repos: list[str] | None = None, directory: str | None = None, limit: int | None = 200) -> DataFrame:
     """The best hits with the fields of their specs and their rank, of some repositories (an empty list: none) and of a directory if one is given."""
     wanted = specs if repos is None else specs.where(F.col("repo").isin(repos) if repos else F.lit(False))
     if directory:
         wanted = wanted.where(in_directory(F.col("path"), directory))
     fields = [c for c in HIT if c in specs.columns]
-    found = search(idx, query).join(wanted.select(*fields), "spec_id").select(*fields, "rank").orderBy("rank", "spec_id")
+    scope = None if repos is None and not directory else wanted.select("spec_id")
+    hits = search(idx, query) if limit is None else top(idx, query, limit, scope=scope)
+    found = hits.join(wanted.select(*fields), "spec_id").select(*fields, "rank").orderBy("rank", "spec_id")
     return found if limit is None else found.limit(limit)

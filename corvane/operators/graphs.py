@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import small
 from ..functions.vectors import dot, round4
 from ..session import cut
 
@@ -26,10 +28,43 @@ def _tiled(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return one.drop("tiles"), two.drop("tiles")
 
 
-def pairs_of_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
-    """(block, a, b, weight): pairs a < b of one block (a repo) whose cosine is the threshold or more; vectors: block, id, vec of length 1."""
-    one, two = _tiled(vectors.select("block", "id", "vec"), ["block"])
-    met = one.join(two.select("block", "first", "second", F.col("id").alias("other"), F.col("vec").alias("near")), ["block", "first", "second"]).where("first < second and id <> other or id < other")
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+#: What angles may be off by: a cosine near 1 has its angle to half as many places.
+OFF = 1e-6
+
+
+def candidates(vectors: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
+    """(block, id, vec, other, near): pairs of one block, each once, that can have a cosine of least or more.
+
+    Angles between vectors are a metric. A block of n has n / tile pivots or so, those of smallest hash; each vector's home is the cell of
+    its nearest pivot, and it visits, of the cells from its own on, those that the triangle inequality lets have a near vector:
+    whose pivot is within the threshold's angle and the cell's radius. Of a visitor and a vector at home only those meet whose
+    angles to the pivot differ by the threshold at most. Cells' rows meet in tiles, so a large cell is many tasks' work."""
+    own = vectors.select("block", "id", "vec")
+    sizes = own.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("long").alias("n_pivots"))
+    order = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("id"), "id"))
+    pivots = own.withColumn("cell", order).join(sizes, "block").where("cell <= n_pivots").select("block", "cell", F.col("vec").alias("pivot"))
+    # All angles from a vector to its block's pivots, in its row's order of cells: n * n / tile in all.
+    seen = own.join(pivots, "block").select("block", "id", "vec", "cell", _angle(dot(F.col("vec"), F.col("pivot"))).alias("angle"))
+    home = seen.groupBy("block", "id").agg(F.min(F.struct("angle", "cell")).alias("home"))
+    homes = home.select("block", "id", F.col("home.cell").alias("cell"), F.col("home.angle").alias("angle"))
+    cells = homes.groupBy("block", "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / tile).cast("long").alias("tiles"))
+    widest = math.acos(max(-1.0, min(1.0, least))) + OFF
+    visits = seen.join(home, ["block", "id"]).where(F.col("cell") >= F.col("home.cell")).join(cells, ["block", "cell"]).where(F.col("angle") <= widest + F.col("radius") + OFF)
+    # A visitor goes to each tile of the cell's own vectors; visitors are dealt to as many tasks again.
+    split = visits.select("block", "cell", "id", "vec", "angle", (F.col("home.cell") == F.col("cell")).alias("at_home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    dwellers = homes.join(own, ["block", "id"]).join(cells, ["block", "cell"]).select("block", "cell", F.pmod(F.xxhash64("id"), F.col("tiles")).alias("tile"), F.col("id").alias("other"), F.col("vec").alias("near"), F.col("angle").alias("its_angle"))
+    met = split.join(dwellers, ["block", "cell", "tile"]).where(F.abs(F.col("angle") - F.col("its_angle")) <= widest + OFF)
+    # Within a cell both of a pair visit; the smaller id's visit counts.
+    return met.where("not at_home or id < other").select("block", "id", "vec", "other", "near")
+
+
+def pairs_of_vectors(vectors: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
+    """(block, a, b, weight): pairs a < b of one block (a repo) whose cosine is the threshold or more; vectors: block, id (once in its block), vec of length 1."""
+    met = candidates(vectors, least, tile)
     return met.select("block", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), dot(F.col("vec"), F.col("near")).alias("weight")).where(F.col("weight") >= least)
 
 
@@ -45,12 +80,12 @@ def pairs_of_tags(tagged: DataFrame) -> DataFrame:
     return once.select("block", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), (F.size(common) / F.size(F.array_union("tags", "near"))).alias("weight"))
 
 
-def capped(pairs: DataFrame, cap: int = CAP, rounds: int = 1000) -> DataFrame:
-    """The pairs that taking them one by one, heaviest first, keeps while both ends have fewer than cap: (block, a, b, weight).
+def capped(pairs: DataFrame, cap: int = CAP, rounds: int = 1000, before: DataFrame | None = None) -> DataFrame:
+    """The pairs that taking them one by one, heaviest first, keeps while both ends have fewer than cap: (block, a, b, weight). before (block, end, used) tells what some ends have already.
 
     In each round a pair is taken that is among the first that both its ends still have room for; pairs of full ends go. The fixed point is the same."""
     left, taken = cut(pairs), None
-    used = None
+    used = before
     for _ in range(rounds):
         if left.isEmpty():
             break
@@ -65,7 +100,7 @@ def capped(pairs: DataFrame, cap: int = CAP, rounds: int = 1000) -> DataFrame:
         judged = cut(fit)
         now = judged.where("fits and room > 0").select("block", "a", "b", "weight")
         taken = now if taken is None else taken.union(now)
-        used = cut(taken.select("block", F.explode(F.array("a", "b")).alias("end")).groupBy("block", "end").agg(F.count("*").alias("used")))
+        used = cut(_used(taken, before))
         full = used.where(F.col("used") >= cap).select("block", "end")
         rest = judged.where("not fits and room > 0").select("block", "a", "b", "weight")
         rest = rest.join(full.withColumnRenamed("end", "a"), ["block", "a"], "left_anti").join(full.withColumnRenamed("end", "b"), ["block", "b"], "left_anti")
@@ -75,10 +110,38 @@ def capped(pairs: DataFrame, cap: int = CAP, rounds: int = 1000) -> DataFrame:
     return pairs.where(F.lit(False)) if taken is None else taken
 
 
+def _used(taken: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(block, end, used): how many of the taken pairs, and of those before, an end has."""
+    each = taken.select("block", F.explode(F.array("a", "b")).alias("end"), F.lit(1).cast("long").alias("used"))
+    each = each if before is None else each.unionByName(before)
+    return each.groupBy("block", "end").agg(F.sum("used").alias("used"))
+
+
 def links(pairs: DataFrame, cap: int = CAP) -> DataFrame:
     return capped(pairs, cap).withColumn("weight", round4(F.col("weight")))
 
 
+#: Least cosines of the bands in which pairs are made, above the threshold itself.
+BANDS = (0.9, 0.7, 0.5)
+
+
+def near_links(vectors: DataFrame, least: float = LEAST, cap: int = CAP, bands: tuple[float, ...] = BANDS, tile: int = TILE, told: list | None = None) -> DataFrame:
+    """links() of pairs_of_vectors(), without making all pairs: those of one band of cosines are made and judged before those of the next, and vectors that have cap links by then take no part in it. Heavier pairs come first in any case, so the links are the same.
+
+    told gets, for each band, how many vectors still took part."""
+    taken = before = None
+    lows = [*sorted((b for b in bands if b > least), reverse=True), least]
+    for low, high in zip(lows, [None, *lows], strict=False):
+        open_ = vectors if before is None else vectors.join(before.where(F.col("used") >= cap).select("block", F.col("end").alias("id")), ["block", "id"], "left_anti")
+        if told is not None:
+            told.append(open_.count())
+        pairs = pairs_of_vectors(open_, low, tile)
+        now = cut(capped(pairs if high is None else pairs.where(F.col("weight") < high), cap, before=before))
+        taken = now if taken is None else taken.union(now)
+        before = cut(_used(taken, None))
+    return taken.withColumn("weight", round4(F.col("weight")))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """(query, id, cosine, place): each query's k nearest vectors; queries: query (not null, each once), qvec.
 
@@ -113,9 +176,9 @@ def ego(query: DataFrame, vectors: DataFrame, seeds: int = 10, k: int = CAP, lea
 
 def by_tag(specs: DataFrame, vectors: DataFrame, tag: str, least: float = LEAST, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of the specs that have a tag, whatever its case, and a vector (spec_id, vec); near ones are linked, cap links a node at most, over all repos."""
-    own = specs.where(F.exists("tags", lambda t: F.lower(t) == tag.lower())).join(vectors.select("spec_id", "vec"), "spec_id")
+    own = specs.where(F.exists("tags", lambda t: small(t) == small(tag))).join(vectors.select("spec_id", "vec"), "spec_id")
     nodes = own.select(F.col("spec_id").alias("id"), F.coalesce(F.nullif("title", F.lit("")), "name").alias("label"), "repo", "project")
-    return nodes, links(pairs_of_vectors(own.select(F.lit("").alias("block"), F.col("spec_id").alias("id"), "vec"), least), cap)
+    return nodes, near_links(own.select(F.lit("").alias("block"), F.col("spec_id").alias("id"), "vec"), least, cap)
 
 
 def degrees(links: DataFrame) -> DataFrame:

@@ -141,9 +141,9 @@ def drop(store: Store, repo: str, now: str) -> None:
 
 
 def due(root: str, last: str | None) -> bool:
-    """Whether a hook has reason to scan a repo: git tells of changes, or cannot tell."""
+    """Whether a hook has reason to scan a repo: git tells of changed specs since the last scan's commit, or cannot tell; without git there always is."""
     try:
         names, head = registry.changed_files(root, last)
     except registry.GitError:
         return True
-    return bool(names) or head != last
+    return bool(names) or head is None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import formats, vectors
 from .functions.text import stem, tokens
-from .operators import catalog, codegraph, export, fts, graphs, kg, rank, retrieval
+from .operators import catalog, codegraph, export, fts, graphs, kg, rank, retrieval, segments
 from .operators.corpus import specs_from_documents
 from .session import shared_folder, table
 from .streaming import events
@@ -117,16 +117,15 @@ def facets_explorer(spark, d):
 
 # Full text, over all six columns. Phrases as lists of terms; prefixes end with *.
 
-_indexes: dict[tuple, fts.Index] = {}
+_indexes: dict[tuple, segments.Segments] = {}
 
 
-def built_index(spark: SparkSession, d: str, porter: bool = False) -> fts.Index:
-    """The saved index of a folder's specs, made once in a session: building it is one thing, querying it another."""
+def built_index(spark: SparkSession, d: str, porter: bool = False) -> segments.Segments:
+    """The index of a folder's specs, made once in a session: building it is one thing, querying it another."""
     key = spark.sparkContext.applicationId, d, porter
     if key not in _indexes:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        fts.save(fts.index(specs_from_documents(spark, d), porter=porter), path)
-        _indexes[key] = fts.load(spark, path, porter)
+        _indexes[key] = segments.create(spark, path, specs_from_documents(spark, d), fts.COLUMNS, porter)
     return _indexes[key]
 
 
@@ -154,7 +153,10 @@ def _fts_sql(phrases: list[str], truth: str, scored: list[int], extra: dict[int,
 
 def _fts(name: str, text: str, oracle: str | None, limit: int = 0, porter: bool = False) -> None:
     def run(spark, d):
-        found = fts.search(built_index(spark, d, porter), text).withColumn("rank", F.round("rank", 9))
+        idx = built_index(spark, d, porter)
+        # Ranks of nine places may tie where those of all places do not; ties are then in order of spec_id, and a few more hits decide the last.
+        found = fts.top(idx, text, 2 * limit) if limit else fts.search(idx, text)
+        found = found.withColumn("rank", F.round("rank", 9))
         return found.orderBy("rank", "spec_id").limit(limit) if limit else found
 
     run.__name__ = name
@@ -236,9 +238,18 @@ def vectors_nearest(spark, d):
     return graphs.nearest(q, v, 8).withColumn("cosine", F.round("cosine", 6)).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+def _greedy_sql(before: str, nodes: str, pairs: str) -> str:
+    """Pairs (block, a, b, w) taken one by one in each block, heaviest first, while both ends have fewer than eight: a step of the recursion looks at each block's next pair."""
+    return f"""WITH RECURSIVE {before}, n AS (SELECT block, id, row_number() OVER (PARTITION BY block ORDER BY id) AS k FROM ({nodes})), p AS ({pairs}),
+e AS (SELECT p.block, a, b, w, x.k AS ka, y.k AS kb, row_number() OVER (PARTITION BY p.block ORDER BY w DESC, a, b) AS i FROM p JOIN n x ON x.block = p.block AND x.id = a JOIN n y ON y.block = p.block AND y.id = b),
+g(block, i, deg, took) AS (SELECT block, CAST(0 AS BIGINT), list(0), false FROM n GROUP BY block UNION ALL
+ SELECT g.block, e.i, CASE WHEN g.deg[e.ka] < 8 AND g.deg[e.kb] < 8 THEN list_transform(g.deg, lambda x, j: CASE WHEN j = e.ka OR j = e.kb THEN x + 1 ELSE x END) ELSE g.deg END, g.deg[e.ka] < 8 AND g.deg[e.kb] < 8 FROM g JOIN e ON e.block = g.block AND e.i = g.i + 1)
+SELECT e.block, a, b, floor(w * 1e4 + 0.5) / 1e4 AS weight FROM g JOIN e ON e.block = g.block AND e.i = g.i WHERE took"""
+
+
+@query(_greedy_sql(UNIT, "SELECT label AS block, vec_id AS id FROM v", "SELECT x.label AS block, x.vec_id AS a, y.vec_id AS b, list_dot_product(x.vec, y.vec) AS w FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_dot_product(x.vec, y.vec) >= 0.3"))
 def graph_knn(spark, d):
-    return graphs.links(graphs.pairs_of_vectors(_units(spark, d).withColumnRenamed("label", "block")))
+    return graphs.near_links(_units(spark, d).withColumnRenamed("label", "block"))
 
 
 @query(f"""WITH {UNIT}, c AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.vec, y.vec) AS w FROM v x JOIN v y ON x.vec_id <> y.vec_id), mid AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings ORDER BY vec_id LIMIT 1),
@@ -286,7 +297,7 @@ def graph_tag_pairs(spark, d):
     return graphs.pairs_of_tags(specs).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(_greedy_sql(SPECS, "SELECT repo AS block, spec_id AS id FROM specs", "SELECT x.repo AS block, x.spec_id AS a, y.spec_id AS b, len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags))) AS w FROM specs x JOIN specs y ON x.repo = y.repo AND x.spec_id < y.spec_id WHERE list_has_any(x.tags, y.tags)"))
 def graph_tag_links(spark, d):
     specs = specs_from_documents(spark, d).select(F.col("repo").alias("block"), F.col("spec_id").alias("id"), "tags")
     return graphs.links(graphs.pairs_of_tags(specs))

@@ -24,6 +24,8 @@ def test_reference_tags(spark):
         "[[foo ]] [[ foo]] [[Foo]]": ["link:foo"],
         "see ```[[in-code]]``` and\n  ~~~\n[[indent]]\n  ~~~ [[out]]": ["link:out"],
         "[[_AB_x]] [[_ab_x]] [[A & B]] [[-]]": ["link:ab-x", "link:a-b"],
+        '---\nsee: "[[Front Link]]"\n---\n[[Body]]': ["link:front-link", "link:body"],
+        "---\nreq: '@spec req://a/b@1'\n---\n@spec req://c@2": ["spec:a/b", "spec:c"],
     }
     for text, want in cases.items():
         assert one(spark, text, extract.ref_tags(F.col("content")))[0] == want, text

@@ -89,7 +89,18 @@ def test_search_of_specs(spark, both):
     some = fts.search_specs(idx, specs, "the", ["src1", "src2"]).collect()
     assert {r.repo for r in some} == {"src1", "src2"} and {r.spec_id: r["rank"] for r in some}.items() <= {r.spec_id: r["rank"] for r in whole}.items()
     assert fts.search_specs(idx, specs, "the", []).count() == 0 and all(r.path.startswith("en/") for r in fts.search_specs(idx, specs, "the", directory="EN/").collect())
-    assert catalog.looked_up(specs, "DOC_3")[0] == "one" and catalog.looked_up(specs, "nobody") == ("none", [])
+    assert [r.outcome for r in catalog.looked_up(specs, "DOC_3").collect()] == ["one"] and catalog.looked_up(specs, "nobody").count() == 0
+    many = catalog.looked_up(specs.withColumn("name", F.lit("Same")), "same").collect()
+    assert len(many) == specs.count() and {r.outcome for r in many} == {"many"}
+    names = [r.name for r in catalog.legacy_names(specs, "C_11").collect()]
+    assert names and all("c_11" in n for n in names) and catalog.legacy_names(specs, "c%11").count() >= len(names)
+    near = catalog.legacy_related(specs, idx, "oc_7").collect()
+    first = catalog.legacy_names(specs, "oc_7").first()
+    terms = ["doc", first.name.split("_")[1], *first.tags]
+    want = fts.search(idx, " OR ".join(terms)).join(specs.select("spec_id", "name", "repo", "path"), "spec_id").where(F.col("name") != first.name).orderBy("rank", "repo", "path").limit(10)
+    assert [r.spec_id for r in near] == [r.spec_id for r in want.collect()]
+    with pytest.raises(LookupError):
+        catalog.legacy_related(specs, idx, "nothing of that name")
     with pytest.raises(LookupError):
         catalog.related(specs, idx, "nobody")
 

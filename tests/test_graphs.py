@@ -73,3 +73,46 @@ def test_incremental_is_full(spark, tmp_path):
     incremental.write_repos(base, str(tmp_path / "t"))
     incremental.write_repos(disk.where("repo = 'r1'"), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).where("repo = 'r1'").count() == 2 and spark.read.parquet(str(tmp_path / "t")).where("repo = 'r0'").count() == 3
+
+
+def clustered(groups, size, dims, spread, seed=3):
+    import numpy as np
+
+    g = np.random.default_rng(seed)
+    v = np.repeat(g.normal(size=(groups, dims)), size, axis=0) + spread * g.normal(size=(groups * size, dims))
+    v[1] = v[0]  # copies, and an opposite
+    v[2] = -v[0]
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_metric_join(spark):
+    """Pairs are those of brute force, at any threshold and number of pivots; where vectors lie in groups, few pairs meet."""
+    import numpy as np
+
+    for spread, least, tile in ((0.1, 0.8, 5), (0.1, 0.3, 40), (2.0, 0.3, 25), (2.0, 0.3, 1024), (0.1, -0.2, 30)):
+        v = clustered(12, 15, 8, spread)
+        df = spark.createDataFrame([(k % 2, k, x.tolist()) for k, x in enumerate(v)], "block int, id long, vec array<double>")
+        cos = v @ v.T
+        want = {(a % 2, a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if a % 2 == b % 2 and cos[a, b] >= least}
+        got = graphs.pairs_of_vectors(df, least, tile).collect()
+        assert len(got) == len(want) and {(r.block, r.a, r.b) for r in got} == want
+        assert all(abs(r.weight - cos[r.a, r.b]) < 1e-9 for r in got)
+        if (spread, least) == (0.1, 0.8):
+            each = np.array([90, 90])
+            assert graphs.candidates(df, least, tile).count() < (each * (each - 1) // 2).sum() / 4
+    empty = df.where("id < 0")
+    assert graphs.pairs_of_vectors(empty).count() == 0 == graphs.near_links(empty).count()
+
+
+def test_links_by_bands(spark):
+    """Bands of cosines give the links of one-by-one greedy, ties too; vectors that are full take no part in later bands."""
+    v = clustered(6, 12, 6, 0.3, 5)
+    v[20:26] = v[20]
+    df = spark.createDataFrame([("g", k, x.tolist()) for k, x in enumerate(v)], "block string, id long, vec array<double>")
+    pairs = [tuple(r) for r in graphs.pairs_of_vectors(df, 0.3).collect()]
+    for cap, bands in ((2, (0.95, 0.6)), (8, graphs.BANDS)):
+        told = []
+        got = graphs.near_links(df, 0.3, cap, bands, 20, told).collect()
+        assert {(r.block, r.a, r.b) for r in got} == greedy(pairs, cap)
+        if cap == 2:
+            assert told[0] == len(v) and told[-1] < len(v) / 2

@@ -85,6 +85,13 @@ def test_upkeep_equals_rebuild(spark, tmp_path):
     assert all(df.count() == 0 for df in store.tables().values()) and "git_commit_r" not in store.meta()
     with pytest.raises(registry.GitError):
         registry.changed_files(str(root), "0" * 40)
+    for name in ("rest.txt", "code.py"):
+        head = registry.changed_files(str(root), None)[1]
+        put(name, "pass")
+        run("add", ".")
+        run("commit", "-qm", name)
+    # A commit of other files is no reason to scan; a folder without git always is.
+    assert registry.changed_files(str(root), head)[1] != head and not incremental.due(str(root), head) and incremental.due(str(tmp_path / "store"), None)
     assert incremental.due(str(root), "0" * 40) and registry.changed_files(str(tmp_path / "store"), None) == ([], None)
 
 
