@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..session import cut
 from ..sources import files, registry
+from . import fts, segments, semantic
+from .commits import Conflict, Lease, Log
 from .kg import fingerprint, resolve
 
 
@@ -44,50 +49,125 @@ def resolved_if_changed(before: tuple[DataFrame, DataFrame], after: tuple[DataFr
     return nodes if same else resolve(*after)
 
 
-TABLES = ("specs", "decls", "edges", "nodes")
-META = "key string, value string"
+def _differing(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that one of the two has more often than the other."""
+    new = new.select(*old.columns)
+    return old.exceptAll(new).unionByName(new.exceptAll(old))
+
+
+def touched_ids(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(id): those whose declarations, or whose part in edges, are not what they were; before and after need hold the changed repos alone."""
+    decls, edges = (_differing(a, b) for a, b in zip(before, after, strict=True))
+    return decls.select("id").union(edges.select("src")).union(edges.select("dst")).distinct()
+
+
+def resolved_again(nodes: DataFrame, touched: DataFrame, decls: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with those of the touched ids (id) resolved anew from all declarations and edges: an entity depends on its id's rows alone, so others stay. Equal to resolve(decls, edges)."""
+    own = decls.join(touched, "id", "left_semi")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).join(touched, "id", "left_semi").distinct()
+    return nodes.join(touched, "id", "left_anti").unionByName(resolve(own, ends.select(F.col("id").alias("src"), F.col("id").alias("dst"))).select(*nodes.columns))
+
+
+#: Tables of the store; all but nodes are kept by repo.
+TABLES = ("specs", "decls", "edges", "vectors", "nodes")
+BY_REPO = TABLES[:-1]
 
 
 @dataclass
 class Store:
-    """The tables of all registered repos in a folder that all machines share. Each change writes a version beside the one that readers have, and then moves the pointer to it, so nobody reads half a change."""
+    """The tables of all registered repos, and their full-text index, in a folder that all machines share.
+
+    A commit of the log names each repo's files, the entities' file, the index's version and the meta values, so readers see all of a
+    change or nothing of it. A change writes its own repo's files. Two changes of unlike repos both come through: the second to commit
+    takes the first one's files over and resolves the entities again; of two of one repo, the second is a Conflict."""
 
     spark: SparkSession
     path: str
+    indexed: bool = True
 
-    def _system(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, f"{self.path}/log")
 
-    def version(self) -> str | None:
-        """The version that the newest pointer names; a pointer is an empty file, so it is there or not."""
-        pointers = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current-*")
-        found = sorted(x.getPath().getName() for x in (self._system().globStatus(pointers) or []))
-        return found[-1].split("-", 2)[2] if found else None
+    def state(self) -> dict | None:
+        return self.log.latest()[1]
 
-    def tables(self) -> dict[str, DataFrame]:
-        at = self.version()
-        return {} if at is None else {t: self.spark.read.parquet(f"{self.path}/{at}/{t}") for t in TABLES}
+    def version(self) -> int | None:
+        found = self.log.versions()
+        return found[-1] if found else None
 
-    def meta(self) -> dict[str, str]:
-        at = self.version()
-        return {} if at is None else {r["key"]: r["value"] for r in self.spark.read.parquet(f"{self.path}/{at}/meta").collect()}
+    def write(self, df: DataFrame) -> dict:
+        """df's place and schema, once it is written."""
+        place = f"{self.path}/data/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        return {"place": place, "schema": df.schema.json()}
 
-    def put(self, tables: dict[str, DataFrame], meta: dict[str, str]) -> None:
-        """A new version of all tables; that before the last one goes."""
-        Path, system = self.spark._jvm.org.apache.hadoop.fs.Path, self._system()
-        old = sorted(x.getPath().getName() for x in (system.globStatus(Path(f"{self.path}/current-*")) or []))
-        own = uuid.uuid4().hex
-        for name in TABLES:
-            tables[name].write.parquet(f"{self.path}/{own}/{name}")
-        self.spark.createDataFrame(sorted(meta.items()), META).coalesce(1).write.parquet(f"{self.path}/{own}/meta")
-        number = int(old[-1].split("-", 2)[1]) + 1 if old else 0
-        system.create(Path(f"{self.path}/current-{number:012d}-{own}")).close()
-        for name in old[:-1]:
-            system.delete(Path(f"{self.path}/{name}"), False)
-            system.delete(Path(f"{self.path}/{name.split('-', 2)[2]}"), True)
+    def read(self, state: dict, name: str, repos: list[str] | None = None) -> DataFrame:
+        """A table of some repos, or of all."""
+        parts = [state["nodes"]] if name == "nodes" else [own[name] for r, own in sorted(state["repos"].items()) if repos is None or r in repos]
+        if not parts:
+            return self.spark.createDataFrame([], StructType.fromJson(json.loads(state["schemas"][name])))
+        return self.spark.read.schema(StructType.fromJson(json.loads(parts[0]["schema"]))).parquet(*(x["place"] for x in parts))
 
+    def tables(self) -> dict[str, DataFrame]:
+        state = self.state()
+        return {} if state is None else {t: self.read(state, t) for t in TABLES}
 
+    def meta(self) -> dict[str, str]:
+        state = self.state()
+        return {} if state is None else state["meta"]
+
+    def index(self) -> segments.Segments | None:
+        """The full-text index that belongs to the tables."""
+        state = self.state()
+        return None if state is None or not state["index"] else segments.Segments(self.spark, state["index"]["place"], state["index"]["version"])
+
+    def vectors(self) -> semantic.Vectors:
+        return semantic.Vectors(self.tables()["vectors"])
+
+    def vacuum(self) -> None:
+        """Deletes the files that the newest commit does not name; readers of older ones lose theirs."""
+        state, system, Path = self.state(), self.log.system(), self.spark._jvm.org.apache.hadoop.fs.Path
+        named = {x["place"].rpartition("/")[2] for own in state["repos"].values() for x in own.values()} | {state["nodes"]["place"].rpartition("/")[2]}
+        for x in system.globStatus(Path(f"{self.path}/data/*")) or []:
+            if x.getPath().getName() not in named:
+                system.delete(x.getPath(), True)
+
+
+def _tables_of(store: Store, specs: DataFrame) -> dict[str, dict]:
+    """A repo's files, written: its specs, and what follows from them."""
+    own = {"specs": store.write(specs)}
+    written = store.spark.read.schema(specs.schema).parquet(own["specs"]["place"])
+    decls, edges = files.declarations(written)
+    return own | {"decls": store.write(decls), "edges": store.write(edges), "vectors": store.write(semantic.index(written).weights)}
+
+
+def _reindexed(store: Store, index: dict, changed: DataFrame | None, gone: DataFrame) -> dict:
+    """The index's place and version after a change, whatever other changes came to it meanwhile."""
+    while True:
+        try:
+            return {"place": index["place"], "version": segments.Segments(store.spark, index["place"]).updated(changed, gone).version}
+        except Conflict:
+            continue  # each conflict is another's commit, so there is progress
+
+
+def _commit(store: Store, repo: str, seen: dict | None, own: dict[str, dict] | None, index: dict | None, told: dict[str, str | None]) -> None:
+    """Puts a repo's new files (none: the repo goes) into the newest commit; Conflict if its files there are not those seen. told: meta values, None for those that go."""
+
+    def make(version: int, state: dict) -> dict:
+        if state["repos"].get(repo) != seen:
+            raise Conflict(f"{repo} was changed by another writer")
+        repos = {r: x for r, x in state["repos"].items() if r != repo} | ({repo: own} if own else {})
+        new = state | {"repos": repos, "meta": {k: v for k, v in (state["meta"] | told).items() if v is not None}}
+        pair = lambda s, only=None: (store.read(s, "decls", only), store.read(s, "edges", only))
+        touched = cut(touched_ids(pair(state, [repo]), pair(new, [repo])))
+        if not touched.isEmpty():
+            new["nodes"] = store.write(resolved_again(store.read(state, "nodes"), touched, *pair(new)))
+        if index and state["index"]:
+            new["index"] = index if index["place"] != state["index"]["place"] or index["version"] > state["index"]["version"] else state["index"]
+        return new
+
+    store.log.change(make)
 
 
 def _specs(spark: SparkSession, repo: registry.Repo) -> DataFrame:
@@ -96,48 +176,55 @@ def _specs(spark: SparkSession, repo: registry.Repo) -> DataFrame:
 
 def rebuild(store: Store, repos: list[registry.Repo], now: str, heads: dict[str, str] | None = None) -> None:
     """All tables of all repos made anew, with one time for all that was scanned."""
-    rows = [_specs(store.spark, r) for r in repos]
-    specs = rows[0]
-    for other in rows[1:]:
-        specs = specs.unionByName(other)
-    decls, edges = files.declarations(specs)
-    meta = {"last_scan": now} | {f"last_scan_{r.name}": now for r in repos} | {f"git_commit_{n}": h for n, h in (heads or {}).items()}
-    store.put({"specs": specs, "decls": decls, "edges": edges, "nodes": resolve(decls, edges)}, meta)
+    own = {r.name: _tables_of(store, _specs(store.spark, r)) for r in repos}
+    schemas = {t: next(iter(own.values()))[t]["schema"] for t in BY_REPO} if own else {}
+    state = {"repos": own, "schemas": schemas, "index": None}
+    state["nodes"] = store.write(resolve(store.read(state, "decls"), store.read(state, "edges")))
+    if store.indexed:
+        place = f"{store.path}/index/{uuid.uuid4().hex}"
+        state["index"] = {"place": place, "version": segments.create(store.spark, place, store.read(state, "specs"), fts.COLUMNS).version}
+    state["meta"] = {"last_scan": now} | {f"last_scan_{r.name}": now for r in repos} | {f"git_commit_{n}": h for n, h in (heads or {}).items()}
+    store.log.change(lambda version, before: state)
 
 
 def refresh(store: Store, repo: registry.Repo, now: str) -> int:
-    """Brings one repo's rows up to date: of the files that git tells changed, those whose time or size is new are read again and those that are gone go. Entities are resolved again only if declarations or edges changed. The number of specs written; the tables equal those of a rebuild."""
-    tables, meta = store.tables(), store.meta()
-    names, head = registry.changed_files(repo.path, meta.get(f"git_commit_{repo.name}"), (*files.TEXT, *files.MEDIA))
+    """Brings one repo's rows up to date: of the files that git tells changed, those whose time or size is new are read again and those that are gone go, from the tables, the index and the vectors. Entities that the change touches are resolved again. The number of specs written; the tables equal those of a rebuild."""
+    state = store.state()
+    names, head = registry.changed_files(repo.path, state["meta"].get(f"git_commit_{repo.name}"), (*files.TEXT, *files.MEDIA))
     names = [n for n in names if not set(n.split("/")[:-1]) & set(repo.skip)]
     if not names:
         return 0
-    spark, specs = store.spark, tables["specs"]
+    spark, specs = store.spark, store.read(state, "specs", [repo.name])
     # A file may be the companion of others of its stem, so all files of a changed stem are judged together.
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     stems = spark.createDataFrame([(n,) for n in names], "path string").select(stem.alias("stem")).distinct()
     disk = files.read_folder(spark, repo.path, repo.name, repo.skip, {n.rpartition("/")[0] for n in names}).withColumn("stem", stem).join(stems, "stem", "left_semi").drop("stem")
     there = files.with_companions(disk)
-    stored = specs.where(F.col("repo") == repo.name).withColumn("stem", stem).join(stems, "stem", "left_semi").drop("stem")
+    stored = specs.withColumn("stem", stem).join(stems, "stem", "left_semi").drop("stem")
     # A companion's text may change while its picture does not: media are read whenever their stem changed.
-    new = files.specs(changed(stored, there.where(F.col("ext").isin(*files.TEXT))).unionByName(there.where(F.col("ext").isin(*files.MEDIA))))
-    gone = stored.select("repo", "path").join(there.select("repo", "path"), ["repo", "path"], "left_anti")
-    written = new.count()
-    after = upsert(specs, new, gone)
-    decls, edges = files.declarations(after)
-    nodes = resolved_if_changed((tables["decls"], tables["edges"]), (decls, edges), tables["nodes"])
+    new = cut(files.specs(changed(stored, there.where(F.col("ext").isin(*files.TEXT))).unionByName(there.where(F.col("ext").isin(*files.MEDIA)))))
+    gone = cut(stored.join(there.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", "spec_id"))
+    own = _tables_of(store, upsert(specs, new.select(*specs.columns), gone.select("repo", "path")))
+    index = _reindexed(store, state["index"], new, gone.select("spec_id")) if state["index"] else None
     told = {"last_scan": now, f"last_index_update_{repo.name}": now} | ({f"git_commit_{repo.name}": head} if head else {})
-    store.put({"specs": after, "decls": decls, "edges": edges, "nodes": nodes}, meta | told)
-    return written
+    _commit(store, repo.name, state["repos"].get(repo.name), own, index, told)
+    return new.count()
 
 
 def drop(store: Store, repo: str, now: str) -> None:
-    """A repo's rows go from all tables, and what was resolved with them is resolved again."""
-    tables, meta = store.tables(), store.meta()
-    specs = delete_repo(tables["specs"], repo)
-    decls, edges = files.declarations(specs)
-    left = {k: v for k, v in meta.items() if not k.endswith(f"_{repo}")}
-    store.put({"specs": specs, "decls": decls, "edges": edges, "nodes": resolve(decls, edges)}, left | {"last_scan": now})
+    """A repo's rows go from all tables and the index, and what was resolved with them is resolved again."""
+    state = store.state()
+    index = _reindexed(store, state["index"], None, store.read(state, "specs", [repo]).select("spec_id")) if state["index"] else None
+    _commit(store, repo, state["repos"].get(repo), None, index, {k: None for k in state["meta"] if k.endswith(f"_{repo}")} | {"last_scan": now})
+
+
+def triggered(store: Store, repo: registry.Repo, now: str, ttl: float = 3600.0) -> int | None:
+    """What a hook does: refreshes the repo if it is due. None if another trigger is at it, else the number of specs written."""
+    with Lease(store.spark, store.path, registry.lock_name(repo.name), ttl) as held:
+        if not held:
+            return None
+        last = store.meta().get(f"git_commit_{repo.name}")
+        return refresh(store, repo, now) if due(repo.path, last) else 0
 
 
 def due(root: str, last: str | None) -> bool:

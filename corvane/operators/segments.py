@@ -85,9 +85,9 @@ def _grouped(porter: bool, n_columns: int):
 class Segments:
     """An index in a folder, as of the commit that stood when it was opened."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         self.spark, self.path, self.log = spark, path.rstrip("/"), Log(spark, f"{path.rstrip('/')}/log")
-        self.version, self.state = self.log.latest()
+        self.version, self.state = self.log.latest() if version is None else (version, self.log.read(version))
         if self.state is None:
             raise FileNotFoundError(f"no index in {path}")
         self.columns, self.porter = tuple(self.state["columns"]), self.state["porter"]

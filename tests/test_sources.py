@@ -4,7 +4,8 @@ import subprocess
 
 import pytest
 
-from corvane.operators import graphs, incremental, kg, render
+from corvane.operators import fts, graphs, incremental, kg, render
+from corvane.operators.commits import Conflict, Lease
 from corvane.plans import scope
 from corvane.sources import files, registry
 from corvane.sources import graphs as graph_files
@@ -74,15 +75,18 @@ def test_upkeep_equals_rebuild(spark, tmp_path):
     run("mv", "d/2.md", "d/moved.md")
     (root / "d/3.md").unlink()
     assert incremental.due(str(root), store.meta()["git_commit_r"]) and incremental.refresh(store, repo, "t3") > 0
-    fresh = incremental.Store(spark, str(tmp_path / "fresh"))
+    fresh = incremental.Store(spark, str(tmp_path / "fresh"), indexed=False)
     incremental.rebuild(fresh, [repo], "t3")
+    anew = fts.index(fresh.tables()["specs"])
+    for query in ("changed OR picture", "body 0"):
+        assert {r.spec_id: round(r["rank"], 9) for r in fts.search(store.index(), query).collect()} == {r.spec_id: round(r["rank"], 9) for r in fts.search(anew, query).collect()}
     for name in incremental.TABLES:
         one, two = ([json.dumps(r.asDict(recursive=True), sort_keys=True, default=str) for r in s.tables()[name].select(*sorted(store.tables()[name].columns)).collect()] for s in (store, fresh))
         assert sorted(one) == sorted(two), name
     assert {r.path: r.title for r in store.tables()["specs"].collect()}["pic.png"] == "Another picture"
     assert store.meta()["last_index_update_r"] == "t3"
     incremental.drop(store, "r", "t4")
-    assert all(df.count() == 0 for df in store.tables().values()) and "git_commit_r" not in store.meta()
+    assert all(df.count() == 0 for df in store.tables().values()) and "git_commit_r" not in store.meta() and store.index().totals() == (0, 0)
     with pytest.raises(registry.GitError):
         registry.changed_files(str(root), "0" * 40)
     for name in ("rest.txt", "code.py"):
@@ -116,6 +120,52 @@ def test_graph_cache(spark, tmp_path):
     assert cache.get(path) is None
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Changes of two repos at once both come through, as after a rebuild; of two of one repo the second fails; a trigger that meets another's lease does nothing."""
+    repos = []
+    for n in "ab":
+        root = tmp_path / n
+        root.mkdir()
+        subprocess.run(["git", "-C", str(root), "init", "-q"], check=True)
+        for k in range(3):
+            (root / f"{k}.md").write_text(f"---\nid: component://{k}\ndependsOn: [component://{k + 1}, req://{n}]\n---\n# {n}{k}\n\ntext\n")
+        subprocess.run(["git", "-C", str(root), "add", "."], check=True)
+        subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "one"], check=True)
+        repos.append(registry.Repo(n, str(root)))
+    store = incremental.Store(spark, str(tmp_path / "store"))
+    incremental.rebuild(store, repos, "t1", {r.name: registry.changed_files(r.path, None)[1] for r in repos})
+    (tmp_path / "a/0.md").write_text("---\nid: component://new\n---\n# changed one\n")
+    (tmp_path / "b/1.md").unlink()
+    (tmp_path / "b/4.md").write_text("---\nid: component://2\n---\n# another two\n")
+    commit, held = incremental._commit, [repos[1]]
+
+    def meanwhile(*args):
+        if held:
+            incremental.refresh(store, held.pop(), "t2")
+        return commit(*args)
+
+    monkeypatch.setattr(incremental, "_commit", meanwhile)
+    assert incremental.refresh(store, repos[0], "t3") == 1
+    fresh = incremental.Store(spark, str(tmp_path / "fresh"), indexed=False)
+    incremental.rebuild(fresh, repos, "t")
+    for name in incremental.TABLES:
+        one, two = (sorted(json.dumps(r.asDict(recursive=True), sort_keys=True, default=str) for r in s.tables()[name].select(*sorted(store.tables()[name].columns)).collect()) for s in (store, fresh))
+        assert one == two, name
+    anew = fts.index(fresh.tables()["specs"])
+    assert sorted(r.spec_id for r in fts.search(store.index(), "changed OR another OR text").collect()) == sorted(r.spec_id for r in fts.search(anew, "changed OR another OR text").collect())
+    assert {"last_index_update_a", "last_index_update_b"} <= set(store.meta())
+    (tmp_path / "a/0.md").write_text("# changed twice\n")
+    held.append(repos[0])
+    with pytest.raises(Conflict):
+        incremental.refresh(store, repos[0], "t4")
+    assert {r.title for r in store.tables()["specs"].where("repo = 'a' and path = '0.md'").collect()} == {"changed twice"}
+    store.vacuum()
+    assert store.tables()["nodes"].count() > 0
+    with Lease(spark, store.path, registry.lock_name("a")):
+        assert incremental.triggered(store, repos[0], "t5") is None
+    assert incremental.triggered(store, registry.Repo("b", str(tmp_path / "b")), "t6") >= 0
+
+
 def test_rendered(spark, tmp_path):
     assert render.as_json({"a": "<&>"}) == '{\n  "a": "\\u003c\\u0026\\u003e"\n}\n' and render.served(str(tmp_path / "none")) == render.as_json({"nodes": [], "links": []})
     render.write_json(str(tmp_path / "x.json"), [1])
