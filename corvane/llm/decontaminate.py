@@ -10,8 +10,9 @@ Items are taken in blocks of BLOCK_BYTES of text at most (or one item, if that a
 ids. The signatures and shingles of one block are broadcast, a size that the block bounds, and the documents are scanned for
 each block; benchmarks of ordinary size are one block. Documents are never shuffled, so no shingle can be a hot key.
 
-Shingles are those of near_duplicates: five consecutive words, or all words of a text of one to four. So a short item is
-found in documents that are just these words.
+Shingles are those of near_duplicates: five consecutive words; an item of one to four words has one shingle, all its words. So where a
+block has items of k < 5 words, documents are probed with their runs of k words too, and a short item is found wherever its words
+stand one after the other in a document.
 
 Nulls: rows with a null id or text, and items without words, have no shingles and match nothing. Item rows
 of equal ids are one item of all their shingles; document rows of equal ids are a document each, and give a row each. Empty tables give no rows. Other columns are not read by search();
@@ -48,41 +49,53 @@ def needed(n: int, threshold: float = SIMILAR) -> int:
     return -int(-n * Fraction(str(threshold)) // 1)
 
 
-def _shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of rows and the row of each, in order of row; with repeats."""
+def _shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle hashes of items, the row of each and its number of words, in order of row; with repeats."""
     hashes, before = words(data, offs)
     found, row = grams(hashes, before, SHINGLE_WORDS)
     counts = np.diff(before)
     few = np.flatnonzero((counts > 0) & (counts < SHINGLE_WORDS))
     if not len(few):
-        return found, row
+        return found, row, np.full(len(found), SHINGLE_WORDS)
     short = [grams(hashes[before[i] : before[i + 1]], np.array([0, counts[i]]), int(counts[i]))[0] for i in few]
+    size = np.concatenate([np.full(len(found), SHINGLE_WORDS), counts[few]])
     found, row = np.concatenate([found, *short]), np.concatenate([row, few])
     order = np.argsort(row, kind="stable")
+    return found[order], row[order], size[order]
+
+
+def _runs(data: np.ndarray, offs: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of documents' runs of so many words, and the row of each, in order of row; with repeats."""
+    hashes, before = words(data, offs)
+    each = [grams(hashes, before, k) for k in sizes]
+    found, row = (np.concatenate(x) for x in zip(*each, strict=True))
+    if len(sizes) == 1:
+        return found, row
+    order = np.argsort(row, kind="stable")
     return found[order], row[order]
 
 
 def item_shingles(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(item_id, shingle, n, signed): the distinct shingles of each item, as hashes; signed are those in its signature. Equal ids of unlike texts are one item of all their shingles."""
-    schema = pa.schema([("item_id", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64()), ("signed", pa.bool_())])
+    """(item_id, shingle, words, n, signed): the distinct shingles of each item, as hashes, with how many words they have; signed are those in its signature. Equal ids of unlike texts are one item of all their shingles."""
+    schema = pa.schema([("item_id", pa.int64()), ("shingle", pa.int64()), ("words", pa.int64()), ("n", pa.int64()), ("signed", pa.bool_())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1)
             item_of = np.repeat(np.arange(len(ids)), texts.value_lengths().to_numpy())
-            pairs = [np.zeros((2, 0), np.uint64)]
+            pairs = [np.zeros((3, 0), np.uint64)]
             for lo, _, data, offs in chunks(texts.flatten()):
-                found, row = _shingles(data, offs)
-                pairs.append(np.stack([item_of[lo + row].astype(np.uint64), found]))
-            item, shingle = np.unique(np.concatenate(pairs, axis=1), axis=1)  # in order of item, then shingle
+                found, row, size = _shingles(data, offs)
+                pairs.append(np.stack([item_of[lo + row].astype(np.uint64), found, size.astype(np.uint64)]))
+            item, shingle, size = np.unique(np.concatenate(pairs, axis=1), axis=1)  # in order of item, then shingle
             item = item.astype(np.int64)
             sizes = np.bincount(item, minlength=len(ids))
             rank = np.arange(len(item)) - (np.cumsum(sizes) - sizes)[item]
             signed = rank < np.array([signature_size(int(n), threshold) for n in sizes], np.int64)[item]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(shingle.view(np.int64)), pa.array(sizes[item]), pa.array(signed)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(shingle.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(sizes[item]), pa.array(signed)], schema=schema)
 
     known = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    return known.groupBy("item_id").agg(F.collect_set("text").alias("texts")).mapInArrow(hashed, "item_id long, shingle long, n long, signed boolean")
+    return known.groupBy("item_id").agg(F.collect_set("text").alias("texts")).mapInArrow(hashed, "item_id long, shingle long, words long, n long, signed boolean")
 
 
 class Index:
@@ -140,6 +153,7 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     rows = item_shingles(items, threshold).toPandas()  # a block's
     ids, item = np.unique(rows["item_id"].to_numpy(), return_inverse=True)
     sizes, signed = np.bincount(item, minlength=len(ids)), rows["signed"].to_numpy(bool)
+    runs = sorted({SHINGLE_WORDS, *rows["words"].tolist()})  # five numbers at most
     packed = docs.sparkSession.sparkContext.broadcast((ids, sizes, rows["shingle"].to_numpy(np.int64).view(np.uint64), item, signed))
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_shingles", "n_common")])
 
@@ -150,7 +164,7 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
             docs_of = batch.column(0).to_pylist()
             out: list[tuple] = []
             for lo, _, data, offs in chunks(batch.column(1)):
-                hashes, row = _shingles(data, offs)
+                hashes, row = _runs(data, offs, runs)
                 for i in np.unique(row[index.probe(hashes)]):
                     if docs_of[lo + i] is None:
                         continue

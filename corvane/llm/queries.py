@@ -79,6 +79,10 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 SHINGLES = r"""SELECT {id}, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
  FROM (SELECT {id}, regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM {table} WHERE {id} IS NOT NULL)"""
 
+# All runs of one to five words of documents; an item of fewer than five words is found as a run of as many.
+RUNS = r"""SELECT doc_id, unnest(list_distinct(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))))) AS s
+ FROM (SELECT doc_id, regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL)"""
+
 
 def _shingles(table_name: str, own: str) -> str:
     return SHINGLES.format(id=own, table=table_name, lower=LOWER)
@@ -131,7 +135,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     "op4_near_duplicates": f"""WITH RECURSIVE s AS ({_shingles("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y) SELECT x AS doc_id, min(y) AS class_id, (SELECT count(*) FROM l WHERE l.x = reach.x) AS n_links FROM reach GROUP BY x""",
-    "op7_decontaminate": f"""WITH d AS ({_shingles("documents", "doc_id")}), i AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), m AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (s) GROUP BY ALL)
+    "op7_decontaminate": f"""WITH d AS ({RUNS.format(lower=LOWER)}), i AS ({_shingles("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), m AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN i USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_shingles, c AS n_common, c / n AS containment FROM m JOIN n USING (item_id) WHERE 10 * c >= 8 * n""",
     # A window's string by doubling, 50 = 32 + 16 + 2.
     "op8_suffix_dedup": """WITH r AS (SELECT doc_id, unnest(h) AS byte, generate_subscripts(h, 1) AS j FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents)),

@@ -195,6 +195,12 @@ def test_chat_branches(spark):
         chat.paths(cycle, rounds=3)
 
 
+def short_runs(t):
+    """Runs of one to four words, in which items of as many are looked for."""
+    w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1)}
+
+
 def shingles(t):
     w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -326,7 +332,7 @@ def test_decontaminate(spark, docs, empty, odd):
     words = TEXTS[47].split()
     cut = " ".join(words[100:160]), " ".join(words[200:230] + [f"x{k}" for k in range(30)]), " ".join(words[300:350] + ["x"])
     items = spark.createDataFrame([(0, cut[0].replace("a", "A")), (1, cut[1]), (2, cut[2]), (3, None), (4, ""), (5, "word"), (None, cut[0]), (2, cut[2]), (7, TEXTS[62])], "item_id long, text string").withColumn("doc_id", F.lit(1))
-    sets = {k: shingles(t) for k, t in TEXTS.items()}
+    sets = {k: shingles(t) | short_runs(t) for k, t in TEXTS.items()}
     want = set()
     for i, t in items.select("item_id", "text").collect():
         s = shingles(t)
@@ -339,6 +345,37 @@ def test_decontaminate(spark, docs, empty, odd):
     assert all(decontaminate.signature_size(n) > n - decontaminate.needed(n) for n in range(1, 3000))
 
 
+def test_short_items_within_documents(spark):
+    """Items of one to four words are found wherever their words stand one after the other, and nowhere else."""
+    items = spark.createDataFrame([(1, "Answer is forty-two"), (2, "zebra"), (3, "one two"), (4, "a b c d e f"), (5, "is forty")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "and so the answer is forty two indeed my friend of old"), (2, "forty two is the answer"), (3, "zebra"), (4, "two one, TWO"), (5, "a b c d e"), (6, "x " * 9 + "zebra. zebra"), (7, None), (8, "")], "doc_id long, text string")
+    want = {(1, 1, 1), (1, 5, 1), (3, 2, 1), (4, 3, 1), (6, 2, 1)}
+    for limit in (decontaminate.BLOCK_BYTES, 1):
+        assert {(r.doc_id, r.item_id, r.n_common) for r in decontaminate.search(docs, items, block_bytes=limit).collect()} == want
+    assert {r.doc_id for r in decontaminate.remove(docs, items).collect()} == {2, 5, 7, 8}
+
+
+def test_verify_looks_at_touched_texts(monkeypatch):
+    """Of many short unlike texts, a few of them alike, each is compared with those it meets: the links are those of brute force, and the time is not that of all pairs."""
+    import time
+
+    r = random.Random(9)
+    common = [1, 2, 3]
+    sets = [np.unique(np.array(common + [r.randrange(10, 1 << 40) for _ in range(12)], np.uint64)) for _ in range(3000)]
+    for k in range(0, 300, 3):
+        sets[k + 1] = np.unique(np.append(sets[k][:-1], np.uint64(7 + k)))
+    rows = [(b"%06d" % k, 0, 1 + k % 2, s) for k, s in enumerate(sets)]
+    began = time.process_time()
+    counts, forest = near_duplicates.verify(rows, 0, 0, 0.8)
+    assert time.process_time() - began < 20
+    want = {}
+    for k in range(0, 300, 3):
+        a, b = set(sets[k].tolist()), set(sets[k + 1].tolist())
+        if len(a & b) >= 0.8 * len(a | b):
+            want |= {b"%06d" % k: 1 + (k + 1) % 2, b"%06d" % (k + 1): 1 + k % 2}
+    assert counts == want and len(forest) == len(want) // 2
+
+
 def test_decontaminate_repeated_ids(spark):
     w = [f"w{k}" for k in range(60)]
     say = lambda a, b: " ".join(w[a:b])
