@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,26 +155,34 @@ def verify(rows: list[tuple[bytes, int, int, np.ndarray]], first: int, second: i
             x = root[x]
         return x
 
-    at = 0
+    share, begins = Fraction(str(threshold)), np.cumsum(sizes) - sizes
+    lengths_of = end - begin
     for i in range(len(rows)):
-        own = group[at : at + sizes[i]]
-        at += sizes[i]
-        common = np.zeros(len(rows), np.int64)
-        lengths = end[own] - begin[own]
-        upto, lo = np.cumsum(lengths), 0
-        while lo < len(own):
-            before = int(upto[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(upto, before + AT_ONCE, "right")))
-            some, length, lo = own[lo:hi], lengths[lo:hi], hi
-            where = np.repeat(begin[some] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-            common += np.bincount(owner[where], minlength=len(rows))
+        own = group[begins[i] : begins[i] + sizes[i]]
+        # What is as similar has that share of the shingles at least, so one of the rarest, whichever these are.
+        rare = own[np.argsort(lengths_of[own], kind="stable")[: max(0, len(own) + int(-len(own) * share // 1) + 1)]]
+        met = np.unique(np.concatenate([owner[:0], *(owner[begin[k] : end[k]] for k in rare)])) if int(lengths_of[rare].sum()) * 8 < len(rows) else None
+        if met is not None and len(met) * (len(own) + 2000) < int(lengths_of[own].sum()) + len(rows):
+            # Few texts are met: each is compared by itself.
+            met = met[met != i]
+            common = np.array([len(np.intersect1d(own, group[begins[j] : begins[j] + sizes[j]], assume_unique=True)) for j in met], np.int64)
+        else:
+            met, common = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            lengths = lengths_of[own]
+            upto, lo = np.cumsum(lengths), 0
+            while lo < len(own):
+                before = int(upto[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(upto, before + AT_ONCE, "right")))
+                some, length, lo = own[lo:hi], lengths[lo:hi], hi
+                where = np.repeat(begin[some] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+                common += np.bincount(owner[where], minlength=len(rows))
         # Jaccard similarity, in whole numbers: common / (sizes of both - common).
-        with_it = 1000 * common >= int(round(1000 * threshold)) * (sizes + sizes[i] - common)
-        with_it[i] = False
+        with_it = (1000 * common >= int(round(1000 * threshold)) * (sizes[met] + sizes[i] - common)) & (met != i)
         if first != second:
-            with_it &= block != block[i]
-        counts[i] = int(copies[with_it].sum())
-        for j in np.flatnonzero(with_it):
+            with_it &= block[met] != block[i]
+        linked = met[with_it]
+        counts[i] = int(copies[linked].sum())
+        for j in linked:
             if j < i and (a := top(i)) != (b := top(int(j))):
                 root[max(a, b)] = min(a, b)
                 forest.append((rows[i][0], rows[j][0]))
