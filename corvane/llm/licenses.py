@@ -1,16 +1,19 @@
 """Operator 9 [native]: licence scans with a positional rare-token index.
 
-The postings hold the highest-IDF word of each template's key phrase. Every place of these words in a file gives a place
-where a template would begin; a template whose mandatory key phrase stands there is accepted, so none that the file
-holds is missed and no words elsewhere count against it. Its score is the share of its words that stand in their places.
-Beside it the base phrases are found wherever their words stand consecutively.
+The index has postings (word, template, position) of the RARE places of each template's mandatory key phrase whose words are the
+rarest in all documents. A file's words are looked up in it, each hit being a place where a template would begin; where all of a
+template's postings give the same place, by their positions, it is a candidate. A key phrase stands nowhere else, so none
+is missed, and common words are never looked up. A candidate is verified: its key phrase must stand there word by word, and
+LEAST of all the template's words in their places. Its score is that share. Beside it the base phrases are found wherever
+their words stand consecutively.
 
-Document frequencies of the licence words are counted over all documents. They are as many as the templates have words,
-a fixed number, so the driver takes them as a small dictionary. Only files with a word that some phrase or key phrase
-must have are aligned; no other can be labelled.
+Document frequencies of the key phrases' words are counted over all documents. They are a fixed number, so the driver takes
+them as a small dictionary, and the index is a table of some hundred rows. Only files with a word that some phrase or key
+phrase must have are looked up; no other can be labelled. Copies of a file are looked up once, and a file that very many
+documents copy is joined back by itself.
 
-Templates are short notices and passages of the licences' own texts, as words; each is accepted by its key phrase alone, so
-a longer passage that was changed in places still counts, with a lower score.
+Templates are short notices and passages of the licences' own texts, as words. A passage that was changed in places still
+counts, with a lower score; the words of a long notice's key phrase alone, in prose, do not.
 
 Nulls: a null text is an empty one; rows with null or repeated doc_id are scanned like others; an empty table gives an
 empty result. Other columns are not read."""
@@ -22,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_unique
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
@@ -76,6 +79,8 @@ TEMPLATES = {
 }
 #: The words whose document frequencies are counted: those of the key phrases.
 VOCABULARY = sorted({w for _, k in TEMPLATES.values() for w in k.split()})
+#: Of a key phrase, the places whose words are looked up; the least share of a template's words in their places.
+RARE, LEAST = 4, 0.3
 #: Capitals that are lowered: A-Z alone, as the words' definition has it.
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A labelled file has one of these words: the longest of each base phrase and key phrase.
@@ -95,25 +100,43 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.filter(F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.expr("cast(array() as array<int>)")), stands)
 
 
-def _aligned(label: str, at: int, rare: str) -> Column:
-    """(label, score) of the place, among the hits of the key phrase's rare word, where the key phrase stands and most of the template's words do; null if it stands nowhere."""
-    template, key = (x.split() for x in TEMPLATES[label])
-    before = next(k for k in range(len(template)) if template[k : k + len(key)] == key)
-    same = lambda i, w: F.coalesce(F.get("words", i) == w, F.lit(False))
+def rare_postings(rarity: dict[str, float], rare: int = RARE) -> list[tuple[str, str, int]]:
+    """(word, label, position in the template) of each key phrase's rarest places."""
+    out = []
+    for label, (template, key) in TEMPLATES.items():
+        said, own = template.split(), key.split()
+        before = next(k for k in range(len(said)) if said[k : k + len(own)] == own)
+        out += [(own[j], label, before + j) for j in sorted(range(len(own)), key=lambda j: (-rarity[own[j]], j))[:rare]]
+    return out
 
-    def stands(x: Column) -> Column:
-        out = x["w"] == rare
-        for j, w in enumerate(key):
-            out &= same(x["i"] + (j - at), w)
-        return out
 
-    said = F.array(*map(F.lit, template))
+def _verified(candidates: Column, words: Column) -> Column:
+    """(label, score) of the candidates (label, start) whose key phrase stands there and LEAST of whose words do."""
+    told = {}
+    for label, (template, key) in TEMPLATES.items():
+        said, own = template.split(), key.split()
+        before = next(k for k in range(len(said)) if said[k : k + len(own)] == own)
+        told[label] = F.struct(F.array(*map(F.lit, said)).alias("said"), F.array(*map(F.lit, own)).alias("key"), F.lit(before).alias("before"))
+    templates = F.create_map(*(x for label, t in told.items() for x in (F.lit(label), t)))
+    stands = lambda said, start: F.size(F.filter(said, lambda w, j: F.coalesce(F.get(words, start + j) == w, F.lit(False))))
+
+    def judged(c: Column) -> Column:
+        t = F.element_at(templates, c["label"])
+        whole = stands(t["key"], c["start"] + t["before"]) == F.size(t["key"])
+        return F.struct(c["label"].alias("label"), F.when(whole, stands(t["said"], c["start"]) / F.size(t["said"])).alias("score"))
+
+    return F.filter(F.transform(candidates, judged), lambda x: x["score"] >= LEAST)
 
-    def agree(x: Column) -> Column:
-        return F.size(F.filter(said, lambda w, j: same(x["i"] + (j - at - before), w)))
 
-    most = F.array_max(F.transform(F.filter("hits", stands), agree))
-    return F.when(most.isNotNull(), F.struct(F.lit(label).alias("label"), (most / len(template)).alias("score")))
+def candidates(files: DataFrame, postings: list[tuple[str, str, int]]) -> DataFrame:
+    """(file, candidates array<struct<label, start>>) of files (file, words) where all of a template's postings meet; start may be before the file's first word."""
+    book = files.sparkSession.createDataFrame(postings, "word string, label string, at int")
+    need = book.groupBy("label").agg(F.count("*").alias("need"))
+    index = cut(book.join(need, "label"))  # some hundred rows
+    looked = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: x["word"].isin(sorted({w for w, *_ in postings})))
+    hits = files.select("file", F.explode(looked).alias("hit")).select("file", "hit.word", "hit.i").join(F.broadcast(index), "word")
+    met = hits.groupBy("file", "label", (F.col("i") - F.col("at")).alias("start"), "need").agg(F.count("*").alias("n")).where("n = need")
+    return met.groupBy("file").agg(F.collect_list(F.struct("label", "start")).alias("candidates"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -136,20 +159,15 @@ def scan(docs: DataFrame) -> DataFrame:
     none = [F.lit(0).cast("long").alias("n_base"), *(F.lit(None).cast("long").alias(c) for c in ("first_word", "last_word")), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")]
     plain = read.where("words is null").select("doc_id", "n_words", *none)
     signed = read.where("words is not null").withColumn("file", F.sha2(F.array_join("words", " "), 256))
-    # Copies of a file are aligned once.
-    files = signed.select("file", "words").dropDuplicates(["file"])
-    # The rarest word of each key phrase, and its place in it.
-    rarest = {label: max(enumerate(k.split()), key=lambda x: (rarity[x[1]], -x[0])) for label, (_, k) in TEMPLATES.items()}
-    looked = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = F.filter(looked, lambda x: x["w"].isin(sorted({w for _, w in rarest.values()})))
-    placed = files.select("file", "words", hits.alias("hits"))
-    judged = placed.select("file", F.explode(F.array_compact(F.array(*(_aligned(label, *rarest[label]) for label in TEMPLATES)))).alias("t")).select("file", "t.label", "t.score")
-    accepted = judged.groupBy("file").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    # Copies of a file are looked up once.
+    files = signed.groupBy("file").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
+    found = files.join(candidates(files, rare_postings(rarity)), "file").select("file", "copies", _verified(F.col("candidates"), F.col("words")).alias("found"))
+    accepted = found.where(F.size("found") > 0).select("file", "copies", F.array_distinct(F.col("found.label")).alias("found"), F.array_max(F.col("found.score")).alias("score"))
 
     based = signed.select("doc_id", "n_words", "file", F.array(*(_starts(F.col("words"), p) for p in BASE)).alias("starts"))
     names = F.array(*(F.when(F.size(F.col("starts")[k]) > 0, F.lit(label)) for k, label in enumerate(BASE.values())))
     based = based.select("doc_id", "n_words", "file", F.flatten("starts").alias("at"), F.array_sort(F.array_compact(names)).alias("base"))
-    out = based.join(accepted, "file", "left").select(
+    out = join_unique(based, accepted, "file", "copies", signed.count(), "left").select(
         "doc_id",
         "n_words",
         F.size("at").cast("long").alias("n_base"),

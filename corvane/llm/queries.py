@@ -89,7 +89,7 @@ def _shingles(table_name: str, own: str) -> str:
 
 
 def _license_sql() -> str:
-    """The base phrases' places, and of each template the places of its key phrase and the best share of its words there; only texts with a sign are searched."""
+    """The base phrases' places, and of each template the best share of its words in their places where its key phrase stands, if that is the least share or more; only texts with a sign are searched."""
 
     def places(phrase: str) -> str:
         words = phrase.split()
@@ -101,12 +101,13 @@ def _license_sql() -> str:
         before = len(template[:start].split())
         found.append(f"{places(key)} AS t{k}")
         word = f"i - {before} + j - 1"
-        shares.append(f"list_max(list_transform(t{k}, lambda i: list_sum(list_transform(range(1, {len(words) + 1}), lambda j: CASE WHEN {word} >= 1 AND w[{word}] = {words!r}[j] THEN 1 ELSE 0 END)))) / {len(words)}")
+        share = f"list_sum(list_transform(range(1, {len(words) + 1}), lambda j: CASE WHEN {word} >= 1 AND w[{word}] = {words!r}[j] THEN 1 ELSE 0 END)) / {len(words)}"
+        shares.append(f"list_filter(list_transform(t{k}, lambda i: {share}), lambda x: x >= {licenses.LEAST}) AS s{k}")
     base = [f"{places(phrase)} AS b{k}" for k, phrase in enumerate(licenses.BASE)]
     named = lambda letter, labels: "[" + ", ".join(f"CASE WHEN len({letter}{k}) > 0 THEN '{x}' END" for k, x in enumerate(labels)) + "]"
     joined = lambda x: f"array_to_string(list_sort(list_distinct({x})), ',')"
     return rf"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), s AS (SELECT *, list_has_any(w, {licenses.SIGNS!r}) AS signed FROM d), p AS (SELECT doc_id, w, {", ".join(base + found)} FROM s),
-q AS (SELECT *, flatten([{", ".join(f"b{k}" for k in range(len(base)))}]) AS spots, {named("b", licenses.BASE.values())} AS base, {named("t", licenses.TEMPLATES)} AS more, [{", ".join(shares)}] AS shares FROM p)
+p2 AS (SELECT *, {", ".join(shares)} FROM p), q AS (SELECT *, flatten([{", ".join(f"b{k}" for k in range(len(base)))}]) AS spots, {named("b", licenses.BASE.values())} AS base, {named("s", licenses.TEMPLATES)} AS more, flatten([{", ".join(f"s{k}" for k in range(len(shares)))}]) AS shares FROM p2)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) - 1 AS first_word, list_max(spots) - 1 AS last_word, {joined("base")} AS base_labels, {joined("list_concat(base, more)")} AS labels, coalesce(list_max(shares), 0.0)::DOUBLE AS score FROM q"""
 
 
