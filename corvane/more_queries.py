@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import extract, formats, text, vectors
-from .operators import catalog, codegraph, export, fts, graphs, incremental, kg, rank, render, retrieval, segments
+from .operators import catalog, codegraph, export, fts, graphs, incremental, kg, rank, render, retrieval, segments, semantic
 from .operators.corpus import specs_from_documents
 from .queries import CALLS, CODE, DECLS, NODES, RANKED, SPECS, SUMMARY, TOKENS, UNIT, _code, _decls, _units, built_index, query
 from .session import cut, shared_folder, table
@@ -243,6 +243,48 @@ def upkeep_resolved(spark, d):
     return incremental.resolved_if_changed(less, after, nodes).select("id", "flags")
 
 
+@query(f"WITH {DECLS}, {NODES}, after AS (SELECT id, flags FROM nodes) SELECT id, flags FROM after")
+def upkeep_touched(spark, d):
+    """The same by the ids that the change touches: all other entities are taken as they were."""
+    decls, edges = _decls(spark, d)
+    less = incremental.delete_repo(decls, "src2"), incremental.delete_repo(edges, "src2")
+    nodes, own = cut(kg.resolve(*less)), (decls.where("repo = 'src2'"), edges.where("repo = 'src2'"))
+    touched = incremental.touched_ids((own[0].limit(0), own[1].limit(0)), own)
+    return incremental.resolved_again(nodes, touched, decls, edges).select("id", "flags")
+
+
+@query(rf"""WITH {DECLS}, p AS (SELECT DISTINCT repo, path, CAST(regexp_extract(path, '(\d+)', 1) AS BIGINT) AS k FROM decls) SELECT repo, path, CASE WHEN repo = 'src3' THEN 'removed' WHEN repo = 'src4' THEN 'added' ELSE 'changed' END AS what FROM p WHERE repo IN ('src3', 'src4') OR k % 40 = 0""")
+def kg_differing(spark, d):
+    """What a hash tree of declarations and edges tells of a repo that went, one that came, and some titles that changed."""
+    decls, edges = _decls(spark, d)
+    turned = decls.withColumn("title", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 40 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    trees = [cut(kg.hash_tree(*(df.where(F.col("repo") != gone) for df in pair))) for gone, pair in (("src4", (decls, edges)), ("src3", (turned, edges)))]
+    return kg.differing(*trees)
+
+
+SAID = "the thanedble of und la 12"
+
+
+@query(rf"""WITH docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{SAID}'), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+')) AS t FROM docs), n AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT t, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(0, CAST(strlen(t) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(t)), 2 * i + 1, 2) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) & 4294967295) AS h FROM (SELECT DISTINCT t FROM n)),
+s AS (SELECT doc_id, CAST(h % 256 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h & 65536 <> 0 THEN n ELSE -n END) AS DOUBLE) AS w FROM n JOIN h USING (t) GROUP BY ALL HAVING w <> 0), u AS (SELECT doc_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM s)
+SELECT x.doc_id AS spec_id, round(sum(x.w * q.w), 6) + 0.0 AS cosine FROM u x JOIN u q ON q.doc_id = -1 AND q.bucket = x.bucket WHERE x.doc_id >= 0 GROUP BY ALL""")
+def semantic_cosines(spark, d):
+    """All documents against a query's text, by an index of their weights in order of bucket."""
+    path = f"{shared_folder(spark)}/vectors-{uuid4()}"
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("spec_id"), F.col("text").alias("content"))
+    semantic.save(semantic.index(docs), path)
+    return semantic.load(spark, path).cosines(semantic.query_weights(SAID)).withColumn("cosine", F.round("cosine", 6) + F.lit(0.0))
+
+
+@query()
+def semantic_hybrid(spark, d):
+    """Words and cosines fused for a query's text, in one repo."""
+    specs = specs_from_documents(spark, d)
+    own = semantic.index(specs.where("repo = 'src2'"))
+    return semantic.hybrid(built_index(spark, d), own, specs, "the OR und", "src2").select("spec_id", F.round("score", 9).alias("score"))
+
+
 @query(f"""WITH old AS (SELECT * FROM documents), changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'the new words' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 2),
 toks AS (SELECT spec_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM (SELECT CAST(doc_id AS VARCHAR) AS spec_id, text FROM changed)), lens AS (SELECT CAST(doc_id AS VARCHAR) AS spec_id, CAST(len(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS BIGINT) AS n_tokens FROM changed), totals AS (SELECT count(*) AS n_docs, avg(n_tokens) AS mean_tokens FROM lens),
 q AS (SELECT 'words' AS word, 0 AS k UNION ALL SELECT 'the', 1), {RANKED} SELECT spec_id, round(rank, 9) AS rank FROM ranks""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,40 @@ def fingerprint(decls: DataFrame, edges: DataFrame) -> DataFrame:
     h = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 40))).alias("s"))
     a, b = h(decls), h(edges)
     return a.select(F.struct("*").alias("decls")).crossJoin(b.select(F.struct("*").alias("edges"))).select(F.sha2(F.to_json(F.struct("decls", "edges")), 256).alias("fingerprint"))
+
+
+def hash_tree(decls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(level, repo, folder, path, n, hash): of each path (level 3) what its declarations and edges come to, whatever their order, and of each folder (2), repo (1) and all (0) what the ones below come to. Kept beside the tables, it tells a later state's differences."""
+    rows = lambda df, kind: df.select("repo", "path", F.xxhash64(F.lit(kind), *df.columns).alias("h"))
+    each = rows(decls, "decl").union(rows(edges, "edge"))
+
+    def over(df: DataFrame, *keys: str) -> DataFrame:
+        # Two sums of unlike hashes of the rows' hashes: equal rows count as often as they stand there.
+        sums = [F.sum(F.pmod(F.xxhash64(F.lit(k), "h"), F.lit(1 << 40))).alias(f"s{k}") for k in (0, 1)]
+        return df.groupBy(*keys).agg(F.count("*").alias("n"), *sums).select(*keys, "n", F.xxhash64("n", "s0", "s1").alias("h"))
+
+    folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
+    paths = over(each, "repo", "path").withColumn("folder", folder)
+    own = lambda df, *keys: df.withColumn("h", F.xxhash64("h", *keys))
+    folders = over(own(paths, "path"), "repo", "folder")
+    repos = over(own(folders, "folder"), "repo")
+    root = over(own(repos, "repo"))
+    none = F.lit(None).cast("string")
+    levels = [(3, paths, ("repo", "folder", "path")), (2, folders, ("repo", "folder")), (1, repos, ("repo",)), (0, root, ())]
+    parts = [df.select(F.lit(k).alias("level"), *(F.col(c) if c in keys else none.alias(c) for c in ("repo", "folder", "path")), "n", F.col("h").alias("hash")) for k, df, keys in levels]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(repo, path, what) of two hash_tree() tables: paths that were added, removed or changed. Levels are gone down from the top: folders are compared in unlike repos alone, and paths in unlike folders alone."""
+
+    def unlike(level: int, keys: list[str], within: DataFrame | None, above: list[str]) -> DataFrame:
+        one, two = (df.where(F.col("level") == level).select(*keys, F.col("hash").alias(name)) for df, name in ((before, "was"), (after, "now")))
+        if within is not None:
+            one, two = (df.join(within, above, "left_semi") for df in (one, two))
+        return one.join(two, keys, "full").where(~F.col("was").eqNullSafe(F.col("now")))
+
+    repos = unlike(1, ["repo"], None, []).select("repo")
+    folders = unlike(2, ["repo", "folder"], repos, ["repo"]).select("repo", "folder")
+    paths = unlike(3, ["repo", "folder", "path"], folders, ["repo", "folder"])
+    return paths.select("repo", "path", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed").alias("what"))

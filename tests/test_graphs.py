@@ -116,3 +116,18 @@ def test_links_by_bands(spark):
         assert {(r.block, r.a, r.b) for r in got} == greedy(pairs, cap)
         if cap == 2:
             assert told[0] == len(v) and told[-1] < len(v) / 2
+
+
+def test_hash_tree(spark):
+    """Equal tables in any order have one tree; a change shows at its path, and in the folders and repos above alone."""
+    decls = spark.createDataFrame([(r, f"{f}/{k}.md", f"component://{k}", "component", "T") for r in "ab" for f in ("x", "x/y", "z") for k in range(3)], "repo string, path string, id string, kind string, title string")
+    edges = spark.createDataFrame([("a", "b", "t", r, "x/1.md", "f") for r in "ab"], "src string, dst string, type string, repo string, path string, field string")
+    tree = kg.hash_tree(decls, edges)
+    assert tree.where("level = 3").count() == 18 and tree.where("level < 3").count() == 6 + 2 + 1
+    assert sorted(map(repr, tree.collect())) == sorted(map(repr, kg.hash_tree(decls.orderBy(F.desc("path")).repartition(3), edges).collect()))
+    turned = decls.withColumn("title", F.when(F.expr("repo = 'a' and path = 'x/y/1.md'"), "U").otherwise(F.col("title")))
+    other = kg.hash_tree(turned, edges.unionByName(edges.where("repo = 'b'")))
+    assert {tuple(r) for r in kg.differing(tree, other).collect()} == {("a", "x/y/1.md", "changed"), ("b", "x/1.md", "changed")}
+    both = tree.join(other, ["level", "hash"], "left_anti").where("level = 2").select("repo", "folder").collect()
+    assert {tuple(r) for r in both} == {("a", "x/y"), ("b", "x")}
+    assert kg.differing(tree, tree).count() == 0 and {r.what for r in kg.differing(tree, kg.hash_tree(decls.limit(0), edges.limit(0))).collect()} == {"removed"}
