@@ -8,7 +8,8 @@ Neither model is gathered anywhere. Documents are dealt to batches by a hash of
 pairs that it has, packed by bucket, with its counts; a bucket sums these and sends each batch the sums that it asked for, in
 the order of its question. So counts are those of all documents, equal words of a batch travel once, and a frequent word
 costs a bucket one entry for each batch. Rows that are sent number the input by a constant: from some number of buckets
-or batches on, they travel in two hops (common.posted). The models' totals, five numbers, come from a sum over buckets.
+or batches on, they travel in two hops (common.posted). A bucket knows a key by 40 bits: two of a bucket's n keys meet with a
+chance of n * n / 2**41, so of buckets with a million keys every second has such a pair, and both get the sum of their counts. The models' totals, five numbers, come from a sum over buckets.
 
 Nulls: a null text has no words; documents without words have n_words 0 and null losses; rows with a null or repeated
 doc_id are counted and scored like others (a null id is no target). Labels of no document, or null ones, count for nothing;
