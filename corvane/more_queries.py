@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import extract, formats, text, vectors
 from .operators import catalog, codegraph, export, fts, graphs, incremental, kg, rank, render, retrieval, segments, semantic
 from .operators.corpus import specs_from_documents
-from .queries import CALLS, CODE, DECLS, NODES, RANKED, SPECS, SUMMARY, TOKENS, UNIT, _code, _decls, _units, built_index, query
+from .queries import CALLS, CODE, DECLS, NODES, RANKED, SPECS, SUMMARY, TOKENS, UNIT, _code, _decls, _greedy_sql, _units, built_index, query
 from .session import cut, shared_folder, table
 from .sources import files, registry
 from .sources import graphs as graph_files
@@ -420,6 +420,21 @@ def graph_repo(spark, d):
     return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(links.agg(F.count("*").cast("int").alias("n_links"))).select(F.lit("nodes").alias("mode"), "n_nodes", "n_links")  # one row each
 
 
+@query(_greedy_sql(SPECS, "SELECT repo AS block, spec_id AS id FROM specs WHERE repo = 'src1'", "SELECT x.repo AS block, x.spec_id AS a, y.spec_id AS b, len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags))) AS w FROM specs x JOIN specs y ON x.repo = 'src1' AND y.repo = 'src1' AND x.spec_id < y.spec_id WHERE list_has_any(x.tags, y.tags)"))
+def graph_repo_tags(spark, d):
+    """The links of a repo's graph without vectors."""
+    specs, none = specs_from_documents(spark, d), _units(spark, d).select(F.col("id").cast("string").alias("spec_id"), "vec").limit(0)
+    return export.repo_graph(specs, none, "src1")[1].select(F.lit("src1").alias("block"), F.col("source").alias("a"), F.col("target").alias("b"), "weight")
+
+
+@query(_greedy_sql(f"{SPECS}, {UNIT}, m AS (SELECT repo, spec_id, vec FROM specs JOIN v ON vec_id = doc_id WHERE repo = 'src1')", "SELECT repo AS block, spec_id AS id FROM m", "SELECT x.repo AS block, x.spec_id AS a, y.spec_id AS b, list_dot_product(x.vec, y.vec) AS w FROM m x JOIN m y ON x.spec_id < y.spec_id WHERE list_dot_product(x.vec, y.vec) >= 0.3"))
+def graph_repo_vectors(spark, d):
+    """The links of a repo's graph by its specs' vectors, which it has, so they go before tags."""
+    specs = specs_from_documents(spark, d)
+    vectors_of = specs.join(_units(spark, d).withColumnRenamed("id", "doc_id"), "doc_id").select("spec_id", "vec")
+    return export.repo_graph(specs, vectors_of, "src1", "auto")[1].select(F.lit("src1").alias("block"), F.col("source").alias("a"), F.col("target").alias("b"), "weight")
+
+
 # Code
 
 @query(f"""WITH {SPECS}, {TOKENS}, {UNIT}, q AS (SELECT 'the' AS word, 0 AS k), {RANKED}, h AS (SELECT spec_id, repo, doc_id, row_number() OVER (PARTITION BY repo ORDER BY rank, spec_id) - 1 AS i FROM ranks JOIN specs USING (spec_id) WHERE repo IN ('src1', 'src2') QUALIFY i < 200),

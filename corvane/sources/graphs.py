@@ -8,6 +8,8 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sqlite
+
 SCHEMA = "nodes array<struct<id: string, label: string, norm_label: string, community: string, file_type: string>>, links array<struct<source: string, target: string>>"
 
 
@@ -53,13 +55,9 @@ class GraphCache:
             df.unpersist()
 
 
-def _open(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
-
-
 def is_code_graph(path: str) -> bool:
     try:
-        with _open(path) as db:
+        with sqlite.opened(path) as db:
             names = {r[0] for r in db.execute("select name from sqlite_master where type = 'table'")}
     except sqlite3.Error:
         return False
@@ -80,11 +78,8 @@ EDGES = "kind string, source_qualified string, target_qualified string"
 
 
 def code_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a code graph file, which the driver reads; such files are those of one repository's code."""
-    with _open(path) as db:
-        nodes = [(*r[:-1], bool(r[-1])) for r in db.execute("select kind, name, qualified_name, file_path, line_start, line_end, language, is_test from nodes")]
-        edges = db.execute("select kind, source_qualified, target_qualified from edges").fetchall()
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    """(nodes, edges) of a code graph file on the driver, read by ranges of rows in all tasks; comparisons go to SQLite."""
+    return sqlite.table(spark, path, "nodes", NODES).withColumn("is_test", F.coalesce("is_test", F.lit(False))), sqlite.table(spark, path, "edges", EDGES)
 
 
 def kind_of_file(path: str, override: str | None = None) -> str:
