@@ -60,11 +60,21 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, seed: str, hops: int = HOPS, cap: int = BLAST) -> tuple[DataFrame, bool]:
-    """(blast(), whether there was more than the cap holds)."""
-    start = edges.sparkSession.createDataFrame([(seed,)], "qualified_name string")
-    found = cut(reach(edges, start, hops).where("hop > 0").orderBy("hop", "qualified_name").limit(cap + 1))
-    nearest = found.orderBy("hop", "qualified_name").limit(cap)
-    return nearest.join(nodes, "qualified_name").orderBy("hop", "qualified_name"), found.count() > cap
+    """(blast(), whether there was more than the cap holds). A hop goes on from cap names at most, and none is made once there are more."""
+    links = edges.select(F.col("source_qualified").alias("from"), F.col("target_qualified").alias("to"))
+    both = links.union(links.select("to", "from").toDF("from", "to"))
+    front = edges.sparkSession.createDataFrame([(seed, 0)], "qualified_name string, hop int")
+    seen, n = front, 0
+    for hop in range(1, hops + 1):
+        onward = both.join(F.broadcast(front.select(F.col("qualified_name").alias("from"))), "from").select(F.col("to").alias("qualified_name")).distinct()
+        # What is kept is by hop and name, so of this hop's names the first that there is room for are enough; one more tells of more.
+        front = cut(onward.join(F.broadcast(seen.select("qualified_name")), "qualified_name", "left_anti").orderBy("qualified_name").limit(cap + 1 - n).withColumn("hop", F.lit(hop)))
+        seen, more = seen.union(front), front.count()
+        n += more
+        if not more or n > cap:
+            break
+    nearest = seen.where("hop > 0").orderBy("hop", "qualified_name").limit(cap)
+    return nearest.join(nodes, "qualified_name").orderBy("hop", "qualified_name"), n > cap
 
 
 def blast(nodes: DataFrame, edges: DataFrame, seed: str, hops: int = HOPS, cap: int = BLAST) -> DataFrame:

@@ -18,6 +18,16 @@ def rrf(hits: DataFrame, cosine: DataFrame, k: int = 50) -> DataFrame:
     return placed.join(near, "spec_id", "left").select("spec_id", score.alias("score"), "i").orderBy(F.desc("score"), "i").limit(k).select("spec_id", "score")
 
 
+def rrf_by_repo(hits: DataFrame, cosine: DataFrame, k: int = 50) -> DataFrame:
+    """(spec_id, repo, score): rrf() of each repo's hits (spec_id, repo, rank) by itself, the k of each, in one plan."""
+    order = lambda *c: Window.partitionBy("repo").orderBy(*c)
+    placed = hits.select("spec_id", "repo", "rank").withColumn("i", F.row_number().over(order("rank", "spec_id")) - 1).where(F.col("i") < CANDIDATES)
+    near = placed.join(cosine, "spec_id").withColumn("j", F.row_number().over(order(F.desc("cosine"), "i")) - 1).select("spec_id", "j")
+    score = 1.0 / (RRF + F.col("i")) + F.coalesce(1.0 / (RRF + F.col("j")), F.lit(0.0))
+    fused = placed.join(near, "spec_id", "left").withColumn("score", score)
+    return fused.withColumn("place", F.row_number().over(order(F.desc("score"), "i"))).where(F.col("place") <= k).select("spec_id", "repo", "score")
+
+
 def boost(degree: Column) -> Column:
     return F.least(F.lit(1.5), 1 + F.log1p(degree.cast("double")) / 8)
 

@@ -84,14 +84,13 @@ def context(sources: Sources, query: str, scope: list[str], hops: int = codegrap
 
 def semantic(sources: Sources, cosine: DataFrame, query: str, repos: list[str] | None = None, k: int = 50) -> DataFrame:
     """(spec_id, repo, score) of a search whose hits are fused with the cosines (spec_id, cosine) of those that have a vector, best first: of all specs, or the k of each repo merged."""
-    out = None
-    for repo in repos if repos is not None else [None]:
-        hits = fts.search_specs(sources.index, sources.specs, query, None if repo is None else [repo], limit=rank.CANDIDATES)
-        one = rank.rrf(hits.select("spec_id", "rank"), cosine, k)
-        out = one if out is None else out.union(one)
-    if out is None:
-        return sources.specs.select("spec_id", "repo", F.lit(0.0).alias("score")).limit(0)
-    return out.join(sources.specs.select("spec_id", "repo"), "spec_id").select("spec_id", "repo", "score").orderBy(F.desc("score"), "repo", "spec_id")
+    if repos is None:
+        hits = fts.search_specs(sources.index, sources.specs, query, limit=rank.CANDIDATES)
+        fused = rank.rrf(hits.select("spec_id", "rank"), cosine, k).join(sources.specs.select("spec_id", "repo"), "spec_id")
+    else:
+        own = sources.specs.where(F.col("repo").isin(repos) if repos else F.lit(False)).select("spec_id", "repo")
+        fused = rank.rrf_by_repo(fts.search(sources.index, query).join(own, "spec_id"), cosine, k)
+    return fused.select("spec_id", "repo", "score").orderBy(F.desc("score"), "repo", "spec_id")
 
 
 def by_repo(sources: Sources, query: str, repos: list[str], each: int = rank.CANDIDATES) -> DataFrame:
