@@ -79,9 +79,9 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 SHINGLES = r"""SELECT {id}, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
  FROM (SELECT {id}, regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM {table} WHERE {id} IS NOT NULL)"""
 
-# All runs of one to five words of documents; an item of fewer than five words is found as a run of as many.
-RUNS = r"""SELECT doc_id, unnest(list_distinct(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))))) AS s
- FROM (SELECT doc_id, regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL)"""
+# Runs of documents' words, of as many words as some item has, five at most; an item of fewer than five words is found as a run of as many.
+RUNS = r"""SELECT doc_id, unnest(list_distinct(flatten(list_transform(ks, lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))))) AS s
+ FROM (SELECT doc_id, regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL), (SELECT coalesce(list(DISTINCT least(5, len(regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+')))), [5]) AS ks FROM benchmark WHERE len(regexp_extract_all({lower}, '[0-9a-z\x{{80}}-\x{{10ffff}}]+')) > 0)"""
 
 
 def _shingles(table_name: str, own: str) -> str:

@@ -2,7 +2,8 @@
 
 The pre-tokenizers of these vocabularies cut a text into pieces whose ids don't depend on each other. Texts of Latin-1
 characters are cut here for many texts at once with numpy, by the classes of characters; a piece is encoded by the library's
-model when it is first met and known by a 64-bit hash afterwards. Other texts, and those that hold the string of an added
+model when it is first met and known by a 64-bit hash afterwards (of a million remembered pieces two meet with a chance of 3e-8, and the later
+one would get the ids of the first). Other texts, and those that hold the string of an added
 token such as <|endoftext|>, go to the library whole."""
 
 from __future__ import annotations
