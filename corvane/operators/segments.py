@@ -160,6 +160,15 @@ class Segments:
                 out[r["term"]] -= r["count"]
         return out
 
+    def dictionary(self) -> DataFrame:
+        """(term, n_places, n_specs) of each term, from the postings' heads and how many places they list; what is gone is taken off."""
+        all_ = self._table("postings").select("term", F.size("places").cast("long").alias("p"), F.col("n_docs").cast("long").alias("n"))
+        if (gone := self.gone()) is not None:
+            words = F.flatten("tokens")
+            lost = self._table("docs").join(gone.select("segment", "block", "slot"), ["segment", "block", "slot"], "left_semi").select("segment", "block", "slot", F.explode(_stems(words) if self.porter else words).alias("term"))
+            all_ = all_.union(lost.groupBy("segment", "block", "slot", "term").agg((-F.count("*")).alias("p")).select("term", "p", F.lit(-1).cast("long")))
+        return all_.groupBy("term").agg(F.sum("p").alias("n_places"), F.sum("n").alias("n_specs")).where("n_specs > 0")
+
     def places(self, wanted: set[tuple[str, bool]], blocks: DataFrame | None = None, few: bool = True) -> DataFrame:
         """(spec_id, n_tokens, places array<struct<term, at>>): where the wanted terms stand, in all blocks or in those given (segment, block), of which few are broadcast."""
         rows, held = self._of(wanted).select("segment", "block", "term", "places"), self._table("blocks")
@@ -260,7 +269,7 @@ class Segments:
                     system.delete(x.getPath(), True)
 
 
-def _stems(column: str) -> Column:
+def _stems(column: Column | str) -> Column:
     @F.pandas_udf("array<string>")
     def stems(terms: pd.Series) -> pd.Series:
         return terms.map(lambda own: [stem(t) for t in own])

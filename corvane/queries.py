@@ -186,7 +186,7 @@ _fts("fts_stemmed", "threads OR being", None, porter=True)
 
 @query(f"WITH {SPECS}, {TOKENS} SELECT term, count(*) AS n_places, count(DISTINCT spec_id) AS n_specs FROM toks GROUP BY ALL")
 def fts_dictionary(spark, d):
-    return built_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("n_places"), F.count_distinct("spec_id").alias("n_specs"))
+    return built_index(spark, d).dictionary()
 
 
 RANKED = """tf AS (SELECT k, spec_id, count(*) AS tf FROM q JOIN toks ON term = word GROUP BY ALL), df AS (SELECT k, count(*) AS df FROM tf GROUP BY ALL),

@@ -108,6 +108,8 @@ def test_upkeep(spark, tmp_path, porter):
         assert idx.totals()[0] == len(now)
         if step in (1, 4):
             other = fts.index(spark.createDataFrame(list(now.values()), SPECS), columns, porter)
+            anew = other.postings.groupBy("term").agg(F.count("*").alias("n_places"), F.count_distinct("spec_id").alias("n_specs"))
+            assert sorted(map(tuple, idx.dictionary().collect())) == sorted(map(tuple, anew.collect()))
             for query in ("changed OR running", 'hot NOT "mills 2"'):
                 both_ways(idx, other, query, 10)
     assert seen[:2] == [9, 9] and (porter or len(idx.live) < 6)
@@ -142,7 +144,7 @@ def test_plan_reads_terms_alone(spark, pair):
     """A search's postings are filtered by term in the scan, and bounds do not read places."""
     idx, _ = pair[False]
     plan = fts.search(idx, "the NOT of")._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(term, [of,the])]" in plan
+    assert "In(term, [of,the])" in plan[plan.index("PushedFilters") :], plan[plan.index("PushedFilters") :][:300]
     assert "places" not in idx.bounds([("the", False)])._jdf.queryExecution().executedPlan().toString()
 
 
