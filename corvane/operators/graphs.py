@@ -36,6 +36,11 @@ def _angle(cosine: Column) -> Column:
 OFF = 1e-6
 
 
+def largest(rows: DataFrame) -> int:
+    """How many rows the largest block has."""
+    return rows.groupBy("block").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 def candidates(vectors: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
     """(block, id, vec, other, near): pairs of one block, each once, that can have a cosine of least or more.
 
@@ -44,6 +49,8 @@ def candidates(vectors: DataFrame, least: float = LEAST, tile: int = TILE) -> Da
     whose pivot is within the threshold's angle and the cell's radius. Of a visitor and a vector at home only those meet whose
     angles to the pivot differ by the threshold at most. Cells' rows meet in tiles, so a large cell is many tasks' work."""
     own = vectors.select("block", "id", "vec")
+    if largest(own) <= tile:  # blocks of one tile each have one cell, and all of its pairs meet
+        return own.join(own.select("block", F.col("id").alias("other"), F.col("vec").alias("near")), "block").where("id < other")
     sizes = own.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("long").alias("n_pivots"))
     order = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("id"), "id"))
     pivots = own.withColumn("cell", order).join(sizes, "block").where("cell <= n_pivots").select("block", "cell", F.col("vec").alias("pivot"))
@@ -125,11 +132,14 @@ def links(pairs: DataFrame, cap: int = CAP) -> DataFrame:
 BANDS = (0.9, 0.7, 0.5)
 
 
-def near_links(vectors: DataFrame, least: float = LEAST, cap: int = CAP, bands: tuple[float, ...] = BANDS, tile: int = TILE, told: list | None = None) -> DataFrame:
+def near_links(vectors: DataFrame, least: float = LEAST, cap: int = CAP, bands: tuple[float, ...] | None = None, tile: int = TILE, told: list | None = None) -> DataFrame:
     """links() of pairs_of_vectors(), without making all pairs: those of one band of cosines are made and judged before those of the next, and vectors that have cap links by then take no part in it. Heavier pairs come first in any case, so the links are the same.
 
-    told gets, for each band, how many vectors still took part."""
+    Blocks of a few tiles have so few pairs that one band is quicker than several. told gets, for each band, how many vectors still took
+    part."""
     taken = before = None
+    if bands is None:
+        bands = BANDS if largest(vectors) > 4 * tile else ()
     lows = [*sorted((b for b in bands if b > least), reverse=True), least]
     for low, high in zip(lows, [None, *lows], strict=False):
         open_ = vectors if before is None else vectors.join(before.where(F.col("used") >= cap).select("block", F.col("end").alias("id")), ["block", "id"], "left_anti")
