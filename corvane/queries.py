@@ -300,7 +300,7 @@ def graph_tag_pairs(spark, d):
 @query(_greedy_sql(SPECS, "SELECT repo AS block, spec_id AS id FROM specs", "SELECT x.repo AS block, x.spec_id AS a, y.spec_id AS b, len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags))) AS w FROM specs x JOIN specs y ON x.repo = y.repo AND x.spec_id < y.spec_id WHERE list_has_any(x.tags, y.tags)"))
 def graph_tag_links(spark, d):
     specs = specs_from_documents(spark, d).select(F.col("repo").alias("block"), F.col("spec_id").alias("id"), "tags")
-    return graphs.links(graphs.pairs_of_tags(specs))
+    return graphs.links_of_tags(specs)
 
 
 # Graphs as they are given out

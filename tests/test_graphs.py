@@ -24,6 +24,40 @@ def test_capped_is_greedy(spark):
     assert graphs.capped(df.where("a < 0")).count() == 0
 
 
+def test_capped_before(spark):
+    """Rounds and one-by-one give the same, with ends that have some links already."""
+    r = random.Random(4)
+    pairs = [("g", a, b, r.choice([0.4, 0.6, 0.6])) for a in range(15) for b in range(a + 1, 15)]
+    used = {k: r.choice([0, 1, 2, 3]) for k in range(0, 15, 2)}
+    df, before = spark.createDataFrame(pairs, "block string, a long, b long, weight double"), spark.createDataFrame([("g", k, n) for k, n in used.items()], "block string, end long, used long")
+    have, want = dict(used), set()
+    for block, a, b, w in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if have.get(a, 0) < 3 and have.get(b, 0) < 3:
+            want.add((a, b))
+            have[a], have[b] = have.get(a, 0) + 1, have.get(b, 0) + 1
+    for few in (0, 20, graphs.FEW):
+        assert {(x.a, x.b) for x in graphs.capped(df, 3, before=before, few=few).collect()} == want
+        assert {(x.block, x.a, x.b) for x in graphs.capped(df, 2, few=few).collect()} == greedy(pairs, 2)
+
+
+def test_links_of_tags(spark):
+    """Links by bunches of equal sets are those of one-by-one greedy, for odd and empty sets of tags too."""
+    r = random.Random(2)
+    rows = [(f"g{k % 2}", f"n{r.random()}", r.choice([["x"], ["x", "Y "], ["y"], ["y", "x", "x"], ["z", "x", "y"], [""], [], None, ["z", "w"]])) for k in range(150)]
+    df = spark.createDataFrame(rows, "block string, id string, tags array<string>")
+    pairs = [tuple(x) for x in graphs.pairs_of_tags(df).collect()]
+    for cap in (0, 1, 3, 8):
+        got = graphs.links_of_tags(df, cap).collect()
+        assert len(got) == len({(x.block, x.a, x.b) for x in got}) and {(x.block, x.a, x.b) for x in got} == greedy(pairs, cap)
+
+
+def test_links_of_many_equal_sets(spark):
+    """A clique of thousands has links in proportion to its nodes, and no rounds."""
+    df = spark.range(20000).select(F.lit("g").alias("block"), F.format_string("n%05d", "id").alias("id"), F.array(F.lit("t")).alias("tags"))
+    got = graphs.links_of_tags(df)
+    assert got.count() == 2222 * 36 + 1 and got.agg(F.min("weight")).first()[0] == 1.0
+
+
 def test_entities(spark):
     decls = spark.createDataFrame([("beta", "a.md", "req://r1", "req", "B"), ("alpha", "z.md", "req://r1", "req", "A"), ("a", "x.md", "component://c", "component", "C")], "repo string, path string, id string, kind string, title string")
     edges = spark.createDataFrame([("component://c", "capability://search/rank", "depends_on", "a", "x.md", "dependsOn"), ("component://c", "free", "depends_on", "a", "x.md", "dependsOn")], "src string, dst string, type string, repo string, path string, field string")
