@@ -37,7 +37,7 @@ def repo_graph(specs: DataFrame, vectors: DataFrame, repo: str, mode: str = "aut
         mode = "tags" if near.isEmpty() else "vector"
     if mode == "nodes":
         return nodes, nodes.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("weight")).limit(0)
-    tied = graphs.near_links(near) if mode == "vector" else graphs.links(graphs.pairs_of_tags(own.select(F.col("repo").alias("block"), F.col("spec_id").alias("id"), "tags")))
+    tied = graphs.near_links(near) if mode == "vector" else graphs.links_of_tags(own.select(F.col("repo").alias("block"), F.col("spec_id").alias("id"), "tags"))
     links = tied.select(F.col("a").alias("source"), F.col("b").alias("target"), "weight")
     if typed:
         links = links.unionByName(typed[0], allowMissingColumns=True)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import export, graphs
 from corvane.sources import registry
@@ -82,3 +83,11 @@ def test_external_graphs(tmp_path):
     registry.remove_graph(again, "z")
     with pytest.raises(KeyError):
         registry.remove_graph(again, "z")
+
+
+def test_repo_of_one_tag(spark):
+    """A repo whose specs all have one tag has links in proportion to its specs."""
+    columns = {"spec_id": F.format_string("r:%05d", "id"), "repo": F.lit("r"), "tags": F.array(F.lit("t"))}
+    specs = spark.range(9000).select(*[c.alias(n) for n, c in columns.items()], *[F.lit("x").alias(n) for n in ("project", "path", "name", "title", "summary", "ext")])
+    none = specs.select("spec_id", F.array(F.lit(1.0)).alias("vec")).limit(0)
+    assert export.repo_graph(specs, none, "r")[1].count() == 9000 // 9 * 36
