@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +37,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    length = F.sqrt(dot(v, v))
-    return F.when(length == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / length))
+    # The length is an array's one element, so it is computed once and not for each of v's.
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n)))[0]
 
 
 def is_zero(v: Column) -> Column:
@@ -76,3 +80,46 @@ def decode(raw: bytes) -> list[float]:
     import struct
 
     return list(struct.unpack(f"<{len(raw) // 4}f", raw[: len(raw) // 4 * 4]))
+
+
+#: Products of vectors that are looked at at once.
+PRODUCTS = 1 << 20
+
+
+class Stack:
+    """A task's vectors, an Arrow column of lists without null elements, as a matrix for each length."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.parts = {int(n): (at := np.flatnonzero(self.sizes == n), flat[starts[at][:, None] + np.arange(n)]) for n in np.unique(self.sizes) if n}
+
+
+def close(one: Stack, two: Stack, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, dot): pairs of one's and two's vectors whose dot() is least[i] or more; NaN counts as more than any number, as in Spark.
+
+    Products of matrices of 32-bit floats, which are off by less than is allowed for vectors of length 1, leave few pairs. Those are summed in dot()'s order, so equal vectors have equal dots wherever they stand."""
+    for n in one.parts.keys() & two.parts.keys():
+        (left, a), (right, b) = one.parts[n], two.parts[n]
+        low, a32, b32 = (least[left] - (n + 8) * 2.0**-22)[:, None].astype("f4"), a.astype("f4"), b.astype("f4").T
+        a, b, step = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), max(1, PRODUCTS // len(right))
+        for k in range(0, len(left), step):
+            with np.errstate(all="ignore"):
+                i, j = np.nonzero(~(a32[k : k + step] @ b32 < low[k : k + step]))
+                i += k
+                exact = a[0][i] * b[0][j]
+                for x, y in zip(a[1:], b[1:], strict=True):
+                    exact += x[i] * y[j]
+                keep = ~(exact < least[left[i]])
+            yield left[i[keep]], right[j[keep]], exact[keep]
+    if set(one.sizes) | set(two.sizes) != set(one.parts) or len(one.parts) > 1:  # unlike lengths have dot 0
+        for i in np.flatnonzero(least <= 0):
+            j = np.flatnonzero((two.sizes != one.sizes[i]) | (one.sizes[i] == 0))
+            yield np.full(len(j), i), j, np.zeros(len(j))
+
+
+def complete(v: Column) -> Column:
+    """Whether no element is null; a vector with one has no dot with others."""
+    return ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(False))

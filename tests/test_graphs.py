@@ -152,6 +152,22 @@ def test_links_by_bands(spark):
             assert told[0] == len(v) and told[-1] < len(v) / 2
 
 
+def test_pairs_in_matrices(spark):
+    """A cell larger than a tile, copies, vectors of other lengths, with null and without elements: pairs of brute force, and no row for each pair that meets."""
+    v = clustered(8, 30, 6, 0.2, 7)
+    v[40:110] = v[40]
+    rows = [("g" if k % 3 else "h", f"n{k:03d}", x.tolist()) for k, x in enumerate(v)]
+    rows += [("g", "odd1", [1.0, 0.0]), ("g", "odd2", [0.6, 0.8]), ("g", "none", []), ("g", "null", None), ("g", "part", [None] * 6)]
+    df = spark.createDataFrame(rows, "block string, id string, vec array<double>")
+    cos = v @ v.T
+    want = {(rows[a][0], rows[a][1], rows[b][1]) for a in range(len(v)) for b in range(a + 1, len(v)) if rows[a][0] == rows[b][0] and cos[a, b] >= 0.7}
+    for tile in (20, None):
+        got = graphs.pairs_of_vectors(df, 0.55, tile)
+        assert "FlatMapGroups" in got._jdf.queryExecution().toString()
+        found = [(r.block, r.a, r.b) for r in got.where("weight >= 0.7 or a like 'odd%'").collect()]
+        assert len(found) == len(want) + 1 and set(found) == want | {("g", "odd1", "odd2")}
+
+
 def test_hash_tree(spark):
     """Equal tables in any order have one tree; a change shows at its path, and in the folders and repos above alone."""
     decls = spark.createDataFrame([(r, f"{f}/{k}.md", f"component://{k}", "component", "T") for r in "ab" for f in ("x", "x/y", "z") for k in range(3)], "repo string, path string, id string, kind string, title string")
