@@ -168,6 +168,21 @@ def test_pairs_in_matrices(spark):
         assert len(found) == len(want) + 1 and set(found) == want | {("g", "odd1", "odd2")}
 
 
+def test_nearest(spark):
+    """Nearest vectors of brute force, ties by id, the query itself left out; no row for each query and vector."""
+    v = clustered(10, 30, 6, 0.5, 9)
+    v[100:120] = v[100]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(998, [1.0]), (999, None)], "id long, vec array<double>").repartition(3)
+    q = df.where("id % 10 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
+    found = graphs.nearest(q, df, 5)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    dots = [[sum(x * y for x, y in zip(a, b)) for b in v] for a in v[::10]]
+    want = {(10 * n, k, i + 1) for n, d in enumerate(dots) for i, k in enumerate(sorted((k for k in range(len(v)) if k != 10 * n), key=lambda k: (-d[k], k))[:5])}
+    assert {(r.query, r.id, r.place) for r in found.collect()} == want
+    few = graphs.nearest(q, df, 500, 0.9).collect()
+    assert len(few) == sum(x >= 0.9 for n, d in enumerate(dots) for k, x in enumerate(d) if k != 10 * n)
+
+
 def test_hash_tree(spark):
     """Equal tables in any order have one tree; a change shows at its path, and in the folders and repos above alone."""
     decls = spark.createDataFrame([(r, f"{f}/{k}.md", f"component://{k}", "component", "T") for r in "ab" for f in ("x", "x/y", "z") for k in range(3)], "repo string, path string, id string, kind string, title string")
