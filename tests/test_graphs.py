@@ -193,6 +193,12 @@ def test_nodes_by_tag(spark, monkeypatch):
     assert graph_by_tag_nodes(spark, SMALL).count() > 0
 
 
+def test_chain(spark):
+    """A chain in which each pair waits for the one before it takes no round for each."""
+    df = spark.range(3000).select(F.lit("g").alias("block"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (1 - F.col("id") / 5000).alias("weight"))
+    assert [r.a for r in graphs.capped(df, 1).orderBy("a").collect()] == list(range(0, 3000, 2))
+
+
 def test_hash_tree(spark):
     """Equal tables in any order have one tree; a change shows at its path, and in the folders and repos above alone."""
     decls = spark.createDataFrame([(r, f"{f}/{k}.md", f"component://{k}", "component", "T") for r in "ab" for f in ("x", "x/y", "z") for k in range(3)], "repo string, path string, id string, kind string, title string")
