@@ -205,6 +205,15 @@ def test_nodes_by_tag(spark, monkeypatch):
     assert graph_by_tag_nodes(spark, SMALL).count() > 0
 
 
+def test_copies_by_tag(spark, monkeypatch):
+    """Links of 100 copies of one vector are cliques of nine, and no rounds for each."""
+    cuts, real = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: cuts.append(1) or real(df))
+    specs = spark.range(100).select(F.col("id").alias("spec_id"), *[F.lit("x").alias(c) for c in ("title", "name", "repo", "project")], F.array(F.lit("t")).alias("tags"))
+    links = graphs.by_tag(specs, specs.select("spec_id", F.array(F.lit(0.6), F.lit(0.8)).alias("vec")), "T")[1]
+    assert links.count() == 11 * 36 and len(cuts) < 6
+
+
 def test_chain(spark):
     """A chain in which each pair waits for the one before it takes no round for each."""
     df = spark.range(3000).select(F.lit("g").alias("block"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (1 - F.col("id") / 5000).alias("weight"))
