@@ -94,7 +94,25 @@ class Stack:
         self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         starts = np.cumsum(self.sizes) - self.sizes
-        self.parts = {int(n): (at := np.flatnonzero(self.sizes == n), flat[starts[at][:, None] + np.arange(n)]) for n in np.unique(self.sizes) if n}
+        lengths = np.unique(self.sizes)
+        if len(lengths) == 1 and lengths[0]:
+            self.parts = {int(lengths[0]): (np.arange(len(self.sizes)), flat.reshape(-1, lengths[0]))}
+        else:
+            self.parts = {int(n): (at := np.flatnonzero(self.sizes == n), flat[starts[at][:, None] + np.arange(n)]) for n in lengths if n}
+        self._halves: dict[int, np.ndarray] = {}
+        self._columns: dict[int, np.ndarray] = {}
+
+    def halves(self, n: int) -> np.ndarray:
+        """The matrix of length n in 32-bit floats; made once, as one stack may meet many."""
+        if n not in self._halves:
+            self._halves[n] = self.parts[n][1].astype("f4")
+        return self._halves[n]
+
+    def columns(self, n: int) -> np.ndarray:
+        """Its transpose, each row together in memory; made once."""
+        if n not in self._columns:
+            self._columns[n] = np.ascontiguousarray(self.parts[n][1].T)
+        return self._columns[n]
 
 
 def close(one: Stack, two: Stack, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,12 +120,14 @@ def close(one: Stack, two: Stack, least: np.ndarray) -> Iterator[tuple[np.ndarra
 
     Products of matrices of 32-bit floats, which are off by less than is allowed for vectors of length 1, leave few pairs. Those are summed in dot()'s order, so equal vectors have equal dots wherever they stand."""
     for n in one.parts.keys() & two.parts.keys():
-        (left, a), (right, b) = one.parts[n], two.parts[n]
-        low, a32, b32 = (least[left] - (n + 8) * 2.0**-22)[:, None].astype("f4"), a.astype("f4"), b.astype("f4").T
-        a, b, step = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), max(1, PRODUCTS // len(right))
+        left, right = one.parts[n][0], two.parts[n][0]
+        low, a32, b32 = (least[left] - (n + 8) * 2.0**-22)[:, None].astype("f4"), one.halves(n), two.halves(n).T
+        a, b, step = one.columns(n), two.columns(n), max(1, PRODUCTS // len(right))
         for k in range(0, len(left), step):
             with np.errstate(all="ignore"):
-                i, j = np.nonzero(~(a32[k : k + step] @ b32 < low[k : k + step]))
+                under = a32[k : k + step] @ b32 < low[k : k + step]
+                # One flat search: that of two dimensions takes longer than the product.
+                i, j = np.divmod(np.flatnonzero(np.logical_not(under, out=under)), len(right))
                 i += k
                 exact = a[0][i] * b[0][j]
                 for x, y in zip(a[1:], b[1:], strict=True):
@@ -123,3 +143,8 @@ def close(one: Stack, two: Stack, least: np.ndarray) -> Iterator[tuple[np.ndarra
 def complete(v: Column) -> Column:
     """Whether no element is null; a vector with one has no dot with others."""
     return ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(False))
+
+
+def incomplete(column: pa.Array) -> np.ndarray:
+    """The places of an Arrow column's lists that are not complete()."""
+    return np.unique(pc.list_parent_indices(column).to_numpy(zero_copy_only=False)[column.flatten().is_null().to_numpy(zero_copy_only=False)])

@@ -223,7 +223,8 @@ UNIT = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x
 
 
 def _units(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", vectors.unit(F.col("embedding")).alias("vec"))
+    """Vectors of length 1. They are dealt out as they are stored, as one large file would be one task."""
+    return table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id").select(F.col("vec_id").alias("id"), "label", vectors.unit(F.col("embedding")).alias("vec"))
 
 
 @query(f"WITH {UNIT} SELECT x.label AS block, x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.vec, y.vec), 6) AS weight FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_dot_product(x.vec, y.vec) >= 0.3")

@@ -195,6 +195,30 @@ def test_nearest(spark):
     assert len(few) == sum(x >= 0.9 for n, d in enumerate(dots) for k, x in enumerate(d) if k != 10 * n)
 
 
+def test_nearest_in_one_pass(spark):
+    """Thousands of queries read the vectors once; vectors with a null element are no one's nearest."""
+    import numpy as np
+
+    v = np.random.default_rng(2).normal(size=(5000, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(k, [None, *v[0].tolist()[1:]]) for k in (6000, 6001)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    found = graphs.nearest(df.select(F.col("id").alias("query"), F.col("vec").alias("qvec")), df, 1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    cos = v @ v.T - 3 * np.eye(len(v))
+    assert {r.query: r.id for r in found.collect()} == dict(enumerate(cos.argmax(axis=1).tolist()))
+
+
+def test_vectors_are_dealt_out(spark):
+    """One file of vectors is many tasks."""
+    from corvane.queries import vectors_nearest
+
+    from .conftest import SMALL
+
+    plan = vectors_nearest(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(vec_id" in plan[plan.index("MapInArrow") :]
+
+
 def test_nodes_by_tag(spark, monkeypatch):
     """Nodes alone make no links."""
     monkeypatch.setattr(graphs, "near_links", None)
