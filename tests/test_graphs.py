@@ -164,6 +164,37 @@ def test_links_by_bands(spark):
             assert told[0] == len(v) and told[-1] < len(v) / 2
 
 
+def test_links_by_sampled_bands(spark, monkeypatch):
+    """Bands found by a sample give the links of one-by-one greedy, whatever it says; most vectors take no part in the last."""
+    monkeypatch.setattr(graphs, "SAMPLE", 16)
+    monkeypatch.setattr(graphs, "TILE", 16)
+    monkeypatch.setattr(graphs, "FEW", 64)
+    v = clustered(4, 60, 8, 1.0, 11)
+    v[100:120] = v[100]
+    rows = [("g" if k % 3 else "h", k, x.tolist()) for k, x in enumerate(v)] + [("g", 900, [None, *v[5].tolist()[1:]]), ("g", 901, None), ("g", 902, []), (None, 903, v[0].tolist())]
+    df = spark.createDataFrame(rows, "block string, id long, vec array<double>")
+    pairs = [tuple(r) for r in graphs.pairs_of_vectors(df, 0.1).collect()]
+    for cap in (2, 8):
+        told = []
+        got = graphs.near_links(df, 0.1, cap, told=told).collect()
+        assert {(r.block, r.a, r.b) for r in got} == greedy(pairs, cap)
+        assert 1 < len(told) < 1 + len(graphs.BANDS) and told == sorted(told, reverse=True) and told[-1] < len(v) / 2
+
+
+def test_plain_tiles(spark, monkeypatch):
+    """A block of several tiles, below the size where pivots pay, has no pivots to be found: nothing is cut, and pairs are those of brute force."""
+    import numpy as np
+
+    v = clustered(30, 170, 6, 0.2, 13)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>").select((F.col("id") % 41 == 0).cast("int").alias("block"), "id", "vec")
+    assert len(v) - 125 > 4 * graphs.TILE
+    monkeypatch.setattr(graphs, "cut", None)
+    got = graphs.pairs_of_vectors(df, 0.95)
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.95 - 1e-12, 1))
+    same = (i % 41 == 0) == (j % 41 == 0)
+    assert {(r.a, r.b) for r in got.collect()} == set(zip(i[same].tolist(), j[same].tolist(), strict=True)) and got.count() == same.sum()
+
+
 def test_pairs_in_matrices(spark):
     """A cell larger than a tile, copies, vectors of other lengths, with null and without elements: pairs of brute force, and no row for each pair that meets."""
     v = clustered(8, 30, 6, 0.2, 7)
