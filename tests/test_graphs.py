@@ -269,6 +269,19 @@ def test_copies_by_tag(spark, monkeypatch):
     assert links.count() == 11 * 36 and len(cuts) < 6
 
 
+def test_many_nodes_by_tag(spark, monkeypatch):
+    """Nodes of several tiles are linked as one-by-one greedy does, in one band if their pairs are few, and with a handful of cuts."""
+    monkeypatch.setattr(graphs, "TILE", 64)
+    cuts, real = [], graphs.cut
+    v = clustered(5, 120, 12, 1.5, 17)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "spec_id long, vec array<double>")
+    specs = df.select("spec_id", *[F.lit("x").alias(c) for c in ("title", "name", "repo", "project")], F.array(F.lit("t")).alias("tags"))
+    pairs = [tuple(r) for r in graphs.pairs_of_vectors(df.select(F.lit("").alias("block"), F.col("spec_id").alias("id"), "vec")).collect()]
+    monkeypatch.setattr(graphs, "cut", lambda df: cuts.append(1) or real(df))
+    links = graphs.by_tag(specs, df, "T")[1]
+    assert {(r.block, r.a, r.b) for r in links.collect()} == greedy(pairs, graphs.CAP) and len(cuts) < 8
+
+
 def test_chain(spark):
     """A chain in which each pair waits for the one before it takes no round for each."""
     df = spark.range(3000).select(F.lit("g").alias("block"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (1 - F.col("id") / 5000).alias("weight"))
