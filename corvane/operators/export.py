@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import graphs
 from ..functions.formats import KINDS, kind_of_path, rank_relevance
+from ..session import cut
 
 MODES = ("vector", "tags", "nodes", "auto")
 #: The node that a star of results is about.
@@ -34,6 +35,7 @@ def repo_graph(specs: DataFrame, vectors: DataFrame, repo: str, mode: str = "aut
     nodes = spec_nodes(own, content)
     near = vectors.join(own.select("spec_id"), "spec_id", "left_semi").select(F.lit(repo).alias("block"), F.col("spec_id").alias("id"), "vec")
     if mode == "auto":
+        near = cut(near)  # it is asked about first, and used then
         mode = "tags" if near.isEmpty() else "vector"
     if mode == "nodes":
         return nodes, nodes.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("weight")).limit(0)

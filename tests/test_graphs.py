@@ -282,6 +282,25 @@ def test_many_nodes_by_tag(spark, monkeypatch):
     assert {(r.block, r.a, r.b) for r in links.collect()} == greedy(pairs, graphs.CAP) and len(cuts) < 8
 
 
+def test_few_meetings_few_tasks(spark):
+    """Hundreds of shuffle partitions don't make hundreds of tasks of one block's meetings; blocks by the hundred may have them all."""
+    from corvane.operators import export
+
+    v = clustered(5, 60, 12, 1.5, 17)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 500)
+    try:
+        count = lambda block: graphs.pairs_of_vectors(df.select(block.alias("block"), "id", "vec")).rdd.getNumPartitions()
+        assert count(F.lit("r")) == 8 * spark.sparkContext.defaultParallelism and count(F.col("id") % 200) == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    specs = df.select(F.col("id").alias("spec_id"), F.lit("r").alias("repo"), *[F.lit("x").alias(c) for c in ("title", "name", "project", "path", "summary", "ext")], F.array(F.lit("t")).alias("tags"))
+    own = df.select(F.col("id").alias("spec_id"), "vec")
+    pairs = [tuple(r) for r in graphs.pairs_of_vectors(df.select(F.lit("r").alias("block"), "id", "vec")).collect()]
+    assert {("r", r.source, r.target) for r in export.repo_graph(specs, own, "r")[1].collect()} == greedy(pairs, graphs.CAP)
+
+
 def test_chain(spark):
     """A chain in which each pair waits for the one before it takes no round for each."""
     df = spark.range(3000).select(F.lit("g").alias("block"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (1 - F.col("id") / 5000).alias("weight"))
