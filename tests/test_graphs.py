@@ -282,6 +282,36 @@ def test_many_nodes_by_tag(spark, monkeypatch):
     assert {(r.block, r.a, r.b) for r in links.collect()} == greedy(pairs, graphs.CAP) and len(cuts) < 8
 
 
+def test_large_group_by_tag(spark, monkeypatch):
+    """Hundreds of near copies and of copies, and copies with a rival that is off by rounding, are linked as one-by-one greedy does, without all their pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(graphs, "TILE", 32)
+    monkeypatch.setattr(graphs, "MANY", 16, raising=False)
+    g = np.random.default_rng(19)
+    v = g.normal(size=(420, 8))
+    v[:240] = v[0] + 0.05 * g.normal(size=(240, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[240:360], v[360:380] = v[240], v[360]
+    v[370] *= 1 + 2.0**-52
+    at = g.permutation(420)
+    df = spark.createDataFrame([(int(at[k]), x.tolist()) for k, x in enumerate(v)], "spec_id long, vec array<double>")
+    specs = df.select("spec_id", *[F.lit("x").alias(c) for c in ("title", "name", "repo", "project")], F.array(F.lit("t")).alias("tags"))
+    pairs = [tuple(r) for r in graphs.pairs_of_vectors(df.select(F.lit("").alias("block"), F.col("spec_id").alias("id"), "vec")).collect()]
+    made, real = [], graphs.cut
+
+    def counted(df):
+        out = real(df)
+        made.append(out.count() if "a" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(graphs, "cut", counted)
+    for few in (1 << 20, 500):
+        monkeypatch.setattr(graphs, "FEW", few)
+        assert {(r.block, r.a, r.b) for r in graphs.by_tag(specs, df, "T", cap=2)[1].collect()} == greedy(pairs, 2)
+    assert max(made) < len(pairs) / 3
+
+
 def test_few_meetings_few_tasks(spark):
     """Hundreds of shuffle partitions don't make hundreds of tasks of one block's meetings; blocks by the hundred may have them all."""
     from corvane.operators import export
