@@ -10,10 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, near_duplicates, packing, quality, substrings
-from corvane.llm.common import delete, shared_folder, table
+from corvane.llm.common import delete, gathered, shared_folder, table
 from corvane.llm.tokens import vocabulary
 
 
+def in_files(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out in no more partitions than the files of docs are read in, but for all cores at once: each makes a file of a stage's table, and a shuffle's partitions may be many and nearly empty."""
+    return gathered(out, docs.rdd.getNumPartitions(), 1)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.filter(docs)
@@ -21,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest doc_id."""
-    return near_duplicates.keep_one(docs)
+    return in_files(near_duplicates.keep_one(docs), docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +36,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a test item go."""
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    return in_files(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return in_files(packing.pack(docs, vocabulary("word_bpe_49k.json")), docs)
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicate_join), ("suffixes", suffix_dedup), ("benchmark", decontamination), ("packing", packed)]

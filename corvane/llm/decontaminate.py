@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILAR, chunks, cut, grams, words
+from .common import SHINGLE_WORDS, SIMILAR, chunks, cut, gathered, grams, words
 
 BLOCK_BYTES = 16 << 20
 #: Upper ends of the size partitions grow by this factor.
@@ -186,5 +186,5 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, block_
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """The rows of docs whose documents contain no item, all columns. The found ids are few, but not bounded: a join, whose way Spark picks by size."""
-    found = cut(search(docs, items, threshold).select("doc_id").distinct())
+    found = cut(gathered(search(docs, items, threshold).select("doc_id").distinct(), docs.select("doc_id").count()))
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

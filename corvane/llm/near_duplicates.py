@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILAR, U, components, cut, join_unique, mix, parts, shingles
+from .common import SIMILAR, U, components, cut, gathered, join_unique, mix, parts, settle, shingles
 
 TREES, DEPTH, TARGET = 24, 6, 0.9999
 #: Shingles of one verification block; a block of a group is at most this, apart from a single text.
@@ -80,6 +80,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 out.append((ids[i], b"%d" % i, 0, None) if alone else (ids[i], node_of(own), len(own), signature(own).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        settle()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, node binary, n_shingles long, labels binary")
 
@@ -118,14 +119,15 @@ def _walk(least: int) -> Callable:
     return walk
 
 
-def candidate_links(classes: DataFrame, least: int) -> DataFrame:
-    """(a, b): links of the classes (node, labels) that share a prefix of that length or a longer one.
+def candidate_links(classes: DataFrame, least: int, n: int | None = None) -> DataFrame:
+    """(a, b): links of the classes (node, labels), n in number if that is known, that share a prefix of that length or a longer one.
 
     Rows of one prefix may lie in several tasks. The first and last rows of all tasks, two for each, are gone through once more by one task, which links what a border parted."""
     size = 1 + 2 * DEPTH
     spread = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels").select(F.substring(F.col("labels"), F.col("tree") * size + 1, F.lit(size)).alias("label"), "node")
     ordered = spread.repartitionByRange(parts(classes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
-    walked = cut(ordered.mapInArrow(_walk(least), WALKED))
+    walked = ordered.mapInArrow(_walk(least), WALKED)
+    walked = cut(walked if n is None else gathered(walked, TREES * n))
     borders = walked.where("b is null").select("label", F.col("a").alias("node")).repartition(1).sortWithinPartitions("label", "node")
     return walked.where("b is not null").select("a", "b").union(borders.mapInArrow(_walk(least), WALKED).where("b is not null").select("a", "b"))
 
@@ -230,6 +232,7 @@ def _verified(members: DataFrame, docs: DataFrame, threshold: float) -> DataFram
         done()
         if out:
             yield told()
+        settle()
 
     return dealt.mapInArrow(checked, "node binary, links long, other binary, root binary")
 
@@ -277,25 +280,27 @@ def _dealt(grouped: DataFrame, threshold: float, block_shingles: int) -> DataFra
 def join(docs: DataFrame, threshold: float = SIMILAR, target: float = TARGET, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (documents of that similarity, copies among them)."""
     marked = cut(signed(docs))
-    nodes = cut(marked.where("labels is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")))
-    groups = components(candidate_links(nodes, least_depth(threshold, target)))
-    grouped = cut(groups.select("node", "component").distinct().join(nodes.drop("labels"), "node"))
+    n_docs = marked.count()
+    nodes = cut(gathered(marked.where("labels is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")), n_docs))
+    n = nodes.count()
+    groups = components(candidate_links(nodes, least_depth(threshold, target), n), most=TREES * n)
+    grouped = cut(gathered(groups.select("node", "component").distinct().join(nodes.drop("labels"), "node"), n))
     members = _dealt(grouped, threshold, block_shingles).select("doc_id", "node", "component", "copies", "block", "pairs")
     found = cut(_verified(members, docs, threshold))
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = found.where("root is not null").select("node", F.col("root").alias("component"))
     split = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     if not split.isEmpty():
-        classes = classes.union(components(split))
+        classes = classes.union(components(split, most=found.count()))
     led = nodes.drop("labels").join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = led.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    named = join_unique(led, least, "component", "n", nodes.count()).select("node", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    named = cut(named)
-    out = join_unique(marked.select("doc_id", "node"), named, "node", "copies", marked.count(), "left")
+    named = join_unique(led, least, "component", "n", n).select("node", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = cut(gathered(named, n))
+    out = join_unique(marked.select("doc_id", "node"), named, "node", "copies", n_docs, "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """The rows of docs, all columns, of the smallest doc_id of each class; rows of a null doc_id stay."""
-    kept = cut(join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct())
+    kept = cut(gathered(join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct(), docs.select("doc_id").count()))
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

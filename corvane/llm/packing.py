@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, settle
 from .tokens import encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -148,6 +148,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ..
         packer.end()
         if (out := packer.take()) is not None:
             yield out
+        del packer, out
+        settle()
 
     pieces = cut(docs.select("doc_id", "text").mapInArrow(packed, PIECES))
     task = F.shiftright("sequence_id", TASK).alias("task")

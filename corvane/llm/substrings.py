@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import BYTE_INV, FAN, MAIL, U, blocks_for, chunks, cut, delivered, mix, parts, posted, powers, prefix_hash, spans, text_bytes
+from .common import BYTE_INV, FAN, MAIL, U, blocks_for, chunks, cut, delivered, gathered, mix, parts, posted, powers, prefix_hash, settle, spans, text_bytes
 
 WINDOW, GRAM, RUN = 50, 24, 64
 #: Bytes of text in a batch and in a bucket; distinct runs of a hash that make it hot; bytes that are sorted at once.
@@ -272,6 +272,7 @@ def _send_bytes(buckets: int) -> Callable:
     """Step 2, of a batch: what it sends to meet others, equal bytes once with their smallest doc_id."""
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        settle()  # what the batch before left
         told = Told(answers, buckets)
         batch = docs.column("_corvane_batch")[0].as_py() if docs.num_rows else 0
         found: dict[tuple[int, int], list] = {}
@@ -331,10 +332,12 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             askers.append((route, content, to, (route, raw)))
     if strings:
         yield done()
+    settle()
 
 
 def marked(table: pa.Table, answers: pa.Table, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Step 3: (first row, bytes, offsets, which bytes go) of the texts, piece by piece."""
+    settle()  # what the batch before left
     told = Told(answers, buckets)
     for lo, _, data, offs, ids, known in _texts(table):
         change = np.zeros(len(data) + WINDOW, np.int32)
@@ -360,7 +363,8 @@ def _run(docs: DataFrame, finish: Callable, schema, batch_bytes: int, bucket_byt
     wanted = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     own = "_corvane_batch"  # docs may have a column named batch
     packed = delivered(wanted.select("doc_id", "text").mapInArrow(_send_runs(buckets, fan), MAIL), buckets, fan)
-    first = cut(delivered(packed.groupBy("to").applyInArrow(_meet(batches, few, hot, fan), MAIL), batches, fan))
+    met = packed.groupBy("to").applyInArrow(_meet(batches, few, hot, fan), MAIL)
+    first = cut(gathered(delivered(met, batches, fan), batches, 1))
     dealt = wanted.withColumn(own, batch_of(F.col("doc_id"), batches))
     sent = dealt.groupBy(own).cogroup(first.groupBy("to")).applyInArrow(_send_bytes(buckets), SENT)
     ordered = sent.repartition(parts(spark), "route").sortWithinPartitions("route", "content")

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, language_models, licenses, near_duplicates, packing, quality, simple8b, substrings, suffixes, token_files, warc
+import corpus_pipeline
+from corvane.llm import chat, common, decontaminate, language_models, licenses, near_duplicates, packing, quality, simple8b, substrings, suffixes, token_files, warc
 from corvane.llm.tokens import Encoder, encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, node string, batch int"
@@ -230,6 +231,35 @@ def test_near_duplicates(docs, empty, odd, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in sets if top(k) == k}
 
 
+def test_few_rows_in_few_files(spark, docs, monkeypatch):
+    """What is written between is as many files as rows need or cores run at once, not one for each partition of a shuffle; only what is verified keeps its tasks."""
+    files, cut = [], near_duplicates.cut
+
+    def counted(df):
+        files.append((out := cut(df)).rdd.getNumPartitions())
+        return out
+
+    for module in (common, near_duplicates, substrings, decontaminate):
+        monkeypatch.setattr(module, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        one, most = docs.coalesce(2), 2 * spark.sparkContext.defaultParallelism
+        kept = {r.doc_id for r in near_duplicates.keep_one(one).collect()}
+        assert sum(n > most for n in files) == 1 and len(files) > 6
+        files.clear()
+        substrings.cut_out(one).count()
+        decontaminate.remove(one, one.limit(3).select(F.col("doc_id").alias("item_id"), "text")).count()
+        assert files and max(files) <= most
+        assert corpus_pipeline.in_files(spark.range(100).repartition(40), spark.range(9, numPartitions=2)).rdd.getNumPartitions() == most
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert kept == {r.doc_id for r in near_duplicates.keep_one(docs).collect()}
+
+
 def test_forest_depth():
     least = near_duplicates.least_depth()
     assert near_duplicates.recall(least) >= near_duplicates.TARGET and (least == near_duplicates.DEPTH or near_duplicates.recall(least + 1) < near_duplicates.TARGET)
